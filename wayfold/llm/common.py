@@ -75,8 +75,9 @@ def parquet(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Long texts: few rows in an Arrow batch keep Python workers small."""
+    """Long texts: few rows and bytes in an Arrow batch keep Python workers small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(24 << 20))
 
 
 def partitions(spark: SparkSession) -> int:
@@ -96,11 +97,20 @@ def join_classes(rows: DataFrame, classes: DataFrame, keys: list[str], size: str
     return first.unionByName(rest)
 
 
+def _by_id(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+    n = ids.limit(BROADCAST_ROWS + 1).count()
+    ids = ids.select(F.col(key).alias("_other_key")).distinct()
+    return rows.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, rows[key].eqNullSafe(F.col("_other_key")), how)
+
+
 def semi_by_id(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     """Rows whose key is among ids (null-safe); ids are broadcast only after a check of their number."""
-    n = ids.limit(BROADCAST_ROWS + 1).count()
-    ids = ids.select(F.col(key).alias("_semi_key")).distinct()
-    return rows.join(F.broadcast(ids) if n <= BROADCAST_ROWS else ids, rows[key].eqNullSafe(F.col("_semi_key")), "left_semi")
+    return _by_id(rows, ids, key, "left_semi")
+
+
+def anti_by_id(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is not among ids, likewise."""
+    return _by_id(rows, ids, key, "left_anti")
 
 
 def strings(column: pa.ChunkedArray | pa.Array) -> list[str]:

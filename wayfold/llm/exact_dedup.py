@@ -125,6 +125,31 @@ def dedup(spark: SparkSession, docs: DataFrame, digest: Callable[[bytes], bytes]
     return plain.select("doc_id", "keep_id", F.col("size").alias("group_size"), F.lower(F.hex(sha)).alias("text_sha256"), F.explode(F.sequence(F.lit(1).cast("long"), "n")).alias("copy")).select("doc_id", "keep_id", "group_size", (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("copy") == 1)).alias("kept"), "text_sha256")
 
 
+def keep(spark: SparkSession, docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay, with all their columns."""
+    folder = common.work_folder(spark, "kept")
+    found = common.stage(dedup(spark, docs), folder, "found")
+    by_id = common.stage(found.groupBy("doc_id").agg(F.bool_or("kept").alias("some"), F.bool_and("kept").alias("all")), folder, "by_id")
+    out = common.anti_by_id(docs, by_id.where("NOT some"), "doc_id")
+    mixed = by_id.where("some AND NOT all").select("doc_id")
+    if mixed.isEmpty():
+        return out
+    # doc_ids of which one row stays and another goes
+    sure = common.anti_by_id(out, mixed, "doc_id")
+    stays = found.where("kept").select(F.col("doc_id").alias("_id"), F.unhex("text_sha256").alias("_sha"))
+    rows = common.semi_by_id(docs, mixed, "doc_id")
+    at = rows.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array([sha256(_normal(x)) for x in b.column(at).to_pylist()], pa.binary())], [*b.schema.names, "_own"])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), "_own binary"])
+    own = rows.mapInArrow(run, schema)
+    one = own.join(stays, own["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")), "left_semi").dropDuplicates(["doc_id", "_own"])
+    return sure.unionByName(one.drop("_own"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(spark, common.parquet(spark, sf_dir, "documents"))
 

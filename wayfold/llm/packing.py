@@ -138,7 +138,7 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 0,
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), one row a piece.
 
     documents and attention default to what tokens alone allow."""
-    common.small_batches(spark)
+    common.small_batches(spark, 3000)
     folder = common.work_folder(spark, "packing")
     attention = tokens * tokens if attention is None else attention
     longest = min(tokens, math.isqrt(attention))

@@ -131,7 +131,7 @@ def read_at(folder: str, shard: int, byte_offset: int) -> tuple[int | None, np.n
 
 
 def round_trip(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 2, folder: str | None = None) -> DataFrame:
-    common.small_batches(spark)
+    common.small_batches(spark, 3000)
     folder = folder or common.work_folder(spark, "token-records")
     manifest = write(spark, docs, folder, tokenizer, end_id)
     # one row a shard, as many as there are partitions
