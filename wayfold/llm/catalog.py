@@ -6,16 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, token_records
+from . import exact_dedup, hamming, html_text, jaccard_join, packing, pii, segmentation, token_records, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_best_fit_packing": packing.op1_best_fit_packing,
         "op2_exact_dedup": exact_dedup.op2_exact_dedup,
+        "op3_pii_surrogates": pii.op3_pii_surrogates,
+        "op4_html_text": html_text.op4_html_text,
+        "op5_n_best": segmentation.op5_n_best,
+        "op6_hamming_top_k": hamming.op6_hamming_top_k,
+        "op7_warc": warc.op7_warc,
+        "op8_jaccard_join": jaccard_join.op8_jaccard_join,
+        "op9_toxicity": toxicity.op9_toxicity,
         "op10_token_records": token_records.op10_token_records,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_exact_dedup": exact_dedup.ORACLE}
+    return {
+        "op2_exact_dedup": exact_dedup.ORACLE,
+        "op6_hamming_top_k": hamming.ORACLE,
+        "op7_warc": warc.ORACLE,
+        "op8_jaccard_join": jaccard_join.ORACLE,
+    }
