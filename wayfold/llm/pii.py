@@ -142,9 +142,14 @@ def _walk(domain: int, value: int, tweak: bytes, key: bytes) -> int:
             return value
 
 
+def _hexadecimal(text: str) -> bool:
+    """Long and of hexadecimal digits, letters among them."""
+    return len(text) >= 16 and bool(re.fullmatch(r"[0-9a-f]*[a-f][0-9a-f]*", text))
+
+
 def permute(text: str, tweak: bytes, key: bytes, ok: Callable[[str], bool] = lambda _: True) -> str:
     """Letters and digits for those of the same class; walks on until ok holds, which it must for text."""
-    hexa = len(text) >= 16 and re.fullmatch(r"[0-9a-f]+", text)
+    hexa = _hexadecimal(text)
     sets = ["0123456789abcdef" if hexa else next((a for a in (DIGITS, LOWER, UPPER, CYRILLIC, GREEK, CYRILLIC.upper(), GREEK.upper()) if c in a), c) for c in text]
     domain = 1
     for a in sets:
@@ -160,7 +165,7 @@ def permute(text: str, tweak: bytes, key: bytes, ok: Callable[[str], bool] = lam
             n, i = divmod(n, len(a))
             out.append(a[i])
         text = "".join(reversed(out))
-        if ok(text):
+        if ok(text) and _hexadecimal(text) == hexa:
             return text
 
 
