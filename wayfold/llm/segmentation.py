@@ -6,9 +6,10 @@ uses these as exact heuristics, so hypotheses reach the start in order of total
 score and the first n of them are the n best.
 
 No piece crosses a boundary between two characters that stand side by side in no
-piece, so a text falls into independent segments. Each distinct segment is
-searched once; the text's n best are again found by a backward A-star search, over
-what each segment loses by its second, third, ... choice.
+piece, so a text falls into independent segments. The forward pass gives each
+segment's best and what its second best loses; of a text's segments only the n - 1
+that lose least can differ from their best in its n best, so the backward search
+runs over these, in each segment and then over the text.
 
 A character without a piece becomes its byte pieces at a score ten below the
 model's least. Encoding puts the model's space mark for spaces and before the
@@ -22,6 +23,7 @@ from __future__ import annotations
 import heapq
 import itertools
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,12 +36,12 @@ from . import common
 
 MARK = "\u2581"
 #: Segments that a worker remembers at most; then it starts afresh.
-REMEMBERED = 150_000
+REMEMBERED = 400_000
 NO_LOSS = float("inf")
 _open: dict[tuple[str, int], Segmenter] = {}
 
-#: Choices of a segment: score of the best, its ids, and (loss, ids) of the next ones.
-Choices = tuple[float, bytes, tuple[tuple[float, bytes], ...]]
+#: Of a segment: the best score, its ids, and what the second best loses.
+First = tuple[float, bytes, float]
 
 
 class Segmenter:
@@ -61,11 +63,19 @@ class Segmenter:
         self.unknown = min(s for s, _ in self.pieces.values()) - 10
         self.longest = max(map(len, self.pieces))
         self.pairs = {a + b for p in self.pieces for a, b in itertools.pairwise(p)}
-        alone = [c for c in "\n\t\r" if not any(c in x for x in self.pairs)]
-        stop = "".join(map(regex.escape, alone))
-        # marks with the characters after them, where no piece has a mark after another character
-        self.words = regex.compile(f"{MARK}*+[^{MARK}{stop}]++|{MARK}++|[{stop}]" if stop else f"{MARK}*+[^{MARK}]++|{MARK}++").findall if not any(x[1] == MARK and x[0] != MARK for x in self.pairs) else None
-        self.known: dict[str, Choices] = {}
+        # runs of letters or of other characters with the marks before them, where pieces hold to that
+        alone = "".join(regex.escape(c) for c in "\n\t\r" if not any(c in x for x in self.pairs))
+        letter = regex.compile(r"[\p{L}\p{M}]").match
+        apart = all(x[0] == MARK or x[1] != MARK and bool(letter(x[0])) == bool(letter(x[1])) for x in self.pairs)
+        self.words = regex.compile(rf"{MARK}*+[\p{{L}}\p{{M}}]++|{MARK}*+[^\p{{L}}\p{{M}}{MARK}{alone}]++|{MARK}++" + (f"|[{alone}]" if alone else "")).findall if apart else None
+        self.known: dict[str, First] = {}
+        self.more: dict[str, list[tuple[float, bytes]]] = {}
+        self.trie: dict = {}  # of characters to (the same of what follows, the piece's score and id or None)
+        for piece, found in sorted(self.pieces.items()):
+            node = self.trie
+            for c in piece[:-1]:
+                node = node.setdefault(c, ({}, None))[0]
+            node[piece[-1]] = (node.get(piece[-1], ({}, None))[0], found)
 
     def normal(self, text: str) -> str:
         return MARK + text.replace(" ", MARK) if text else ""
@@ -113,36 +123,81 @@ class Segmenter:
                 heapq.heappush(heap, (-(best[i] + w + behind), next(order), i, w + behind, (piece, path)))
         return out
 
-    def choices(self, s: str) -> Choices:
+    def viterbi(self, s: str) -> tuple[float, list[int], float]:
+        """The best score, its ids, and what the second best loses.
+
+        A path that isn't the best leaves it at some place by another edge; the
+        least loss at any place of the best path is the second best's."""
+        n = len(s)
+        best, second, back = [0.0] + [-NO_LOSS] * n, [-NO_LOSS] * (n + 1), [(0, 0)] * (n + 1)
+        trie = self.trie
+        for i in range(n):
+            here, kids, j = best[i], trie, i
+            while j < n:
+                node = kids.get(s[j])
+                if node is None:
+                    break
+                j += 1
+                kids, piece = node
+                if piece:
+                    v = here + piece[0]
+                    if v > best[j]:
+                        second[j], best[j], back[j] = best[j], v, (i, piece[1])
+                    elif v > second[j]:
+                        second[j] = v
+            if s[i] not in self.pieces:
+                v = here + self.unknown
+                if v > best[i + 1]:
+                    second[i + 1], best[i + 1], back[i + 1] = best[i + 1], v, (i, -1)
+                elif v > second[i + 1]:
+                    second[i + 1] = v
+        ids: list[int] = []
+        loss, at = NO_LOSS, n
+        while at:
+            loss = min(loss, best[at] - second[at])
+            i, piece = back[at]
+            if piece < 0:
+                ids += self.fallback(s[i])[::-1]
+            else:
+                ids.append(piece)
+            at = i
+        return best[n], ids[::-1], loss
+
+    def first(self, s: str) -> First:
         found = self.known.get(s)
         if not found:
-            cuts = [0, *(i for i in range(1, len(s)) if s[i - 1 : i + 1] not in self.pairs), len(s)]
-            if len(cuts) == 2:
-                ranked = [(score, np.array(ids, dtype="<u4").tobytes()) for score, ids in self.search(s)]
-            else:
-                ranked = self.combine([self.choices(s[a:b]) for a, b in itertools.pairwise(cuts)])
-            top = ranked[0]
-            found = self.known[s] = (top[0], top[1], tuple((top[0] - x, ids) for x, ids in ranked[1:]))
+            score, ids, loss = self.viterbi(s)
+            found = self.known[s] = score, array("I", ids).tobytes(), loss
+        return found
+
+    def others(self, s: str) -> list[tuple[float, bytes]]:
+        """(loss, ids) of the second to nth best; searched for segments that a text's n best can change."""
+        found = self.more.get(s)
+        if found is None:
+            ranked = self.search(s)
+            found = self.more[s] = [(ranked[0][0] - score, array("I", ids).tobytes()) for score, ids in ranked[1:]]
         return found
 
-    def combine(self, parts: list[Choices]) -> list[tuple[float, bytes]]:
-        """The n best of independent segments: only the n - 1 with the least first losses can differ from their best."""
-        score, ids = sum(p[0] for p in parts), [p[1] for p in parts]
-        losses = [p[2][0][0] if p[2] else NO_LOSS for p in parts]
-        open_ = sorted(i for i in heapq.nsmallest(self.n - 1, range(len(parts)), key=losses.__getitem__) if losses[i] < NO_LOSS)
+    def combine(self, words: list[str], firsts: list[First]) -> list[tuple[float, bytes]]:
+        """The n best of independent segments: only the n - 1 with the least second losses can differ from their best."""
+        score, ids = sum([x[0] for x in firsts]), [x[1] for x in firsts]
+        losses = [x[2] for x in firsts]
+        open_ = sorted(i for i in heapq.nsmallest(self.n - 1, range(len(firsts)), key=losses.__getitem__) if losses[i] < NO_LOSS)
         out, order = [], itertools.count()
         heap: list[tuple] = [(0.0, next(order), len(open_), ())]  # (loss so far, exact since the best of the rest loses nothing)
         while heap and len(out) < self.n:
             loss, _, left, chosen = heapq.heappop(heap)
             if not left:
-                changed = list(ids)
-                for i, piece in chosen:
-                    changed[i] = piece
+                changed = ids
+                if chosen:
+                    changed = list(ids)
+                    for i, piece in chosen:
+                        changed[i] = piece
                 out.append((score - loss, b"".join(changed)))
                 continue
             i = open_[left - 1]
             heapq.heappush(heap, (loss, next(order), left - 1, chosen))
-            for more, piece in parts[i][2]:
+            for more, piece in self.others(words[i]):
                 heapq.heappush(heap, (loss + more, next(order), left - 1, (*chosen, (i, piece))))
         return out
 
@@ -153,12 +208,14 @@ class Segmenter:
             return [(0.0, b"")]
         if len(self.known) > REMEMBERED:
             self.known.clear()
+        if len(self.more) > REMEMBERED // 4:
+            self.more.clear()
         known, words = self.known, self.words(s) if self.words else [s]
         try:
-            parts = [known[w] for w in words]
+            firsts = [known[w] for w in words]
         except KeyError:
-            parts = [known.get(w) or self.choices(w) for w in words]
-        return self.combine(parts)
+            firsts = [known.get(w) or self.first(w) for w in words]
+        return self.combine(words, firsts)
 
     def decode(self, ids: list[int]) -> str:
         out = bytearray()
