@@ -16,8 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words that a worker remembers (about 110 MB); beyond it starts afresh.
-REMEMBERED = 600_000
+#: Words that a worker remembers (about 70 MB); beyond it starts afresh.
+REMEMBERED = 300_000
 #: Letters before this are letters in every Unicode version in use.
 AGREED = "\u0530"
 #: Signs that end a word; they hold no letter, digit or space.
