@@ -39,7 +39,7 @@ WORDS, THRESHOLD = 5, 0.8
 TREES, DEPTH = 24, 8
 RECALL = 0.99999
 #: Members of a trie node whose pairs are listed; a larger node goes through blocks.
-SMALL, BLOCK = 32, 256
+SMALL, BLOCK = 32, 640
 REMEMBERED = 400_000
 _NONE = 2**63 - 1
 
