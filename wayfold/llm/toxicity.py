@@ -77,7 +77,7 @@ class Linear:
     def predict(self, counts: np.ndarray, other: np.ndarray) -> np.ndarray:
         if self.constant is not None:
             return np.full(len(other), self.constant)
-        x = np.hstack([counts, (other - self.mean) / self.scale, np.ones((len(other), 1))])
+        x = np.hstack([counts, ((other - self.mean) / self.scale).astype(np.float32), np.ones((len(other), 1), dtype=np.float32)])
         return 1 / (1 + np.exp(-np.clip(x @ self.weights, -30, 30)))
 
 
@@ -93,7 +93,7 @@ class Rows:
 
     def table(self, chosen: np.ndarray) -> np.ndarray:
         """log(1 + count) of chosen features."""
-        place = np.full(len(self.names), -1)
+        place = np.full(len(self.names), -1, dtype=np.int32)
         at = np.searchsorted(self.names, chosen)
         place[at] = np.arange(len(chosen))
         column = place[self.code]
@@ -123,7 +123,7 @@ def fit(rows: Rows, other: np.ndarray, y: np.ndarray, use: np.ndarray) -> Linear
     if len(set(y[use].tolist())) < 2:
         return Linear(none, np.zeros(0), mean, scale, float(y[use].mean()) if use.any() else 0.0)
     chosen = choose(rows, y, use)
-    x = np.hstack([rows.table(chosen)[use], ((other - mean) / scale)[use], np.ones((int(use.sum()), 1))]).astype(np.float32)
+    x = np.hstack([rows.table(chosen)[use], ((other - mean) / scale)[use].astype(np.float32), np.ones((int(use.sum()), 1), dtype=np.float32)])
     target, ridge = y[use].astype(np.float32), np.full(x.shape[1], RIDGE)
     ridge[-1] = 1e-6
 
@@ -258,11 +258,12 @@ def learn(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATE
     every = np.concatenate([*hashes, np.zeros(0, dtype="<u4")])
     names, many = np.unique(every, return_counts=True)
     names = names[many >= 3]
-    code = np.searchsorted(names, every)
-    row = np.repeat(np.arange(len(got)), [len(h) for h in hashes])
+    code = np.searchsorted(names, every).astype(np.int32)
+    row = np.repeat(np.arange(len(got), dtype=np.int32), [len(h) for h in hashes])
     count = np.concatenate([*(np.frombuffer(r.counts, dtype="<u2") for r in got), np.zeros(0, dtype="<u2")])
     use = (names[np.minimum(code, len(names) - 1)] == every) if len(names) else np.zeros(len(every), dtype=bool)
     rows = Rows(row[use], code[use], count[use], names, len(got))
+    del every, code, row, count, use, hashes
     other = np.array([r.other for r in got], dtype=np.float64).reshape(len(got), DENSE)
     ys = np.array([[r[f"y{i}"] for i in range(len(categories))] for r in got], dtype=np.float64).reshape(len(got), len(categories))
     fold = np.array([xxhash.xxh32_intdigest(str(r.doc_id)) % FOLDS for r in got])
