@@ -22,6 +22,8 @@ LAYER_CLASSES = [
     ("site", r"SIDEWALK|DRIVE|MAINBUILDING|PARKING|B-SP-"),
     ("fixture", r"FIXTURE|PLUMB|\bWC\b|FURN|MECH|METAL|CASE"),
 ]
+# Names of wings that may stand before a floor's label.
+WINGS = ["central complex", "community centre", "commons", r"village \d+ ?- ?\w+", "beck hall", r"\w+ hall"]
 # Weights, limits and speeds of routing.
 INTRA_FACTOR, STAIR_PENALTY, FALLBACK_FACTOR, OUTDOOR_PENALTY = 1.25, 1.15, 2.5, 1.6
 WALK_SPEED, PLAY_SPEED = 1.3, 1.6
@@ -52,7 +54,7 @@ def building_code(name: Column | str) -> Column:
 def level_of_label(label: Column | str) -> Column:
     """A floor's level from its label, null where it says none."""
     low = F.lower(F.trim(c(label)))
-    bare = F.when(low.rlike("^(lower|mid)"), low).otherwise(F.regexp_replace(low, r"^(central complex|community centre|commons|village \d+ ?- ?\w+|beck hall|\w+ hall)\s+", ""))
+    bare = F.when(low.rlike("^(lower|mid)"), low).otherwise(F.regexp_replace(low, f"^({'|'.join(WINGS)})\\s+", ""))
     n = F.regexp_extract(bare, r"^(\d+)(?:st|nd|rd|th)\s+floor", 1)
     return (
         F.when(bare.contains("midlevel basement"), -1.5)

@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import rules as R
 from ..functions import scalars as S
@@ -137,17 +140,20 @@ def fit(plans: DataFrame, footprints: DataFrame, cell: float, seeds: DataFrame)
 
     plans: code, x, y (cells of the filled plan). footprints: code, rings. seeds: code, angles, scales."""
 
-    def run(key: tuple, pdf: pd.DataFrame, side: pd.DataFrame) -> pd.DataFrame:
-        names = ["scale", "degrees", "tx", "ty", "score"]
-        if not len(pdf) or not len(side):
-            return pd.DataFrame(columns=["code", *names])
-        one = side.iloc[0]
+    schema = "code string, scale double, degrees double, tx double, ty double, score double"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return arrow.empty_table()
+        one = right.to_pylist()[0]
         rings = [np.array([(p["x"], p["y"]) for p in r]) for r in one["rings"]]
-        got = fit_one(pdf[["x", "y"]].to_numpy(float), cell, rings, list(one["angles"]), list(one["scales"]))
-        return pd.DataFrame(got, columns=names).assign(code=key[0])[["code", *names]]
+        cells = np.column_stack([left.column("x").to_numpy(), left.column("y").to_numpy()]).astype(float)
+        got = fit_one(cells, cell, rings, one["angles"], one["scales"])
+        return pa.Table.from_pylist([{"code": one["code"], **g} for g in got], schema=arrow)
 
     side = footprints.join(seeds, "code")
-    return plans.groupBy("code").cogroup(side.groupBy("code")).applyInPandas(run, "code string, scale double, degrees double, tx double, ty double, score double")
+    return plans.groupBy("code").cogroup(side.groupBy("code")).applyInArrow(run, schema)
 
 
 def accept(fits: DataFrame, residuals: DataFrame) -> DataFrame:

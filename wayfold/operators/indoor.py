@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import rules as R
 from ..functions import scalars as S
@@ -104,18 +107,22 @@ def level_graphs(plans: DataFrame, res: float = PX) -> DataFrame:
         lines = [polyline.simplify_line(np.array([list(at(r, c).values()) for r, c in e["cells"]]), 0.35) for e in edges]
         return [{"i": n["i"], **at(n["r"], n["c"]), "clear": n["clear"], "kind": n["kind"]} for n in nodes], [{"a": e["a"], "b": e["b"], "m": e["m"], "clear": e["clear"], "path": polyline._points(p)} for e, p in zip(edges, lines, strict=True)], rooms
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    P = polyline.POINTS
+    schema = f"code string, level double, status string, nodes array<struct<i:int,x:double,y:double,clear:double,kind:string>>, edges array<struct<a:int,b:int,m:double,clear:double,path:{P}>>, rooms array<struct<id:int,area:double,x:double,y:double,poly:{P},node:int>>"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+
+    def run(table: pa.Table) -> pa.Table:
         rows = []
-        for p in pdf.itertuples(index=False):
+        for p in table.to_pylist():
+            row = {"code": p["code"], "level": p["level"], "status": "ok", "nodes": [], "edges": [], "rooms": []}
             try:
-                rows.append((p.code, p.level, "ok", *one(p.walls, p.doors, p.rings)))
+                row |= dict(zip(("nodes", "edges", "rooms"), one(p["walls"], p["doors"], p["rings"]), strict=True))
             except (ValueError, IndexError) as e:
-                rows.append((p.code, p.level, f"{type(e).__name__}: {e}", [], [], []))
-        return pd.DataFrame(rows, columns=["code", "level", "status", "nodes", "edges", "rooms"])
+                row["status"] = f"{type(e).__name__}: {e}"
+            rows.append(row)
+        return pa.Table.from_pylist(rows, schema=arrow)
 
-    P = polyline.POINTS
-    schema = f"code string, level double, status string, nodes array<struct<i:int,x:double,y:double,clear:double,kind:string>>, edges array<struct<a:int,b:int,m:double,clear:double,path:{P}>>, rooms array<struct<id:int,area:double,x:double,y:double,poly:{P},node:int>>"
-    return plans.select("code", "level", "walls", "doors", "rings").groupBy("code", "level").applyInPandas(run, schema)
+    return plans.select("code", "level", "walls", "doors", "rings").groupBy("code", "level").applyInArrow(run, schema)
 
 
 def shafts_of(mask: np.ndarray, res: float) -> list[np.ndarray]:

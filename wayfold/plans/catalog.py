@@ -403,7 +403,7 @@ def quality_violations(spark, d):
 
 
 @query("""SELECT s_suppkey, round(CASE WHEN s_suppkey % 2 = 0 THEN 1.8::DOUBLE * s_nationkey + abs(s_suppkey % 7 - 3) ELSE abs(s_suppkey % 7 - 3) + 12 END, 6) AS m,
- round(CASE WHEN s_suppkey % 2 = 0 THEN 1.15 * (1.8 * s_nationkey + abs(s_suppkey % 7 - 3)) ELSE 1.0 * (abs(s_suppkey % 7 - 3) + 12) END, 6) AS w FROM supplier""")
+ round(CASE WHEN s_suppkey % 2 = 0 THEN 1.15::DOUBLE * (1.8::DOUBLE * s_nationkey + abs(s_suppkey % 7 - 3)) ELSE abs(s_suppkey % 7 - 3) + 12 END, 6) AS w FROM supplier""")
 def vertical_costs(spark, d):
     kind = F.when(F.col("s_suppkey") % 2 == 0, "stair").otherwise("elevator")
     m = R.vertical_metres(kind, F.col("s_nationkey"), F.col("s_suppkey") % 7 - 3).cast("double")
