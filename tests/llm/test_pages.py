@@ -81,7 +81,7 @@ def test_structure():
 
 def test_differencing_decides_without_a_container(spark):
     page = lambda i: f"<body><p>Welcome to the site</p><p>Story {i}</p><p>More {i}</p><p>All rights</p></body>"
-    rows = [(i, f"https://Host.example/a/{i:03d}?q={i}", page(i)) for i in range(40)] + [(100, "http://other/", page(7)), (101, None, page(8)), (102, "x", None), (103, "http://host.example/a/003", ARTICLE), (5, "https://host.example/a/005", page(5))]
+    rows = [(i, f"https://Host.example/a/{i:03d}?q={i}", page(i)) for i in range(40)] + [(100, "http://other/", page(7)), (101, None, page(8)), (102, "x", None), (103, "http://host.example/a/003", ARTICLE), (5, "https://host.example/a/005", page(5)), (None, "https://nobody/", page(9))]
     got = {}
     for r in html_text.extract(spark, pages(spark, rows)).collect():
         assert r.n_chars == len(r.text)
