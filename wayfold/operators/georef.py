@@ -45,8 +45,11 @@ def iou(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
 
 def residual(points: DataFrame, boundary: DataFrame, keys: tuple[str, ...] = (), most: int = SAMPLE) -> DataFrame:
     """(keys, residual): the mean distance of a deterministic sample of points to boundary points, a sampling operator by design."""
-    w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(F.xxhash64("x", "y"), "x", "y")
-    few = points.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
+    order = (F.xxhash64("x", "y"), "x", "y")
+    if keys:
+        few = points.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= most).drop("_n")
+    else:
+        few = points.orderBy(*order).limit(most)
     b = boundary.select(*keys, F.col("x").alias("bx"), F.col("y").alias("by"))
     joined = few.join(b, list(keys)) if keys else few.join(F.broadcast(b))
     near = joined.groupBy(*keys, "x", "y").agg(F.min(F.hypot(F.col("x") - F.col("bx"), F.col("y") - F.col("by"))).alias("d"))

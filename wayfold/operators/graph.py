@@ -69,8 +69,11 @@ def largest_component(vertices: DataFrame, arcs: DataFrame) -> DataFrame:
 def keep_fraction(labels: DataFrame, fraction: float, keys: tuple[str, ...] = ()) -> DataFrame:
     """Rows of components with at least a fraction of the largest one's rows."""
     n = labels.groupBy(*keys, "label").agg(F.count("*").alias("n"))
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    big = n.withColumn("top", F.max("n").over(w)).where(F.col("n") >= F.col("top") * fraction).select(*keys, "label")
+    if keys:
+        big = n.withColumn("top", F.max("n").over(Window.partitionBy(*keys))).where(F.col("n") >= F.col("top") * fraction)
+    else:  # one number comes to the driver
+        big = n.where(F.col("n") >= F.lit((n.agg(F.max("n")).first()[0] or 0) * fraction))
+    big = big.select(*keys, "label")
     return labels.join(big, [*keys, "label"], "left_semi")
 
 

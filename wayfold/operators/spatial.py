@@ -115,11 +115,15 @@ def enter(paths: DataFrame, depth: float = 12.0) -> DataFrame:
 def level_nearest(rows: DataFrame, levels: DataFrame, keys: tuple[str, ...] = (), usable: int = 30) -> DataFrame:
     """Rows (id, z) with the nearest level (level, elev, nodes, ord); levels of few nodes count only where there are no others.
 
-    Levels of a building are few; where keys is empty they are broadcast."""
-    w = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    ok = levels.withColumn("_any", F.max((F.col("nodes") >= usable).cast("int")).over(w)).where((F.col("_any") == 0) | (F.col("nodes") >= usable)).drop("_any")
-    joined = rows.join(ok, list(keys)) if keys else rows.crossJoin(F.broadcast(ok))
-    return joined.groupBy(*keys, "id").agg(F.min_by(F.struct("level", "elev"), F.struct(F.abs(F.col("elev") - F.col("z")), "ord")).alias("m")).select(*keys, "id", "m.level", "m.elev")
+    A building's levels are few: they become one array, so rows are neither multiplied nor grouped again."""
+    by = keys or ("_all",)
+    if not keys:
+        levels, rows = levels.withColumn("_all", F.lit(0)), rows.withColumn("_all", F.lit(0))
+    arrays = levels.groupBy(*by).agg(F.collect_list(F.struct("ord", "level", "elev", "nodes")).alias("_levels"))
+    large = F.filter("_levels", lambda v: v["nodes"] >= usable)
+    found = rows.join(F.broadcast(arrays) if not keys else arrays, list(by)).withColumn("_ok", F.when(F.size(large) > 0, large).otherwise(F.col("_levels")))
+    best = F.array_min(F.transform("_ok", lambda v: F.struct(F.abs(v["elev"] - F.col("z")).alias("d"), v["ord"].alias("ord"), v["level"].alias("level"), v["elev"].alias("elev"))))
+    return found.withColumn("_m", best).select(*keys, "id", "_m.level", "_m.elev")
 
 
 def last_before(events: DataFrame, wanted: DataFrame, key: str, at: str, value: str) -> DataFrame:
