@@ -38,7 +38,8 @@ def replace_private(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(spark, docs, encode.default_path())
+    """Workers remember few words here, since the executor's heap is full from the stages before."""
+    return packing.pack(spark, docs, encode.default_path(), remembered=60_000, batch_rows=500)
 
 
 STAGES = [

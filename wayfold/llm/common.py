@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
+import gc
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -70,6 +75,48 @@ def commit_file(uri: str, write) -> int:
     return size
 
 
+def trim() -> None:
+    """Gives memory that nothing uses back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+#: What empties the memories of operators in this worker process, and whose they are now.
+_memories: list[Callable[[], None]] = []
+_owner = ""
+
+
+def forgets(clear: Callable[[], None]) -> None:
+    """Registers what empties a module's memory when another operator takes the worker over."""
+    _memories.append(clear)
+
+
+def take_over(owner: str) -> None:
+    """Of module level, so that workers run it on their own module's memories."""
+    global _owner
+    if owner != _owner:
+        for clear in _memories:
+            clear()
+        _owner = owner
+        trim()
+
+
+def lean(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """For functions over a partition's batches: the worker, which lives on, is small again after each, and holds one operator's memory only."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator) -> Iterator:
+        take_over(run.__module__)
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return wrapped
+
+
 def parquet(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from . import common
+
 #: Words that a worker remembers (about 70 MB); beyond it starts afresh.
 REMEMBERED = 300_000
 #: Letters before this are letters in every Unicode version in use.
@@ -25,11 +27,13 @@ SIGNS = ".,;:!?%&*$#|()[]{}<>/+=~@^_-\"'"
 #: The split of byte-level BPE with use_regex; a fixed value of that format.
 BYTE_LEVEL = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
-_open: dict[str, Encoder] = {}
+_open: dict[tuple[str, int], Encoder] = {}
+common.forgets(_open.clear)
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, remembered: int = REMEMBERED):
+        self.remembered = remembered
         import regex
         from tokenizers import Tokenizer
 
@@ -52,7 +56,7 @@ class Encoder:
     def _pretokens(self, groups: list[list[str]]) -> list[bytes]:
         """Ids of lists of pre-tokens."""
         known = self.known
-        if len(known) > REMEMBERED // 8:
+        if len(known) > self.remembered // 8:
             known.clear()
         new: set[str] = set()
         for group in groups:
@@ -76,7 +80,7 @@ class Encoder:
     def _spaced(self, words: list[str]) -> tuple[list[bytes], np.ndarray]:
         """Ids of distinct words with a space before them; and which words keep a text from falling apart at its spaces."""
         spaced = self.spaced
-        if len(spaced) > REMEMBERED:
+        if len(spaced) > self.remembered:
             spaced.clear()
         out = [spaced.get(w) for w in words]
         letters, ended, other = [], [], []
@@ -131,11 +135,11 @@ class Encoder:
         return np.frombuffer(data, dtype=self.dtype).astype("<u4")
 
 
-def encoder(path: str) -> Encoder:
-    """One for each path in a worker process."""
-    if path not in _open:
-        _open[path] = Encoder(path)
-    return _open[path]
+def encoder(path: str, remembered: int = REMEMBERED) -> Encoder:
+    """One for each path and memory in a worker process."""
+    if (path, remembered) not in _open:
+        _open[path, remembered] = Encoder(path, remembered)
+    return _open[path, remembered]
 
 
 def default_path() -> str:

@@ -39,6 +39,7 @@ def _normal(text: str | None) -> bytes:
 def digest_rows(docs: DataFrame, digest: Callable[[bytes], bytes] = sha256) -> DataFrame:
     """(doc_id, digest, sha) of every row."""
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data = [_normal(x) for x in b.column(1).to_pylist()]
@@ -106,6 +107,7 @@ def dedup(spark: SparkSession, docs: DataFrame, digest: Callable[[bytes], bytes]
     several = rows.join(classes.where("size > 1").select("digest"), "digest", "left_semi").select("doc_id").distinct()
     texts = common.semi_by_id(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), several, "doc_id")
 
+    @common.lean
     def normal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data = [_normal(x) for x in b.column(1).to_pylist()]
@@ -140,6 +142,7 @@ def keep(spark: SparkSession, docs: DataFrame) -> DataFrame:
     rows = common.semi_by_id(docs, mixed, "doc_id")
     at = rows.columns.index("text")
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array([sha256(_normal(x)) for x in b.column(at).to_pylist()], pa.binary())], [*b.schema.names, "_own"])

@@ -114,6 +114,7 @@ class Index:
 def codes(rows: DataFrame, bits: int) -> DataFrame:
     """(vec_id, code) of the vectors that have one."""
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             ids, out = [], []
@@ -133,6 +134,7 @@ def codes(rows: DataFrame, bits: int) -> DataFrame:
 def _fewest(rows: DataFrame, k: int) -> DataFrame:
     """(code, ids): the k smallest ids of each code, combined batch by batch before the shuffle."""
 
+    @common.lean
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             held: dict[int, list[int]] = {}

@@ -209,6 +209,7 @@ def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
 
     # ranges of (host, path, id): the first and last key of each, a row a partition
+    @common.lean
     def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = last = None
         for b in batches:
@@ -225,6 +226,7 @@ def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
     number = _even_ids(spark, max(n, len(ranges)))
     sent = spark.sparkContext.broadcast((starts, {r[1]: i + 1 for i, r in enumerate(ranges[:-1])}, {r[0]: i - 1 for i, r in enumerate(ranges) if i}, number))
 
+    @common.lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         starts, to_next, to_last, number = sent.value
         names = ["part", "host", "path", "key_id", "copy", "page_id", "url", "lines", "kinds"]
@@ -244,6 +246,7 @@ def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
     parts = _keys(pages).select("page_id", "url", "html", "host", "path", "key_id").mapInArrow(cut, "part int, host string, path string, key_id long, copy boolean, page_id long, url string, lines array<string>, kinds binary")
     ordered = parts.repartition(len(number), "part").sortWithinPartitions("part", "host", "path", "key_id", "url", "copy")
 
+    @common.lean
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for b in batches:

@@ -40,7 +40,7 @@ TREES, DEPTH = 24, 8
 RECALL = 0.99999
 #: Members of a trie node whose pairs are listed; a larger node goes through blocks.
 SMALL, BLOCK = 32, 640
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 _NONE = 2**63 - 1
 
 _rng = np.random.default_rng(20240501)
@@ -48,6 +48,7 @@ _STEP = _rng.integers(0, 2**63, WORDS, dtype=np.uint64) | np.uint64(1)
 _MUL = (_rng.integers(0, 2**32, TREES * DEPTH, dtype=np.uint64) | np.uint64(1)).astype(np.uint32)
 _ADD = _rng.integers(0, 2**32, TREES * DEPTH, dtype=np.uint64).astype(np.uint32)
 _word_hash: dict[str, int] = {}
+common.forgets(_word_hash.clear)
 
 
 def prefix_depth(threshold: float = THRESHOLD, trees: int = TREES, deepest: int = DEPTH, recall: float = RECALL) -> int:
@@ -112,6 +113,7 @@ def _docs(docs: DataFrame) -> DataFrame:
 def sketches(docs: DataFrame) -> DataFrame:
     """(doc_id, node, sig): node names the set of shingles, null where there is none."""
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             nodes, sigs = [], []
@@ -127,6 +129,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 def labels(nodes: DataFrame, depth: int) -> DataFrame:
     """(tree, prefix, label, node) for each tree."""
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
@@ -152,12 +155,10 @@ def _first_tree(a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
 def small_pairs(tries: DataFrame, sizes: DataFrame) -> DataFrame:
     """(a, b, tree) of the pairs in trie nodes of 2 to SMALL members."""
 
-    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from batches
-
     members = tries.join(sizes.where(f"n BETWEEN 2 AND {SMALL}").select("tree", "prefix"), ["tree", "prefix"], "left_semi")
     grouped = members.groupBy("tree", "prefix").agg(F.sort_array(F.collect_list("node")).alias("nodes"))
 
+    @common.lean
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [(x, y, t) for t, nodes in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for x, y in itertools.combinations(nodes, 2)]
@@ -174,6 +175,7 @@ def likely(pairs: DataFrame, nodes: DataFrame, depth: int) -> DataFrame:
     signatures it drops pairs over six standard deviations below the threshold."""
     floor = THRESHOLD - 6 * math.sqrt(THRESHOLD * (1 - THRESHOLD) / (TREES * DEPTH))
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
@@ -189,6 +191,7 @@ def likely(pairs: DataFrame, nodes: DataFrame, depth: int) -> DataFrame:
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """(node, set) of the wanted (node, doc_id), from one text each."""
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [shingles(t) for t in common.strings(b.column(1))]
@@ -201,6 +204,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs whose sets reach the threshold."""
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
@@ -229,9 +233,9 @@ def _inter(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
     out = np.zeros((len(x), len(y)), dtype=np.float32)
     order = np.argsort(column, kind="stable")
     owner, column = owner[order], column[order]
-    for at in range(0, int(shared.sum()), 4096):
-        lo, hi = np.searchsorted(column, (at, at + 4096))
-        m = np.zeros((len(x) + len(y), 4096), dtype=np.float32)
+    for at in range(0, int(shared.sum()), 2048):
+        lo, hi = np.searchsorted(column, (at, at + 2048))
+        m = np.zeros((len(x) + len(y), 2048), dtype=np.float32)
         m[owner[lo:hi], column[lo:hi] - at] = 1
         out += m[: len(x)] @ m[len(x) :].T
     return out

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
-from .encode import default_path, encoder
+from .encode import REMEMBERED, default_path, encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local_rank long"
 _RANK_BITS = 40
@@ -116,9 +116,10 @@ def place(p: dict[str, np.ndarray], size: np.ndarray, rank: np.ndarray) -> tuple
     return p["base"][at] + j // p["k"][at], p["offset"][at] + (j % p["k"][at]) * size
 
 
-def pieces(docs: DataFrame, tokenizer: str, end_id: int, longest: int) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, end_id: int, longest: int, remembered: int = REMEMBERED) -> DataFrame:
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, enc, seen = TaskContext.get().partitionId(), encoder(tokenizer), Counter()
+        part, enc, seen = TaskContext.get().partitionId(), encoder(tokenizer, remembered), Counter()
         for b in batches:
             out: list[tuple] = []
             for doc_id, data in zip(b.column(0).to_pylist(), enc.encode(common.strings(b.column(1))), strict=True):
@@ -134,21 +135,23 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int, longest: int) -> DataFr
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, PIECES)
 
 
-def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 0, tokens: int = 2048, documents: int | None = None, attention: int | None = None, weights: tuple[float, float, float] = (1.0, 0.02, 0.02), score: str = "norm") -> DataFrame:
+def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 0, tokens: int = 2048, documents: int | None = None, attention: int | None = None, weights: tuple[float, float, float] = (1.0, 0.02, 0.02), score: str = "norm", remembered: int = REMEMBERED, batch_rows: int = 2000) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset), one row a piece.
 
-    documents and attention default to what tokens alone allow."""
-    common.small_batches(spark, 2000)
+    documents and attention default to what tokens alone allow. remembered and
+    batch_rows trade a worker's memory for its time; the result is the same."""
+    common.small_batches(spark, batch_rows)
     folder = common.work_folder(spark, "packing")
     attention = tokens * tokens if attention is None else attention
     longest = min(tokens, math.isqrt(attention))
-    cutted = common.stage(pieces(docs, tokenizer, end_id, longest), folder, "pieces")
+    cutted = common.stage(pieces(docs, tokenizer, end_id, longest, remembered), folder, "pieces")
     by_part = cutted.groupBy("part", "length").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     starts = common.stage(by_part.withColumn("first_rank", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long")), folder, "starts")
     counts = {r.length: r.n for r in starts.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # 2,048 rows at most
     sent = spark.sparkContext.broadcast(plan(counts, tokens, documents or tokens, attention, weights, score))
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             size, rank = b.column("length").to_numpy(), b.column("rank").to_numpy()

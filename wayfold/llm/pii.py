@@ -203,7 +203,7 @@ def _name_word(word: str, gender: str, tweak: bytes, key: bytes) -> str:
     return "".join(o.upper() if c.isupper() else o for c, o in zip(word, reversed(out), strict=True))
 
 
-@lru_cache(maxsize=50_000)
+@lru_cache(maxsize=20_000)
 def surrogate(kind: str, value: str, tries: int = 0, key: bytes = KEY) -> str:
     """The surrogate of an entity's value, in the value's own form."""
     key = hashlib.blake2b(key, digest_size=32).digest()
@@ -245,6 +245,9 @@ def surrogate(kind: str, value: str, tries: int = 0, key: bytes = KEY) -> str:
     return permute(value, tweak, key)
 
 
+common.forgets(surrogate.cache_clear)
+
+
 def rendered(entity: Entity, raw: str, tries: int, key: bytes) -> str:
     """The surrogate in the layout and case of the mention."""
     new = surrogate(entity.type, entity.value, tries, key)
@@ -277,6 +280,7 @@ _PAIR = "type string, value string"
 def find(docs: DataFrame) -> DataFrame:
     """(doc_id, type, value) of every entity, once for each document batch."""
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [(i, *pair) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for pair in {(e.type, e.value) for e in detect(t or "")}]
@@ -287,6 +291,7 @@ def find(docs: DataFrame) -> DataFrame:
 
 
 def _surrogates(rows: DataFrame, tries: int, key: bytes) -> DataFrame:
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             types, values = (b.column(i).to_pylist() for i in (0, 1))
@@ -331,6 +336,7 @@ def pseudonymize(spark: SparkSession, docs: DataFrame, key: bytes = KEY) -> Data
     else:
         rows = docs
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             own = [{(x["type"], x["value"]): x["tries"] for x in g or ()} for g in b.column(len(names)).to_pylist()] if wide else [sent.value] * b.num_rows

@@ -237,6 +237,7 @@ def sample(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], most
     known = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*(F.max(F.coalesce(F.col(c).cast("int"), F.lit(0))).alias(f"y{i}") for i, c in enumerate(categories)))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
@@ -279,6 +280,7 @@ def score(spark: SparkSession, docs: DataFrame, chain: Chain, threshold: float =
     docs = docs.drop(*new, flag)
     at = docs.columns.index("text")
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             p = sent.value.predict(common.strings(b.column(at)))

@@ -76,6 +76,7 @@ def _payload(html: str | None) -> bytes:
 def revisits(pages: DataFrame, min_bytes: int, folder: str) -> DataFrame:
     """(page_id, digest, refers_to) of the pages whose payload is that of a page with a larger id."""
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             data = [_payload(x) for x in b.column(1).to_pylist()]
@@ -95,6 +96,7 @@ def write(spark: SparkSession, pages: DataFrame, folder: str, min_bytes: int = 0
     both = marks.select("page_id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.lit(None).cast("string").alias("html"), "digest", "refers_to").unionByName(pages.select("page_id", F.lit(1).alias("kind"), "url", "html", F.lit(None).cast("binary").alias("digest"), F.lit(None).cast("long").alias("refers_to")))
     ordered = both.repartitionByRange(common.partitions(spark), "page_id").sortWithinPartitions("page_id", "kind", "url", "html")
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, done = TaskContext.get().partitionId(), []
 
@@ -187,6 +189,7 @@ def read(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFrame:
                     to = h.get("x-refers-to-page-id")
                     yield page_id, int(h["x-payload-length"]), digest, "revisit", int(to) if to else None
 
+    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64()]
         names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
