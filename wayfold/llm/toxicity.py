@@ -256,18 +256,23 @@ def sample(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], most
 def learn(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATEGORIES, most: int = SAMPLE_ROWS) -> Chain:
     got = sample(docs, labels, categories, most)
     hashes = [np.frombuffer(r.hashes, dtype="<u4") for r in got]
-    every = np.concatenate([*hashes, np.zeros(0, dtype="<u4")])
-    names, many = np.unique(every, return_counts=True)
+    names, many = np.unique(np.concatenate([*hashes, np.zeros(0, dtype="<u4")]), return_counts=True)
     names = names[many >= 3]
-    code = np.searchsorted(names, every).astype(np.int32)
-    row = np.repeat(np.arange(len(got), dtype=np.int32), [len(h) for h in hashes])
-    count = np.concatenate([*(np.frombuffer(r.counts, dtype="<u2") for r in got), np.zeros(0, dtype="<u2")])
-    use = (names[np.minimum(code, len(names) - 1)] == every) if len(names) else np.zeros(len(every), dtype=bool)
-    rows = Rows(row[use], code[use], count[use], names, len(got))
-    del every, code, row, count, use, hashes
+    del many
+    # row by row, so that only features of three rows or more take place
+    code, count = [], []
+    for h, r in zip(hashes, got, strict=True):
+        at = np.minimum(np.searchsorted(names, h), max(len(names) - 1, 0)).astype(np.int32)
+        use = names[at] == h if len(names) else np.zeros(len(h), dtype=bool)
+        code.append(at[use])
+        count.append(np.frombuffer(r.counts, dtype="<u2")[use])
+    row = np.repeat(np.arange(len(got), dtype=np.int32), [len(x) for x in code])
+    rows = Rows(row, np.concatenate([*code, np.zeros(0, dtype=np.int32)]), np.concatenate([*count, np.zeros(0, dtype="<u2")]), names, len(got))
+    del hashes, code, count, row
     other = np.array([r.other for r in got], dtype=np.float64).reshape(len(got), DENSE)
     ys = np.array([[r[f"y{i}"] for i in range(len(categories))] for r in got], dtype=np.float64).reshape(len(got), len(categories))
     fold = np.array([xxhash.xxh32_intdigest(str(r.doc_id)) % FOLDS for r in got])
+    del got
     return train(rows, other, ys, fold, categories)
 
 
