@@ -163,4 +163,4 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 0,
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pack(spark, common.parquet(spark, sf_dir, "documents"), default_path())
+    return pack(spark, common.parquet(spark, sf_dir, "documents"), default_path(), remembered=600_000, batch_rows=3000)
