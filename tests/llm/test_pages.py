@@ -93,3 +93,11 @@ def test_differencing_decides_without_a_container(spark):
     assert got[100] == ["Welcome to the site\n\nStory 7\n\nMore 7\n\nAll rights"]  # a host's only page
     assert got[102] == [""] and got[103][0].startswith("Title & more")
     assert html_text.extract(spark, pages(spark, [])).collect() == []
+
+
+def test_differencing_decides_outside_a_container(spark):
+    page = lambda i: f"<body><p>Welcome</p><p>Standfirst {i}</p><article><p>Story {i}</p><p>Told often</p></article><p>All rights</p><nav>Menu {i}</nav></body>"
+    rows = [(i, f"https://host.example/a/{i:03d}", page(i)) for i in range(20)] + [(100, "https://other.example/", page(100))]
+    got = {r.page_id: r.text for r in html_text.extract(spark, pages(spark, rows)).collect()}
+    assert got.pop(100) == "Welcome\n\nStandfirst 100\n\nStory 100\n\nTold often\n\nAll rights"  # no neighbour
+    assert got == {i: f"Standfirst {i}\n\nStory {i}\n\nTold often" for i in range(20)}

@@ -9,7 +9,8 @@ Differencing alone would also delete an article's own lines where a neighbour
 repeats them, and would keep a menu that differs from page to page. So lines in
 an article (else main) element are exempt from deletion, and lines in elements
 that say what they are (nav, footer, form, an advert's class) are deleted whatever
-the neighbour has. On pages without such a container differencing decides alone.
+the neighbour has. Differencing decides on all other lines, those outside the
+container and all lines of pages without one.
 
 A null html is empty, a null url has host and path ''. Repeated rows give one
 result each; a host's only page has no neighbour and loses no line by
@@ -174,7 +175,7 @@ def common_lines(a: list[str], b: list[str]) -> list[bool]:
 def main_text(blocks: list[str], kinds: bytes, other: list[str] | None) -> str:
     best = max((k for k in kinds if k != 9), default=0)
     shared = common_lines(blocks, other) if other else [False] * len(blocks)
-    return "\n\n".join(t for t, k, s in zip(blocks, kinds, shared, strict=True) if k != 9 and (k == best if best else not s))
+    return "\n\n".join(t for t, k, s in zip(blocks, kinds, shared, strict=True) if k != 9 and (best and k == best or not s))
 
 
 def _prefix(a: str, b: str) -> int:
