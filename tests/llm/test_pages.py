@@ -101,3 +101,52 @@ def test_differencing_decides_outside_a_container(spark):
     got = {r.page_id: r.text for r in html_text.extract(spark, pages(spark, rows)).collect()}
     assert got.pop(100) == "Welcome\n\nStandfirst 100\n\nStory 100\n\nTold often\n\nAll rights"  # no neighbour
     assert got == {i: f"Standfirst {i}\n\nStory {i}\n\nTold often" for i in range(20)}
+
+
+def test_copies_are_no_neighbours(spark):
+    page = lambda i, more="": f"<body><p>Welcome to the site</p><p>Story {i}</p><p>And so on {i}, at length.</p><p>More {i}</p><p>It ends {i}.</p>{more}<p>All rights</p></body>"
+    told = lambda i: f"Story {i}\n\nAnd so on {i}, at length.\n\nMore {i}\n\nIt ends {i}."
+    rows = [(i, f"https://host.example/a/{i:03d}", page(i)) for i in range(0, 40, 2)]
+    rows += [(100 + i, f"https://host.example/a/010?q={i}", page(10)) for i in range(30)]  # exact copies, also of one path
+    rows += [(200 + i, f"https://host.example/a/020/{i}", page(20, f"<p>Read {i} times</p>")) for i in range(30)]  # near copies
+    rows += [(300 + i, f"https://host.example/a/021/{i}", "<p></p>") for i in range(3)] + [(400 + i, f"https://copies.example/{i}", page(1)) for i in range(9)]
+    want = {i: told(i) for i in range(0, 40, 2)} | {100 + i: told(10) for i in range(30)} | {200 + i: told(20) + f"\n\nRead {i} times" for i in range(30)}
+    want |= {300 + i: "" for i in range(3)} | {400 + i: f"Welcome to the site\n\n{told(1)}\n\nAll rights" for i in range(9)}
+    for parts in (1, 4, 25):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            assert {r.page_id: r.text for r in html_text.extract(spark, pages(spark, rows)).collect()} == want
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+
+
+def test_neighbours_whatever_the_ranges(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(160):
+        own = [f"own {rng.randrange(6)} {k}" for k in range(4)]
+        kept = [x for x in ("top", *own, "bottom", f"p {i}") if rng.random() < 0.85] if i % 9 else []
+        rows.append((i, f"https://h{i // 70}.example/{i:04d}"[: rng.choice((24, 25, 26))], "".join(f"<p>{x}</p>" for x in kept)))
+    cut = [(i, u, u.split("/")[2], "/" + u.split("/", 3)[3] if u.count("/") > 2 else "", html_text.lines(h)) for i, u, h in rows]
+    cut = [(i, h, p, b, k, html_text.marks(b, k)) for i, _, h, p, (b, k) in cut]
+    order = sorted((x for x in cut if x[5]), key=lambda x: (x[1], x[2], x[0]))
+    want = {x[0]: "" for x in cut}
+    for at, x in enumerate(order):
+        near = []
+        for step in (-1, 1):
+            j, breaks = at, 0
+            while 0 <= j + step < len(order) and order[j + step][1] == x[1] and breaks < html_text.REACH:
+                j += step
+                if not html_text.copies(order[j][5], order[j - step][5]):
+                    breaks += 1
+                    if not html_text.copies(order[j][5], x[5]):
+                        near.append(order[j])
+                        break
+        other = max(near, key=lambda y: html_text._prefix(y[2], x[2]), default=None)
+        want[x[0]] = html_text.main_text(x[3], x[4], other and other[3])
+    for parts in (1, 7, 40):
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            assert {r.page_id: r.text for r in html_text.extract(spark, pages(spark, rows)).collect()} == want
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")

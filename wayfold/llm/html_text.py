@@ -5,6 +5,12 @@ its host has the longer common path prefix (the earlier one on a tie). The text
 lines of both are aligned by their longest common subsequence and shared lines
 are deleted as boilerplate.
 
+A copy of a page shares its article, so copies are no neighbours of each other:
+pages that share over two thirds of the lines and of the characters of the one
+with fewer. Between two pages next to each other that aren't copies is a break;
+a page's neighbours are the pages at the nearest breaks before and after it that
+aren't copies of it, of four breaks a side. Pages without text are passed over.
+
 Differencing alone would also delete an article's own lines where a neighbour
 repeats them, and would keep a menu that differs from page to page. So lines in
 an article (else main) element are exempt from deletion, and lines in elements
@@ -13,15 +19,17 @@ the neighbour has. Differencing decides on all other lines, those outside the
 container and all lines of pages without one.
 
 A null html is empty, a null url has host and path ''. Repeated rows give one
-result each; a host's only page has no neighbour and loses no line by
-differencing. Other columns are not read. An empty table gives an empty result.
+result each; a host's only page, or one with nothing but copies in reach, has no
+neighbour and loses no line by differencing. Other columns are not read. An empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from bisect import bisect_right
+from collections import deque
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -48,6 +56,8 @@ SAYS = frozenset(
 )
 HEADER = frozenset("header topbar".split())
 _CLOSES_P = BLOCK
+#: Breaks on each side of a page among which its neighbour is looked for.
+REACH = 4
 
 
 class _Open:
@@ -187,6 +197,37 @@ def _prefix(a: str, b: str) -> int:
     return n
 
 
+def marks(blocks: list[str], kinds: bytes) -> frozenset[int]:
+    """What stands for a page's lines, without those that say they are boilerplate: 48 bits of a hash and the length of each."""
+    return frozenset(int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=6).digest(), "big", signed=True) << 16 | min(len(t), 65535) for t, k in zip(blocks, kinds, strict=True) if k != 9)
+
+
+def copies(a: frozenset[int], b: frozenset[int]) -> bool:
+    shared = a & b
+    return 3 * len(shared) > 2 * min(len(a), len(b)) and 3 * sum(x & 65535 for x in shared) > 2 * min(sum(x & 65535 for x in a), sum(x & 65535 for x in b))
+
+
+def _beside(ranges: list[dict]) -> list[tuple[list[tuple], list[tuple]]]:
+    """For each range of pages the keys of those at the nearest breaks before and after it, from near to far.
+
+    A range has its first and last page and the pages at its first and last breaks, each as (key, marks)."""
+    found = []
+    for i, own in enumerate(ranges):
+        sides = []
+        for step, edge, far, breaks in ((-1, "first", "last", "before"), (1, "last", "first", "after")):
+            out, at, j = [], own[edge], i + step
+            while 0 <= j < len(ranges) and len(out) < REACH and ranges[j][far][0][0] == at[0][0]:
+                if not copies(at[1], ranges[j][far][1]):
+                    out.append(ranges[j][far][0])
+                out += [k for k, _ in ranges[j][breaks] if k[0] == at[0][0]]
+                if ranges[j][edge][0][0] != at[0][0]:
+                    break  # the host begins or ends there
+                at, j = ranges[j][edge], j + step
+            sides.append(out[:REACH])
+        found.append((sides[0], sides[1]))
+    return found
+
+
 def _keys(pages: DataFrame) -> DataFrame:
     url = F.coalesce(F.col("url").cast("string"), F.lit(""))
     return pages.withColumns({
@@ -209,65 +250,173 @@ def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
     n = common.partitions(spark)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
 
-    # ranges of (host, path, id): the first and last key of each, a row a partition
+    # ranges of (host, path, id): the first key of each
     @common.lean
-    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first = last = None
-        for b in batches:
-            if b.num_rows:
-                first = first or b.slice(0, 1)
-                last = b.slice(b.num_rows - 1, 1)
-        if first:
-            yield pa.RecordBatch.from_arrays([*first.columns, *last.columns], ["h0", "p0", "k0", "h1", "p1", "k1"])
+    def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys = [min(zip(*(c.to_pylist() for c in b.columns), strict=True)) for b in batches if b.num_rows]
+        if keys:
+            yield pa.RecordBatch.from_arrays([pa.array([x], k) for x, k in zip(min(keys), (pa.string(), pa.string(), pa.int64()), strict=True)], ["host", "path", "key_id"])
 
     light = _keys(pages.select("page_id", "url")).select("host", "path", "key_id")
-    found = light.repartitionByRange(n, "host", "path", "key_id").sortWithinPartitions("host", "path", "key_id").mapInArrow(ends, "h0 string, p0 string, k0 long, h1 string, p1 string, k1 long").collect()
-    ranges = sorted(((r.h0, r.p0, r.k0), (r.h1, r.p1, r.k1)) for r in found)
-    starts = [r[0] for r in ranges]
-    number = _even_ids(spark, max(n, len(ranges)))
-    sent = spark.sparkContext.broadcast((starts, {r[1]: i + 1 for i, r in enumerate(ranges[:-1])}, {r[0]: i - 1 for i, r in enumerate(ranges) if i}, number))
+    starts = sorted((r.host, r.path, r.key_id) for r in light.repartitionByRange(n, "host", "path", "key_id").mapInArrow(least, "host string, path string, key_id long").collect())
+    number = _even_ids(spark, max(n, len(starts)))
+    known = spark.sparkContext.broadcast((starts, number))
 
+    # the pages at the edges of each range and at the breaks next to them, from marks of the lines alone
+    @common.lean
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        starts, number = known.value
+        for b in batches:
+            out: list[tuple] = []
+            for page, *key in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                found = marks(*lines(page or ""))
+                if found:
+                    out.append((number[max(0, bisect_right(starts, tuple(key)) - 1)], *key, sum(found) % 2**62, list(found)))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 6, (pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.list_(pa.int64())), strict=True)], ["part", "host", "path", "key_id", "sig", "marks"])
+
+    edge = "struct<host: string, path: string, key_id: bigint, sig: bigint, marks: array<bigint>>"
+    kind = pa.struct([("host", pa.string()), ("path", pa.string()), ("key_id", pa.int64()), ("sig", pa.int64()), ("marks", pa.list_(pa.int64()))])
+
+    @common.lean
+    def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        as_rows = lambda xs: [dict(zip(("host", "path", "key_id", "sig", "marks"), (*k, list(m)), strict=True)) for k, m in xs]
+
+        def batch() -> pa.RecordBatch:
+            ends = [as_rows([first]), as_rows([last]), as_rows(before), as_rows(after)]
+            return pa.RecordBatch.from_arrays([pa.array([x], pa.list_(kind)) for x in ends], ["first", "last", "before", "after"])
+
+        first = last = own = None
+        before: deque = deque(maxlen=REACH)  # pages that end a run of copies
+        after: list = []  # pages that begin one
+        for b in batches:
+            for part, *key, found in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if first and part != own:
+                    yield batch()
+                    first = last = None
+                    before.clear()
+                    after.clear()
+                own, here = part, (tuple(key), frozenset(found))
+                first = first or here
+                if last and last[0][0] == key[0] and not copies(last[1], here[1]):
+                    before.appendleft(last)
+                    if len(after) < REACH:
+                        after.append(here)
+                last = here
+        if first:
+            yield batch()
+
+    marked = _keys(pages).select("html", "host", "path", "key_id").mapInArrow(mark, "part int, host string, path string, key_id long, sig long, marks array<long>")
+    rows = marked.repartition(len(number), "part").sortWithinPartitions("part", "host", "path", "key_id", "sig").select("part", "host", "path", "key_id", "sig", "marks").mapInArrow(edges, ", ".join(f"{x} array<{edge}>" for x in ("first", "last", "before", "after"))).collect()
+    as_pages = lambda xs: [((x.host, x.path, x.key_id, x.sig), frozenset(x.marks)) for x in xs]
+    ranges = sorted(({"first": as_pages(r.first)[0], "last": as_pages(r.last)[0], "before": as_pages(r.before), "after": as_pages(r.after)} for r in rows), key=lambda r: r["first"][0])
+    to: dict[tuple, list[tuple[int, int]]] = {}
+    for own, (before, after) in zip(ranges, _beside(ranges), strict=True):
+        part = number[max(0, bisect_right(starts, own["first"][0][:3]) - 1)]
+        for keys, side in ((before, -1), (after, 1)):
+            for far, key in enumerate(keys):
+                to.setdefault(key, []).append((part, side * (far + 1)))
+    sent = spark.sparkContext.broadcast((starts, number, to))
+    names = ["part", "side", "host", "path", "key_id", "sig", "page_id", "url", "lines", "kinds", "marks"]
+
+    # side: 0 for a range's own pages, -1, -2, ... for those at breaks before it and 1, 2, ... after it
     @common.lean
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        starts, to_next, to_last, number = sent.value
-        names = ["part", "host", "path", "key_id", "copy", "page_id", "url", "lines", "kinds"]
-        kinds_ = [pa.int32(), pa.string(), pa.string(), pa.int64(), pa.bool_(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.binary()]
+        starts, number, to = sent.value
+        kinds_ = [pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.string()), pa.binary(), pa.list_(pa.int64())]
         for b in batches:
             out: list[tuple] = []
-            for page_id, url, page, host, path, key_id in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            for page_id, url, page, *key in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 blocks, kinds = lines(page or "")
-                key = (host, path, key_id)
-                row = (host, path, key_id)
-                out.append((number[max(0, bisect_right(starts, key) - 1)], *row, False, page_id, url, blocks, kinds))
-                for near in (to_next.get(key), to_last.get(key)):
-                    if near is not None:  # the neighbour of a row in the range beside
-                        out.append((number[near], *row, True, page_id, None, blocks, kinds))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds_, strict=True)], names) if out else pa.RecordBatch.from_arrays([pa.array([], k) for k in kinds_], names)
+                found = marks(blocks, kinds)
+                row = (*key, sum(found) % 2**62, page_id, url, blocks, kinds, list(found))
+                out.append((number[max(0, bisect_right(starts, tuple(key)) - 1)], 0, *row))
+                out += [(part, side, *row) for part, side in to.get(row[:4], ())]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * len(names), kinds_, strict=True)], names)
 
-    parts = _keys(pages).select("page_id", "url", "html", "host", "path", "key_id").mapInArrow(cut, "part int, host string, path string, key_id long, copy boolean, page_id long, url string, lines array<string>, kinds binary")
-    ordered = parts.repartition(len(number), "part").sortWithinPartitions("part", "host", "path", "key_id", "url", "copy")
+    parts = _keys(pages).select("page_id", "url", "html", "host", "path", "key_id").mapInArrow(cut, "part int, side int, host string, path string, key_id long, sig long, page_id long, url string, lines array<string>, kinds binary, marks array<long>")
+    ordered = parts.repartition(len(number), "part").sortWithinPartitions("part", F.signum("side"), "host", "path", "key_id", "sig", "url")
 
     @common.lean
     def differ(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple]:
+        def rows() -> Iterator[list]:
             for b in batches:
                 yield from zip(*(c.to_pylist() for c in b.columns), strict=True)
-            yield None
 
-        before = here = None
         out: list[tuple] = []
-        for after in rows():
-            if here is not None and not here[4]:
-                near = [x for x in (before, after) if x is not None and x[:2] == here[:2]]
-                other = max(near, key=lambda x: _prefix(x[2], here[2]), default=None)
-                text = main_text(here[7], here[8], other and other[7])
-                out.append((here[5], here[6], text, len(text)))
-            if out and (after is None or len(out) == 500):
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], ["page_id", "url", "text", "n_chars"])
-                out = []
-            before, here = here, after
-
-    return ordered.select("part", "host", "path", "key_id", "copy", "page_id", "url", "lines", "kinds").mapInArrow(differ, "page_id long, url string, text string, n_chars long")
+
+        def say(page: dict, after: dict | None) -> None:
+            near = [x for x in (page["before"], after) if x]
+            other = max(near, key=lambda x: _prefix(x["key"][1], page["key"][1]), default=None)
+            text = main_text(page["lines"], page["kinds"], other and other["lines"])
+            out.append((page["page_id"], page["url"], text, len(text)))
+
+        def ended(y: dict) -> None:
+            """y stands after a break: what waits for it has its neighbour or has had its last break."""
+            still = []
+            for x in waiting:
+                if not copies(x["marks"], y["marks"]):
+                    say(x, y)
+                else:
+                    x["breaks"] += 1
+                    if x["breaks"] < REACH:
+                        still.append(x)
+                    else:
+                        say(x, None)
+            waiting[:] = still
+
+        def alone() -> None:
+            for x in waiting:
+                say(x, None)
+            waiting.clear()
+
+        waiting: list[dict] = []
+        breaks: deque = deque(maxlen=REACH)  # the pages before the nearest breaks, the nearest first
+        pool: dict[str, str] = {}  # lines of copies are held once
+        last = beside = own = None
+        for part, side, *key, page_id, url, blocks, kinds, found in rows():
+            page = {"key": tuple(key), "page_id": page_id, "url": url, "lines": blocks, "kinds": kinds, "marks": frozenset(found), "before": None, "breaks": 0}
+            if part != own:
+                alone()
+                breaks.clear()
+                last, beside, own = None, None, part
+            if side:
+                if page["key"] == beside:
+                    continue  # a repeated row
+                beside = page["key"]
+                if side < 0:
+                    breaks.appendleft(page)
+                elif waiting and waiting[0]["key"][0] == key[0]:
+                    ended(page)
+                continue
+            if not found:
+                say(page, None)
+            else:
+                if not last:
+                    if breaks and breaks[0]["key"][0] != key[0]:
+                        breaks.clear()
+                elif last["key"][0] != key[0]:
+                    alone()
+                    breaks.clear()
+                elif not copies(last["marks"], page["marks"]):
+                    breaks.appendleft({k: last[k] for k in ("key", "lines", "marks")})
+                    ended(page)
+                if not waiting:
+                    pool.clear()
+                page["lines"] = [pool.setdefault(t, t) for t in blocks]
+                page["before"] = next((x for x in breaks if not copies(x["marks"], page["marks"])), None)
+                waiting.append(page)
+                last = page
+            if len(out) >= 500:
+                yield batch(out)
+                out.clear()
+        alone()
+        if out:
+            yield batch(out)
+
+    def batch(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], ["page_id", "url", "text", "n_chars"])
+
+    return ordered.select(*names).mapInArrow(differ, "page_id long, url string, text string, n_chars long")
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
