@@ -62,3 +62,21 @@ def test_rows(spark, monkeypatch):
     monkeypatch.setattr(common, "BROADCAST_ROWS", -5)  # moved entities come by a join
     assert {(r.doc_id, r.text, r.n_entities) for r in pii.pseudonymize(spark, docs).collect()} == plain
     assert pii.pseudonymize(spark, docs.limit(0)).collect() == []
+
+
+def test_collisions_leave_nothing(spark):
+    # every name of a list, and all of a small space of other kinds: no permutation within it is free
+    real = [("person", n) for names in pii.GIVEN.values() for n in names] + [("email", f"{a}@{b}.org") for a in "abcdefghijklmnopqrstuvwxyz" for b in "abcdefghijklmnopqrstuvwxyz"]
+    rows = spark.createDataFrame(real, "type string, value string")
+    given = {(r.type, r.value): r.tries for r in pii.collisions(rows, common.work_folder(spark, "t")).collect()}
+    final = [(t, pii.surrogate(t, v, given.get((t, v), 0))) for t, v in real]
+    assert len(set(final)) == len(final) and not set(real).intersection(final)
+    for (kind, old), (_, new) in zip(real, final, strict=True):
+        assert kind == "email" or old not in new.split() and pii.GENDER[old] == pii.GENDER[new.split()[0]]
+    texts = [f"Saw Mr. {v}." if t == "person" else f"To {v.upper()}." for t, v in real]
+    for text, (t, v), (_, new) in zip(texts, real, final, strict=True):
+        found = pii.detect(pii.replace(text, given, pii.KEY)[0])
+        assert [(e.type, e.value) for e in found] == [(t, new)] or not pii.detect(text) and v == "Άννα"
+    for kind, value in (("ip", "192.168.3.4"), ("ip", "8.8.4.4"), ("phone", "+1:19885552485"), ("secret", "hunter2222")):
+        new = pii.surrogate(kind, value, pii.TRIES + 1)
+        assert new != value and pii.surrogate(kind, value, pii.TRIES + 2) != new

@@ -11,8 +11,9 @@ Each type's mapping is a keyed permutation (a Feistel network walked until it
 falls on a valid value), so different entities keep different surrogates. A pass
 over the corpus's distinct entities then finds surrogates that are themselves
 entities of the corpus and replaces them by further permutations, each checked
-against all originals and all surrogates; what eight of these can't free keeps its
-first surrogate, which is still distinct from all others.
+against all originals and all surrogates. What eight of these can't free gets a
+wider form (a further family name, a longer address, another network of private
+addresses) until nothing is left; if a type's whole space were in use, it fails.
 
 A null text stays null, an empty one empty; a text without entities is returned
 as it is. Repeated rows get equal results. Other columns are not read by the
@@ -35,6 +36,8 @@ from . import common
 
 KEY = b"wayfold surrogate key: set your own"
 TRIES = 8
+#: Tries in the wider forms, each longer than the one before.
+WIDER = 40
 LOWER, UPPER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 CYRILLIC, GREEK = "абвгдежзиклмнопрстуфхцчшэюя", "αβγδεζηθικλμνξοπρστυφχψω"
 
@@ -182,6 +185,46 @@ def script_of(name: str) -> str:
     return "cyrillic" if "а" <= c <= "я" or c == "ё" else "greek" if "α" <= c <= "ω" or "ά" <= c <= "ώ" else "latin"
 
 
+def _made(script: str, n: int, seed: bytes, key: bytes) -> str:
+    """A made-up word of n letters, consonants and vowels in turn."""
+    others, vowels = {"latin": ("bdfgklmnprstvz", "aeiou"), "cyrillic": ("бвгдзклмнпрст", "аеиоу"), "greek": ("βγδζκλμνπρστ", "αειου")}[script]
+    h = int.from_bytes(hashlib.blake2b(seed, key=key, digest_size=64).digest(), "big")
+    out = []
+    for i in range(n):
+        h, x = divmod(h, len(vowels if i % 2 else others))
+        out.append((vowels if i % 2 else others)[x])
+    return "".join(out)
+
+
+def _wider(kind: str, value: str, tweak: bytes, key: bytes, by: int) -> str:
+    """A surrogate of a larger space than the value's own form has; others may have the same one."""
+    seed = tweak + value.encode()
+    if kind == "person":
+        words = value.split(" ")
+        new = []
+        for w in words:
+            script, gender = GENDER.get(w, (script_of(w), ""))
+            names = [x for x in GIVEN.get((script, gender), ()) if x != w]
+            new.append(names[int.from_bytes(hashlib.blake2b(seed + w.encode(), key=key, digest_size=8).digest(), "big") % len(names)] if names else _made(script, len(w) + 1, seed + w.encode(), key).capitalize())
+        return " ".join([*new[:2], _made(script_of(words[-1]), min(4 + by, 40), seed, key).capitalize()])
+    if kind == "email":
+        local, _, domain = value.rpartition("@")
+        return f"{permute(local, tweak, key)}{_made('latin', min(2 + by, 40), seed, key)}@{permute(domain.rpartition('.')[0], tweak, key)}.{domain.rpartition('.')[2]}"
+    if kind == "ip":
+        ip, reserved = 0, _zone(sum(int(p) << s for p, s in zip(value.split("."), (24, 16, 8, 0), strict=True))) not in ("public", "multi")
+        while True:
+            ip += 1
+            new = int.from_bytes(hashlib.blake2b(seed + str(ip).encode(), key=key, digest_size=8).digest(), "big")
+            new = 10 << 24 | new & 0xFFFFFF if reserved else new & 0xFFFFFFFF
+            if _zone(new) in (("10",) if reserved else ("public",)):
+                return ".".join(str(new >> s & 255) for s in (24, 16, 8, 0))
+    if kind == "phone":
+        code, digits = value.split(":")
+        new = permute(digits, tweak, key, lambda s: (s[0] == "0") == (digits[0] == "0"))
+        return f"{code and '+' + new[: len(code) - 1]}:{new}"
+    return permute(value, tweak, key) + _made("latin", min(2 + by, 40), seed, key)  # a secret
+
+
 def _name_word(word: str, gender: str, tweak: bytes, key: bytes) -> str:
     script, known = GENDER.get(word, (script_of(word), ""))
     if known:
@@ -208,6 +251,8 @@ def surrogate(kind: str, value: str, tries: int = 0, key: bytes = KEY) -> str:
     """The surrogate of an entity's value, in the value's own form."""
     key = hashlib.blake2b(key, digest_size=32).digest()
     tweak = f"{kind}/{tries}/".encode()
+    if tries > TRIES and kind in ("person", "email", "ip", "phone", "secret"):
+        return _wider(kind, value, tweak, key, tries - TRIES)
     if kind == "ip":
         ip = 0
         for part in value.split("."):
@@ -255,6 +300,9 @@ def rendered(entity: Entity, raw: str, tries: int, key: bytes) -> str:
         digits = iter(new.partition(":")[2] if entity.type == "phone" else new)
         return "".join(next(digits) if c.isdigit() else c for c in raw)
     if entity.type == "email":
+        if len(raw) < len(new):  # the letters of a wider form stand before the @
+            at = raw.index("@")
+            raw = raw[:at] + raw[at - 1] * (len(new) - len(raw)) + raw[at:]
         return "".join(n.upper() if c.isupper() else n for c, n in zip(raw, new, strict=True))
     if entity.type == "iban":
         chars = iter(new)
@@ -307,7 +355,7 @@ def collisions(entities: DataFrame, folder: str, key: bytes = KEY) -> DataFrame:
     real = first.select("type", F.col("value").alias("new"))
     bad = common.stage(first.join(real, ["type", "new"], "left_semi").select("type", "value"), folder, "bad_0")
     given = spark.createDataFrame([], f"{_PAIR}, new string, tries int")
-    for tries in range(1, TRIES + 1):
+    for tries in range(1, TRIES + WIDER + 1):
         if bad.isEmpty():
             break
         taken = real.unionByName(first.select("type", "new")).unionByName(given.select("type", "new"))
@@ -315,6 +363,9 @@ def collisions(entities: DataFrame, folder: str, key: bytes = KEY) -> DataFrame:
         chosen = common.stage(free.groupBy("type", "new").agg(F.min("value").alias("value")).select("type", "value", "new", F.lit(tries).alias("tries")), folder, f"given_{tries}")
         bad = common.stage(bad.join(chosen, ["type", "value"], "left_anti"), folder, f"bad_{tries}")
         given = given.unionByName(chosen)
+    else:
+        if not bad.isEmpty():
+            raise RuntimeError(f"no free surrogates: {bad.groupBy('type').count().collect()}")
     return given.select("type", "value", "tries")
 
 
