@@ -80,3 +80,24 @@ def test_collisions_leave_nothing(spark):
     for kind, value in (("ip", "192.168.3.4"), ("ip", "8.8.4.4"), ("phone", "+1:19885552485"), ("secret", "hunter2222")):
         new = pii.surrogate(kind, value, pii.TRIES + 1)
         assert new != value and pii.surrogate(kind, value, pii.TRIES + 2) != new
+
+
+def test_titles_say_the_gender(spark):
+    names = [("Mrs.", "Priya Sharma", "f"), ("Herr", "Jürgen Braun", "m"), ("Miss", "Anne-Sophie Durand", "f"), ("Mr", "Pradeep Rao Singh", "m"), ("Госпожа", "Зоя Петрова", "f"), ("Mr", "Andrea Rossi", "m"), ("Mrs", "Andrea Rossi", "f")]
+    rows = [(i, f"We met {t} {n} there.") for i, (t, n, _) in enumerate(names)] + [(20, "We met Dr Priya Sharma there."), (21, "We met Prof. Andrea Rossi there."), (22, "We met Mr Braun there.")]
+    got = {r.doc_id: r.text for r in pii.pseudonymize(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    new = {}
+    for i, (t, n, gender) in enumerate(names):
+        assert got[i].startswith(f"We met {t} ") and got[i].endswith(" there.")
+        new[i] = got[i].removeprefix(f"We met {t} ").removesuffix(" there.")
+        words, old = new[i].split(" "), n.split(" ")
+        assert len(words) == len(old) and not set(words).intersection(old)
+        assert pii.GENDER[words[0].split("-")[0]] == (pii.script_of(n), gender)
+        assert [e.value for e in pii.detect(got[i])] == [new[i]]
+    assert got[20] == f"We met Dr {new[0]} there."  # of one gender in the corpus
+    assert new[5] != new[6] and got[21] not in (f"We met Prof. {new[5]} there.", f"We met Prof. {new[6]} there.")
+    assert "Braun" not in got[22]
+    many = [f"f:{a}{b}{c}a Sharma" for a in "BCDFGHJKLMNP" for b in "aeiou" for c in "bcdfghjklmnp"]
+    given = {r.value: r.tries for r in pii.collisions(spark.createDataFrame([("person", v) for v in many], "type string, value string"), common.work_folder(spark, "t")).collect()}
+    assert len({pii.surrogate("person", v, given.get(v, 0)) for v in many}) == len(many)
+    assert all(pii.GENDER[pii.surrogate("person", v, pii.TRIES + 1).split(" ")[0]] == ("latin", "f") for v in many[:9])

@@ -5,7 +5,11 @@ digits for digits, letters for letters in their case, a valid card for a valid
 card, a public address for a public address, a name of the same gender, script
 and form. A surrogate depends on the key and the entity alone, so every mention
 in any document gets the same one (coreference); mentions that differ only in
-layout or case count as one entity.
+layout or case count as one entity. A person is a name after a title. Where the
+first of several names isn't a listed given name, a title that says a gender is
+kept in the entity, and the surrogate's given name begins with a listed one of
+that gender; mentions of the name after other titles (Dr) follow where the corpus
+has it with one gender only.
 
 Each type's mapping is a keyed permutation (a Feistel network walked until it
 falls on a valid value), so different entities keep different surrogates. A pass
@@ -52,6 +56,8 @@ GIVEN = {
     ("greek", "m"): "Γιώργος Νίκος Κώστας Δημήτρης Ανδρέας Παύλος".split(),
     ("greek", "f"): "Μαρία Ελένη Κατερίνα Σοφία Άννα Ειρήνη".split(),
 }
+#: What is added to the tries of a mention that follows the entity of this gender.
+FOLLOWS = {"m": 1000, "f": 2000}
 GENDER = {name: (script, gender) for (script, gender), names in GIVEN.items() for name in names}
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -79,7 +85,7 @@ class Entity(NamedTuple):
     start: int
     end: int
     type: str
-    value: str  # what counts as the entity, whatever its layout
+    value: str  # what counts as the entity, whatever its layout; m: or f: before a name whose gender only the title says
 
 
 def luhn(digits: str) -> int:
@@ -95,6 +101,10 @@ def iban_check(code: str, bban: str) -> str:
     return f"{98 - int(''.join(str(int(c, 36)) for c in bban + code)) * 100 % 97:02d}"
 
 
+def _listed(word: str) -> bool:
+    return word in GENDER or word.split("-")[0] in GENDER
+
+
 def detect(text: str) -> list[Entity]:
     if not text or not _HINT.search(text):
         return []
@@ -121,8 +131,10 @@ def detect(text: str) -> list[Entity]:
             if not any(c.isdigit() for c in value):
                 continue  # a word, not a credential
         elif kind == "person":
-            value = re.sub(r"^\w+\.? ", "", raw)
+            title, value = re.fullmatch(r"(\w+)\.? (.*)", raw).groups()
             start = end - len(value)
+            if TITLES[title] and " " in value and not _listed(value.split(" ")[0]):
+                value = f"{TITLES[title]}:{value}"
         else:
             value = raw
         found.append(Entity(start, end, kind, value))
@@ -196,16 +208,22 @@ def _made(script: str, n: int, seed: bytes, key: bytes) -> str:
     return "".join(out)
 
 
-def _wider(kind: str, value: str, tweak: bytes, key: bytes, by: int) -> str:
+def _pick(names: list[str], seed: bytes, key: bytes) -> str:
+    return names[int.from_bytes(hashlib.blake2b(seed, key=key, digest_size=8).digest(), "big") % len(names)]
+
+
+def _wider(kind: str, value: str, tweak: bytes, key: bytes, by: int, gender: str = "") -> str:
     """A surrogate of a larger space than the value's own form has; others may have the same one."""
     seed = tweak + value.encode()
     if kind == "person":
         words = value.split(" ")
         new = []
-        for w in words:
-            script, gender = GENDER.get(w, (script_of(w), ""))
-            names = [x for x in GIVEN.get((script, gender), ()) if x != w]
-            new.append(names[int.from_bytes(hashlib.blake2b(seed + w.encode(), key=key, digest_size=8).digest(), "big") % len(names)] if names else _made(script, len(w) + 1, seed + w.encode(), key).capitalize())
+        for i, w in enumerate(words):
+            script, known = GENDER.get(w, (script_of(w), ""))
+            parts = [p for p in w.split("-") if p in GENDER]
+            known = known or (GENDER[parts[0]][1] if parts else gender if i == 0 else "")
+            names = [x for x in GIVEN.get((script, known), ()) if x not in (w, *parts)]
+            new.append(_pick(names, seed + w.encode(), key) if names else _made(script, len(w) + 1, seed + w.encode(), key).capitalize())
         return " ".join([*new[:2], _made(script_of(words[-1]), min(4 + by, 40), seed, key).capitalize()])
     if kind == "email":
         local, _, domain = value.rpartition("@")
@@ -225,7 +243,7 @@ def _wider(kind: str, value: str, tweak: bytes, key: bytes, by: int) -> str:
     return permute(value, tweak, key) + _made("latin", min(2 + by, 40), seed, key)  # a secret
 
 
-def _name_word(word: str, gender: str, tweak: bytes, key: bytes) -> str:
+def _name_word(word: str, tweak: bytes, key: bytes) -> str:
     script, known = GENDER.get(word, (script_of(word), ""))
     if known:
         names = GIVEN[script, known]
@@ -250,9 +268,16 @@ def _name_word(word: str, gender: str, tweak: bytes, key: bytes) -> str:
 def surrogate(kind: str, value: str, tries: int = 0, key: bytes = KEY) -> str:
     """The surrogate of an entity's value, in the value's own form."""
     key = hashlib.blake2b(key, digest_size=32).digest()
+    gender = ""
+    if kind == "person":
+        if tries >= FOLLOWS["m"]:
+            gender = max((g for g in FOLLOWS if FOLLOWS[g] <= tries), key=FOLLOWS.get)
+            tries -= FOLLOWS[gender]
+        elif value[1:2] == ":":
+            gender, _, value = value.partition(":")
     tweak = f"{kind}/{tries}/".encode()
     if tries > TRIES and kind in ("person", "email", "ip", "phone", "secret"):
-        return _wider(kind, value, tweak, key, tries - TRIES)
+        return _wider(kind, value, tweak, key, tries - TRIES, gender)
     if kind == "ip":
         ip = 0
         for part in value.split("."):
@@ -286,7 +311,11 @@ def surrogate(kind: str, value: str, tries: int = 0, key: bytes = KEY) -> str:
     if kind == "key":
         return value[:4] + permute(value[4:], tweak, key)
     if kind == "person":
-        return " ".join("-".join(_name_word(p, "", tweak, key) for p in w.split("-")) for w in value.split(" "))
+        new = ["-".join(_name_word(p, tweak, key) for p in w.split("-")) for w in value.split(" ")]
+        if gender:  # a listed name says it, the rest keeps names apart
+            first = value.split(" ")[0]
+            new[0] = f"{_pick(GIVEN[script_of(first), gender], tweak + first.encode(), key)}-{new[0].replace('-', '').capitalize()}"
+        return " ".join(new)
     return permute(value, tweak, key)
 
 
@@ -349,11 +378,17 @@ def _surrogates(rows: DataFrame, tries: int, key: bytes) -> DataFrame:
 
 
 def collisions(entities: DataFrame, folder: str, key: bytes = KEY) -> DataFrame:
-    """(type, value, tries) of entities whose first surrogate is an entity of the corpus and which got a later one."""
+    """(type, value, tries) of entities whose first surrogate is an entity of the corpus or another's and which got a later one, and of names that follow a gendered entity."""
     spark = entities.sparkSession
-    first = common.stage(_surrogates(entities, 0, key), folder, "first")
-    real = first.select("type", F.col("value").alias("new"))
-    bad = common.stage(first.join(real, ["type", "new"], "left_semi").select("type", "value"), folder, "bad_0")
+    named = F.when(F.col("type") == "person", F.regexp_replace("value", "^[mf]:", "")).otherwise(F.col("value"))
+    gendered = entities.where("type = 'person' and substring(value, 2, 1) = ':'").select("type", named.alias("name"), F.substring("value", 1, 1).alias("gender"))
+    one = gendered.groupBy("type", F.col("name").alias("value")).agg(F.min("gender").alias("gender"), F.max("gender").alias("other")).where("gender = other").drop("other")
+    follows = common.stage(entities.where("type = 'person'").join(one, ["type", "value"]), folder, "follows")
+    first = common.stage(_surrogates(entities.join(follows, ["type", "value"], "left_anti"), 0, key), folder, "first")
+    real = first.select("type", named.alias("new"))  # a name that follows another is that one's
+    people = first.where("type = 'person'")
+    same = people.join(people.groupBy("type", "new").agg(F.min("value").alias("least")), ["type", "new"]).where("value <> least").select("type", "value")
+    bad = common.stage(first.join(real, ["type", "new"], "left_semi").select("type", "value").unionByName(same).distinct(), folder, "bad_0")
     given = spark.createDataFrame([], f"{_PAIR}, new string, tries int")
     for tries in range(1, TRIES + WIDER + 1):
         if bad.isEmpty():
@@ -366,7 +401,11 @@ def collisions(entities: DataFrame, folder: str, key: bytes = KEY) -> DataFrame:
     else:
         if not bad.isEmpty():
             raise RuntimeError(f"no free surrogates: {bad.groupBy('type').count().collect()}")
-    return given.select("type", "value", "tries")
+    given = given.select("type", "value", "tries")
+    code = F.when(F.col("gender") == "m", FOLLOWS["m"]).otherwise(FOLLOWS["f"])
+    moved = given.select("type", F.col("value").alias("entity"), F.col("tries").alias("moved"))
+    followed = follows.withColumn("entity", F.concat_ws(":", "gender", "value")).join(moved, ["type", "entity"], "left")
+    return given.unionByName(followed.select("type", "value", (F.coalesce("moved", F.lit(0)) + code).cast("int").alias("tries")))
 
 
 def pseudonymize(spark: SparkSession, docs: DataFrame, key: bytes = KEY) -> DataFrame:
