@@ -11,12 +11,21 @@ with fewer. Between two pages next to each other that aren't copies is a break;
 a page's neighbours are the pages at the nearest breaks before and after it that
 aren't copies of it, of four breaks a side. Pages without text are passed over.
 
-Differencing alone would also delete an article's own lines where a neighbour
-repeats them, and would keep a menu that differs from page to page. So lines in
-an article (else main) element are exempt from deletion, and lines in elements
-that say what they are (nav, footer, form, an advert's class) are deleted whatever
-the neighbour has. Differencing decides on all other lines, those outside the
-container and all lines of pages without one.
+Differencing decides first, in every part of a page. Three things temper it:
+
+* A page's own words are protected. In an article (else main) a shared line that is
+  prose, i.e. stands in a paragraph, heading, list item or table row and isn't all
+  link, stays: licence lines and passages that articles repeat are their text. What
+  is shared there and is no prose (share bars, link lists, bare boxes) goes.
+* Lines no neighbour shares are boilerplate where their element says so: by name
+  (nav, footer, form, aside) or by a whole class, id or role ("ad", "cookie-notice",
+  "related-posts", not "related-work" or "has-sidebar").
+* A label never costs a page its article: where every article or main element is
+  inside labelled elements or forms, these count as wrappers. Where there is neither
+  and a label covers over half of the text, it counts as a wrapper, too.
+
+n_shared counts the lines that differencing deletes, n_labelled those that only
+their element's label does.
 
 A null html is empty, a null url has host and path ''. Repeated rows give one
 result each; a host's only page, or one with nothing but copies in reach, has no
@@ -31,6 +40,7 @@ import re
 from bisect import bisect_right
 from collections import deque
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -44,63 +54,89 @@ _MARKUP = re.compile(
 )
 _ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORD = re.compile(r"[a-z0-9]+")
-RAW = frozenset("script style noscript template textarea title xmp iframe noembed noframes svg math".split())
+RAW = frozenset("script style noscript template textarea title xmp iframe noembed noframes svg".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead tr ul".split())
 SPACE = frozenset("br td th".split())
 #: Elements that are never part of the main text.
 DROP = frozenset("head nav footer aside form menu dialog button select object audio video canvas".split())
-#: Words of class, id or role that say the same of any element.
+#: Words that say the same of any element where its class, id or role is made of them, of numbers and of FILLERS.
 SAYS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup login search social share sharing related recommended comment comments respond reply replies disqus widget toolbar pagination pager copyright complementary contentinfo".split()
 )
-HEADER = frozenset("header topbar".split())
-_CLOSES_P = BLOCK
+FILLERS = frozenset("site page top bottom left right box bar block list item items section area wrapper wrap container inner outer panel slot unit buttons button links link form icons icon global primary secondary reader readers user users author body text meta posts articles stories news content col column row zone space".split())
+#: Words that may stand before these.
+OWNERS = frozenset("post entry article".split())
+HEADER = frozenset("header topbar site-header page-header top-header site-topbar".split())
+#: Elements whose text is prose unless all of it is a link.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre li dt dd tr caption figcaption summary article main".split())
 #: Breaks on each side of a page among which its neighbour is looked for.
 REACH = 4
 
 
 class _Open:
-    __slots__ = ("main", "name", "skip")
+    """An open element: why it is boilerplate (numbers of reasons), its container (2 article, 1 main), the block it is in, whether it is in a link."""
 
-    def __init__(self, name: str, skip: bool, main: int):
-        self.name, self.skip, self.main = name, skip, main
+    __slots__ = ("block", "link", "main", "name", "whys")
 
+    def __init__(self, name: str, whys: tuple[int, ...], main: int, block: str, link: bool):
+        self.name, self.whys, self.main, self.block, self.link = name, whys, main, block, link
 
-def _says(name: str, attrs: str) -> tuple[bool, bool]:
-    """Whether an element is boilerplate by its attributes, and whether it is marked as main."""
+
+@lru_cache(maxsize=4096)
+def labelled(token: str) -> bool:
+    """Whether a whole class, id or role says that its element is boilerplate."""
+    words = _WORD.findall(token)
+    if len(words) > 1 and words[0] in OWNERS:
+        words = words[1:]
+    return any(w in SAYS for w in words) and all(w in SAYS or w in FILLERS or w.isdigit() for w in words)
+
+
+def _says(name: str, attrs: str, inside: bool) -> tuple[bool, bool, bool]:
+    """Whether an element is hidden, is boilerplate by a label, and is marked as main."""
     if not attrs.strip():
-        return False, False
-    words, main = set(), False
+        return False, False, False
+    label = main = False
     for k, a, b, c in _ATTR.findall(attrs):
         k, v = k.lower(), (a or b or c).lower()
         if k in ("class", "id", "role"):
-            found = set(_WORD.findall(v))
-            words |= found
-            main |= k == "role" and "main" in found
+            tokens = v.split()
+            main |= k == "role" and "main" in tokens
+            label |= any(labelled(t) or not inside and t in HEADER for t in tokens)
         elif k == "hidden" or k == "aria-hidden" and v == "true" or k == "style" and "display:none" in v.replace(" ", ""):
-            return True, False
-    if name in ("html", "body", "main"):
-        return False, main
-    return bool(words & SAYS) or bool(words & HEADER) and name not in ("h1", "h2", "h3"), main
+            return True, False, False
+    return False, label and name not in ("html", "body", "main") and not main, main
+
+
+OUTSIDE, LOOSE, PROTECTED, BOILERPLATE = 0, 1, 2, 9
 
 
 def lines(page: str) -> tuple[list[str], bytes]:
-    """The blocks of a page, and for each 0 (outside), 1 (in main), 2 (in an article) or 9 (says it is boilerplate)."""
+    """The blocks of a page, and for each OUTSIDE, LOOSE (in the article, else main, but no prose), PROTECTED (prose there) or BOILERPLATE."""
     out: list[str] = []
-    kinds = bytearray()
+    found: list[tuple[tuple[int, ...], int, bool]] = []  # of each block: reasons, container, prose
+    reasons: list[str] = []  # "firm" or "label"
+    wraps: set[int] = set()  # labels around an article or main
     held: list[str] = []
     stack: list[_Open] = []
+    linked = 0  # characters of held that are in links
 
     def flush() -> None:
+        nonlocal linked
         text = " ".join("".join(held).split())
         held.clear()
         if text:
+            top = stack[-1] if stack else None
             out.append(text)
-            kinds.append(9 if stack and stack[-1].skip else stack[-1].main if stack else 0)
+            found.append((top.whys, top.main, top.block in PROSE and linked < len(text.replace(" ", ""))) if top else ((), 0, False))
+        linked = 0
 
     def say(text: str) -> None:
-        held.append(entities.unescape(text) if "&" in text else text)
+        nonlocal linked
+        text = entities.unescape(text) if "&" in text else text
+        if stack and stack[-1].link:
+            linked += len("".join(text.split()))
+        held.append(text)
 
     at, n = 0, len(page)
     while at < n:
@@ -146,12 +182,32 @@ def lines(page: str) -> tuple[list[str], bytes]:
             held.append(" ")
         if name in VOID or attrs.rstrip().endswith("/") and name not in BLOCK:
             continue
-        above = stack[-1] if stack else _Open("", False, 0)
-        says, main = _says(name, attrs)
-        skip = above.skip or name in DROP or says or name == "header" and not above.main
-        stack.append(_Open(name, skip, 2 if name == "article" or above.main == 2 else 1 if name == "main" or main or above.main else 0))
+        above = stack[-1] if stack else _Open("", (), 0, "", False)
+        hidden, label, main = _says(name, attrs, bool(above.main))
+        whys = above.whys
+        if hidden or name in DROP and name != "form" or name == "header" and not above.main:
+            reasons.append("firm")
+            whys = (*whys, len(reasons) - 1)
+        elif label or name == "form":
+            reasons.append("label")
+            whys = (*whys, len(reasons) - 1)
+        container = 2 if name == "article" or above.main == 2 else 1 if name == "main" or main or above.main else 0
+        if container > above.main:
+            wraps.update(w for w in whys if reasons[w] == "label")
+        stack.append(_Open(name, whys, container, name if name in BLOCK else above.block, above.link or name in ("a", "button", "label")))
     flush()
-    return out, bytes(kinds)
+
+    freed: set[int] = set()
+    if wraps and not any(c and not w for w, c, _ in found):
+        freed = wraps
+    elif not any(c for _, c, _ in found):
+        size = lambda keep: sum(len(t) for t, (w, *_) in zip(out, found, strict=True) if keep(w))
+        soft = lambda w: all(reasons[x] == "label" for x in w)
+        every = size(soft)
+        freed = {x for x in {x for w, *_ in found for x in w if reasons[x] == "label"} if 2 * size(lambda w, x=x: x in w and soft(w)) > every}
+    dropped = [any(x not in freed for x in w) for w, *_ in found]
+    best = max((c for (_, c, _), d in zip(found, dropped, strict=True) if not d), default=0)
+    return out, bytes(BOILERPLATE if d else OUTSIDE if not c else PROTECTED if p and c == best else LOOSE for (_, c, p), d in zip(found, dropped, strict=True))
 
 
 def common_lines(a: list[str], b: list[str]) -> list[bool]:
@@ -182,10 +238,12 @@ def common_lines(a: list[str], b: list[str]) -> list[bool]:
     return shared
 
 
-def main_text(blocks: list[str], kinds: bytes, other: list[str] | None) -> str:
-    best = max((k for k in kinds if k != 9), default=0)
+def main_text(blocks: list[str], kinds: bytes, other: list[str] | None) -> tuple[str, int, int]:
+    """The text, and how many lines went because they are shared and because of a label alone."""
     shared = common_lines(blocks, other) if other else [False] * len(blocks)
-    return "\n\n".join(t for t, k, s in zip(blocks, kinds, shared, strict=True) if k != 9 and (best and k == best or not s))
+    gone = [s and k != PROTECTED for k, s in zip(kinds, shared, strict=True)]
+    text = "\n\n".join(t for t, k, g in zip(blocks, kinds, gone, strict=True) if not g and k != BOILERPLATE)
+    return text, sum(gone), sum(k == BOILERPLATE and not g for k, g in zip(kinds, gone, strict=True))
 
 
 def _prefix(a: str, b: str) -> int:
@@ -199,7 +257,7 @@ def _prefix(a: str, b: str) -> int:
 
 def marks(blocks: list[str], kinds: bytes) -> frozenset[int]:
     """What stands for a page's lines, without those that say they are boilerplate: 48 bits of a hash and the length of each."""
-    return frozenset(int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=6).digest(), "big", signed=True) << 16 | min(len(t), 65535) for t, k in zip(blocks, kinds, strict=True) if k != 9)
+    return frozenset(int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=6).digest(), "big", signed=True) << 16 | min(len(t), 65535) for t, k in zip(blocks, kinds, strict=True) if k != BOILERPLATE)
 
 
 def copies(a: frozenset[int], b: frozenset[int]) -> bool:
@@ -245,7 +303,7 @@ def _even_ids(spark: SparkSession, n: int) -> list[int]:
 
 
 def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) of every page."""
+    """(page_id, url, text, n_chars, n_shared, n_labelled) of every page."""
     common.small_batches(spark, 500)
     n = common.partitions(spark)
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
@@ -347,8 +405,8 @@ def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
         def say(page: dict, after: dict | None) -> None:
             near = [x for x in (page["before"], after) if x]
             other = max(near, key=lambda x: _prefix(x["key"][1], page["key"][1]), default=None)
-            text = main_text(page["lines"], page["kinds"], other and other["lines"])
-            out.append((page["page_id"], page["url"], text, len(text)))
+            text, *gone = main_text(page["lines"], page["kinds"], other and other["lines"])
+            out.append((page["page_id"], page["url"], text, len(text), *gone))
 
         def ended(y: dict) -> None:
             """y stands after a break: what waits for it has its neighbour or has had its last break."""
@@ -414,9 +472,9 @@ def extract(spark: SparkSession, pages: DataFrame) -> DataFrame:
             yield batch(out)
 
     def batch(out: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.string(), pa.int64()), strict=True)], ["page_id", "url", "text", "n_chars"])
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["page_id", "url", "text", "n_chars", "n_shared", "n_labelled"])
 
-    return ordered.select(*names).mapInArrow(differ, "page_id long, url string, text string, n_chars long")
+    return ordered.select(*names).mapInArrow(differ, "page_id long, url string, text string, n_chars long, n_shared long, n_labelled long")
 
 
 def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
