@@ -5,19 +5,28 @@ digits for digits, letters for letters in their case, a valid card for a valid
 card, a public address for a public address, a name of the same gender, script
 and form. A surrogate depends on the key and the entity alone, so every mention
 in any document gets the same one (coreference); mentions that differ only in
-layout or case count as one entity. A person is a name after a title. Where the
-first of several names isn't a listed given name, a title that says a gender is
+layout or case count as one entity. A person is a name after a title, or a listed
+given name with a further name. Where the first of several names isn't a listed given name, a title that says a gender is
 kept in the entity, and the surrogate's given name begins with a listed one of
 that gender; mentions of the name after other titles (Dr) follow where the corpus
 has it with one gender only.
 
+The key comes from the caller or the session's setting wayfold.pii.key; there is
+none in the source. Where neither gives one, a random key is drawn for the
+application, so surrogates hold within it and can't be undone afterwards.
+
 Each type's mapping is a keyed permutation (a Feistel network walked until it
-falls on a valid value), so different entities keep different surrogates. A pass
+falls on a valid value), so different entities keep different surrogates; where it
+would leave a value, or a word of a name, as it is, a further one is taken. A pass
 over the corpus's distinct entities then finds surrogates that are themselves
 entities of the corpus and replaces them by further permutations, each checked
 against all originals and all surrogates. What eight of these can't free gets a
 wider form (a further family name, a longer address, another network of private
 addresses) until nothing is left; if a type's whole space were in use, it fails.
+Birth dates are the exception: a large corpus holds every day there is, so their
+surrogates are other days, distinct from each other, but may be entities too.
+
+Entities are found once: rows go with their spans to the work folder.
 
 A null text stays null, an empty one empty; a text without entities is returned
 as it is. Repeated rows get equal results. Other columns are not read by the
@@ -27,8 +36,11 @@ query. An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import ipaddress
 import re
+import secrets
 from collections.abc import Callable, Iterator
+from datetime import date
 from functools import lru_cache
 from typing import NamedTuple
 
@@ -38,7 +50,6 @@ from pyspark.sql import functions as F
 
 from . import common
 
-KEY = b"wayfold surrogate key: set your own"
 TRIES = 8
 #: Tries in the wider forms, each longer than the one before.
 WIDER = 40
@@ -60,24 +71,35 @@ GIVEN = {
 FOLLOWS = {"m": 1000, "f": 2000}
 GENDER = {name: (script, gender) for (script, gender), names in GIVEN.items() for name in names}
 
+# English months and words that stand for streets.
+MONTHS = "January February March April May June July August September October November December".split()
+STREETS = "Street St Road Rd Avenue Ave Lane Ln Drive Boulevard Blvd Court Square Terrace".split()
+FIRST_DAY, DAYS = date(1900, 1, 1).toordinal(), 130 * 365
+#: Types whose surrogates may be entities of the corpus.
+DENSE = ("birth",)
+
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_NAME = r"[A-ZÀ-ÖØ-ÞА-ЯΑ-Ω][a-zà-öø-ÿα-ωά-ώа-яё]+(?:-[A-ZÀ-ÖØ-ÞА-ЯΑ-Ω][a-zà-öø-ÿα-ωά-ώа-яё]+)?"
+_NAME = r"[A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆΈΉΊΌΎΏ][a-zà-öø-ÿα-ωά-ώа-яё]+(?:-[A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆΈΉΊΌΎΏ][a-zà-öø-ÿα-ωά-ώа-яё]+)?"
 ENTITY = re.compile(
     "|".join(
         (
             r"(?P<email>[A-Za-z0-9](?:[A-Za-z0-9._%+\-]*[A-Za-z0-9])?@[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:\.[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)+)",
             rf"(?P<ip>(?<![\d.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\d|\.\d))",
+            r"(?P<ip6>(?<![\w:.])(?=[0-9A-Fa-f]*:[0-9A-Fa-f]*:)[0-9A-Fa-f]{0,4}(?::[0-9A-Fa-f]{0,4}){2,7}(?![\w:]))",
+            rf"(?P<birth>(?i:\b(?:born(?: on)?|date of birth|dob|birthday|birth date|geboren(?: am)?|née? le|nacid[oa] el)\b):? (?:\d{{4}}-\d\d-\d\d|\d{{1,2}}[./\-]\d{{1,2}}[./\-]\d{{4}}|\d{{1,2}} (?:{'|'.join(MONTHS)}) \d{{4}}|(?:{'|'.join(MONTHS)}) \d{{1,2}}, \d{{4}})(?![\d\-]))",
             r"(?P<ssn>(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-]))",
             r"(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}|\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?![\d\-]))",
             r"(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b)",
             r"(?P<card>(?<![\w.\-])\d(?:[ \-]?\d){12,18}(?![\w\-]))",
             r"(?P<key>\bAKIA[0-9A-Z]{16}\b)",
             r"(?P<secret>(?i:\b(?:password|passwd|pwd|token|secret|api[_\-]?key|access[_\-]?key))\s*[=:]\s*[\"']?[A-Za-z0-9_\-+/]{8,})",
+            rf"(?P<street>\b[1-9]\d{{0,3}} {_NAME}(?: {_NAME})? (?:{'|'.join(STREETS)})\b)",
             rf"(?P<person>\b(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\b\.? {_NAME}(?: {_NAME}){{0,2}})",
+            rf"(?P<named>\b(?:{'|'.join(sorted(GENDER, key=len, reverse=True))})(?: {_NAME}){{1,2}})",
         )
     )
 )
-_HINT = re.compile(rf"[@\d]|(?i:passw|pwd|token|secret|key)|\b(?:{'|'.join(TITLES)})\b")
+_HINT = re.compile(rf"[@\d]|(?i:passw|pwd|token|secret|key)|\b(?:{'|'.join([*TITLES, *GENDER])})\b")
 _VALUE = re.compile(r"[A-Za-z0-9_\-+/]{8,}\Z")
 
 
@@ -130,6 +152,19 @@ def detect(text: str) -> list[Entity]:
             start, value = start + v.start(), v[0]
             if not any(c.isdigit() for c in value):
                 continue  # a word, not a credential
+        elif kind == "ip6":
+            value = _ip6(raw)
+            if not value:
+                continue
+        elif kind == "birth":
+            start += re.search(rf"\d{{4}}-|\d|{'|'.join(MONTHS)}", raw).start()
+            value = _day(raw[start - m.start() :])
+            if not value:
+                continue
+        elif kind == "street":
+            value = raw
+        elif kind == "named":
+            kind, value = "person", raw
         elif kind == "person":
             title, value = re.fullmatch(r"(\w+)\.? (.*)", raw).groups()
             start = end - len(value)
@@ -141,6 +176,37 @@ def detect(text: str) -> list[Entity]:
     return found
 
 
+def _ip6(raw: str) -> str:
+    """An address in full form, else nothing: too short to be one, or a time of day."""
+    if len(raw) < 6 or not any(c.isdigit() for c in raw):
+        return ""
+    try:
+        return ipaddress.IPv6Address(raw).exploded
+    except ValueError:
+        return ""
+
+
+def _layout(raw: str) -> tuple[str, int, int, int]:
+    """The layout of a date, and its year, month and day; day before month unless only the other way is a date."""
+    numbers = [int(x) for x in re.findall(r"\d+", raw)]
+    named = next((i + 1 for i, x in enumerate(MONTHS) if x in raw), 0)
+    if named:
+        return ("dMy", numbers[1], named, numbers[0]) if raw[0].isdigit() else ("Mdy", numbers[1], named, numbers[0])
+    if re.match(r"\d{4}", raw):
+        return "y-m-d", *numbers
+    d, m, y = numbers
+    return ("dmy", y, m, d) if m <= 12 else ("mdy", y, d, m)
+
+
+def _day(raw: str) -> str:
+    _, y, m, d = _layout(raw)
+    try:
+        day = date(y, m, d)
+    except ValueError:
+        return ""
+    return day.isoformat() if 0 <= day.toordinal() - FIRST_DAY < DAYS else ""
+
+
 def _walk(domain: int, value: int, tweak: bytes, key: bytes) -> int:
     """A keyed permutation of range(domain)."""
     if domain < 2:
@@ -184,6 +250,10 @@ def permute(text: str, tweak: bytes, key: bytes, ok: Callable[[str], bool] = lam
             return text
 
 
+def permute_hex(digits: str, tweak: bytes, key: bytes) -> str:
+    return f"{_walk(16 ** len(digits), int(digits, 16), tweak, key):0{len(digits)}x}"
+
+
 def _zone(ip: int) -> str:
     """Address classes that a surrogate keeps."""
     for name, net, bits in (("10", 10 << 24, 8), ("172", 172 << 24 | 16 << 16, 12), ("192", 192 << 24 | 168 << 16, 16), ("loop", 127 << 24, 8), ("link", 169 << 24 | 254 << 16, 16)):
@@ -243,31 +313,50 @@ def _wider(kind: str, value: str, tweak: bytes, key: bytes, by: int, gender: str
     return permute(value, tweak, key) + _made("latin", min(2 + by, 40), seed, key)  # a secret
 
 
+#: Letters that may stand for each other in a name, so that it can be spoken and keeps accents and script.
+_SOUNDS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "àáâãäåæèéêëìíîïòóôõöøùúûüý", "çðñþ", "аеёиоуыэюя", "бвгджзйклмнпрстфхцчшщъь", "αεηιουω", "άέήίόύώ", "βγδζθκλμνξπρστφχψ")
+
+
 def _name_word(word: str, tweak: bytes, key: bytes) -> str:
+    """Another name: a listed one of the same script and gender for a listed one, else one with the same sounds."""
     script, known = GENDER.get(word, (script_of(word), ""))
-    if known:
-        names = GIVEN[script, known]
-        return names[_walk(len(names), names.index(word), tweak + script.encode() + known.encode(), key)]
-    # a family name: vowels for vowels and others for others, so that it can be spoken; accents are kept
-    groups = ("aeiou", "bcdfghjklmnpqrstvwxyz", "аеиоуэюя", "бвгдзклмнпрстфх", "αειου", "βγδζθκλμνξπρστφχ")
-    sets = [next((g for g in groups if c.lower() in g), c.lower()) for c in word]
-    domain = n = 1
-    n = 0
+    if known:  # the next in an order that the key gives, so never the name itself
+        names = sorted(GIVEN[script, known], key=lambda x: hashlib.blake2b(tweak + x.encode(), key=key, digest_size=16).digest())
+        return names[(names.index(word) + 1) % len(names)]
+    sets = [next((g for g in _SOUNDS if c.lower() in g), c.lower()) for c in word]
+    domain, n = 1, 0
     for c, g in zip(word.lower(), sets, strict=True):
         domain *= len(g)
         n = n * len(g) + g.index(c)
-    n = _walk(domain, n, tweak + str([groups.index(g) if g in groups else g for g in sets]).encode(), key)
-    out = []
-    for g in reversed(sets):
-        n, i = divmod(n, len(g))
-        out.append(g[i])
-    return "".join(o.upper() if c.isupper() else o for c, o in zip(word, reversed(out), strict=True))
+    if domain < 2:  # nothing but letters of their own kind
+        return _made(script, len(word) + 2, tweak + word.encode(), key).capitalize()
+    tweak += str([_SOUNDS.index(g) if g in _SOUNDS else g for g in sets]).encode()
+    while True:
+        i = n = _walk(domain, n, tweak, key)
+        out = []
+        for g in reversed(sets):
+            i, x = divmod(i, len(g))
+            out.append(g[x])
+        new = "".join(o.upper() if c.isupper() else o for c, o in zip(word, reversed(out), strict=True))
+        if new != word:
+            return new
+        tweak += b"/again"  # what comes next may be another's, which the pass over the corpus finds
 
 
 @lru_cache(maxsize=20_000)
-def surrogate(kind: str, value: str, tries: int = 0, key: bytes = KEY) -> str:
-    """The surrogate of an entity's value, in the value's own form."""
-    key = hashlib.blake2b(key, digest_size=32).digest()
+def surrogate(kind: str, value: str, tries: int, key: bytes) -> str:
+    """The surrogate of an entity's value, in the value's own form; never the value."""
+    own, again = value[2:] if kind == "person" and value[1:2] == ":" else value, b""
+    while True:
+        new = _surrogate(kind, value, tries, hashlib.blake2b(key + again, digest_size=32).digest())
+        if new != own:
+            return new
+        again += b"/again"
+        if len(again) > 300:
+            raise ValueError(f"a {kind} of this form has no other value")
+
+
+def _surrogate(kind: str, value: str, tries: int, key: bytes) -> str:
     gender = ""
     if kind == "person":
         if tries >= FOLLOWS["m"]:
@@ -308,6 +397,15 @@ def surrogate(kind: str, value: str, tries: int = 0, key: bytes = KEY) -> str:
     if kind == "iban":
         bban = permute(value[4:], tweak + value[:2].encode(), key)
         return value[:2] + iban_check(value[:2], bban) + bban
+    if kind == "ip6":
+        groups = value.split(":")
+        new = permute_hex("".join(groups[1:]), tweak + groups[0].encode(), key)
+        return ":".join([groups[0], *(new[i : i + 4] for i in range(0, 28, 4))])
+    if kind == "birth":
+        return date.fromordinal(FIRST_DAY + _walk(DAYS, date.fromisoformat(value).toordinal() - FIRST_DAY, tweak, key)).isoformat()
+    if kind == "street":
+        number, *words, street = value.split(" ")
+        return " ".join([permute(number, tweak, key, lambda x: x[0] != "0"), *("-".join(_name_word(p, tweak, key) for p in w.split("-")) for w in words), street])
     if kind == "key":
         return value[:4] + permute(value[4:], tweak, key)
     if kind == "person":
@@ -333,38 +431,61 @@ def rendered(entity: Entity, raw: str, tries: int, key: bytes) -> str:
             at = raw.index("@")
             raw = raw[:at] + raw[at - 1] * (len(new) - len(raw)) + raw[at:]
         return "".join(n.upper() if c.isupper() else n for c, n in zip(raw, new, strict=True))
+    if entity.type == "ip6":
+        new = str(ipaddress.IPv6Address(new)) if "::" in raw else ":".join(x.lstrip("0") or "0" for x in new.split(":"))
+        return new.upper() if any(c.isupper() for c in raw) else new
+    if entity.type == "birth":
+        layout, day = _layout(raw)[0], date.fromisoformat(new)
+        if layout == "y-m-d":
+            return new
+        if layout == "dMy":
+            return f"{day.day} {MONTHS[day.month - 1]} {day.year}"
+        if layout == "Mdy":
+            return f"{MONTHS[day.month - 1]} {day.day}, {day.year}"
+        mark, width = next(c for c in raw if not c.isdigit()), 2 if re.match(r"\d\d\D\d\d\D", raw) else 1
+        return mark.join(f"{x:0{width}d}" for x in ((day.day, day.month) if layout == "dmy" else (day.month, day.day))) + f"{mark}{day.year}"
     if entity.type == "iban":
         chars = iter(new)
         return "".join(c if c == " " else next(chars) for c in raw)
     return new
 
 
-def replace(text: str | None, exceptions: dict[tuple[str, str], int], key: bytes) -> tuple[str | None, list[Entity]]:
-    """The text with surrogates, and the entities at their places in the original."""
-    entities = detect(text or "")
+def replace(text: str | None, entities: list[Entity], exceptions: dict[tuple[str, str], int], key: bytes) -> str | None:
+    """The text with surrogates in place of its entities."""
     if not entities:
-        return text, entities
+        return text
     out, at = [], 0
     for e in entities:
         out += [text[at : e.start], rendered(e, text[e.start : e.end], exceptions.get((e.type, e.value), 0), key)]
         at = e.end
-    return "".join([*out, text[at:]]), entities
+    return "".join([*out, text[at:]])
 
 
 _PAIR = "type string, value string"
+_drawn: dict[str, bytes] = {}
 
 
-def find(docs: DataFrame) -> DataFrame:
-    """(doc_id, type, value) of every entity, once for each document batch."""
+def session_key(spark: SparkSession) -> bytes:
+    """The key that the session names in wayfold.pii.key, else one drawn for this application."""
+    named = spark.conf.get("wayfold.pii.key", "")
+    return named.encode() if named else _drawn.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
+
+
+def with_spans(docs: DataFrame, spans: str, row: str) -> DataFrame:
+    """docs with a number of its own for each row and the entities of its text."""
+    kept = docs.columns
+    at = kept.index("text")
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("type", pa.string()), ("value", pa.string())]))
 
     @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [(i, *pair) for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for pair in {(e.type, e.value) for e in detect(t or "")}]
-            columns = zip(*out, strict=True) if out else ([], [], [])
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.string(), pa.string()), strict=True)], ["doc_id", "type", "value"])
+            found = [[e._asdict() for e in detect(t or "")] for t in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found, kind)], [*kept, spans])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, f"doc_id long, {_PAIR}")
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
+    found = docs.mapInArrow(run, f"{fields}, `{spans}` array<struct<start: int, end: int, type: string, value: string>>")
+    return found.withColumn(row, F.monotonically_increasing_id())
 
 
 def _surrogates(rows: DataFrame, tries: int, key: bytes) -> DataFrame:
@@ -377,7 +498,7 @@ def _surrogates(rows: DataFrame, tries: int, key: bytes) -> DataFrame:
     return rows.select("type", "value").mapInArrow(run, f"{_PAIR}, new string")
 
 
-def collisions(entities: DataFrame, folder: str, key: bytes = KEY) -> DataFrame:
+def collisions(entities: DataFrame, folder: str, key: bytes) -> DataFrame:
     """(type, value, tries) of entities whose first surrogate is an entity of the corpus or another's and which got a later one, and of names that follow a gendered entity."""
     spark = entities.sparkSession
     named = F.when(F.col("type") == "person", F.regexp_replace("value", "^[mf]:", "")).otherwise(F.col("value"))
@@ -386,14 +507,13 @@ def collisions(entities: DataFrame, folder: str, key: bytes = KEY) -> DataFrame:
     follows = common.stage(entities.where("type = 'person'").join(one, ["type", "value"]), folder, "follows")
     first = common.stage(_surrogates(entities.join(follows, ["type", "value"], "left_anti"), 0, key), folder, "first")
     real = first.select("type", named.alias("new"))  # a name that follows another is that one's
-    people = first.where("type = 'person'")
-    same = people.join(people.groupBy("type", "new").agg(F.min("value").alias("least")), ["type", "new"]).where("value <> least").select("type", "value")
-    bad = common.stage(first.join(real, ["type", "new"], "left_semi").select("type", "value").unionByName(same).distinct(), folder, "bad_0")
+    same = first.join(first.groupBy("type", "new").agg(F.min("value").alias("least"), F.count("*").alias("n")).where("n > 1"), ["type", "new"]).where("value <> least").select("type", "value")
+    bad = common.stage(first.where(~F.col("type").isin(*DENSE)).join(real, ["type", "new"], "left_semi").select("type", "value").unionByName(same).distinct(), folder, "bad_0")
     given = spark.createDataFrame([], f"{_PAIR}, new string, tries int")
     for tries in range(1, TRIES + WIDER + 1):
         if bad.isEmpty():
             break
-        taken = real.unionByName(first.select("type", "new")).unionByName(given.select("type", "new"))
+        taken = real.where(~F.col("type").isin(*DENSE)).unionByName(first.select("type", "new")).unionByName(given.select("type", "new"))
         free = _surrogates(bad, tries, key).join(taken, ["type", "new"], "left_anti")
         chosen = common.stage(free.groupBy("type", "new").agg(F.min("value").alias("value")).select("type", "value", "new", F.lit(tries).alias("tries")), folder, f"given_{tries}")
         bad = common.stage(bad.join(chosen, ["type", "value"], "left_anti"), folder, f"bad_{tries}")
@@ -408,32 +528,36 @@ def collisions(entities: DataFrame, folder: str, key: bytes = KEY) -> DataFrame:
     return given.unionByName(followed.select("type", "value", (F.coalesce("moved", F.lit(0)) + code).cast("int").alias("tries")))
 
 
-def pseudonymize(spark: SparkSession, docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def pseudonymize(spark: SparkSession, docs: DataFrame, key: bytes | None = None) -> DataFrame:
     """docs with text replaced, and n_entities and entity_types added (they replace columns of these names)."""
     common.small_batches(spark)
+    key = key or session_key(spark)
     folder = common.work_folder(spark, "pii")
-    found = common.stage(find(docs), folder, "found")
-    given = common.stage(collisions(found.select("type", "value").distinct(), folder, key), folder, "given")
-    docs = docs.drop("n_entities", "entity_types")
+    docs = docs.drop("n_entities", "entity_types").withColumn("text", F.col("text").cast("string"))
     names = docs.columns
-    at, id_at = names.index("text"), names.index("doc_id")
+    spans, row, tries = (common.unused(x, names) for x in ("_spans", "_row", "_tries"))
+    found = common.stage(with_spans(docs, spans, row), folder, "found")
+    pairs = found.select(row, F.explode(spans).alias(spans)).select(row, f"{spans}.type", f"{spans}.value")
+    given = common.stage(collisions(pairs.select("type", "value").distinct(), folder, key), folder, "given")
     few = given.limit(common.BROADCAST_ROWS // 5 + 1).collect()
-    wide = len(few) > common.BROADCAST_ROWS // 5  # too many to broadcast: they come with their documents
+    wide = len(few) > common.BROADCAST_ROWS // 5  # too many to broadcast: they come with their rows
     sent = spark.sparkContext.broadcast({} if wide else {(r.type, r.value): r.tries for r in few})
+    rows = found
     if wide:
-        own = found.join(given, ["type", "value"]).groupBy(F.col("doc_id").alias("_own")).agg(F.collect_set(F.struct("type", "value", "tries")).alias("_given"))
-        rows = docs.join(own, docs["doc_id"].cast("long").eqNullSafe(F.col("_own")), "left").drop("_own")
-    else:
-        rows = docs
+        own = pairs.join(given, ["type", "value"]).groupBy(row).agg(F.collect_set(F.struct("type", "value", "tries")).alias(tries))
+        rows = found.join(own, row, "left")
+    rows = rows.select(*names, spans, *([tries] if wide else []))
+    at = names.index("text")
 
     @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            own = [{(x["type"], x["value"]): x["tries"] for x in g or ()} for g in b.column(len(names)).to_pylist()] if wide else [sent.value] * b.num_rows
-            done = [replace(t, g, key) for t, g in zip(b.column(at).to_pylist(), own, strict=True)]
+            own = [{(x["type"], x["value"]): x["tries"] for x in g or ()} for g in b.column(len(names) + 1).to_pylist()] if wide else [sent.value] * b.num_rows
+            entities = [[Entity(**e) for e in x] for x in b.column(len(names)).to_pylist()]
+            done = [replace(t, e, g, key) for t, e, g in zip(b.column(at).to_pylist(), entities, own, strict=True)]
             columns = list(b.columns[: len(names)])
-            columns[at] = pa.array([t for t, _ in done], pa.string())
-            yield pa.RecordBatch.from_arrays([*columns, pa.array([len(e) for _, e in done], pa.int64()), pa.array([",".join(sorted({x.type for x in e})) for _, e in done], pa.string())], [*names, "n_entities", "entity_types"])
+            columns[at] = pa.array(done, pa.string())
+            yield pa.RecordBatch.from_arrays([*columns, pa.array([len(e) for e in entities], pa.int64()), pa.array([",".join(sorted({x.type for x in e})) for e in entities], pa.string())], [*names, "n_entities", "entity_types"])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), "n_entities long", "entity_types string"])
     return rows.mapInArrow(run, schema)
