@@ -83,7 +83,39 @@ def test_jaccard_join_of_nothing(spark):
     assert jaccard_join.join(spark, frame).collect() == []
 
 
-def test_prefix_is_as_long_as_the_recall_allows():
-    d = jaccard_join.prefix_depth()
-    miss = lambda k: (1 - 0.8**k) ** jaccard_join.TREES
-    assert miss(d) <= 1 - jaccard_join.RECALL < miss(d + 1)
+def test_the_search_ends_where_the_links_say():
+    chance = lambda k, s: 1 - (1 - s**k) ** jaccard_join.TREES
+    assert chance(jaccard_join.floor_depth(), 0.8) >= 0.99999 > chance(jaccard_join.floor_depth() + 1, 0.8)
+    top, low = {jaccard_join.BINS - 1: 10**6}, {0: 10**6}
+    assert jaccard_join.enough(8, top) and not jaccard_join.enough(8, low) and not jaccard_join.enough(8, {})
+    ends = lambda links: next(d for d in range(8, 0, -1) if jaccard_join.enough(d, links))
+    assert ends(top) > ends({4: 10**6}) >= ends(low) >= jaccard_join.floor_depth()
+
+
+def test_recall_of_links_at_the_threshold(spark):
+    rng = random.Random(3)
+    rows, want = [], 0
+    for i in range(1500):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(230)]
+        k = rng.randrange(12, 24)
+        pair = [" ".join(words[:204]), " ".join(words[k : 204 + k])]
+        a, b = map(sets, pair)
+        want += len(a & b) >= 0.8 * len(a | b)
+        rows += [(2 * i + j, x) for j, x in enumerate(pair)]
+    got = jaccard_join.join(spark, spark.createDataFrame(rows, "doc_id long, text string")).where("n_links > 0").count() / 2
+    assert want > 1000 and 0.999 * want <= got <= want
+
+
+def test_the_forest_is_in_order_and_knows_its_company(spark):
+    texts = near_copies(4, 40, 3, 60)
+    nodes = jaccard_join.sketches(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).where("node IS NOT NULL").dropDuplicates(["node"])
+    rows = [(r.tree, bytes(r.label), r.deep, bytes(r.node)) for r in jaccard_join.forest(nodes, 4).collect()]
+    sig = {bytes(r.node): bytes(r.sig) for r in nodes.collect()}
+    labels = [[s[16 * t : 16 * t + 16] for s in sig.values()] for t in range(jaccard_join.TREES)]
+    shared = lambda a, b: next((i for i in range(8) if a[2 * i : 2 * i + 2] != b[2 * i : 2 * i + 2]), 8)
+    for tree, label, deep, node in rows:
+        assert sig[node][16 * tree : 16 * tree + 16] == label
+        assert deep >= sorted(shared(label, x) for x in labels[tree])[-2]
+    want = {(t, n) for t in range(jaccard_join.TREES) for n, s in sig.items() if sorted(shared(s[16 * t : 16 * t + 16], x) for x in labels[t])[-2] >= 4}
+    assert want <= {(t, n) for t, *_, n in rows}
+    assert len(rows) - len(want) <= 2 * spark.sparkContext.defaultParallelism * 4
