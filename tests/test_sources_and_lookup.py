@@ -52,11 +52,11 @@ def test_elements(spark, tmp_path):
 
 
 def test_floors_compact_and_back(spark, tmp_path):
-    rows = spark.createDataFrame([("A", 0.0, 100.0, 200.0, [(101.24, 203.0, "corridor"), (99.0, 201.5, "portal")], [[(100.0, 200.0), (105.0, 200.0)]])], "code string, level double, ox double, oy double, nodes array<struct<x:double,y:double,kind:string>>, walls array<array<struct<x:double,y:double>>>")
+    rows = spark.createDataFrame([("A", 0.0, 100.0, 200.0, [(101.24, 203.0, "corridor"), (99.0, 201.5, "passage")], [[(100.0, 200.0), (105.0, 200.0)]])], "code string, level double, ox double, oy double, nodes array<struct<x:double,y:double,kind:string>>, walls array<array<struct<x:double,y:double>>>")
     c = indoor.compact(rows)
     sinks.write_floors(c, str(tmp_path / "f"))
     back = indoor.expand(spark.read.parquet(str(tmp_path / "f")).where("code = 'A'")).orderBy("i").collect()
-    assert [(round(r.x, 6), r.y, r.kind) for r in back] == [(101.2, 203.0, "corridor"), (99.0, 201.5, "portal")]
+    assert [(round(r.x, 6), r.y, r.kind) for r in back] == [(101.2, 203.0, "corridor"), (99.0, 201.5, "passage")]
 
 
 def test_upsert_and_rooms(spark):

@@ -167,12 +167,14 @@ def test_fit_finds_a_turned_and_moved_plan(spark):
     plan = np.argwhere(raster.polygon_mask((30, 40), [np.array([[2, 2], [36, 2], [36, 12], [18, 12], [18, 26], [2, 26]])]))[:, ::-1].astype(float) + 0.5
     v = np.array([0.8, 25.0, 100.0, -40.0])
     corners = georef._place(np.array([[2, 2], [36, 2], [36, 12], [18, 12], [18, 26], [2, 26]], dtype=float), v)
-    best = georef.fit_one(plan, 1.0, [corners], [20.0, 110.0, 200.0, 290.0], [0.75, 0.85])[0]
+    every = georef.fit_one(plan, 1.0, [corners], 0.0)
+    best = every[0]
+    assert len(every) == 4 and len({round(x["degrees"] / 90) for x in every}) == 4
     assert best["score"] > 0.9 and abs((best["degrees"] - 25 + 180) % 360 - 180) < 2 and abs(best["scale"] - 0.8) < 0.03
     plans = spark.createDataFrame([("A", float(x), float(y)) for x, y in plan], "code string, x double, y double")
     prints = spark.createDataFrame([("A", [[tuple(map(float, q)) for q in corners]])], "code string, rings array<array<struct<x:double,y:double>>>")
-    seeds = spark.createDataFrame([("A", [20.0, 200.0], [0.8])], "code string, angles array<double>, scales array<double>")
-    assert georef.fit(plans, prints, 1.0, seeds).agg(F.max("score").alias("s")).first().s > 0.9
+    angles = spark.createDataFrame([("A", 0.0)], "code string, angle double")
+    assert georef.fit(plans, prints, 1.0, angles).agg(F.max("score").alias("s")).first().s > 0.9
     frame = spark.createDataFrame([("A", 25.0, 0.95), ("A", 205.0, 0.7), ("A", 30.0, 0.94), ("B", 10.0, 0.5)], "code string, degrees double, score double")
     got = {r.code: (r.best, round(r.margin, 6), r.method) for r in georef.accept(frame, spark.createDataFrame([("A", 2.0), ("B", 9.0)], "code string, residual double")).collect()}
     assert got == {"A": (0.95, 0.25, "auto"), "B": (0.5, 1.0, "needs-review")}

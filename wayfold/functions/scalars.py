@@ -217,7 +217,7 @@ def dequantise(flat: Column | str) -> Column:
 
 def decode_kinds(packed: Column | str) -> Column:
     """'ccp...' to the words that its letters stand for."""
-    return F.transform(F.filter(F.split(c(packed), ""), lambda k: k != ""), lambda k: F.when(k == "c", "corridor").when(k == "p", "portal").when(k == "s", "stair").when(k == "e", "elevator").otherwise("room"))
+    return F.transform(F.filter(F.split(c(packed), ""), lambda k: k != ""), lambda k: F.when(k == "c", "corridor").otherwise("passage"))
 
 
 # polylines --------------------------------------------------------------------------------------------------------

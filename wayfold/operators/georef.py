@@ -51,7 +51,7 @@ def residual(points: DataFrame, boundary: DataFrame, keys: tuple[str, ...] = (),
     else:
         few = points.orderBy(*order).limit(most)
     b = boundary.select(*keys, F.col("x").alias("bx"), F.col("y").alias("by"))
-    joined = few.join(b, list(keys)) if keys else few.join(F.broadcast(b))
+    joined = few.join(b, list(keys)) if keys else b.join(F.broadcast(few))  # most points at most
     near = joined.groupBy(*keys, "x", "y").agg(F.min(F.hypot(F.col("x") - F.col("bx"), F.col("y") - F.col("by"))).alias("d"))
     return (near.groupBy(*keys) if keys else near.groupBy()).agg(F.avg("d").alias("residual"))
 
@@ -113,35 +113,53 @@ def nelder_mead(f, x: np.ndarray, step: np.ndarray, rounds: int = 900) -> tuple[
     return pts[best], float(vals[best])
 
 
-def fit_one(plan: np.ndarray, cell: float, rings: list[np.ndarray], angles: list[float], scales: list[float]) -> list[dict]:
-    """Candidates (scale, degrees, tx, ty, score) of a plan's cells on a footprint, best first: a coarse grid, the best four refined."""
+def grid_angle(lines: list[np.ndarray]) -> float:
+    """The length-weighted circular mean of segment directions modulo 90 degrees."""
+    d = np.vstack([np.diff(x, axis=0) for x in lines])
+    quad = (np.hypot(*d.T) * np.exp(4j * np.arctan2(d[:, 1], d[:, 0]))).sum()
+    return float(np.degrees(np.angle(quad)) / 4)
+
+
+def _seeds(plan: np.ndarray, cell: float, rings: list[np.ndarray], area: float, plan_angle: float) -> list[list[tuple[float, float]]]:
+    """(degrees, scale) to try for each of the four ways that the grids of plan and footprint can lie on each other."""
     every = np.vstack(rings)
-    origin = every.min(axis=0) - 8
-    size = np.ceil((every.max(axis=0) + 8 - origin) / GRID).astype(int)
+    own = grid_angle([np.vstack([r, r[:1]]) for r in rings])
+    out = []
+    for quarter in range(4):
+        turn = own - plan_angle + 90 * quarter
+        ratio = np.ptp(every, axis=0) / np.maximum(np.ptp(_place(plan, np.array([1.0, turn, 0, 0])), axis=0), 1e-6)
+        bases = {round(float(b), 6) for b in (np.sqrt(area / (len(plan) * cell**2)), *ratio, np.sqrt(ratio.prod()))}
+        out.append([(turn + by, base * k) for by in (-2.0, 0.0, 2.0) for base in sorted(bases) for k in (0.9, 1.0, 1.1)])
+    return out
+
+
+def fit_one(plan: np.ndarray, cell: float, rings: list[np.ndarray], plan_angle: float) -> list[dict]:
+    """Candidates (scale, degrees, tx, ty, score) of a plan's cells on a footprint, best first: each of the four rotations' best, refined."""
+    origin = np.vstack(rings).min(axis=0) - 8
+    size = np.ceil((np.vstack(rings).max(axis=0) + 8 - origin) / GRID).astype(int)
     target = raster.polygon_mask((int(size[1]), int(size[0])), rings, tuple(origin), GRID)
     if not target.any() or not len(plan):
         return []
     ys, xs = np.nonzero(target)
     aim = origin + (np.array([xs.mean(), ys.mean()]) + 0.5) * GRID
-    coarse = []
-    for deg in angles:
-        for s in scales:
-            at = aim - _place(plan, np.array([s, deg, 0, 0])).mean(axis=0)
-            v = np.array([s, deg, *at])
-            coarse.append((_overlap(plan, v, target, origin, cell**2), v))
-    coarse.sort(key=lambda x: -x[0])
+    score = lambda v: _overlap(plan, v, target, origin, cell**2)
+
+    def put(degrees: float, scale: float) -> np.ndarray:
+        return np.array([scale, degrees, *(aim - _place(plan, np.array([scale, degrees, 0, 0])).mean(axis=0))])
+
     out = []
-    for score, v in coarse[:4]:
-        w, f = nelder_mead(lambda x: -_overlap(plan, x, target, origin, cell**2), v, np.array([0.02 * v[0], 2.0, 1.5, 1.5]))
-        out.append((max(score, -f), w if -f >= score else v))
-    out += coarse[4:]
-    return [{"scale": float(v[0]), "degrees": float(v[1]), "tx": float(v[2]), "ty": float(v[3]), "score": float(s)} for s, v in sorted(out, key=lambda x: -x[0])]
+    for tries in _seeds(plan, cell, rings, target.sum() * GRID**2, plan_angle):
+        start = max((put(*t) for t in tries), key=score)
+        end, loss = nelder_mead(lambda x: -score(x), start, np.array([0.02 * start[0], 2.0, 1.5, 1.5]))
+        v = end if -loss > score(start) else start
+        out.append({"scale": float(v[0]), "degrees": float(v[1]), "tx": float(v[2]), "ty": float(v[3]), "score": score(v)})
+    return sorted(out, key=lambda x: -x["score"])
 
 
-def fit(plans: DataFrame, footprints: DataFrame, cell: float, seeds: DataFrame) -> DataFrame:
-    """(code, scale, degrees, tx, ty, score) of each candidate of each building.
+def fit(plans: DataFrame, footprints: DataFrame, cell: float, angles: DataFrame) -> DataFrame:
+    """(code, scale, degrees, tx, ty, score) of the four candidates of each building.
 
-    plans: code, x, y (cells of the filled plan). footprints: code, rings. seeds: code, angles, scales."""
+    plans: code, x, y (cells of the filled plan). footprints: code, rings. angles: code, angle (the plan's dominant one)."""
 
     schema = "code string, scale double, degrees double, tx double, ty double, score double"
     arrow = to_arrow_schema(StructType.fromDDL(schema))
@@ -152,10 +170,9 @@ def fit(plans: DataFrame, footprints: DataFrame, cell: float, seeds: DataFrame)
         one = right.to_pylist()[0]
         rings = [np.array([(p["x"], p["y"]) for p in r]) for r in one["rings"]]
         cells = np.column_stack([left.column("x").to_numpy(), left.column("y").to_numpy()]).astype(float)
-        got = fit_one(cells, cell, rings, one["angles"], one["scales"])
-        return pa.Table.from_pylist([{"code": one["code"], **g} for g in got], schema=arrow)
+        return pa.Table.from_pylist([{"code": one["code"], **g} for g in fit_one(cells, cell, rings, one["angle"])], schema=arrow)
 
-    side = footprints.join(seeds, "code")
+    side = footprints.join(angles, "code")
     return plans.groupBy("code").cogroup(side.groupBy("code")).applyInArrow(run, schema)
 
 

@@ -15,10 +15,13 @@ from ..functions import scalars as S
 
 
 def kept(df: DataFrame) -> DataFrame:
-    """Cuts the lineage in the folder that the session names; sets one only where none is."""
+    """Cuts the lineage in the folder that the session names; a local session that names none gets a temporary one."""
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="wayfold-"))
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="wayfold-"))
     return df.checkpoint(eager=True)
 
 
@@ -78,9 +81,24 @@ def keep_fraction(labels: DataFrame, fraction: float, keys: tuple[str, ...] = ()
 
 
 def reindex(rows: DataFrame, order: str, keys: tuple[str, ...] = ()) -> DataFrame:
-    """Adds i: 0, 1, ... in order, within keys."""
-    w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(order)
-    return rows.withColumn("i", F.row_number().over(w) - 1)
+    """Adds i: 0, 1, ... in order, within keys.
+
+    Without keys the rows are sorted into ranges, each range numbers its own and
+    the ranges' sizes, one number a partition, are added up."""
+    if keys:
+        return rows.withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1)
+    ranged = kept(rows.repartitionByRange(order).withColumn("_p", F.spark_partition_id()))
+    sizes, start, begins = {r["_p"]: r["n"] for r in ranged.groupBy("_p").agg(F.count("*").alias("n")).collect()}, 0, []
+    for p in sorted(sizes):
+        begins += [F.lit(p), F.lit(start)]
+        start += sizes[p]
+    own = F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1
+    base = F.try_element_at(F.create_map(*begins), F.col("_p")) if begins else F.lit(0)
+    return ranged.withColumn("i", (own + base).cast("int")).drop("_p")
+
+
+#: Frontiers up to so many rows are broadcast; rounds after which the distances are written anew.
+SMALL_FRONTIER, COMPACT = 100_000, 6
 
 
 def shortest(arcs: DataFrame, sources: DataFrame, radius: float | None = None, target: str | int | None = None) -> DataFrame:
@@ -91,24 +109,30 @@ def shortest(arcs: DataFrame, sources: DataFrame, radius: float | None = None, t
     could improve it. Equal distances take the smaller predecessor."""
     if "m" not in arcs.columns:
         arcs = arcs.withColumn("m", F.col("w"))
-    steps = kept(arcs.groupBy("a", "b").agg(F.min(F.struct("w", "m")).alias("x")).select("a", "b", "x.w", "x.m"))
+    steps = kept(arcs.groupBy("a", "b").agg(F.min(F.struct("w", "m")).alias("x")).select("a", "b", "x.w", "x.m").repartition("a"))
     zero = F.lit(0).cast(steps.schema["w"].dataType)
     none = F.lit(None).cast(steps.schema["a"].dataType)
-    dist = kept(sources.select(F.col("id").alias("src"), "id", zero.alias("d"), zero.cast(steps.schema["m"].dataType).alias("m"), none.alias("pred")))
-    frontier = dist
+    frontier = kept(sources.select(F.col("id").alias("src"), "id", zero.alias("d"), zero.cast(steps.schema["m"].dataType).alias("m"), none.alias("pred")))
+    best_of = lambda rows: rows.groupBy("src", "id").agg(F.min(F.struct("d", "pred", "m")).alias("x")).select("src", "id", "x.d", "x.m", "x.pred")
+    dist, rounds = frontier, 0  # the frontiers so far; the best row of a vertex counts
     while True:
-        near = frontier.join(steps, F.col("id") == F.col("a")).select("src", F.col("b").alias("id"), (F.col("d") + F.col("w")).alias("d"), (frontier["m"] + steps["m"]).alias("m"), F.col("a").alias("pred"))
+        n = frontier.limit(SMALL_FRONTIER + 1).count()
+        if not n:
+            return best_of(dist)
+        here = F.broadcast(frontier) if n <= SMALL_FRONTIER else frontier
+        near = here.join(steps, F.col("id") == F.col("a")).select("src", F.col("b").alias("id"), (F.col("d") + F.col("w")).alias("d"), (frontier["m"] + steps["m"]).alias("m"), F.col("a").alias("pred"))
         if radius is not None:
             near = near.where(F.col("d") <= radius)
         if target is not None:
-            best = dist.where(F.col("id") == target).select("src", F.col("d").alias("bound"))
+            best = dist.where(F.col("id") == target).groupBy("src").agg(F.min("d").alias("bound"))
             near = near.join(best, "src", "left").where(F.col("bound").isNull() | (F.col("d") < F.col("bound"))).drop("bound")
-        best_new = near.groupBy("src", "id").agg(F.min(F.struct("d", "pred", "m")).alias("x")).select("src", "id", "x.d", "x.m", "x.pred")
-        old = dist.select("src", "id", F.col("d").alias("old"), F.col("pred").alias("old_pred"))
-        frontier = kept(best_new.join(old, ["src", "id"], "left").where("old IS NULL OR d < old OR (d = old AND old_pred IS NOT NULL AND pred < old_pred)").drop("old", "old_pred"))
-        if frontier.isEmpty():
-            return dist
-        dist = kept(dist.join(frontier, ["src", "id"], "left_anti").unionByName(frontier))
+        # known and new rows of a vertex are combined in one grouping; a vertex is on the frontier if a new row is its best
+        old = F.lit(0)
+        both = dist.withColumn("_new", old).unionByName(near.withColumn("_new", F.lit(1))).groupBy("src", "id").agg(F.min(F.struct("d", "pred", "_new", "m")).alias("x"))
+        frontier = kept(both.where("x._new = 1").select("src", "id", "x.d", "x.m", "x.pred"))
+        dist, rounds = dist.unionByName(frontier), rounds + 1
+        if rounds % COMPACT == 0:
+            dist = kept(best_of(dist))
 
 
 def paths(dist: DataFrame, targets: DataFrame) -> DataFrame:

@@ -16,6 +16,7 @@ from . import polyline, raster
 
 # Metres per cell and limits of walk graphs and shafts.
 PX, CLEAR, CORRIDOR, SPUR, ROOM_M2 = 0.10, 0.25, 1.0, 2.0, 3.0
+WALL_R, ENVELOPE_R, KEPT, BEYOND = 1, 8, 0.05, 8.0
 SHAFT_MIN, SHAFT_MAX, SHAFT_SIDE, SHAFT_SPLIT, SHAFT_GAP = 1.5, 40.0, 9.0, 3, 4
 
 
@@ -36,7 +37,7 @@ def skeleton_graph(free: np.ndarray, res: float, spur: float) -> tuple[list[dict
         chains = left
     used = sorted({x for a, b, _ in chains for x in (a, b)}) or list(range(min(1, len(nodes))))
     new = {x: i for i, x in enumerate(used)}
-    kind = lambda v: "corridor" if v >= CORRIDOR else "room"
+    kind = lambda v: "corridor" if v >= CORRIDOR else "passage"
     out = [{"i": new[x], "r": nodes[x][0], "c": nodes[x][1], "clear": float(depth[nodes[x]]), "kind": kind(depth[nodes[x]])} for x in used]
     edges = [{"a": new[a], "b": new[b], "m": length(p) * res, "clear": float(np.median([depth[q] for q in p])), "cells": p} for a, b, p in chains if length(p) * res >= 0.2]
     return out, edges
@@ -62,16 +63,23 @@ def _frame(lines: list[np.ndarray], res: float, margin: int = 8) -> tuple[tuple[
     return (int(size[1]), int(size[0])), origin
 
 
-def floor_masks(walls: list[np.ndarray], doors: list[np.ndarray], rings: list[np.ndarray], res: float = PX) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(free, rooms, origin): walkable cells with doors open, and closed rooms with doors shut, both within the filled plan and the footprint."""
-    shape, origin = _frame(walls + doors, res)
-    wall = raster.dilate(raster.draw(shape, walls, tuple(origin), res), 1)
-    door = raster.dilate(raster.draw(shape, doors, tuple(origin), res), 3) if doors else np.zeros(shape, dtype=bool)
-    mass = raster.filled_mass(wall | door, 8)
+def floor_masks(walls: list[np.ndarray], doors: list[np.ndarray], rings: list[np.ndarray], drawn: list[np.ndarray] = (), res: float = PX) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(free, rooms, origin): walkable cells with doors open, and closed rooms with doors shut.
+
+    Both lie in the envelope of all that is drawn (walls, doors and the rest), closed
+    and filled, within the footprint grown by BEYOND metres."""
+    shape, origin = _frame(list(walls), res)
+    image = lambda lines: raster.draw(shape, lines, tuple(origin), res) if lines else np.zeros(shape, dtype=bool)
+    wall, door = image(list(walls)), image(list(doors))
+    mass = raster.fill_holes(raster.closing(wall | door | image(list(drawn)), ENVELOPE_R))
     if rings:
-        mass &= raster.dilate(raster.polygon_mask(shape, rings, tuple(origin), res), 2)
-    deep = raster.distance(np.pad(mass & ~(wall & ~door), 1))[1:-1, 1:-1] * res
-    return deep >= CLEAR, mass & ~(wall | door), origin
+        pad = int(np.ceil(BEYOND / res)) + 1  # a footprint may lie beyond the frame
+        print_ = raster.polygon_mask((shape[0] + 2 * pad, shape[1] + 2 * pad), rings, tuple(origin - pad * res), res)
+        mass &= (raster.distance(~print_) * res <= BEYOND)[pad:-pad, pad:-pad]
+    mass = raster.keep_large(mass, KEPT)
+    solid = raster.dilate(wall, WALL_R) & ~raster.dilate(door, WALL_R + 1)
+    deep = raster.distance(np.pad(mass & ~solid, 1))[1:-1, 1:-1] * res
+    return deep >= CLEAR, mass & ~raster.dilate(wall | door, WALL_R), origin
 
 
 def rooms_of(inner: np.ndarray, origin: np.ndarray, res: float = PX) -> list[dict]:
@@ -90,13 +98,13 @@ def rooms_of(inner: np.ndarray, origin: np.ndarray, res: float = PX) -> list[dic
 
 
 def level_graphs(plans: DataFrame, res: float = PX) -> DataFrame:
-    """(code, level, status, nodes, edges, rooms) of each floor (code, level, walls, doors, rings).
+    """(code, level, status, nodes, edges, rooms) of each floor (code, level, walls, doors, rings, and drawn where there are lines of other kinds).
 
     A floor that fails keeps a row with the error as its status."""
 
-    def one(walls, doors, rings):
-        walls, doors, rings = ([polyline._array(x) for x in (v if v is not None else [])] for v in (walls, doors, rings))
-        free, inner, origin = floor_masks(walls, doors, rings, res)
+    def one(walls, doors, rings, drawn):
+        walls, doors, rings, drawn = ([polyline._array(x) for x in (v if v is not None else [])] for v in (walls, doors, rings, drawn))
+        free, inner, origin = floor_masks(walls, doors, rings, drawn, res)
         nodes, edges = skeleton_graph(free, res, SPUR)
         at = lambda r, c: {"x": float((c + 0.5) * res + origin[0]), "y": float((r + 0.5) * res + origin[1])}
         rooms = []
@@ -116,13 +124,13 @@ def level_graphs(plans: DataFrame, res: float = PX) -> DataFrame:
         for p in table.to_pylist():
             row = {"code": p["code"], "level": p["level"], "status": "ok", "nodes": [], "edges": [], "rooms": []}
             try:
-                row |= dict(zip(("nodes", "edges", "rooms"), one(p["walls"], p["doors"], p["rings"]), strict=True))
+                row |= dict(zip(("nodes", "edges", "rooms"), one(p["walls"], p["doors"], p["rings"], p.get("drawn")), strict=True))
             except (ValueError, IndexError) as e:
                 row["status"] = f"{type(e).__name__}: {e}"
             rows.append(row)
         return pa.Table.from_pylist(rows, schema=arrow)
 
-    return plans.select("code", "level", "walls", "doors", "rings").groupBy("code", "level").applyInArrow(run, schema)
+    return plans.select("code", "level", "walls", "doors", "rings", *(["drawn"] if "drawn" in plans.columns else [])).groupBy("code", "level").applyInArrow(run, schema)
 
 
 def shafts_of(mask: np.ndarray, res: float) -> list[np.ndarray]:
@@ -214,6 +222,11 @@ def upsert(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
     return both.select(key, *(F.coalesce(F.col(f"_new_{c}"), F.col(c)).alias(c) if c in new.columns else F.col(c) for c in columns), *(F.col(f"_new_{c}").alias(c) for c in extra))
 
 
+def upsert_coded(old: DataFrame, new: DataFrame) -> DataFrame:
+    """upsert by code; rows whose code is not a valid one are not taken over."""
+    return upsert(old, new.where(valid_code("code")), "code")
+
+
 def valid_code(code) -> F.Column:
     return S.c(code).rlike("^[A-Za-z0-9_ -]{1,40}$")
 

@@ -60,14 +60,16 @@ def next_above(levels: DataFrame) -> DataFrame:
 
 
 def text_groups(ink: DataFrame, key: str, reach: int = 12, least: int = 60, most: int = 200_000_000) -> DataFrame:
-    """(key, label, r0, c0, r1, c1, ink): inked cells (key, r, c) grouped where at most reach apart; groups of little ink go.
+    """(key, status, label, r0, c0, r1, c1, ink): inked cells (key, r, c) grouped where at most reach apart; groups of little ink go.
 
-    A page whose frame exceeds most cells gives none, since its frame is not a plan. Reading the text of a group is for an OCR engine."""
+    A page whose frame exceeds most cells, which no plan's does, gives one row of status 'too large' with its frame and all
+    its ink. Reading the text of a group is for an OCR engine."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = [key, "label", "r0", "c0", "r1", "c1", "ink"]
+        names = [key, "status", "label", "r0", "c0", "r1", "c1", "ink"]
+        own = pdf[key].iloc[0]
         if (np.ptp(pdf["r"]) + 3) * (np.ptp(pdf["c"]) + 3) > most:
-            return pd.DataFrame(columns=names)
+            return pd.DataFrame([(own, "too large", 0, int(pdf["r"].min()), int(pdf["c"].min()), int(pdf["r"].max()), int(pdf["c"].max()), len(pdf))], columns=names)
         m, r0, c0 = raster.to_mask(pdf)
         labels, n = raster.label(raster.dilate(np.pad(m, reach), reach // 2))
         labels = labels[reach:-reach, reach:-reach]
@@ -75,8 +77,8 @@ def text_groups(ink: DataFrame, key: str, reach: int = 12, least: int = 60, most
         for i in range(1, n + 1):
             ys, xs = np.nonzero((labels == i) & m)
             if len(ys) >= least:
-                rows.append((pdf[key].iloc[0], i, int(ys.min()) + r0, int(xs.min()) + c0, int(ys.max()) + r0, int(xs.max()) + c0, len(ys)))
+                rows.append((own, "ok", i, int(ys.min()) + r0, int(xs.min()) + c0, int(ys.max()) + r0, int(xs.max()) + c0, len(ys)))
         return pd.DataFrame(rows, columns=names)
 
     kind = ink.schema[key].dataType.simpleString()
-    return ink.select(key, "r", "c").groupBy(key).applyInPandas(run, f"{key} {kind}, label int, r0 int, c0 int, r1 int, c1 int, ink long")
+    return ink.select(key, "r", "c").groupBy(key).applyInPandas(run, f"{key} {kind}, status string, label int, r0 int, c0 int, r1 int, c1 int, ink long")

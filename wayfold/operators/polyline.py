@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,43 +54,47 @@ def simplify(points: Column | str, tolerance: float) -> Column:
 
 
 def chain_lines(lines: list[np.ndarray], gap: float = 0.5) -> np.ndarray | None:
-    """Lines joined end to end in order, whatever way each runs; None where one doesn't fit."""
-    if not lines:
-        return None
-    same = lambda a, b: np.hypot(*(a - b)) < gap
-    path = lines[0]
+    """Lines joined end to end in order, whatever way each runs; None where one doesn't fit.
+
+    A line goes on at the tail if either of its ends is there, else at the head."""
+    pieces = deque(lines[:1])
     for line in lines[1:]:
-        if same(path[-1], line[0]):
-            path = np.vstack([path, line[1:]])
-        elif same(path[-1], line[-1]):
-            path = np.vstack([path, line[::-1][1:]])
-        elif same(path[0], line[-1]):
-            path = np.vstack([line[:-1], path])
-        elif same(path[0], line[0]):
-            path = np.vstack([line[::-1][:-1], path])
+        at = np.array([pieces[-1][-1], pieces[0][0]])[:, None, :] - line[[0, -1]][None, :, :]
+        tail, head = np.hypot(at[..., 0], at[..., 1]) < gap  # each for the line's first and last point
+        if tail.any():
+            pieces.append((line if tail[0] else line[::-1])[1:])
+        elif head.any():
+            pieces.appendleft((line if head[1] else line[::-1])[:-1])
         else:
             return None
-    return path
+    return np.vstack(pieces) if pieces else None
 
 
 def rings_of(lines: list[np.ndarray]) -> list[np.ndarray]:
-    """Closed rings of four points or more from unordered lines whose ends are equal."""
-    left, out = list(lines), []
-    while left:
-        ring = left.pop(0)
-        while not (ring[0] == ring[-1]).all():
-            for i, line in enumerate(left):
-                if (line[0] == ring[-1]).all():
-                    ring = np.vstack([ring, line[1:]])
-                elif (line[-1] == ring[-1]).all():
-                    ring = np.vstack([ring, line[::-1][1:]])
-                else:
-                    continue
-                del left[i]
-                break
-            else:
+    """Closed rings of four points or more from unordered lines whose ends are equal.
+
+    An index from end points to the lines that have them there is walked from the
+    first line not yet used; of several lines at a point the first is taken."""
+    at: dict[tuple, list[int]] = {}
+    for i, line in enumerate(lines):
+        for end in (0, -1):
+            at.setdefault(tuple(line[end]), []).append(i)
+    free = dict.fromkeys(range(len(lines)))
+    out = []
+    while free:
+        walk = [lines[next(iter(free))]]
+        del free[next(iter(free))]
+        start, here = tuple(walk[0][0]), tuple(walk[0][-1])
+        while here != start:
+            nxt = next((i for i in at[here] if i in free), None)
+            if nxt is None:
                 break
-        if len(ring) >= 4 and (ring[0] == ring[-1]).all():
+            del free[nxt]
+            line = lines[nxt] if tuple(lines[nxt][0]) == here else lines[nxt][::-1]
+            walk.append(line[1:])
+            here = tuple(line[-1])
+        ring = np.vstack(walk)
+        if here == start and len(ring) >= 4:
             out.append(ring)
     return out
 

@@ -108,7 +108,9 @@ def to_segments(hops: DataFrame, nodes: DataFrame, links: DataFrame, edges: Data
     wide = assemble([hops, hops.sparkSession.createDataFrame([], "coords array<struct<lon:double,lat:double,z:double>>, level double, to_level double, vertical string, link string, building string")])
     full = wide.join(ends("a"), "a", "left").join(ends("b"), "b", "left").join(geometry, "link", "left")
     if edges is not None:  # outdoor lines, stored from a to b
-        full = full.join(edges.select(F.col("a").alias("_ea"), F.col("b").alias("_eb"), F.col("geom").alias("_g")), ((F.col("a") == F.col("_ea")) & (F.col("b") == F.col("_eb"))) | ((F.col("a") == F.col("_eb")) & (F.col("b") == F.col("_ea"))), "left")
+        pair = lambda: [F.least("a", "b").alias("_lo"), F.greatest("a", "b").alias("_hi")]
+        lines = edges.select(*pair(), F.col("a").alias("_ea"), F.col("geom").alias("_g"))
+        full = full.select("*", *pair()).join(lines, ["_lo", "_hi"], "left").drop("_lo", "_hi")
     else:
         full = full.withColumns({"_ea": F.lit(None).cast("string"), "_g": F.lit(None).cast("array<struct<lon:double,lat:double>>")})
     at = lambda line, z: F.transform(line, lambda p: F.struct(p["lon"].alias("lon"), p["lat"].alias("lat"), z.cast("double").alias("z")))

@@ -5,8 +5,15 @@ Point tables have columns id, x, y (metres). Ties go to the smaller id or ordina
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from ..functions import scalars as S
 
@@ -45,17 +52,41 @@ def snap(doors: DataFrame, vertices: DataFrame, nodes: DataFrame, cap: float = 6
     return first.withColumn("stage", F.lit("centroid")).unionByName(second.withColumn("stage", F.lit("vertex")))
 
 
-def knn(queries: DataFrame, points: DataFrame, k: int, vector: str = "v", digits: int = 6) -> DataFrame:
+def knn(queries: DataFrame, points: DataFrame, k: int, vector: str = "v", digits: int = 6, block: int = 5_000) -> DataFrame:
     """(query_id, id, d2, rank): a stated set of queries against all rows, by squared distance.
 
-    The queries are few and their number is checked; they are broadcast and each
-    task keeps k rows a query, so the shuffle carries k per task and query."""
-    n = queries.limit(10_001).count()
-    q = queries.select(F.col("id").alias("query_id"), F.col(vector).alias("q"))
-    d2 = F.aggregate(F.zip_with("q", vector, lambda a, b: (a - b) * (a - b)), F.lit(0.0).cast("double"), lambda s, x: s + x)
-    pairs = points.join(F.broadcast(q) if n <= 10_000 else q, F.col("id") != F.col("query_id")).select("query_id", "id", F.round(d2, digits).alias("d2"))
+    Queries go out in blocks of about so many; a task holds k rows a query and
+    block, so the shuffle carries k per task and query, never the pairs."""
+    spark = queries.sparkSession
+    blocks = max(1, -(-queries.count() // block))
+    dealt = queries.select(F.col("id").alias("query_id"), F.col(vector).alias("q"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("_block"))
+    kind = points.schema["id"].dataType.simpleString()
+
+    def near(n: int) -> DataFrame:
+        rows = dealt.where(F.col("_block") == n).collect()  # one block
+        if not rows:
+            return spark.createDataFrame([], f"query_id {kind}, id {kind}, d2 double")
+        sent = spark.sparkContext.broadcast(([r.query_id for r in rows], np.array([r.q for r in rows], dtype=float)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, q = sent.value
+            best = [[] for _ in ids]
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                own, v = b.column(0).to_pylist(), np.array(b.column(1).to_pylist(), dtype=float)
+                for i, one in enumerate(q):
+                    d2 = np.round(((v - one) ** 2).sum(axis=1), digits)
+                    few = np.flatnonzero(d2 <= np.partition(d2, min(k, len(d2) - 1))[min(k, len(d2) - 1)])
+                    best[i] = sorted([*best[i], *((float(d2[x]), own[x]) for x in few if own[x] != ids[i])])[:k]
+            out = [(i, x, d) for i, rows in zip(ids, best, strict=True) for d, x in rows]
+            yield pa.RecordBatch.from_pylist([{"query_id": i, "id": x, "d2": d} for i, x, d in out], schema=arrow)
+
+        arrow = to_arrow_schema(StructType.fromDDL(f"query_id {kind}, id {kind}, d2 double"))
+        return points.select("id", vector).where(F.col(vector).isNotNull()).mapInArrow(run, f"query_id {kind}, id {kind}, d2 double")
+
     w = Window.partitionBy("query_id").orderBy("d2", "id")
-    return pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return reduce(DataFrame.unionByName, (near(n) for n in range(blocks))).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def polygons_at_points(points: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
@@ -98,18 +129,19 @@ def nearest_pair(outlines: DataFrame) -> DataFrame:
     return both.groupBy("id").agg(F.min_by(F.struct("p", "q", "d"), F.struct("d", "side", "vi", "si")).alias("m")).select("id", "m.p", "m.q", "m.d")
 
 
-def enter(paths: DataFrame, depth: float = 12.0) -> DataFrame:
-    """Paths (id, path, rings, centroid) made to end depth metres inside their building."""
-    p = F.element_at("path", -1)
+def enter(paths: DataFrame, depth: float = 12.0, at_start: bool = False) -> DataFrame:
+    """Paths (id, path, rings, centroid) made to end, or to start, depth metres inside their building."""
+    p = F.get("path", F.lit(0)) if at_start else F.element_at("path", -1)
     edges = F.flatten(F.transform("rings", lambda r: S.segments(F.concat(r, F.slice(r, 1, 1)))))
     best = F.aggregate(
         F.transform(edges, lambda s: S.nearest_on_segment(p, s["a"], s["b"])),
         S.nearest_on_segment(p, F.get(edges, F.lit(0))["a"], F.get(edges, F.lit(0))["b"]),
         lambda best, q: F.when(S.distance(p, q) < S.distance(p, best), q).otherwise(best),
     )
-    step = paths.withColumn("q", best).withColumn("deep", S.add(F.col("q"), S.scaled(S.unit(S.subtract(F.col("q"), p)), depth)))
-    deep = F.when(S.inside_any(F.col("deep"), "rings"), F.col("deep")).otherwise(S.add(F.col("q"), S.scaled(S.unit(S.subtract(F.col("centroid"), F.col("q"))), depth)))
-    return step.withColumn("path", F.when(S.inside_any(p, "rings"), F.col("path")).otherwise(F.concat("path", F.array(F.col("q"), deep)))).drop("q", "deep")
+    step = paths.withColumn("_q", best).withColumn("_in", S.add(F.col("_q"), S.scaled(S.unit(S.subtract(F.col("_q"), p)), depth)))
+    deep = F.when(S.inside_any(F.col("_in"), "rings"), F.col("_in")).otherwise(S.add(F.col("_q"), S.scaled(S.unit(S.subtract(F.col("centroid"), F.col("_q"))), depth)))
+    longer = F.concat(F.array(deep, F.col("_q")), "path") if at_start else F.concat("path", F.array(F.col("_q"), deep))
+    return step.withColumn("path", F.when(S.inside_any(p, "rings"), F.col("path")).otherwise(longer)).drop("_q", "_in")
 
 
 def level_nearest(rows: DataFrame, levels: DataFrame, keys: tuple[str, ...] = (), usable: int = 30) -> DataFrame:

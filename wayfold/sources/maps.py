@@ -122,9 +122,9 @@ def plan_corpus(drawings: DataFrame, labels: DataFrame) -> DataFrame:
     by = lambda key, most: (
         d.groupBy("file", key).agg(F.sum("items").alias("n"))
         .withColumn("_r", F.row_number().over(Window.partitionBy("file").orderBy(F.desc("n"), key)))
-        .where(F.col("_r") <= most).groupBy("file").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, "n")))).alias(f"per_{key}"))
+        .where(F.lit(most is None) | (F.col("_r") <= (most or 0))).groupBy("file").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct(key, "n")))).alias(f"per_{key}"))
     )
     layered = d.groupBy("file").agg(F.max((F.col("layer") != "(none)").cast("int")).alias("layered"), F.count("*").alias("drawings"))
-    out = labels.join(layered, "file").join(by("class", 1000), "file", "left").join(by("layer", 40), "file", "left")
+    out = labels.join(layered, "file").join(by("class", None), "file", "left").join(by("layer", 40), "file", "left")
     rooms = F.try_element_at("per_class", F.lit("room_no"))
     return out.select("file", "label", R.level("label", "file").alias("level"), R.level_of_file("file").alias("level_from_file"), R.tier(F.col("layered") == 1, rooms).alias("tier"), "drawings", "per_class", "per_layer")
