@@ -147,6 +147,11 @@ def matches(query: str, *columns: Column | str) -> Column:
     return out
 
 
+def casts_shadow(kind: Column | str) -> Column:
+    """Doorways have no length to cast a shadow."""
+    return c(kind) != "doorway"
+
+
 def kind_rank(kind: Column | str) -> Column:
     return F.when(c(kind) == "tunnel", 0).when(c(kind) == "bridge", 1).otherwise(2)
 

@@ -82,3 +82,21 @@ def route_uses(hops: DataFrame, wanted: list[str]) -> DataFrame:
 def over_budget(files: DataFrame, kilobytes: int) -> DataFrame:
     """Files (path, bytes) larger than a budget."""
     return files.where(F.col("bytes") > kilobytes * 1024)
+
+
+def preview(rows: DataFrame, n: int) -> DataFrame:
+    """The first n rows by code and level, rows without a level last: a report, not a data set."""
+    return rows.orderBy("code", F.coalesce("level", F.lit(99))).limit(n)
+
+
+def build_statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(part, kind, n, metres): nodes and edges by kind."""
+    a = nodes.groupBy("kind").agg(F.count("*").alias("n")).select(F.lit("node").alias("part"), "kind", "n", F.lit(0.0).alias("metres"))
+    return a.unionByName(edges.groupBy("kind").agg(F.count("*").alias("n"), F.sum("m").alias("metres")).select(F.lit("edge").alias("part"), "kind", "n", "metres"))
+
+
+def chosen(buildings: DataFrame, codes: list[str] | None = None, registered: bool = False, core: list[str] | None = None) -> DataFrame:
+    """Buildings (code, method, ...) that a run works on: those named, else the core ones, else all; only those with a registration where asked."""
+    wanted = codes or core
+    out = buildings.where(F.col("code").isin(wanted)) if wanted else buildings
+    return out.where(F.col("method").isNotNull() & (F.col("method") != "no-footprint")) if registered else out

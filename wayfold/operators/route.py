@@ -42,6 +42,11 @@ def alive_edges(edges: DataFrame, nodes: DataFrame, links: DataFrame) -> tuple[D
     return left, edges.join(ids.withColumnRenamed("id", "a"), "a", "left_semi").join(ids.withColumnRenamed("id", "b"), "b", "left_semi")
 
 
+def linked_buildings(links: DataFrame) -> DataFrame:
+    """(building): each building that a link ends at."""
+    return links.select(F.explode(F.array("from", "to")).alias("building")).distinct()
+
+
 def buildings(points: DataFrame) -> DataFrame:
     """Building vertices (id, building, lon, lat) at the mean of their portals."""
     mean = points.groupBy("building").agg(F.avg("lon").alias("lon"), F.avg("lat").alias("lat"))

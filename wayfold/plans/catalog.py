@@ -51,7 +51,7 @@ def link_filter(spark, d):
 @query("""SELECT p_partkey, p_name, p_brand, CASE p_type WHEN 'PROMO' THEN 0 WHEN 'LARGE' THEN 1 ELSE 2 END AS rank FROM part
 WHERE contains(lower(p_name), 'ring') OR contains(lower(p_brand), 'ring') OR contains(lower(p_type), 'ring') ORDER BY rank, p_brand, p_partkey""")
 def link_search_sort(spark, d):
-    rank = F.when(F.col("p_type") == "PROMO", 0).when(F.col("p_type") == "LARGE", 1).otherwise(2)
+    rank = R.kind_rank(F.when(F.col("p_type") == "PROMO", "tunnel").when(F.col("p_type") == "LARGE", "bridge").otherwise("doorway"))
     found = V.table(spark, d, "part").where(R.matches(" RING ", "p_name", "p_brand", "p_type"))
     return found.select("p_partkey", "p_name", "p_brand", rank.alias("rank")).orderBy("rank", "p_brand", "p_partkey")
 
@@ -459,9 +459,12 @@ def closed_masks(spark, d):
     return raster.close_cells(_cells(spark, d), "nation", 2, True, 0.06).groupBy("nation").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""SELECT n_nationkey AS code, CAST(f AS INTEGER) AS floor, CASE WHEN f = 0 THEN 0 ELSE -(n_nationkey % 4 + 1) END AS dr, CASE WHEN f = 0 THEN 0 ELSE 3 END AS dc, 1.0::DOUBLE AS score FROM nation, range(2) t(f) WHERE n_nationkey IN (SELECT c_nationkey FROM customer)""")
 def phase_correlate(spark, d):
-    return georef.floor_shift(_cells(spark, d).withColumnRenamed("nation", "code").withColumn("floor", F.pmod(F.hash("r"), F.lit(1))), "code")
+    """Each nation's blobs as its ground floor, and moved by a planted shift as the next."""
+    low = _cells(spark, d).withColumnRenamed("nation", "code")
+    high = low.select("code", (F.col("r") + F.col("code") % 4 + 1).alias("r"), (F.col("c") - 3).alias("c"), F.lit(1).alias("floor"))
+    return georef.floor_shift(low.withColumn("floor", F.lit(0)).unionByName(high), "code").select("code", "floor", "dr", "dc", "score")
 
 
 @query()
@@ -477,3 +480,6 @@ def route_steps(spark, d):
     far = dist.orderBy(F.desc("d"), "id").limit(1).select("src", F.col("id").alias("target"))
     hops = graph.paths(dist, far)
     return hops.join(dist.select("id", "d"), "id").select("target", "hop", "id", "d")
+
+
+from . import campus  # noqa: E402, F401  more queries, registered by import
