@@ -23,9 +23,11 @@ BROADCAST_ROWS = 500_000
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from spark.checkpoint.dir.
 
-    Only where the session names none (tests) a temporary one is set."""
+    Only where a local session names none (tests) a temporary one is set."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("wayfold.shared.dir", "")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = "file://" + tempfile.mkdtemp(prefix="wayfold-")
         spark.conf.set("wayfold.shared.dir", found)
         spark.sparkContext.setCheckpointDir(found)

@@ -118,7 +118,8 @@ def choose(rows: Rows, y: np.ndarray, use: np.ndarray) -> np.ndarray:
 
 def fit(rows: Rows, other: np.ndarray, y: np.ndarray, use: np.ndarray) -> Linear:
     """L2-regularised logistic regression by L-BFGS."""
-    mean, scale = other[use].mean(axis=0), np.maximum(other[use].std(axis=0), 1e-3)
+    some = other[use] if use.any() else np.zeros((1, other.shape[1]))
+    mean, scale = some.mean(axis=0), np.maximum(some.std(axis=0), 1e-3)
     none = np.zeros(0, dtype=rows.names.dtype)
     if len(set(y[use].tolist())) < 2:
         return Linear(none, np.zeros(0), mean, scale, float(y[use].mean()) if use.any() else 0.0)
@@ -233,7 +234,7 @@ def features(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
 
 
 def sample(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], most: int) -> list:
-    """Features of the labelled rows with the least hash of doc_id; at most most rows come to the driver."""
+    """Features of the labelled rows with the least hash of doc_id; at most most rows come to the driver. More than 65,535 mentions in a text count as so many."""
     known = labels.where(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(*(F.max(F.coalesce(F.col(c).cast("int"), F.lit(0))).alias(f"y{i}") for i, c in enumerate(categories)))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
@@ -243,7 +244,7 @@ def sample(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...], most
             if b.num_rows:
                 found = features(common.strings(b.column(1)))
                 other = dense(common.strings(b.column(1)))
-                yield pa.RecordBatch.from_arrays([*b.columns[:1], *b.columns[2:], pa.array([h.astype("<u4").tobytes() for h, _ in found], pa.binary()), pa.array([c.astype("<u2").tobytes() for _, c in found], pa.binary()), pa.array(other.tolist(), pa.list_(pa.float64()))], names)
+                yield pa.RecordBatch.from_arrays([*b.columns[:1], *b.columns[2:], pa.array([h.astype("<u4").tobytes() for h, _ in found], pa.binary()), pa.array([np.minimum(c, 65535).astype("<u2").tobytes() for _, c in found], pa.binary()), pa.array(other.tolist(), pa.list_(pa.float64()))], names)
 
     ys = [f"y{i}" for i in range(len(categories))]
     names = ["doc_id", *ys, "hashes", "counts", "other"]
