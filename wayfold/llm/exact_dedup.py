@@ -104,7 +104,7 @@ def dedup(spark: SparkSession, docs: DataFrame, digest: Callable[[bytes], bytes]
     classes = common.stage(from_batch.unionByName(exact.select("digest", "keep_id", "size").join(batch.select("digest"), "digest", "left_anti")), folder, "classes")
 
     # every group of two rows or more: the bytes
-    several = rows.join(classes.where("size > 1").select("digest"), "digest", "left_semi").select("doc_id").distinct()
+    several = common.join_classes(rows, classes.where("size > 1"), ["digest"], "size", total).select("doc_id").distinct()
     texts = common.semi_by_id(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), several, "doc_id")
 
     @common.lean
