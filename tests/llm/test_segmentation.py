@@ -3,6 +3,7 @@ import random
 import zlib
 
 import numpy as np
+import sentencepiece
 
 from wayfold.llm import segmentation
 
@@ -41,7 +42,7 @@ def test_n_best_is_exact():
             ids = [tuple(np.frombuffer(b, dtype="<u4").tolist()) for _, b in got]
             assert [round(s, 4) for s, _ in got] == [round(s, 4) for s in scores], text
             assert len(set(ids)) == len(ids) and set(ids) <= every
-            assert seg.decode(list(ids[0])) == text
+            assert all(seg.decode(x) == text for x in ids)
             assert all(a >= b for (a, _), (b, _) in itertools.pairwise(got))
 
 
@@ -54,3 +55,21 @@ def test_rows(spark):
         assert [(r.score, r.n_pieces, r.ids_crc32) for r in sorted(got, key=lambda r: r.rank) if r.doc_id == i] == want
     assert [(r.rank, r.score, r.n_pieces) for r in got if r.doc_id == 2] == [(1, 0.0, 0)] * 2
     assert segmentation.n_best(docs.limit(0), segmentation.default_path(), 3).collect() == []
+
+
+def test_decoding(spark):
+    path = segmentation.default_path()
+    texts = ["some words here", "  two  spaces ", "\u00e9\u4f60\U0001f600\n\tx", "a\u2581b", "", None, "word " * 5_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = segmentation.n_best(docs, path, 3, with_ids=True)
+    rows = segmentation.decode(found, path).collect()
+    assert {r.doc_id for r in rows} == set(range(len(texts))) and len(rows) > 2 * len(texts)
+    for r in rows:
+        assert r.text == (texts[r.doc_id] or "").replace("\u2581", " ") and r.decoded
+        assert zlib.crc32(np.array(r.ids, dtype="<u4").tobytes()) == r.ids_crc32 and len(r.ids) == r.n_pieces
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    for r in rows:
+        assert r.text == library.decode(r.ids)
+    odd = spark.createDataFrame([(1, None), (2, []), (3, [10**8, -1, None])], "k int, ids array<int>")
+    assert [r.text for r in segmentation.decode(odd, path).orderBy("k").collect()] == [None, "", "\ufffd\ufffd\ufffd"]
+    assert segmentation.decode(odd.limit(0), path).collect() == []

@@ -14,8 +14,13 @@ runs over these, in each segment and then over the text.
 A character without a piece becomes its byte pieces at a score ten below the
 model's least. Encoding puts the model's space mark for spaces and before the
 text. A null or empty text has one segmentation, of no pieces. Repeated rows are
-encoded each. Texts of equal score come in any order. Other columns are not read.
-An empty table gives an empty result.
+encoded each. Segmentations of equal score come in the order in which the search
+finds them, which depends on the text alone. Other columns are not read. An empty
+table gives an empty result.
+
+Decoding joins the pieces, reads space marks as spaces and takes the first one
+off, so a literal mark of the text comes back as a space, as in the library. Ids
+that the model hasn't become U+FFFD.
 """
 
 from __future__ import annotations
@@ -24,7 +29,7 @@ import heapq
 import itertools
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -58,7 +63,11 @@ class Segmenter:
                 self.bytes_of[int(piece[3:5], 16)] = i
             elif not (sp.is_control(i) or sp.is_unknown(i) or sp.is_unused(i)):
                 self.pieces[piece] = (sp.get_score(i), i)
-        self.text_of = {i: p for p, (_, i) in self.pieces.items()}
+        self.said = ["\ufffd".encode()] * sp.get_piece_size()  # what each id decodes to
+        for piece, (_, i) in self.pieces.items():
+            self.said[i] = piece.replace(MARK, " ").encode()
+        for byte, i in self.bytes_of.items():
+            self.said[i] = bytes([byte])
         self.unknown_id = sp.unk_id()
         self.unknown = min(s for s, _ in self.pieces.values()) - 10
         self.longest = max(map(len, self.pieces))
@@ -217,12 +226,12 @@ class Segmenter:
             firsts = [known.get(w) or self.first(w) for w in words]
         return self.combine(words, firsts)
 
-    def decode(self, ids: list[int]) -> str:
-        out = bytearray()
-        back = {i: b for b, i in self.bytes_of.items()}
-        for i in ids:
-            out += bytes([back[i]]) if i in back else self.text_of.get(i, "\ufffd").encode()
-        return out.decode("utf-8", "replace").replace(MARK, " ").removeprefix(" ")
+    def decode(self, ids: Sequence[int]) -> str:
+        try:
+            out = b"".join(map(self.said.__getitem__, ids))
+        except IndexError:
+            out = b"".join(self.said[i] if i < len(self.said) else self.said[self.unknown_id] for i in ids)
+        return out.decode("utf-8", "replace").removeprefix(" ")
 
 
 def segmenter(path: str, n: int) -> Segmenter:
@@ -237,18 +246,46 @@ def default_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def n_best(docs: DataFrame, path: str, n: int) -> DataFrame:
-    """(doc_id, rank, score, n_pieces, ids_crc32), a row for each of the n best segmentations there are."""
+def n_best(docs: DataFrame, path: str, n: int, with_ids: bool = False) -> DataFrame:
+    """(doc_id, rank, score, n_pieces, ids_crc32, decoded), a row for each of the n best segmentations there are.
+
+    decoded says whether its ids decode to the whole text, space marks read as
+    spaces. With with_ids the rows hold the ids too, for decode()."""
+    kinds = [pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.int64(), pa.bool_()]
+    names = ["doc_id", "rank", "score", "n_pieces", "ids_crc32", "decoded"]
+    schema = "doc_id long, rank int, score double, n_pieces long, ids_crc32 long, decoded boolean"
+    if with_ids:
+        kinds, names, schema = [*kinds, pa.list_(pa.int32())], [*names, "ids"], schema + ", ids array<int>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seg = segmenter(path, n)
         for b in batches:
-            out = [(doc_id, rank, score, len(ids) // 4, zlib.crc32(ids)) for doc_id, text in zip(b.column(0).to_pylist(), common.strings(b.column(1)), strict=True) for rank, (score, ids) in enumerate(seg.n_best(text), 1)]
+            out = []
+            for doc_id, text in zip(b.column(0).to_pylist(), common.strings(b.column(1)), strict=True):
+                plain = text.replace(MARK, " ")
+                for rank, (score, ids) in enumerate(seg.n_best(text), 1):
+                    numbers = array("I", ids)
+                    row = (doc_id, rank, score, len(numbers), zlib.crc32(ids), seg.decode(numbers) == plain)
+                    out.append((*row, numbers.tolist()) if with_ids else row)
             if out:
-                kinds = (pa.int64(), pa.int32(), pa.float64(), pa.int64(), pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], ["doc_id", "rank", "score", "n_pieces", "ids_crc32"])
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+
+
+def decode(rows: DataFrame, path: str, ids: str = "ids", into: str = "text") -> DataFrame:
+    """The rows with the text that their ids (array of whole numbers) stand for; null ids give null, a null or unknown id U+FFFD."""
+    at = rows.columns.index(ids)
+    rows = rows.withColumn(ids, F.col(ids).cast("array<int>"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seg = segmenter(path, 1)
+        for b in batches:
+            texts = [None if x is None else seg.decode([seg.unknown_id if i is None or i < 0 else i for i in x]) for x in b.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string())], [*b.schema.names, into])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, rank int, score double, n_pieces long, ids_crc32 long")
+    fields = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), f"`{into}` string"])
+    return rows.mapInArrow(run, fields)
 
 
 def op5_n_best(spark: SparkSession, sf_dir: str) -> DataFrame:
