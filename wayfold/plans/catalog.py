@@ -424,10 +424,21 @@ def room_numbers(spark, d):
     return V.table(spark, d, "part").select("p_partkey", R.plausible_room(R.clean_text(text), (F.col("p_size") % 9).cast("double")).alias("ok"))
 
 
-# grouped kernels: no SQL; tests hold them against brute force ------------------------------------------------------
-
-
-@query()
+# grouped kernels: the SQL states them as recursions over cells and segments -------------------------------------------
+
+
+@query(f"""WITH RECURSIVE {V.CUSTOMER_SITES}, pt AS MATERIALIZED (SELECT nation, x, y, row_number() OVER (PARTITION BY nation ORDER BY id) AS i FROM cs),
+seg(nation, lo, hi) AS (SELECT nation, min(i), max(i) FROM pt GROUP BY nation UNION ALL
+ SELECT nation, CASE WHEN h = 0 THEN lo ELSE i END, CASE WHEN h = 0 THEN i ELSE hi END FROM
+  (SELECT *, row_number() OVER (PARTITION BY nation, lo, hi ORDER BY off DESC, i) AS first FROM
+   (SELECT nation, lo, hi, i, sqrt((qx - t * dx) ** 2 + (qy - t * dy) ** 2) AS off FROM
+    (SELECT *, CASE WHEN dx * dx + dy * dy = 0 THEN 0 ELSE greatest(0, least(1, (qx * dx + qy * dy) / (dx * dx + dy * dy))) END AS t FROM
+     (SELECT s.nation, s.lo, s.hi, p.i, p.x - a.x AS qx, p.y - a.y AS qy, b.x - a.x AS dx, b.y - a.y AS dy FROM seg s
+      JOIN pt a ON a.nation = s.nation AND a.i = s.lo JOIN pt b ON b.nation = s.nation AND b.i = s.hi JOIN pt p ON p.nation = s.nation AND p.i > s.lo AND p.i < s.hi))))
+  CROSS JOIN (VALUES (0), (1)) v(h) WHERE first = 1 AND off > 300),
+kept AS (SELECT nation, lo AS i FROM seg UNION SELECT nation, hi FROM seg),
+step AS (SELECT nation, x, y, lag(x) OVER o AS x0, lag(y) OVER o AS y0 FROM kept JOIN pt USING (nation, i) WINDOW o AS (PARTITION BY nation ORDER BY i))
+SELECT nation, count(*) AS n, round(coalesce(sum(sqrt((x - x0) ** 2 + (y - y0) ** 2)), 0), 3) AS length FROM step GROUP BY nation""")
 def dp_simplify(spark, d):
     return V.lines(spark, d).select("nation", polyline.simplify("pts", 300.0).alias("pts")).select("nation", _long(F.size("pts")).alias("n"), F.round(S.length("pts"), 3).alias("length"))
 
@@ -439,22 +450,59 @@ def _cells(spark, d) -> DataFrame:
     return wide.select("nation", F.col("cy").alias("r"), F.col("cx").alias("c")).distinct()
 
 
-@query()
+_CELLS = f"""{V.CUSTOMER_SITES}, cells AS MATERIALIZED (SELECT DISTINCT nation, CAST(floor(y / 100) AS BIGINT) + i AS r, CAST(floor(x / 100) AS BIGINT) + j AS c FROM cs, range(-1, 2) v(i), range(-1, 2) w(j))"""
+
+
+_FOUR = "(VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) v(i, j)"
+
+
+def _parts(name: str, cells: str) -> str:
+    """SQL of a recursion: cells with the least reading-order key l of their four-neighbour component."""
+    return f"""{name}(nation, r, c, l) USING KEY (nation, r, c) AS (SELECT nation, r, c, (r + 10) * 1000 + c + 10 FROM {cells} UNION
+ SELECT b.nation, b.r, b.c, min(a.l) FROM {name} a CROSS JOIN {_FOUR} JOIN {cells} b ON b.nation = a.nation AND b.r = a.r + i AND b.c = a.c + j
+ JOIN recurring.{name} o ON o.nation = b.nation AND o.r = b.r AND o.c = b.c WHERE a.l < o.l GROUP BY b.nation, b.r, b.c)"""
+
+
+@query(f"""WITH RECURSIVE {_CELLS}, {_parts("part", "cells")}
+SELECT nation, row_number() OVER (PARTITION BY nation ORDER BY l) AS label, count(*) AS n, min(r) AS r0, min(c) AS c0 FROM part GROUP BY nation, l""")
 def label_cells(spark, d):
     return raster.label_cells(_cells(spark, d), "nation").groupBy("nation", "label").agg(F.count("*").alias("n"), F.min("r").alias("r0"), F.min("c").alias("c0"))
 
 
-@query()
+@query(f"""WITH {_CELLS}, beside AS (SELECT DISTINCT nation, r + i AS r, c + j AS c FROM cells, {_FOUR}),
+unset AS (SELECT * FROM beside EXCEPT SELECT nation, r, c FROM cells),
+near AS (SELECT a.nation, a.r, a.c, min((a.r - u.r) ** 2 + (a.c - u.c) ** 2) AS d2 FROM cells a JOIN unset u ON a.nation = u.nation GROUP BY ALL)
+SELECT nation, round(sqrt(max(d2)), 6) AS deepest, count(*) AS n FROM near GROUP BY nation""")
 def edt(spark, d):
     return raster.distance_cells(_cells(spark, d), "nation").groupBy("nation").agg(F.round(F.max("d"), 6).alias("deepest"), F.count("*").alias("n"))
 
 
-@query()
+#: The cells about one, from above it and clockwise.
+_ABOUT = ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1))
+_SET = ", ".join(f"count(*) FILTER (b.r - a.r = {r} AND b.c - a.c = {c}) AS p{i}" for i, (r, c) in enumerate(_ABOUT))
+_TURNS = " + ".join(f"(1 - p{i}) * p{(i + 1) % 8}" for i in range(8))
+
+
+@query(f"""WITH RECURSIVE {_CELLS}, s(k, nation, r, c, last, before) AS (SELECT 0, nation, r, c, CAST(1 AS BIGINT), CAST(1 AS BIGINT) FROM cells UNION ALL
+ SELECT k + 1, nation, r, c, gone_now, last FROM (SELECT *, count(*) FILTER (gone) OVER () AS gone_now FROM
+  (SELECT *, {" + ".join(f"p{i}" for i in range(8))} BETWEEN 2 AND 6 AND {_TURNS} = 1
+    AND CASE WHEN k % 2 = 0 THEN p0 * p2 * p4 + p2 * p4 * p6 ELSE p0 * p2 * p6 + p0 * p4 * p6 END = 0 AS gone FROM
+   (SELECT a.k, a.nation, a.r, a.c, a.last, a.before, {_SET} FROM s a JOIN s b ON a.nation = b.nation AND b.r BETWEEN a.r - 1 AND a.r + 1 AND b.c BETWEEN a.c - 1 AND a.c + 1
+    GROUP BY a.k, a.nation, a.r, a.c, a.last, a.before))) WHERE NOT gone AND last + before > 0)
+SELECT nation, count(*) AS n FROM s WHERE k = (SELECT max(k) FROM s) GROUP BY nation""")
 def skeleton(spark, d):
     return raster.skeleton_cells(_cells(spark, d), "nation").groupBy("nation").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_CELLS}, disk AS (SELECT i, j FROM range(-2, 3) v(i), range(-2, 3) w(j) WHERE i * i + j * j <= 4),
+grown AS MATERIALIZED (SELECT DISTINCT nation, r + i AS r, c + j AS c FROM cells, disk),
+shut AS MATERIALIZED (SELECT g.nation, g.r - i AS r, g.c - j AS c FROM grown g, disk GROUP BY ALL HAVING count(*) = (SELECT count(*) FROM disk)),
+box AS (SELECT nation, min(r) - 1 AS r0, max(r) + 1 AS r1, min(c) - 1 AS c0, max(c) + 1 AS c1 FROM shut GROUP BY nation),
+free AS MATERIALIZED (SELECT nation, r, c FROM box, LATERAL (SELECT unnest(range(r0, r1 + 1)) AS r), LATERAL (SELECT unnest(range(c0, c1 + 1)) AS c) EXCEPT SELECT nation, r, c FROM shut),
+out(nation, r, c) AS (SELECT nation, r0, c0 FROM box UNION SELECT f.nation, f.r, f.c FROM out o CROSS JOIN {_FOUR} JOIN free f ON f.nation = o.nation AND f.r = o.r + i AND f.c = o.c + j),
+whole AS MATERIALIZED (SELECT * FROM shut UNION ALL (SELECT * FROM free EXCEPT SELECT * FROM out)), {_parts("part", "whole")},
+size AS (SELECT nation, count(*) AS n, max(count(*)) OVER (PARTITION BY nation) AS top FROM part GROUP BY nation, l)
+SELECT nation, CAST(sum(n) AS BIGINT) AS n FROM size WHERE n >= 0.06 * top GROUP BY nation""")
 def closed_masks(spark, d):
     return raster.close_cells(_cells(spark, d), "nation", 2, True, 0.06).groupBy("nation").agg(F.count("*").alias("n"))
 
@@ -472,7 +520,12 @@ def walk_graph(spark, d):
     return indoor.walk_graph_cells(_cells(spark, d).withColumnRenamed("nation", "key"), "key", 1.0, 3.0)
 
 
-@query()
+@query(f"""WITH RECURSIVE {V.SUPPLIER_ARCS}, r(n, d) USING KEY (n) AS (SELECT CAST(0 AS BIGINT), CAST(0 AS BIGINT) UNION
+ SELECT e.b, CAST(min(r.d + e.w) AS BIGINT) FROM r JOIN arcs e ON e.a = r.n LEFT JOIN recurring.r c ON c.n = e.b WHERE r.d + e.w < coalesce(c.d, 999999999) GROUP BY e.b),
+pr AS MATERIALIZED (SELECT e.b AS n, CAST(min(CAST(e.a AS VARCHAR)) AS BIGINT) AS p FROM arcs e JOIN r x ON x.n = e.a JOIN r y ON y.n = e.b WHERE x.d + e.w = y.d GROUP BY e.b),
+far AS (SELECT n FROM r ORDER BY d DESC, CAST(n AS VARCHAR) LIMIT 1),
+walk(target, n, back) AS (SELECT n, n, 0 FROM far UNION ALL SELECT w.target, pr.p, w.back + 1 FROM walk w JOIN pr ON pr.n = w.n WHERE w.n <> 0)
+SELECT CAST(target AS VARCHAR) AS target, CAST(max(back) OVER () - back AS INTEGER) AS hop, CAST(walk.n AS VARCHAR) AS id, d FROM walk JOIN r ON r.n = walk.n""")
 def route_steps(spark, d):
     """The way from supplier 0 to the one farthest from it, hop by hop."""
     arcs = V.supplier_arcs(spark, d).withColumns({"m": F.col("w"), "a": F.col("a").cast("string"), "b": F.col("b").cast("string"), "building": F.lit(None).cast("string")})
