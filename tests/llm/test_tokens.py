@@ -7,13 +7,11 @@ from tokenizers import Tokenizer
 from wayfold.llm import packing, token_records
 from wayfold.llm.encode import default_path, encoder
 
-TEXTS = ["", None, "Hello  world\n\n it's 12 x", "<|endoftext|> as text", "Été 你好 \U0001f600 a b", "word " * 30_000, "a", "a"]
+TEXTS = ["", None, "Hello  world\n\n it's 12 x", "<|endoftext|> as a token", "a <|endoftext|> b<|endoftext|><|endoftext|>  c <|endoftext", "<|endoftext|>", "Été 你好 \U0001f600 a b", "word " * 30_000, "a", "a"]
 
 
 def direct(text):
-    t = Tokenizer.from_file(default_path())
-    t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids
+    return Tokenizer.from_file(default_path()).encode(text or "", add_special_tokens=False).ids
 
 
 def docs(spark, texts=TEXTS):

@@ -3,7 +3,7 @@
 A byte-level BPE encodes every pre-token by itself, and single spaces between
 words always begin one, so words are encoded by the library once and looked up
 when they come again. Any other kind of tokenizer encodes whole texts directly.
-Special-token strings in a text are ordinary text.
+An added token's literal in a text is that token, as by the library's default.
 """
 
 from __future__ import annotations
@@ -39,14 +39,16 @@ class Encoder:
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         pre = spec.get("pre_tokenizer") or {}
-        split = spec["model"]["type"] == "BPE" and not spec.get("normalizer") and not spec.get("post_processor") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and all(x["special"] for x in spec.get("added_tokens", []))
+        split = spec["model"]["type"] == "BPE" and not spec.get("normalizer") and not spec.get("post_processor") and pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space") and all(x["special"] and not (x["single_word"] or x["lstrip"] or x["rstrip"]) for x in spec.get("added_tokens", []))
         self.split = regex.compile(BYTE_LEVEL).findall if split else None
         self.wide = self.library.get_vocab_size() > 65536
         self.dtype = np.dtype("<u4" if self.wide else "<u2")
+        self.library.encode_special_tokens = split  # of the words; texts are cut at added tokens before
+        self.added = {x["content"]: np.array([x["id"]], dtype=self.dtype).tobytes() for x in spec.get("added_tokens", [])}
+        self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.added, key=len, reverse=True))) + ")").split
         self.opens = np.zeros(self.library.get_vocab_size(), dtype=bool)  # tokens that begin with a space, as byte-level BPE spells it
         for token, i in self.library.get_vocab().items():
             self.opens[i] = token.startswith("Ġ")
@@ -112,6 +114,14 @@ class Encoder:
             return []
         if not self.split:
             return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.library.encode_batch(texts, add_special_tokens=False)]
+        cut = {i: self.cut(t) for i, t in enumerate(texts) if any(a in t for a in self.added)}  # text, added token, text, ...
+        if not cut:
+            return self._plain(texts)
+        between = iter(self._plain([p for i, t in enumerate(texts) for p in (cut[i][::2] if i in cut else (t,))]))
+        return [b"".join(self.added[p] if j % 2 else next(between) for j, p in enumerate(cut.get(i, (t,)))) for i, t in enumerate(texts)]
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts without added tokens."""
         # A pre-token begins at each space between characters that aren't space, whatever stands before it.
         lists = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
         begins = lists.offsets.to_numpy()
