@@ -12,12 +12,13 @@ def test_hamming_is_exact(spark, bits, n):
     centres = rng.normal(size=(5, bits))
     v = (centres[rng.integers(0, 5, n)] + rng.normal(size=(n, bits))).astype(np.float32)
     v[n // 3 : n // 2] = v[0]  # a hot vector
+    v[1, 0], v[2, 1], v[3, 2] = np.nan, 0.0, -0.0
     rows = [(i, x.tolist(), 1) for i, x in enumerate(v)] + [(n, None, 1), (n + 1, [1.0], 1), (0, v[0].tolist(), 1)]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>, distance int")
     got = {}
     for r in hamming.search(spark, frame, frame.where("vec_id % 20 = 0"), 10, bits).collect():
         got.setdefault(r.query_id, []).append((r.rank, r.distance, r.vec_id))
-    every = [(i, np.array(x) > 0) for i, x, _ in rows if x and len(x) == bits]
+    every = [(i, (np.array(x) > 0) | np.isnan(x)) for i, x, _ in rows if x and len(x) == bits]
     for q in {i for i, *_ in every if i % 20 == 0}:
         code = dict(every)[q]
         want = sorted((int((code != c).sum()), i) for i, c in every)[:10]
@@ -25,6 +26,18 @@ def test_hamming_is_exact(spark, bits, n):
     assert hamming.search(spark, frame.limit(0), frame.limit(0), 10, bits).collect() == []
 
 
+def test_bits_that_have_no_code(spark):
+    for bits in (0, 65):
+        with pytest.raises(ValueError):
+            hamming.codes(spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<float>"), bits)
+
+
+def test_more_index_blocks_than_one(spark, monkeypatch):
+    monkeypatch.setattr(hamming, "INDEX_BLOCK", 50)
+    monkeypatch.setattr(hamming, "QUERY_BLOCK", 7)
+    test_hamming_is_exact(spark, 12, 300)
+
+
 def sets(text):
     w = (text or "").lower().split()
     return {tuple(w)} if 0 < len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}

@@ -12,7 +12,9 @@ among the k best. The index is dealt into blocks by a hash and the queries into
 blocks too; every query block meets every index block, and the blocks' best k are
 merged. Ties in distance go to the smaller id. A query finds itself.
 
-A null vector, or one with a null value or of another length than most, has no
+A vector's code has as many bits as it has values, 64 at most; others are an error.
+NaN sorts above all numbers in SQL and counts as positive; zero and -0.0 don't.
+A null vector, or one with a null value or of another length than bits, has no
 code: it is neither found nor asked. Repeated rows are found each, and asked once.
 Other columns are not read. An empty table gives an empty result.
 """
@@ -113,6 +115,8 @@ class Index:
 
 def codes(rows: DataFrame, bits: int) -> DataFrame:
     """(vec_id, code) of the vectors that have one."""
+    if not 1 <= bits <= 64:
+        raise ValueError("bits must be 1 to 64")
 
     @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,7 +128,8 @@ def codes(rows: DataFrame, bits: int) -> DataFrame:
                     out.append(v)
             signs = np.zeros((len(out), 64), dtype=np.uint8)
             if out:
-                signs[:, 64 - bits :] = np.array(out, dtype=np.float32) > 0
+                values = np.array(out, dtype=np.float32)
+                signs[:, 64 - bits :] = (values > 0) | np.isnan(values)
             code = np.packbits(signs, axis=1).view(">u8").ravel().astype(np.uint64).view(np.int64) if out else np.zeros(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(code)], ["vec_id", "code"])
 
@@ -157,7 +162,8 @@ def search(spark: SparkSession, vectors: DataFrame, queries: DataFrame, k: int,
     distinct = common.stage(asked.groupBy("code").agg(F.count("*").alias("size")), folder, "distinct")
     n, q, total = index.count(), distinct.count(), asked.count()
     index_blocks = max(1, -(-n // INDEX_BLOCK))
-    query_blocks = max(1, -(-q // QUERY_BLOCK), min(common.partitions(spark), -(-q // 200)))
+    # Each query block copies the index and builds its tables again, so more of them serve only to give every core an index block.
+    query_blocks = max(1, -(-q // QUERY_BLOCK), min(-(-common.partitions(spark) // index_blocks), -(-q // 200)))
     dealt = index.select(F.pmod(F.xxhash64("code"), F.lit(index_blocks)).alias("ib"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"), "code", "ids")
     sent = distinct.select(F.pmod(F.hash("code"), F.lit(query_blocks)).alias("qb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(index_blocks - 1).cast("long"))).alias("ib"), "code")
 
