@@ -1,9 +1,10 @@
 import hashlib
+import os
 
 import numpy as np
 from pyspark.sql import types as T
 
-from wayfold.llm import exact_dedup, fuse
+from wayfold.llm import common, exact_dedup, fuse
 
 SCHEMA = "doc_id long, text string, digest string, n int"
 
@@ -56,3 +57,27 @@ def test_fuse_filter():
         assert fuse.contains(f, other).mean() < 0.02
         if n == 50_000:
             assert len(f) < 1.4 * n
+
+
+def test_scratch_drops_what_was_made_inside(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "a", "x", 1), (2, "A", "x", 1)], SCHEMA)
+    local = lambda uri: uri.removeprefix("file:").replace("//", "/")
+    before = common.work_folder(spark, "outside")
+    with common.scratch():
+        outer = common.work_folder(spark, "outer")
+        common.stage(docs, outer, "t")
+        with common.scratch():
+            inner = common.work_folder(spark, "inner")
+            common.stage(docs, inner, "t")
+            unused = common.work_folder(spark, "unused")
+            kept = common.stage(exact_dedup.keep(spark, docs), before, "t")
+        assert os.path.isdir(local(outer)) and not os.path.exists(local(inner)) and not os.path.exists(local(unused))
+    assert not os.path.exists(local(outer))
+    assert [r.doc_id for r in kept.collect()] == [2]
+    try:
+        with common.scratch():
+            failed = common.work_folder(spark, "failed")
+            common.stage(docs, failed, "t")
+            raise RuntimeError("a stage fails")
+    except RuntimeError:
+        assert not os.path.exists(local(failed))

@@ -1,3 +1,4 @@
+import functools
 import zlib
 
 import numpy as np
@@ -10,8 +11,13 @@ from wayfold.llm.encode import default_path, encoder
 TEXTS = ["", None, "Hello  world\n\n it's 12 x", "<|endoftext|> as a token", "a <|endoftext|> b<|endoftext|><|endoftext|>  c <|endoftext", "<|endoftext|>", "Été 你好 \U0001f600 a b", "word " * 30_000, "a", "a"]
 
 
+@functools.cache
+def library():
+    return Tokenizer.from_file(default_path())
+
+
 def direct(text):
-    return Tokenizer.from_file(default_path()).encode(text or "", add_special_tokens=False).ids
+    return library().encode(text or "", add_special_tokens=False).ids
 
 
 def docs(spark, texts=TEXTS):

@@ -34,8 +34,28 @@ def shared_dir(spark: SparkSession) -> str:
     return found
 
 
+#: Work folders made inside each open scratch(), the innermost last.
+_scratch: list[list[str]] = []
+
+
 def work_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    folder = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    if _scratch:
+        _scratch[-1].append(folder)
+    return folder
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[None]:
+    """Drops the work folders of the operators called inside when it ends, after an error too.
+
+    Results are lazy: write them before the end (stage, to a folder made outside)."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for folder in _scratch.pop():
+            drop_folder(folder)
 
 
 def stage(df: DataFrame, folder: str, name: str) -> DataFrame:
