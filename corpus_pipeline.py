@@ -1,7 +1,8 @@
 """The corpus pipeline: documents through five operators of wayfold.llm.
 
 Each stage works on all that the one before kept. run() writes every stage as
-Parquet to the shared folder and reads it again.
+Parquet to the shared folder and reads it again; a stage's work folders go when
+it is written, and its table when the next one is.
 """
 
 from __future__ import annotations
@@ -57,5 +58,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = common.work_folder(spark, "pipeline")
     docs = common.parquet(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES):
-        docs = common.stage(stage(spark, docs, sf_dir), folder, f"stage-{i}")
+        with common.scratch():
+            docs = common.stage(stage(spark, docs, sf_dir), folder, f"stage-{i}")
+        if i:
+            common.drop_folder(f"{folder}/stage-{i - 1}")
     return docs
