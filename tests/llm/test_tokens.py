@@ -103,6 +103,18 @@ def test_packing(spark, caps, score):
         assert at == len(ids)
 
 
+def test_many_first_ranks_are_joined_by_a_shuffle(spark, monkeypatch):
+    table = docs(spark, [*TEXTS, *("w" + " and" * (i * 37 % 240) for i in range(300))]).repartition(5, "doc_id")
+    broadcast = packing.pack(spark, table, default_path())
+    monkeypatch.setattr(packing, "SMALL_STARTS", 10)
+    shuffled = packing.pack(spark, table, default_path())
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan(broadcast) and "SortMergeJoin" in plan(shuffled) and "BroadcastHashJoin" not in plan(shuffled)
+    key = lambda r: (r.doc_id, r.piece)
+    assert sorted(broadcast.collect(), key=key) == sorted(shuffled.collect(), key=key)
+    verify(shuffled.collect(), 2048, 2048, 2048 * 2048)
+
+
 def test_plan_is_close_to_the_bound():
     rng = np.random.default_rng(3)
     sizes, many = np.unique(np.clip(rng.lognormal(6.3, 1, 200_000).astype(int), 1, 2048), return_counts=True)

@@ -33,6 +33,8 @@ from . import common
 from .encode import REMEMBERED, default_path, encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local_rank long"
+#: First ranks up to so many (some 13 MB) are broadcast.
+SMALL_STARTS = 100_000
 _RANK_BITS = 40
 
 
@@ -158,7 +160,9 @@ def pack(spark: SparkSession, docs: DataFrame, tokenizer: str, end_id: int = 0,
             sequence, offset = place(sent.value, size, rank)
             yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(sequence), pa.array(offset)], [*b.schema.names[:5], "sequence_id", "offset"])
 
-    ranked = cutted.join(starts.drop("n"), ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first_rank") + F.col("local_rank")).alias("rank"))
+    begin = starts.drop("n")  # a row for each length of each part, so they grow with the input
+    begin = F.broadcast(begin) if begin.limit(SMALL_STARTS + 1).count() <= SMALL_STARTS else begin.hint("merge")
+    ranked = cutted.join(begin, ["part", "length"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("first_rank") + F.col("local_rank")).alias("rank"))
     return ranked.mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
