@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, hamming, html_text, jaccard_join, packing, pii, resampling, segmentation, token_records, toxicity, warc
+from . import divergence, exact_dedup, hamming, html_text, jaccard_join, packing, pii, resampling, segmentation, token_records, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_toxicity": toxicity.op9_toxicity,
         "op10_token_records": token_records.op10_token_records,
         "op11_importance_resampling": resampling.op11_importance_resampling,
+        "op12_source_divergence": divergence.op12_source_divergence,
     }
 
 
@@ -32,4 +33,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_warc": warc.ORACLE,
         "op8_jaccard_join": jaccard_join.ORACLE,
         "op11_importance_resampling": resampling.ORACLE,
+        "op12_source_divergence": divergence.ORACLE,
     }
