@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import divergence, exact_dedup, hamming, html_text, jaccard_join, packing, pii, resampling, segmentation, token_records, toxicity, warc
+from . import divergence, exact_dedup, hamming, html_text, jaccard_join, packing, pii, repeats, resampling, segmentation, token_records, toxicity, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_token_records": token_records.op10_token_records,
         "op11_importance_resampling": resampling.op11_importance_resampling,
         "op12_source_divergence": divergence.op12_source_divergence,
+        "op13_substring_dedup": repeats.op13_substring_dedup,
     }
 
 
@@ -34,4 +35,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_jaccard_join": jaccard_join.ORACLE,
         "op11_importance_resampling": resampling.ORACLE,
         "op12_source_divergence": divergence.ORACLE,
+        "op13_substring_dedup": repeats.ORACLE,
     }
