@@ -115,8 +115,8 @@ def test_two_passes_use_loaded_floors(spark):
 
 
 def test_runs(spark):
-    rows = spark.createDataFrame([(i, k) for i, k in enumerate("aabbbaac")], "i int, k string")
-    assert [r.run for r in route.runs(rows, "i", ["k"]).orderBy("i").collect()] == [1, 1, 2, 2, 2, 3, 3, 4]
+    rows = spark.createDataFrame([(q, i, k) for q in "xy" for i, k in enumerate("aabbbaac")], "q string, i int, k string")
+    assert [r.run for r in route.runs(rows, "i", ["k"], ("q",)).orderBy("q", "i").collect()] == [1, 1, 2, 2, 2, 3, 3, 4] * 2
 
 
 def test_graph_from_polylines_and_spurs(spark):

@@ -1,4 +1,8 @@
-"""Routes: arcs of a campus graph, solved, turned into segments, steps, totals and camera frames."""
+"""Routes: arcs of a campus graph, solved, turned into segments, steps, totals and camera frames.
+
+Everything after solving is for many routes at once: rows carry the keys of their
+route (req, as solve() and journeys give it), windows and groups are by them.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +16,7 @@ from ..functions import scalars as S
 from . import graph
 
 #: Columns of a segment, in order.
+KEYS = ("req",)
 SEGMENT = ["kind", "link", "building", "level", "to_level", "vertical", "from", "to", "coords", "m"]
 
 
@@ -88,14 +93,14 @@ def assemble(parts: list[DataFrame]) -> DataFrame:
 
 
 def solve(arcs: DataFrame, source: str, target: str) -> DataFrame:
-    """(hop, a, b, w, m, ...): the arcs of the cheapest route by w; no rows where there is none."""
+    """(req, hop, a, b, w, m, ...): the arcs of the cheapest route by w, req 0; no rows where there is none. For many routes see journeys."""
     spark = arcs.sparkSession
     dist = graph.shortest(arcs.select("a", "b", "w", "m"), spark.createDataFrame([(source,)], "id string"), target=target)
     nodes = graph.paths(dist, spark.createDataFrame([(source, target)], "src string, target string"))
     w = Window.partitionBy("src", "target").orderBy("hop")
     hops = nodes.withColumns({"b": F.lead("id").over(w)}).where("b IS NOT NULL").select("hop", F.col("id").alias("a"), "b")
     best = Window.partitionBy("hop").orderBy("w", "m")
-    return hops.join(arcs, ["a", "b"]).withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
+    return hops.join(arcs, ["a", "b"]).withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n").withColumn("req", F.lit(0))
 
 
 def refine(coarse: DataFrame, fine: DataFrame, source: str, target: str) -> DataFrame:
@@ -106,7 +111,7 @@ def refine(coarse: DataFrame, fine: DataFrame, source: str, target: str) -> Data
     return solve(assemble([coarse, loaded]), source, target)
 
 
-def to_segments(hops: DataFrame, nodes: DataFrame, links: DataFrame, edges: DataFrame | None = None) -> DataFrame:
+def to_segments(hops: DataFrame, nodes: DataFrame, links: DataFrame, edges: DataFrame | None = None, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Typed segments in order: link lines at their height, turned where entered from the far end; straight lines inside a building."""
     ends = lambda s: nodes.select(F.col("id").alias(s), F.col("building").alias(f"{s}_b"), F.struct("lon", "lat").alias(f"{s}_p"))
     geometry = links.select(F.col("id").alias("link"), "geom", "z_m", F.col("from").alias("link_from"))
@@ -127,40 +132,48 @@ def to_segments(hops: DataFrame, nodes: DataFrame, links: DataFrame, edges: Data
         .when((F.col("kind") == "outdoor") & F.col("_g").isNotNull(), at(outdoor, F.lit(0.3)))
         .otherwise(at(F.array("a_p", "b_p"), F.lit(1.0)))
     )
-    return full.select("hop", "kind", "link", F.coalesce("building", F.when(F.col("kind") == "intra", F.col("a_b"))).alias("building"), "level", "to_level", "vertical", F.coalesce("a_b", "building").alias("from"), F.coalesce("b_b", "building").alias("to"), coords.alias("coords"), S.round_up("m").alias("m"))
+    return full.select(*keys, "hop", "kind", "link", F.coalesce("building", F.when(F.col("kind") == "intra", F.col("a_b"))).alias("building"), "level", "to_level", "vertical", F.coalesce("a_b", "building").alias("from"), F.coalesce("b_b", "building").alias("to"), coords.alias("coords"), S.round_up("m").alias("m"))
 
 
-def runs(rows: DataFrame, order: str, same: list[str], keys: tuple[str, ...] = ()) -> DataFrame:
-    """Adds run: rows in order share a number while the columns in same stay equal (gaps and islands)."""
-    w = (Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))).orderBy(order)
+def runs(rows: DataFrame, order: str, same: list[str], keys: tuple[str, ...]) -> DataFrame:
+    """Adds run: within keys, rows in order share a number while the columns in same stay equal (gaps and islands)."""
+    w = Window.partitionBy(*keys).orderBy(order)
     changed = reduce(lambda a, b: a | b, (~F.col(c).eqNullSafe(F.lag(c).over(w)) for c in same)) | F.lag(F.lit(1)).over(w).isNull()
     return rows.withColumn("_changed", F.coalesce(changed, F.lit(True)).cast("long")).withColumn("run", F.sum("_changed").over(w)).drop("_changed")
 
 
-def to_steps(segments: DataFrame, links: DataFrame, names: DataFrame | None = None) -> DataFrame:
-    """(n, text, kind, index, m): consecutive hops inside a building or along one floor are one step, short ones are left out.
+#: Names up to so many are broadcast.
+SMALL_NAMES = 100_000
+
+
+def _named(rows: DataFrame, names: DataFrame, column: str, out: str) -> DataFrame:
+    """Adds the full name of a building's code; the names are broadcast only after a check of their number."""
+    label = names.groupBy(F.col("code").alias(column)).agg(F.min(F.concat_ws(" · ", "code", "name")).alias(out))
+    few = names.limit(SMALL_NAMES + 1).count() <= SMALL_NAMES
+    return rows.join(F.broadcast(label) if few else label, column, "left")
 
-    A start and an end step stand at either side."""
+
+def to_steps(segments: DataFrame, links: DataFrame, names: DataFrame | None = None, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """(keys, n, text, caption, kind, index, m): consecutive hops inside a building or along one floor are one step, short ones are left out.
+
+    A start and an end step stand at either side of each route."""
     alone = ~F.col("kind").isin("intra", "walk")
     keyed = segments.withColumn("_alone", F.when(alone, F.col("hop"))).withColumn("_floor", F.when(F.col("kind") == "walk", F.col("level")))
-    grouped = runs(keyed, "hop", ["kind", "building", "_floor", "_alone"]).groupBy("run").agg(
-        F.min("hop").alias("index"), F.min_by("kind", "hop").alias("kind"), F.min_by("link", "hop").alias("link"), F.min_by("building", "hop").alias("building"), F.min_by("level", "hop").alias("level"),
-        F.min_by("to_level", "hop").alias("to_level"), F.min_by("vertical", "hop").alias("vertical"), F.min_by("to", "hop").alias("to"), F.sum("m").alias("m"),
-    )
+    first = lambda c: F.min_by(c, "hop").alias(c)
+    grouped = runs(keyed, "hop", ["kind", "building", "_floor", "_alone"], keys).groupBy(*keys, "run").agg(F.min("hop").alias("index"), *(first(c) for c in ("kind", "link", "building", "level", "to_level", "vertical", "to")), F.sum("m").alias("m"))
     long_ = grouped.where(~((F.col("kind") == "intra") & (F.col("m") < 15)) & ~((F.col("kind") == "walk") & (F.col("m") < 8)))
     told = long_.join(links.select(F.col("id").alias("link"), F.col("kind").alias("link_kind"), F.col("name").alias("link_name"), "z_m", "length_m", "verified", "notes"), "link", "left")
-    body = told.select("index", R.step_text().alias("text"), F.col("notes").alias("caption"), "kind", "m")
-    ends = segments.agg(F.min_by("from", "hop").alias("a"), F.max_by("to", "hop").alias("b"), F.max("hop").alias("last")).where("a IS NOT NULL")
+    body = told.select(*keys, "index", R.step_text().alias("text"), F.col("notes").alias("caption"), "kind", "m")
+    ends = segments.groupBy(*keys).agg(F.min_by("from", "hop").alias("a"), F.max_by("to", "hop").alias("b"), F.max("hop").alias("last"))
     if names is not None:
-        label = names.select("code", F.concat_ws(" · ", "code", "name").alias("full"))
-        ends = ends.join(label.withColumnsRenamed({"code": "a", "full": "fa"}), "a", "left").join(label.withColumnsRenamed({"code": "b", "full": "fb"}), "b", "left")
+        ends = _named(_named(ends, names, "a", "fa"), names, "b", "fb")
     else:
         ends = ends.withColumns({"fa": F.lit(None).cast("string"), "fb": F.lit(None).cast("string")})
     say = lambda t, f, c: F.concat(F.lit(t), F.lit("<b>"), R.escape_html(F.coalesce(f, c)), F.lit("</b>."))
-    zero = F.lit(0).cast("long")
-    start = ends.select(F.lit(-1).alias("index"), say("Start in ", "fa", "a").alias("text"), F.lit(None).cast("string").alias("caption"), F.lit("start").alias("kind"), zero.alias("m"))
-    end = ends.select((F.col("last") + 1).alias("index"), say("Arrive at ", "fb", "b").alias("text"), F.lit(None).cast("string").alias("caption"), F.lit("end").alias("kind"), zero.alias("m"))
-    w = Window.partitionBy(F.lit(0)).orderBy("index")
+    zero, none = F.lit(0).cast("long"), F.lit(None).cast("string")
+    side = lambda index, text, kind: ends.select(*keys, index.alias("index"), text.alias("text"), none.alias("caption"), F.lit(kind).alias("kind"), zero.alias("m"))
+    start, end = side(F.lit(-1), say("Start in ", "fa", "a"), "start"), side(F.col("last") + 1, say("Arrive at ", "fb", "b"), "end")
+    w = Window.partitionBy(*keys).orderBy("index")
     return start.unionByName(body).unionByName(end).withColumn("n", F.row_number().over(w) - 1)
 
 
@@ -171,7 +184,7 @@ def summary(segments: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return out.withColumns({"minutes": R.minutes("m"), "indoor_share": F.when(F.col("m") == 0, 1.0).otherwise(F.col("indoor_m") / F.col("m"))})
 
 
-def frames(segments: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+def frames(segments: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """(keys, n, lon, lat, z, bearing, pitch, seg, t): samples a metre apart along a route, with smoothed bearings.
 
     Each line of coords gives max(1, round(max(length, 1.5 rise))) samples, its end excluded. Steps under a
@@ -181,7 +194,7 @@ def frames(segments: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     d, rise = F.hypot(dx, dy), F.abs(F.col("s.b.z") - F.col("s.a.z"))
     n = F.greatest(F.lit(1), S.round_up(F.greatest(d, rise * 1.5)).cast("int"))
     own = lines.withColumns({"_b": F.when(d >= 1e-6, S.bearing(dx, dy)), "_n": n})
-    part = lambda: Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    part = lambda: Window.partitionBy(*keys)
     held = own.withColumn("_b", F.coalesce(F.last("_b", ignorenulls=True).over(part().orderBy("seg", "i").rowsBetween(Window.unboundedPreceding, 0)), F.lit(0.0)))
     pts = held.withColumn("k", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).withColumn("_t", F.col("k") / F.col("_n"))
     mix = lambda c: F.col(f"s.a.{c}") + (F.col(f"s.b.{c}") - F.col(f"s.a.{c}")) * F.col("_t")
@@ -196,24 +209,24 @@ def frames(segments: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     }).select(*keys, "n", "lon", "lat", "z", "bearing", "pitch", "seg", "t")
 
 
-def frame_steps(frame_rows: DataFrame, steps: DataFrame) -> DataFrame:
+def frame_steps(frame_rows: DataFrame, steps: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """Frames with the latest step whose index is not after their segment; start and end steps don't count."""
-    real = steps.where(~F.col("kind").isin("start", "end")).select(F.col("index").alias("seg"), F.col("n").alias("_step"))
-    both = frame_rows.select("n", "seg", F.lit(None).cast("int").alias("_step"), F.lit(1).alias("_w")).unionByName(real.select(F.lit(None).cast("int").alias("n"), "seg", F.col("_step").cast("int"), F.lit(0).alias("_w")))
-    w = Window.partitionBy(F.lit(0)).orderBy("seg", "_w", "n").rowsBetween(Window.unboundedPreceding, 0)
-    return both.withColumn("step", F.coalesce(F.last("_step", ignorenulls=True).over(w), F.lit(0))).where("_w = 1").select("n", "seg", "step")
+    real = steps.where(~F.col("kind").isin("start", "end")).select(*keys, F.col("index").alias("seg"), F.col("n").alias("_step"))
+    both = frame_rows.select(*keys, "n", "seg", F.lit(None).cast("int").alias("_step"), F.lit(1).alias("_w")).unionByName(real.select(*keys, F.lit(None).cast("int").alias("n"), "seg", F.col("_step").cast("int"), F.lit(0).alias("_w")))
+    w = Window.partitionBy(*keys).orderBy("seg", "_w", "n").rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("step", F.coalesce(F.last("_step", ignorenulls=True).over(w), F.lit(0))).where("_w = 1").select(*keys, "n", "seg", "step")
 
 
-def frame_at(frame_rows: DataFrame, seconds: float, speed: float = 1.0) -> DataFrame:
-    """The frame that playback shows after some seconds at a speed of 1, 2 or 4; it stops on the last."""
-    n = frame_rows.agg(F.max("n").alias("last"))
-    return frame_rows.join(F.broadcast(n), F.col("n") == F.least("last", F.floor(F.lit(R.PLAY_SPEED * speed * seconds)))).drop("last")
+def frame_at(frame_rows: DataFrame, seconds: float, speed: float = 1.0, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """The frame of each route that playback shows after some seconds at a speed of 1, 2 or 4; it stops on the last."""
+    last = frame_rows.groupBy(*keys).agg(F.max("n").alias("last"))
+    return frame_rows.join(last, list(keys)).where(F.col("n") == F.least("last", F.floor(F.lit(R.PLAY_SPEED * speed * seconds)))).drop("last")
 
 
-def opened_floor(segments: DataFrame, link_levels: DataFrame | None = None) -> DataFrame:
-    """(hop, building, floor): the floor shown with each segment; a link shows its destination's level nearest to its height (link, floor)."""
+def opened_floor(segments: DataFrame, link_levels: DataFrame | None = None, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """(keys, hop, building, floor): the floor shown with each segment; a link shows its destination's level nearest to its height (link, to, floor)."""
     floor = F.when((F.col("kind") == "vertical"), F.when(F.col("to_level") > F.col("level"), F.col("level")).otherwise(F.col("to_level"))).when(F.col("kind") == "walk", F.col("level"))
     out = segments.withColumn("floor", floor)
     if link_levels is not None:
-        out = out.join(link_levels.withColumnRenamed("floor", "_f"), "link", "left").withColumn("floor", F.coalesce("floor", F.when(F.col("kind") == "indoor", F.col("_f"))))
-    return out.select("hop", F.when(F.col("kind") == "indoor", F.col("to")).otherwise(F.coalesce("building", "to")).alias("building"), "floor")
+        out = out.join(link_levels.withColumnRenamed("floor", "_f"), ["link", "to"], "left").withColumn("floor", F.coalesce("floor", F.when(F.col("kind") == "indoor", F.col("_f"))))
+    return out.select(*keys, "hop", F.when(F.col("kind") == "indoor", F.col("to")).otherwise(F.coalesce("building", "to")).alias("building"), "floor")

@@ -535,4 +535,4 @@ def route_steps(spark, d):
     return hops.join(dist.select("id", "d"), "id").select("target", "hop", "id", "d")
 
 
-from . import campus  # noqa: E402, F401  more queries, registered by import
+from . import campus, journeys  # noqa: E402, F401  more queries, registered by import
