@@ -21,9 +21,10 @@ has a row for each pair of them, so it is far smaller than that.
 
 from __future__ import annotations
 
+import gc
 import heapq
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +35,7 @@ from . import common, radix
 
 LEAST_DOCS, TOP, SMOOTH, WHOLE = 30, 50, 5, 10**9
 #: Terms counted before they go into tries; leaves of a task's tries before they are written out; leaves below one prefix; first length of prefixes.
-COUNTED, HELD, MOST_LEAVES, DEPTH = 400_000, 120_000, 200_000, 3
+COUNTED, HELD, MOST_LEAVES, DEPTH = 600_000, 180_000, 50_000, 3
 #: Sources on each side of a block of pairs; terms taken at once.
 BLOCK, CHUNK = 512, 256
 DOCS = 2**32 - 1  # the counter of documents; the others are numbers of sources
@@ -46,6 +47,19 @@ def terms(text: str | None) -> list[bytes]:
     return [] if text is None else text.encode("utf-8", "surrogatepass").translate(_LETTERS).split()
 
 
+def acyclic(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """Tries have no cycles; without a search for cycles among their many nodes a task takes less time. References free them."""
+
+    def wrapped(batches: Iterator) -> Iterator:
+        gc.disable()
+        try:
+            yield from run(batches)
+        finally:
+            gc.enable()
+
+    return wrapped
+
+
 PIECE = "lang string, prefix binary, leaves long, data binary"
 
 
@@ -73,21 +87,24 @@ def _piece_batch(rows: list[tuple]) -> pa.RecordBatch:
 def count_tries(docs: DataFrame, ids: dict[tuple[str, str], int]) -> DataFrame:
     """The tasks' tries, cut at prefixes of DEPTH bytes."""
 
-    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         by_source: dict[tuple[str, int], Counter] = defaultdict(Counter)
         by_lang: dict[str, Counter] = defaultdict(Counter)
         tries: dict[str, radix.Trie] = defaultdict(radix.Trie)
 
         def settle() -> None:
-            for (lang, source), found in by_source.items():
-                add = tries[lang].add
+            leaves: dict[str, dict[bytes, dict[int, int]]] = {}
+            for lang, found in by_lang.items():  # one walk down for each term, for all its sources
+                leaf = tries[lang].leaf
+                mine = leaves[lang] = {term: leaf(term) for term in found}
                 for term, n in found.items():
-                    add(term, source, n)
-            for lang, found in by_lang.items():
-                add = tries[lang].add
+                    counts = mine[term]
+                    counts[DOCS] = counts.get(DOCS, 0) + n
+            for (lang, source), found in by_source.items():
+                mine = leaves[lang]
                 for term, n in found.items():
-                    add(term, DOCS, n)
+                    counts = mine[term]
+                    counts[source] = counts.get(source, 0) + n
             by_source.clear()
             by_lang.clear()
 
@@ -109,7 +126,7 @@ def count_tries(docs: DataFrame, ids: dict[tuple[str, str], int]) -> DataFrame:
 
     empty = F.lit("")
     rows = docs.select(F.col("text").cast("string").alias("text"), *(F.coalesce(F.col(c).cast("string"), empty).alias(c) for c in ("lang", "source")))
-    return rows.mapInArrow(run, PIECE)
+    return rows.mapInArrow(common.lean(acyclic(run)), PIECE)
 
 
 def cut_deeper(pieces: DataFrame, folder: str, most: int) -> DataFrame:
@@ -138,7 +155,6 @@ KEPT = "lang string, term binary, source array<int>, n array<long>"
 def kept_terms(pieces: DataFrame, least: int) -> DataFrame:
     """Terms in at least so many documents of their language, with their counts by source: tries merged by ranges of prefixes, traversed in order."""
 
-    @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, trie = None, radix.Trie()
 
@@ -160,7 +176,7 @@ def kept_terms(pieces: DataFrame, least: int) -> DataFrame:
         yield from traverse()
 
     dealt = pieces.select("lang", "prefix", "data").repartitionByRange(common.partitions(pieces.sparkSession), "lang", "prefix").sortWithinPartitions("lang", "prefix")
-    return dealt.mapInArrow(run, KEPT)
+    return dealt.mapInArrow(common.lean(acyclic(run)), KEPT)
 
 
 def shares(counts: np.ndarray, total: np.ndarray | int, v: int) -> np.ndarray:

@@ -10,6 +10,7 @@ import struct
 from collections.abc import Iterator
 
 _HEAD = struct.Struct("<III")  # bytes shared with the term before, further bytes, counters
+STEM = 4
 _PAIR = struct.Struct("<Iq")
 
 
@@ -29,31 +30,36 @@ def shared(a: bytes, b: bytes) -> int:
 
 
 class Trie:
+    """Its first STEM bytes are one step: a table of subtries, so that a walk down is short."""
+
     def __init__(self) -> None:
-        self.root: list = [b"", {}, None]
+        self.stems: dict[bytes, list] = {}
         self.leaves = 0
 
     def leaf(self, term: bytes) -> dict[int, int]:
         """The counters of a term, made where there are none: walks down the labels, splitting the one that differs."""
-        node, at, end = self.root, 0, len(term)
+        stem = term[:STEM]
+        node = self.stems.get(stem)
+        if node is None:
+            node = self.stems[stem] = [b"", {}, None]
+        at, end = len(stem), len(term)
         while at < end:
-            children = node[1]
-            child = children.get(term[at])
+            children, first = node[1], term[at]
+            child = children.get(first)
             if child is None:
-                new = [term[at:], {}, {}]
-                children[term[at]] = new
+                found: dict[int, int] = {}
+                children[first] = [term[at:], {}, found]
                 self.leaves += 1
-                return new[2]
+                return found
             label = child[0]
             if term.startswith(label, at):
                 at += len(label)
                 node = child
                 continue
             k = shared(label, term[at : at + len(label)])
-            upper = [label[:k], {label[k]: child}, None]
+            node = [label[:k], {label[k]: child}, None]
             child[0] = label[k:]
-            children[term[at]] = upper
-            node = upper
+            children[first] = node
             at += k
         if node[2] is None:
             node[2] = {}
@@ -66,14 +72,16 @@ class Trie:
 
     def items(self) -> Iterator[tuple[bytes, dict[int, int]]]:
         """Terms and their leaves in the order of bytes."""
-        stack = [(b"", self.root)]
-        while stack:
-            prefix, node = stack.pop()
-            prefix += node[0]
-            if node[2] is not None:
-                yield prefix, node[2]
-            children = node[1]
-            stack.extend((prefix, children[b]) for b in sorted(children, reverse=True))
+        for stem in sorted(self.stems):
+            stack = [(stem, self.stems[stem])]
+            while stack:
+                prefix, node = stack.pop()
+                prefix += node[0]
+                if node[2] is not None:
+                    yield prefix, node[2]
+                children = node[1]
+                if children:
+                    stack.extend((prefix, children[b]) for b in sorted(children, reverse=True))
 
     def merge(self, data: bytes) -> None:
         """Adds a trie that pack() wrote: the counters of its leaves are summed."""
