@@ -246,3 +246,59 @@ def test_the_query_equals_brute_force_on_whole_tables(spark, sf):
     assert got == brute_pages(rows)
     assert sf == "sf0.001" or sum(n > 0 for *_, n in got) > 0  # pages that differencing deletes lines of
     print(sf, sum(n > 0 for *_, n in got), len(got))
+
+
+INLINE = [
+    ("<article><p>x <select><option>a</option></select> y</p></article>", "x y"),
+    ("<p>Hello <button>Share</button> world</p>", "Hello world"),
+    ("<p>Hello <span hidden>secret</span> world</p>", "Hello world"),
+    ('<p>Hello <span style="display: none">secret</span>world</p>', "Hello world"),
+    ('<p>Hello <span class="ad">Buy</span> world</p><p>and more of it, so that it is long</p>', "Hello world\n\nand more of it, so that it is long"),
+    ("<article><p>See <video><source>No video here</video> this</p></article>", "See this"),
+    ("<article><p>See <object>No plug-in</object>this <audio>none</audio>too</p></article>", "See this too"),
+    ('<article><p>Text</p><div id="disqus_thread"><p>First!</p></div></article>', "Text"),
+    ('<article><p>Text</p><section id="responses"><p>First!</p></section></article>', "Text"),
+    ("<article><p>a <select><optgroup><option>b<option>c</select> d <b>e</b></p><p>f</article>", "a d e\n\nf"),
+    ("<article><p>a <button><div>b</div></button> c</p></article>", "a c"),
+    ("<article><table><tr><td><p>a<td>b</table><p>c <i>d<p>e</i> f</article>", "a b\n\nc d\n\ne f"),
+    ("<article><p>in<b>si</b>de<span hidden>x</span>s</p></article>", "insides"),
+]
+
+
+@pytest.mark.parametrize(("page", "text"), INLINE)
+def test_text_goes_with_the_element_it_stands_in(page, text):
+    assert html_text.main_text(*html_text.lines(f"<body>{page}</body>"), None)[0] == text
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_no_word_of_a_page_is_lost(spark, sf):
+    """The standard library's parser reads the same words in the same order, whatever is decided on them afterwards."""
+    if not os.path.isdir(f"/root/testdata/{sf}"):
+        pytest.skip("test tables aren't here")
+    from html.parser import HTMLParser
+
+    class Words(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.raw, self.text = None, []
+
+        def handle_starttag(self, tag, attrs):
+            if tag in html_text.RAW and not self.raw:
+                self.raw = tag
+            elif tag in html_text.BLOCK or tag in html_text.SPACE:
+                self.text.append(" ")
+
+        def handle_endtag(self, tag):
+            self.raw = None if tag == self.raw else self.raw
+            if tag in html_text.BLOCK or tag in html_text.SPACE:
+                self.text.append(" ")
+
+        def handle_data(self, data):
+            if not self.raw:
+                self.text.append(data)
+
+    for r in spark.read.parquet(f"/root/testdata/{sf}/pages.parquet").select("html").collect():
+        w = Words()
+        w.feed(r.html or "")
+        w.close()
+        assert " ".join(html_text.lines(r.html or "")[0]).split() == "".join(w.text).split()

@@ -58,13 +58,17 @@ RAW = frozenset("script style noscript template textarea title xmp iframe noembe
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody tfoot thead tr ul".split())
 SPACE = frozenset("br td th".split())
+#: Block elements that stand inside others' content models and end no open paragraph.
+INNER = frozenset("body caption head html legend optgroup option tbody tfoot thead tr".split())
+#: Elements beyond which an open paragraph isn't ended from inside.
+SCOPE = frozenset("button canvas audio video object select table td th caption".split())
 #: Elements that are never part of the main text.
 DROP = frozenset("head nav footer aside form menu dialog button select object audio video canvas".split())
 #: Words that say the same of any element where its class, id or role is made of them, of numbers and of FILLERS.
 SAYS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup login search social share sharing related recommended comment comments respond reply replies disqus widget toolbar pagination pager copyright complementary contentinfo".split()
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices popup modal overlay newsletter subscribe signup login search social share sharing related recommended comment comments respond responses reply replies disqus widget toolbar pagination pager copyright complementary contentinfo".split()
 )
-FILLERS = frozenset("site page top bottom left right box bar block list item items section area wrapper wrap container inner outer panel slot unit buttons button links link form icons icon global primary secondary reader readers user users author body text meta posts articles stories news content col column row zone space".split())
+FILLERS = frozenset("site page top bottom left right box bar block list item items section area wrapper wrap container inner outer panel slot unit buttons button links link form icons icon global primary secondary reader readers user users author body text meta posts articles stories news content col column row zone space thread threads".split())
 #: Words that may stand before these.
 OWNERS = frozenset("post entry article".split())
 HEADER = frozenset("header topbar site-header page-header top-header site-topbar".split())
@@ -75,12 +79,12 @@ REACH = 4
 
 
 class _Open:
-    """An open element: why it is boilerplate (numbers of reasons), its container (2 article, 1 main), the block it is in, whether it is in a link."""
+    """An open element: why it is boilerplate (numbers of reasons), its container (2 article, 1 main), the block it is in, whether it is in a link, and in an inline element that is never main text."""
 
-    __slots__ = ("block", "link", "main", "name", "whys")
+    __slots__ = ("block", "link", "main", "name", "quiet", "whys")
 
-    def __init__(self, name: str, whys: tuple[int, ...], main: int, block: str, link: bool):
-        self.name, self.whys, self.main, self.block, self.link = name, whys, main, block, link
+    def __init__(self, name: str, whys: tuple[int, ...], main: int, block: str, link: bool, quiet: bool = False):
+        self.name, self.whys, self.main, self.block, self.link, self.quiet = name, whys, main, block, link, quiet
 
 
 @lru_cache(maxsize=4096)
@@ -117,38 +121,40 @@ def lines(page: str) -> tuple[list[str], bytes]:
     found: list[tuple[tuple[int, ...], int, bool]] = []  # of each block: reasons, container, prose
     reasons: list[str] = []  # "firm" or "label"
     wraps: set[int] = set()  # labels around an article or main
-    held: list[str] = []
+    held: list[tuple[str, _Open]] = []  # text, and the element it was said in
+    root = _Open("", (), 0, "", False)
     stack: list[_Open] = []
-    linked = 0  # characters of held that are in links
 
     def flush() -> None:
-        nonlocal linked
-        text = " ".join("".join(held).split())
+        """Ends a block, but for those inside an inline element that is never main text. Text of elements in it that are boilerplate is a line of its own, so the block keeps what stands around them."""
+        if stack and stack[-1].quiet:
+            return say(" ")
+        groups: dict[tuple[int, ...], list[tuple[str, _Open]]] = {}
+        for text, element in held:
+            groups.setdefault(element.whys, []).append((text, element))
         held.clear()
-        if text:
-            top = stack[-1] if stack else None
-            out.append(text)
-            found.append((top.whys, top.main, top.block in PROSE and linked < len(text.replace(" ", ""))) if top else ((), 0, False))
-        linked = 0
+        for whys, pieces in groups.items():
+            text = " ".join("".join(t for t, _ in pieces).split())
+            if text:
+                first = next(x for t, x in pieces if t.strip())
+                linked = sum(len("".join(t.split())) for t, x in pieces if x.link)
+                out.append(text)
+                found.append((whys, first.main, first.block in PROSE and linked < len(text.replace(" ", ""))))
 
     def say(text: str) -> None:
-        nonlocal linked
-        text = entities.unescape(text) if "&" in text else text
-        if stack and stack[-1].link:
-            linked += len("".join(text.split()))
-        held.append(text)
+        held.append((text, stack[-1] if stack else root))
 
     at, n = 0, len(page)
     while at < n:
         m = _MARKUP.search(page, at)
         if not m:
-            say(page[at:])
+            say(entities.unescape(page[at:]))
             break
         if m.start() > at:
-            say(page[at : m.start()])
+            say(entities.unescape(page[at : m.start()]))
         at = m.end()
         if m["cdata"] is not None:
-            held.append(m["cdata"])
+            say(m["cdata"])
             continue
         name = (m["name"] or m["name2"] or "").lower()
         if not name:
@@ -158,10 +164,10 @@ def lines(page: str) -> tuple[list[str], bytes]:
             if name in BLOCK:
                 flush()
             if name in SPACE:
-                held.append(" ")
+                say(" ")
             for i in range(len(stack) - 1, -1, -1):
                 if stack[i].name == name:
-                    if name not in BLOCK and any(x.name in BLOCK and x.name != "p" for x in stack[i + 1 :]):
+                    if name not in BLOCK and name not in DROP and any(x.name in BLOCK and x.name != "p" for x in stack[i + 1 :]):
                         break  # a stray inline end doesn't close blocks
                     del stack[i:]
                     break
@@ -174,15 +180,20 @@ def lines(page: str) -> tuple[list[str], bytes]:
             continue
         if name in BLOCK:
             flush()
-            while stack and (stack[-1].name == "p" or stack[-1].name not in BLOCK and any(x.name == "p" for x in stack)):
-                stack.pop()  # a block ends an open paragraph with what is open in it
+            if name not in INNER:
+                for i in range(len(stack) - 1, -1, -1):
+                    if stack[i].name == "p":
+                        del stack[i:]  # a block ends an open paragraph with what is open in it
+                        break
+                    if stack[i].name in BLOCK or stack[i].name in SCOPE:
+                        break
             if name in ("li", "dt", "dd", "tr", "option") and stack and stack[-1].name == name:
                 stack.pop()
-        elif name in SPACE:
-            held.append(" ")
+        elif name in SPACE or name in DROP:
+            say(" ")
         if name in VOID or attrs.rstrip().endswith("/") and name not in BLOCK:
             continue
-        above = stack[-1] if stack else _Open("", (), 0, "", False)
+        above = stack[-1] if stack else root
         hidden, label, main = _says(name, attrs, bool(above.main))
         whys = above.whys
         if hidden or name in DROP and name != "form" or name == "header" and not above.main:
@@ -194,7 +205,7 @@ def lines(page: str) -> tuple[list[str], bytes]:
         container = 2 if name == "article" or above.main == 2 else 1 if name == "main" or main or above.main else 0
         if container > above.main:
             wraps.update(w for w in whys if reasons[w] == "label")
-        stack.append(_Open(name, whys, container, name if name in BLOCK else above.block, above.link or name in ("a", "button", "label")))
+        stack.append(_Open(name, whys, container, name if name in BLOCK else above.block, above.link or name in ("a", "button", "label"), above.quiet or name not in BLOCK and (hidden or name in DROP)))
     flush()
 
     freed: set[int] = set()
