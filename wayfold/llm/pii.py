@@ -6,7 +6,9 @@ card, a public address for a public address, a name of the same gender, script
 and form. A surrogate depends on the key and the entity alone, so every mention
 in any document gets the same one (coreference); mentions that differ only in
 layout or case count as one entity. A person is a name after a title, or a listed
-given name with a further name. Where the first of several names isn't a listed given name, a title that says a gender is
+given name with a further name. Names are whole words, whatever capitals, hyphens
+and apostrophes are in them (McDonald, O'Brien); particles before them (van, von der)
+stay. Where the first of several names isn't a listed given name, a title that says a gender is
 kept in the entity, and the surrogate's given name begins with a listed one of
 that gender; mentions of the name after other titles (Dr) follow where the corpus
 has it with one gender only.
@@ -60,8 +62,8 @@ CYRILLIC, GREEK = "абвгдежзиклмнопрстуфхцчшэюя", "α
 TITLES = {"Mr": "m", "Mister": "m", "Sir": "m", "Mrs": "f", "Ms": "f", "Miss": "f", "Madam": "f", "Herr": "m", "Frau": "f", "Señor": "m", "Señora": "f", "Monsieur": "m", "Madame": "f", "Mademoiselle": "f", "Господин": "m", "Госпожа": "f", "Κύριος": "m", "Κυρία": "f", "Dr": "", "Prof": ""}
 #: Given names by script and gender; their order is permuted by the key.
 GIVEN = {
-    ("latin", "m"): "James Robert John Michael David William Thomas Daniel Paul Mark George Peter Hans Karl Stefan Pierre Luc Carlos Javier Miguel".split(),
-    ("latin", "f"): "Mary Patricia Linda Elizabeth Susan Sarah Karen Anna Laura Emma Julia Helen Ingrid Sabine Claire Sophie Marie Lucía Carmen Isabel".split(),
+    ("latin", "m"): "James Robert John Michael David William Thomas Daniel Paul Mark George Peter Hans Karl Stefan Pierre Luc Carlos Javier Miguel Wei Hiroshi Kenji Rahul Amit Arjun Mohammed Ahmed Omar Marco Andreas Jürgen Wolfgang José Pablo Diego Henri Olivier".split(),
+    ("latin", "f"): "Mary Patricia Linda Elizabeth Susan Sarah Karen Anna Laura Emma Julia Helen Ingrid Sabine Claire Sophie Marie Lucía Carmen Isabel Yuki Akiko Priya Anjali Fatima Aisha Olga Giulia Chiara Petra Monika Ursula María Camille Chloé Nathalie".split(),
     ("cyrillic", "m"): "Иван Алексей Дмитрий Сергей Андрей Николай Павел Михаил Виктор Олег".split(),
     ("cyrillic", "f"): "Анна Мария Елена Ольга Наталья Татьяна Ирина Светлана Екатерина Вера".split(),
     ("greek", "m"): "Γιώργος Νίκος Κώστας Δημήτρης Ανδρέας Παύλος".split(),
@@ -74,12 +76,23 @@ GENDER = {name: (script, gender) for (script, gender), names in GIVEN.items() fo
 # English months and words that stand for streets.
 MONTHS = "January February March April May June July August September October November December".split()
 STREETS = "Street St Road Rd Avenue Ave Lane Ln Drive Boulevard Blvd Court Square Terrace".split()
+# Ends of German street names, particles of names, words before a telephone number.
+ENDS = "straße strasse weg platz allee gasse".split()
+PARTICLES = "van von de der den del della di da dos du la le el al bin ibn ten ter zu zum zur".split()
+CUES = "phone telephone tel call mobile cell fax tél telefon teléfono".split()
 FIRST_DAY, DAYS = date(1900, 1, 1).toordinal(), 130 * 365
+#: Days up to the end of 2025 stay among themselves, so nobody is born later than they were said to be.
+PAST = date(2026, 1, 1).toordinal() - FIRST_DAY
 #: Types whose surrogates may be entities of the corpus.
 DENSE = ("birth",)
 
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-_NAME = r"[A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆΈΉΊΌΎΏ][a-zà-öø-ÿα-ωά-ώа-яё]+(?:-[A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆΈΉΊΌΎΏ][a-zà-öø-ÿα-ωά-ώа-яё]+)?"
+_U, _L = "A-ZÀ-ÖØ-ÞА-ЯЁΑ-ΩΆΈΉΊΌΎΏ", "a-zà-öø-ÿα-ωά-ώа-яё"
+_CAP = rf"[{_U}](?:['’][{_U}][{_L}]+|[{_L}]+)(?:['’]?[{_U}][{_L}]+)*"
+#: A name, no part of a longer word; after a title any capitalised word, so that none is replaced by half.
+_NAME = rf"{_CAP}(?:-{_CAP})*(?![^\W\d_])"
+_TITLED = rf"[{_U}](?:(?:['’](?!s\b)|-)?[{_U}{_L}])+(?![^\W\d_])"
+_OF = rf"(?:(?:{'|'.join(PARTICLES)}) )*"
 ENTITY = re.compile(
     "|".join(
         (
@@ -89,17 +102,19 @@ ENTITY = re.compile(
             rf"(?P<birth>(?i:\b(?:born(?: on)?|date of birth|dob|birthday|birth date|geboren(?: am)?|née? le|nacid[oa] el)\b):? (?:\d{{4}}-\d\d-\d\d|\d{{1,2}}[./\-]\d{{1,2}}[./\-]\d{{4}}|\d{{1,2}} (?:{'|'.join(MONTHS)}) \d{{4}}|(?:{'|'.join(MONTHS)}) \d{{1,2}}, \d{{4}})(?![\d\-]))",
             r"(?P<ssn>(?<![\d\-])\d{3}-\d{2}-\d{4}(?![\d\-]))",
             r"(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .\-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .\-]?\d{2,4}){2,4}|\(\d{3}\)[ .\-]?\d{3}[ .\-]\d{4}|\d{3}[.\-]\d{3}[.\-]\d{4})(?![\d\-]))",
+            rf"(?P<told>(?i:\b(?:{'|'.join(CUES)})\b)\.?:? ?(?:\(\d{{3}}\)|\d{{3}})[ .\-]?\d{{3}}[ .\-]?\d{{4}}(?![\w\-]))",
             r"(?P<iban>\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,4})?\b)",
             r"(?P<card>(?<![\w.\-])\d(?:[ \-]?\d){12,18}(?![\w\-]))",
             r"(?P<key>\bAKIA[0-9A-Z]{16}\b)",
             r"(?P<secret>(?i:\b(?:password|passwd|pwd|token|secret|api[_\-]?key|access[_\-]?key))\s*[=:]\s*[\"']?[A-Za-z0-9_\-+/]{8,})",
             rf"(?P<street>\b[1-9]\d{{0,3}} {_NAME}(?: {_NAME})? (?:{'|'.join(STREETS)})\b)",
-            rf"(?P<person>\b(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\b\.? {_NAME}(?: {_NAME}){{0,2}})",
-            rf"(?P<named>\b(?:{'|'.join(sorted(GENDER, key=len, reverse=True))})(?: {_NAME}){{1,2}})",
+            rf"(?P<strasse>\b[{_U}][{_L}]+(?:{'|'.join(ENDS)}) [1-9]\d{{0,3}}(?![\w.]\d))",
+            rf"(?P<person>\b(?:{'|'.join(sorted(TITLES, key=len, reverse=True))})\b\.? {_OF}{_TITLED}(?: {_OF}{_TITLED}){{0,2}})",
+            rf"(?P<named>\b(?:{'|'.join(sorted(GENDER, key=len, reverse=True))})(?:-{_CAP})*(?: {_OF}{_NAME}){{1,2}})",
         )
     )
 )
-_HINT = re.compile(rf"[@\d]|(?i:passw|pwd|token|secret|key)|\b(?:{'|'.join([*TITLES, *GENDER])})\b")
+_HINT = re.compile(rf"[@\d]|AKIA|(?i:passw|pwd|token|secret|key)|\b(?:{'|'.join([*TITLES, *GENDER])})\b")
 _VALUE = re.compile(r"[A-Za-z0-9_\-+/]{8,}\Z")
 
 
@@ -161,14 +176,18 @@ def detect(text: str) -> list[Entity]:
             value = _day(raw[start - m.start() :])
             if not value:
                 continue
-        elif kind == "street":
-            value = raw
+        elif kind == "told":
+            start += re.search(r"\(?\d", raw).start()
+            kind, value = "phone", ":" + re.sub(r"\D", "", raw)
+        elif kind in ("street", "strasse"):
+            kind, value = "street", raw
         elif kind == "named":
             kind, value = "person", raw
         elif kind == "person":
             title, value = re.fullmatch(r"(\w+)\.? (.*)", raw).groups()
             start = end - len(value)
-            if TITLES[title] and " " in value and not _listed(value.split(" ")[0]):
+            first = value.split(" ")[0]
+            if TITLES[title] and " " in value and first not in PARTICLES and not _listed(first):
                 value = f"{TITLES[title]}:{value}"
         else:
             value = raw
@@ -286,7 +305,7 @@ def _wider(kind: str, value: str, tweak: bytes, key: bytes, by: int, gender: str
     """A surrogate of a larger space than the value's own form has; others may have the same one."""
     seed = tweak + value.encode()
     if kind == "person":
-        words = value.split(" ")
+        words = [w for w in value.split(" ") if w not in PARTICLES]
         new = []
         for i, w in enumerate(words):
             script, known = GENDER.get(w, (script_of(w), ""))
@@ -402,14 +421,20 @@ def _surrogate(kind: str, value: str, tries: int, key: bytes) -> str:
         new = permute_hex("".join(groups[1:]), tweak + groups[0].encode(), key)
         return ":".join([groups[0], *(new[i : i + 4] for i in range(0, 28, 4))])
     if kind == "birth":
-        return date.fromordinal(FIRST_DAY + _walk(DAYS, date.fromisoformat(value).toordinal() - FIRST_DAY, tweak, key)).isoformat()
+        day = date.fromisoformat(value).toordinal() - FIRST_DAY
+        new = _walk(PAST, day, tweak, key) if day < PAST else PAST + _walk(DAYS - PAST, day - PAST, tweak, key)
+        return date.fromordinal(FIRST_DAY + new).isoformat()
+    if kind == "street" and value[-1].isdigit():
+        word, number = value.split(" ")
+        end = next(e for e in ENDS if word.endswith(e))
+        return f"{_name_word(word.removesuffix(end), tweak, key)}{end} {permute(number, tweak, key, lambda x: x[0] != '0')}"
     if kind == "street":
         number, *words, street = value.split(" ")
         return " ".join([permute(number, tweak, key, lambda x: x[0] != "0"), *("-".join(_name_word(p, tweak, key) for p in w.split("-")) for w in words), street])
     if kind == "key":
         return value[:4] + permute(value[4:], tweak, key)
     if kind == "person":
-        new = ["-".join(_name_word(p, tweak, key) for p in w.split("-")) for w in value.split(" ")]
+        new = [w if w in PARTICLES else "-".join(_name_word(p, tweak, key) for p in w.split("-")) for w in value.split(" ")]
         if gender:  # a listed name says it, the rest keeps names apart
             first = value.split(" ")[0]
             new[0] = f"{_pick(GIVEN[script_of(first), gender], tweak + first.encode(), key)}-{new[0].replace('-', '').capitalize()}"
