@@ -20,10 +20,10 @@ def test_only_valid_codes_are_taken_over(spark):
     assert sorted(map(tuple, indoor.upsert_coded(old, new).collect())) == [("A", 2), ("C 1", 4)]
 
 
-def test_a_page_too_large_is_told(spark):
-    ink = spark.createDataFrame([("a", r, c) for r in range(10) for c in range(10)] + [("b", 0, 0), ("b", 5000, 5000)], "page string, r int, c int")
-    got = {r.page: (r.status, r.ink) for r in lookup.text_groups(ink, "page", most=1_000_000).collect()}
-    assert got == {"a": ("ok", 100), "b": ("too large", 2)}
+def test_pages_of_any_size_are_grouped(spark):
+    ink = spark.createDataFrame([("a", r, c) for r in range(10) for c in range(10)] + [("b", 10**6 + r, -3 - c) for r in range(8) for c in range(8)] + [("b", 3 * 10**6, 5)], "page string, r int, c int")
+    got = {r.page: (r.r0, r.c0, r.r1, r.c1, r.ink) for r in lookup.text_groups(ink, "page").collect()}
+    assert got == {"a": (0, 0, 9, 9, 100), "b": (10**6, -10, 10**6 + 7, -3, 64)}
 
 
 def test_selection_and_split_levels(spark):

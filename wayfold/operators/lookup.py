@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
-from . import raster
+from . import tiles
 from .spatial import nearest_capped
 
 
@@ -59,26 +57,12 @@ def next_above(levels: DataFrame) -> DataFrame:
     return levels.withColumns({"above": F.lead("level").over(w), "rise": F.lead("elev").over(w) - F.col("elev")})
 
 
-def text_groups(ink: DataFrame, key: str, reach: int = 12, least: int = 60, most: int = 200_000_000) -> DataFrame:
-    """(key, status, label, r0, c0, r1, c1, ink): inked cells (key, r, c) grouped where at most reach apart; groups of little ink go.
-
-    A page whose frame exceeds most cells, which no plan's does, gives one row of status 'too large' with its frame and all
-    its ink. Reading the text of a group is for an OCR engine."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        names = [key, "status", "label", "r0", "c0", "r1", "c1", "ink"]
-        own = pdf[key].iloc[0]
-        if (np.ptp(pdf["r"]) + 3) * (np.ptp(pdf["c"]) + 3) > most:
-            return pd.DataFrame([(own, "too large", 0, int(pdf["r"].min()), int(pdf["c"].min()), int(pdf["r"].max()), int(pdf["c"].max()), len(pdf))], columns=names)
-        m, r0, c0 = raster.to_mask(pdf)
-        labels, n = raster.label(raster.dilate(np.pad(m, reach), reach // 2))
-        labels = labels[reach:-reach, reach:-reach]
-        rows = []
-        for i in range(1, n + 1):
-            ys, xs = np.nonzero((labels == i) & m)
-            if len(ys) >= least:
-                rows.append((own, "ok", i, int(ys.min()) + r0, int(xs.min()) + c0, int(ys.max()) + r0, int(xs.max()) + c0, len(ys)))
-        return pd.DataFrame(rows, columns=names)
-
-    kind = ink.schema[key].dataType.simpleString()
-    return ink.select(key, "r", "c").groupBy(key).applyInPandas(run, f"{key} {kind}, status string, label int, r0 int, c0 int, r1 int, c1 int, ink long")
+def text_groups(ink: DataFrame, key: str, reach: int = 12, least: int = 60, size: int = tiles.SIZE) -> DataFrame:
+    """(key, label, r0, c0, r1, c1, ink): inked cells (key, r, c) grouped where at most reach apart; groups of little ink go.
+
+    Pages of any size, in tiles. Reading the text of a group is for an OCR engine."""
+    cells = ink.select(key, F.col("r").cast("long").alias("r"), F.col("c").cast("long").alias("c")).distinct()
+    labels = tiles.label(tiles.dilate(cells, key, reach // 2, size), key, size=size)
+    groups = cells.join(labels, [key, "r", "c"]).groupBy(key, "label")
+    box = groups.agg(F.min("r").alias("r0"), F.min("c").alias("c0"), F.max("r").alias("r1"), F.max("c").alias("c1"), F.count("*").alias("ink"))
+    return box.where(F.col("ink") >= least)

@@ -125,8 +125,13 @@ def distance(m: np.ndarray) -> np.ndarray:
 
 def skeleton(m: np.ndarray) -> np.ndarray:
     """Zhang-Suen thinning."""
+    return thin(m, m.size)
+
+
+def thin(m: np.ndarray, rounds: int) -> np.ndarray:
+    """Some rounds of it, or as many as change anything."""
     m = np.pad(m, 1)
-    while True:
+    for _ in range(rounds):
         changed = False
         for step in (0, 1):
             p = [shift(m, -r, -c) for r, c in ((-1, 0), (-1, 1), (0, 1), (1, 1), (1, 0), (1, -1), (0, -1), (-1, -1))]
@@ -141,7 +146,8 @@ def skeleton(m: np.ndarray) -> np.ndarray:
                 m = m & ~gone
                 changed = True
         if not changed:
-            return m[1:-1, 1:-1]
+            break
+    return m[1:-1, 1:-1]
 
 
 def draw(shape: tuple[int, int], lines: list[np.ndarray], origin: tuple[float, float] = (0.0, 0.0), res: float = 1.0) -> np.ndarray:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import rules as R
 from ..functions import scalars as S
-from ..operators import georef, graph, indoor, polyline, quality, raster, route, spatial
+from ..operators import georef, graph, indoor, polyline, quality, route, spatial, tiles
 from . import views as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -453,6 +453,8 @@ def _cells(spark, d) -> DataFrame:
 _CELLS = f"""{V.CUSTOMER_SITES}, cells AS MATERIALIZED (SELECT DISTINCT nation, CAST(floor(y / 100) AS BIGINT) + i AS r, CAST(floor(x / 100) AS BIGINT) + j AS c FROM cs, range(-1, 2) v(i), range(-1, 2) w(j))"""
 
 
+#: Cells on a tile's side: floors of some hundred cells a side fall into many tiles.
+_TILE = 32
 _FOUR = "(VALUES (0, 1), (1, 0), (0, -1), (-1, 0)) v(i, j)"
 
 
@@ -464,17 +466,17 @@ def _parts(name: str, cells: str) -> str:
 
 
 @query(f"""WITH RECURSIVE {_CELLS}, {_parts("part", "cells")}
-SELECT nation, row_number() OVER (PARTITION BY nation ORDER BY l) AS label, count(*) AS n, min(r) AS r0, min(c) AS c0 FROM part GROUP BY nation, l""")
+SELECT nation, r, c, dense_rank() OVER (PARTITION BY nation ORDER BY l) AS label FROM part""")
 def label_cells(spark, d):
-    return raster.label_cells(_cells(spark, d), "nation").groupBy("nation", "label").agg(F.count("*").alias("n"), F.min("r").alias("r0"), F.min("c").alias("c0"))
+    return tiles.label(_cells(spark, d), "nation", size=_TILE)
 
 
 @query(f"""WITH {_CELLS}, beside AS (SELECT DISTINCT nation, r + i AS r, c + j AS c FROM cells, {_FOUR}),
 unset AS (SELECT * FROM beside EXCEPT SELECT nation, r, c FROM cells),
 near AS (SELECT a.nation, a.r, a.c, min((a.r - u.r) ** 2 + (a.c - u.c) ** 2) AS d2 FROM cells a JOIN unset u ON a.nation = u.nation GROUP BY ALL)
-SELECT nation, round(sqrt(max(d2)), 6) AS deepest, count(*) AS n FROM near GROUP BY nation""")
+SELECT nation, r, c, round(sqrt(d2), 6) AS d FROM near""")
 def edt(spark, d):
-    return raster.distance_cells(_cells(spark, d), "nation").groupBy("nation").agg(F.round(F.max("d"), 6).alias("deepest"), F.count("*").alias("n"))
+    return tiles.distance(_cells(spark, d), "nation").withColumn("d", F.round("d", 6))
 
 
 #: The cells about one, from above it and clockwise.
@@ -489,9 +491,9 @@ _TURNS = " + ".join(f"(1 - p{i}) * p{(i + 1) % 8}" for i in range(8))
     AND CASE WHEN k % 2 = 0 THEN p0 * p2 * p4 + p2 * p4 * p6 ELSE p0 * p2 * p6 + p0 * p4 * p6 END = 0 AS gone FROM
    (SELECT a.k, a.nation, a.r, a.c, a.last, a.before, {_SET} FROM s a JOIN s b ON a.nation = b.nation AND b.r BETWEEN a.r - 1 AND a.r + 1 AND b.c BETWEEN a.c - 1 AND a.c + 1
     GROUP BY a.k, a.nation, a.r, a.c, a.last, a.before))) WHERE NOT gone AND last + before > 0)
-SELECT nation, count(*) AS n FROM s WHERE k = (SELECT max(k) FROM s) GROUP BY nation""")
+SELECT nation, r, c FROM s WHERE k = (SELECT max(k) FROM s)""")
 def skeleton(spark, d):
-    return raster.skeleton_cells(_cells(spark, d), "nation").groupBy("nation").agg(F.count("*").alias("n"))
+    return tiles.skeleton(_cells(spark, d), "nation", _TILE)
 
 
 @query(f"""WITH RECURSIVE {_CELLS}, disk AS (SELECT i, j FROM range(-2, 3) v(i), range(-2, 3) w(j) WHERE i * i + j * j <= 4),
@@ -501,10 +503,10 @@ box AS (SELECT nation, min(r) - 1 AS r0, max(r) + 1 AS r1, min(c) - 1 AS c0, max
 free AS MATERIALIZED (SELECT nation, r, c FROM box, LATERAL (SELECT unnest(range(r0, r1 + 1)) AS r), LATERAL (SELECT unnest(range(c0, c1 + 1)) AS c) EXCEPT SELECT nation, r, c FROM shut),
 out(nation, r, c) AS (SELECT nation, r0, c0 FROM box UNION SELECT f.nation, f.r, f.c FROM out o CROSS JOIN {_FOUR} JOIN free f ON f.nation = o.nation AND f.r = o.r + i AND f.c = o.c + j),
 whole AS MATERIALIZED (SELECT * FROM shut UNION ALL (SELECT * FROM free EXCEPT SELECT * FROM out)), {_parts("part", "whole")},
-size AS (SELECT nation, count(*) AS n, max(count(*)) OVER (PARTITION BY nation) AS top FROM part GROUP BY nation, l)
-SELECT nation, CAST(sum(n) AS BIGINT) AS n FROM size WHERE n >= 0.06 * top GROUP BY nation""")
+size AS (SELECT nation, l, count(*) AS n, max(count(*)) OVER (PARTITION BY nation) AS top FROM part GROUP BY nation, l)
+SELECT nation, r, c FROM part JOIN size USING (nation, l) WHERE n >= 0.06 * top""")
 def closed_masks(spark, d):
-    return raster.close_cells(_cells(spark, d), "nation", 2, True, 0.06).groupBy("nation").agg(F.count("*").alias("n"))
+    return tiles.filled_mass(_cells(spark, d), "nation", 2, 0.06, _TILE)
 
 
 @query("""SELECT n_nationkey AS code, CAST(f AS INTEGER) AS floor, CASE WHEN f = 0 THEN 0 ELSE -(n_nationkey % 4 + 1) END AS dr, CASE WHEN f = 0 THEN 0 ELSE 3 END AS dc, 1.0::DOUBLE AS score FROM nation, range(2) t(f) WHERE n_nationkey IN (SELECT c_nationkey FROM customer)""")
