@@ -65,6 +65,16 @@ def test_components(spark):
     assert {r.label for r in graph.components(spark.range(401), graph.both_ways(chain)).collect()} == {0}
 
 
+def test_components_of_a_chain_in_any_order_take_few_rounds(spark, monkeypatch):
+    ids = list(range(3000))
+    random.Random(4).shuffle(ids)
+    arcs = graph.both_ways(spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "a long, b long"))
+    rounds, keep = [], graph.kept
+    monkeypatch.setattr(graph, "kept", lambda df: rounds.append(1) or keep(df))
+    labels = graph.components(spark.range(3001), arcs)
+    assert len(rounds) <= 10 and sorted(r.label for r in labels.select("label").distinct().collect()) == [0, 3000]
+
+
 def links(spark):
     """Five buildings: a-b by tunnel, b-c by bridge, c-d closed, c-e by doorway."""
     line = lambda *p: [{"lon": -80.54 + x / S.MX, "lat": 43.47 + y / S.MY} for x, y in p]

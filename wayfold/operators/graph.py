@@ -47,17 +47,28 @@ def from_polylines(ways: DataFrame, factor: Column | None = None) -> tuple[DataF
 def components(vertices: DataFrame, arcs: DataFrame) -> DataFrame:
     """(id, label): the least id of each vertex's component. Arcs go both ways.
 
-    Least labels spread along arcs and along labels, so rounds grow with the logarithm of the diameter."""
+    Every vertex has a parent. In a round each looks at its neighbours' grandparents;
+    the least one becomes a candidate for itself and for its own parent, so that whole
+    trees are hung under smaller ones, and all move up to their grandparents. Rounds
+    grow with the logarithm of a component's size, for chains in any order too."""
     links = kept(arcs.select("a", "b").distinct())
-    labels = kept(vertices.select("id", F.col("id").alias("label")))
-    while True:
-        near = links.join(labels, links["b"] == labels["id"]).groupBy("a").agg(F.min("label").alias("near"))
-        hooked = labels.join(near, labels["id"] == near["a"], "left").select("id", F.least("label", F.coalesce("near", "label")).alias("label"), F.col("label").alias("was"))
-        far = hooked.select(F.col("id").alias("label"), F.col("label").alias("far"))
-        after = kept(hooked.join(far, "label", "left").select("id", F.least("label", F.coalesce("far", "label")).alias("label"), "was"))
-        labels = after.select("id", "label")
-        if after.where("label <> was").isEmpty():
-            return labels
+    state, before = kept(vertices.select("id", F.col("id").alias("label"), F.col("id").alias("far"))), None
+
+    def step(state: DataFrame) -> DataFrame:
+        seen = links.join(state.select(F.col("id").alias("b"), F.col("far").alias("near")), "b").groupBy(F.col("a").alias("id")).agg(F.min("near").alias("near"))
+        found = state.join(seen, "id", "left")
+        own = F.struct("id", F.least("label", "far", F.coalesce("near", "far")).alias("label"))
+        parent = F.struct(F.col("label").alias("id"), F.least("near", "label").alias("label"))  # least() passes over nulls
+        moved = found.select(F.explode(F.array(own, parent)).alias("x")).groupBy("x.id").agg(F.min("x.label").alias("label"))
+        up = moved.select(F.col("id").alias("label"), F.col("label").alias("far"))
+        return moved.join(up, "label").select("id", "label", "far")
+
+    while True:  # labels only fall, so two rounds that change nothing are the end
+        state = kept(step(step(state)))
+        now = state.agg(F.bit_xor(F.xxhash64("id", "label", "far"))).first()[0]
+        if now == before:
+            return state.select("id", "label")
+        before = now
 
 
 def largest_component(vertices: DataFrame, arcs: DataFrame) -> DataFrame:

@@ -67,10 +67,10 @@ def unlinked_stairs(stops: DataFrame, verticals: DataFrame) -> DataFrame:
 
 
 def unreachable(arcs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Nodes outside the component of the least node."""
-    labels = graph.components(nodes.select("id"), arcs)
-    return labels.where(F.col("label") != F.col("id")).join(labels.agg(F.min("label").alias("main")), F.col("label") != F.col("main")).select("id", "label").unionByName(
-        labels.where("label = id").join(labels.agg(F.min("label").alias("main")), F.col("id") != F.col("main")).select("id", "label"))
+    """Nodes outside the component of the least node; that node's id, one value, comes to the driver."""
+    labels = graph.kept(graph.components(nodes.select("id"), arcs))
+    main = labels.agg(F.min("label")).first()[0]
+    return labels.where(F.col("label") != F.lit(main))
 
 
 def route_uses(hops: DataFrame, wanted: list[str]) -> DataFrame:

@@ -370,6 +370,18 @@ def route_frames(spark, d):
     return f.select("nation", "n", "seg", F.round(F.col("lon") * S.MX, 8).alias("px"), (_long(S.round_up(F.col("bearing") * 1000)) % 360000).alias("millidegrees"), F.round("t", 6).alias("t"), "pitch")
 
 
+@query("""WITH s AS (SELECT o_custkey % 50 AS code, o_orderkey % 4 AS level, o_orderkey AS i FROM orders), k AS (SELECT *, row_number() OVER (PARTITION BY code, level ORDER BY i) AS k, count(*) OVER (PARTITION BY code, level) AS n FROM s)
+SELECT CAST(code AS VARCHAR) AS code, CAST(level AS DOUBLE) AS level, 1 + count(*) FILTER (WHERE k % 40 = 3 AND k < n) AS parts FROM k GROUP BY 1, 2 HAVING count(*) FILTER (WHERE k % 40 = 3 AND k < n) > 0""")
+def split_levels(spark, d):
+    """Levels whose chains of nodes lack every fortieth edge."""
+    from pyspark.sql import Window
+
+    s = V.table(spark, d, "orders").select((F.col("o_custkey") % 50).cast("string").alias("code"), (F.col("o_orderkey") % 4).cast("double").alias("level"), F.col("o_orderkey").alias("i"))
+    w = Window.partitionBy("code", "level").orderBy("i")
+    e = s.select("code", "level", F.col("i").alias("a"), F.lead("i").over(w).alias("b"), F.row_number().over(w).alias("k")).where("k % 40 <> 3 AND b IS NOT NULL")
+    return quality.split_levels(s, e)
+
+
 @query("""SELECT l_suppkey AS code, CAST(l_linenumber AS BIGINT) AS level, l_partkey AS i FROM lineitem WHERE l_partkey % 50 = 1 GROUP BY 1, 2, 3""")
 def dangling_edges(spark, d):
     li = V.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("code"), _long("l_linenumber").alias("level"), F.col("l_partkey").alias("a"), F.col("l_partkey").alias("b"))
