@@ -183,12 +183,12 @@ def next_levels(spark, d):
     return lookup.next_above(_levels(spark, d)).select("code", "level", "above", "rise")
 
 
-_STOPS = "st AS (SELECT DISTINCT l_suppkey AS code, CASE WHEN l_partkey % 2 = 0 THEN 'stair' ELSE 'elevator' END AS kind, l_partkey % 3 AS shaft, l_linenumber AS level FROM lineitem WHERE l_partkey % 5 = 0)"
+_STOPS = "st AS (SELECT DISTINCT l_suppkey AS code, CASE WHEN l_partkey % 2 = 0 THEN 'stair' ELSE 'elevator' END AS kind, l_partkey % 400 AS shaft, l_linenumber AS level FROM lineitem)"
 
 
 def _stops(spark, d):
-    li = V.table(spark, d, "lineitem").where("l_partkey % 5 = 0")
-    s = li.select(F.col("l_suppkey").alias("code"), F.when(F.col("l_partkey") % 2 == 0, "stair").otherwise("elevator").alias("kind"), (F.col("l_partkey") % 3).alias("shaft"), F.col("l_linenumber").alias("level")).distinct()
+    li = V.table(spark, d, "lineitem")
+    s = li.select(F.col("l_suppkey").alias("code"), F.when(F.col("l_partkey") % 2 == 0, "stair").otherwise("elevator").alias("kind"), (F.col("l_partkey") % 400).alias("shaft"), F.col("l_linenumber").alias("level")).distinct()
     return s.select("*", (F.col("level") * 10).alias("node"), (F.col("level") * 4.0).alias("elev"), F.lit(3.0).alias("diagonal"))
 
 
@@ -251,11 +251,23 @@ def locate(spark, d):
     return lookup.locate(V.supplier_sites(spark, d), V.customer_sites(spark, d)).select("id", "d")
 
 
-@query(f"""WITH {V.SUPPLIER_SITES}, a AS (SELECT id AS i, x, y FROM ss), q AS (SELECT i, x + 900 AS vx, y AS vy, x, y FROM a) SELECT i AS id, 100.0::DOUBLE AS d FROM q""")
+_PAIR = f"""{V.SUPPLIER_SITES}, corner AS (SELECT * FROM (VALUES (0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 1)) v(i, dx, dy)),
+av AS (SELECT id, i, x + dx * 50 + dy * (id % 7) AS x, y + dy * 50 - dx * (id % 5) AS y FROM ss, corner), bv AS (SELECT id, i, x + 150 + id % 40 + dx * 20 - dy * (id % 3) AS x, y - 40 + id % 130 + dy * 20 + dx * (id % 11) AS y FROM ss, corner),
+ae AS (SELECT p.id, p.i, p.x AS x1, p.y AS y1, q.x AS x2, q.y AS y2 FROM av p JOIN av q ON q.id = p.id AND q.i = (p.i + 1) % 4), be AS (SELECT p.id, p.i, p.x AS x1, p.y AS y1, q.x AS x2, q.y AS y2 FROM bv p JOIN bv q ON q.id = p.id AND q.i = (p.i + 1) % 4),
+vs AS (SELECT v.id, 0 AS side, v.i AS vi, e.i AS si, v.x AS px, v.y AS py, e.* EXCLUDE (id, i) FROM av v JOIN be e ON e.id = v.id UNION ALL SELECT v.id, 1, v.i, e.i, v.x, v.y, e.* EXCLUDE (id, i) FROM bv v JOIN ae e ON e.id = v.id),
+t AS (SELECT *, greatest(0, least(1, ((px - x1) * (x2 - x1) + (py - y1) * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2))) AS t FROM vs), n AS (SELECT *, x1 + t * (x2 - x1) AS qx, y1 + t * (y2 - y1) AS qy FROM t),
+best AS (SELECT *, sqrt((px - qx) ** 2 + (py - qy) ** 2) AS d FROM n QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(sqrt((px - qx) ** 2 + (py - qy) ** 2), 9), side, vi, si) = 1)"""
+
+
+@query(f"""WITH {_PAIR} SELECT id, round(d, 6) AS d, round(CASE side WHEN 0 THEN px ELSE qx END, 6) AS ax, round(CASE side WHEN 0 THEN py ELSE qy END, 6) AS ay, round(CASE side WHEN 0 THEN qx ELSE px END, 6) AS bx, round(CASE side WHEN 0 THEN qy ELSE py END, 6) AS by FROM best""")
 def outline_pairs(spark, d):
-    box = lambda x, y, s: F.array(*(S.point(F.col("x") + x + dx * s, F.col("y") + y + dy * s) for dx, dy in ((0, 0), (1, 0), (1, 1), (0, 1))))
-    s = V.supplier_sites(spark, d).select("id", box(0, 0, 50).alias("a"), box(150, 10, 20).alias("b"))
-    return spatial.nearest_pair(s).select("id", F.round("d", 6).alias("d"))
+    """Two skewed quadrangles at each supplier: their nearest points and distance."""
+    k = F.col("id")
+    corners = ((0, 0), (1, 0), (1, 1), (0, 1))
+    a = F.array(*(S.point(F.col("x") + dx * 50 + dy * (k % 7), F.col("y") + dy * 50 - dx * (k % 5)) for dx, dy in corners))
+    b = F.array(*(S.point(F.col("x") + 150 + k % 40 + dx * 20 - dy * (k % 3), F.col("y") - 40 + k % 130 + dy * 20 + dx * (k % 11)) for dx, dy in corners))
+    got = spatial.nearest_pair(V.supplier_sites(spark, d).select("id", a.alias("a"), b.alias("b")))
+    return got.select("id", *(F.round(x, 6).alias(n) for x, n in (("d", "d"), ("p.x", "ax"), ("p.y", "ay"), ("q.x", "bx"), ("q.y", "by"))))
 
 
 @query(f"""WITH {V.CUSTOMER_SITES}, {V.NATION_RINGS}, x AS (SELECT cs.id, cs.nation, seg.pid, count(*) AS k FROM cs, seg WHERE (seg.y1 > cs.y) <> (seg.y2 > cs.y) AND cs.x < (seg.x2 - seg.x1) * (cs.y - seg.y1) / (seg.y2 - seg.y1) + seg.x1 GROUP BY 1, 2, 3)
@@ -312,9 +324,9 @@ def fit_margins(spark, d):
 # graphs and routes ------------------------------------------------------------------------------------------------
 
 
-@query("SELECT s_suppkey AS id, CAST(row_number() OVER (ORDER BY s_suppkey) - 1 AS INTEGER) AS i FROM supplier WHERE s_suppkey % 3 = 1")
+@query("SELECT s_suppkey * 7 % 10007 AS id, CAST(row_number() OVER (ORDER BY s_suppkey * 7 % 10007) - 1 AS INTEGER) AS i FROM supplier")
 def dense_index(spark, d):
-    return graph.reindex(V.table(spark, d, "supplier").where("s_suppkey % 3 = 1").select(F.col("s_suppkey").alias("id")), "id")
+    return graph.reindex(V.table(spark, d, "supplier").select((F.col("s_suppkey") * 7 % 10007).alias("id")), "id")
 
 
 @query("""WITH e AS (SELECT c_custkey AS id, c_custkey AS a, c_custkey // 2 AS b, c_custkey % 10 AS length FROM customer WHERE c_custkey > 0) SELECT count(*) AS edges, count(DISTINCT a) AS nodes FROM e""")
@@ -403,16 +415,16 @@ def missing_links(spark, d):
     return quality.missing_pairs(required, n)
 
 
-@query("""SELECT l_suppkey AS code, CAST(l_linenumber AS BIGINT) AS level, max(l_quantity) AS q FROM lineitem WHERE l_suppkey % 2 = 0 GROUP BY 1, 2 ORDER BY code, coalesce(level, 99) LIMIT 40""")
+@query("""SELECT l_suppkey AS code, CAST(l_linenumber AS BIGINT) AS level, max(l_quantity) AS q FROM lineitem GROUP BY 1, 2 ORDER BY code, coalesce(level, 99) LIMIT 40""")
 def preview_list(spark, d):
-    t = V.table(spark, d, "lineitem").where("l_suppkey % 2 = 0").groupBy(F.col("l_suppkey").alias("code"), _long("l_linenumber").alias("level")).agg(F.max("l_quantity").alias("q"))
+    t = V.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("code"), _long("l_linenumber").alias("level")).agg(F.max("l_quantity").alias("q"))
     return quality.preview(t, 40)
 
 
-@query("""SELECT CAST(s_nationkey AS VARCHAR) AS building FROM supplier WHERE s_suppkey % 2 = 0 UNION SELECT CAST(s_suppkey % 25 AS VARCHAR) FROM supplier WHERE s_suppkey % 2 = 0""")
+@query("""SELECT CAST(s_nationkey AS VARCHAR) AS building FROM supplier UNION SELECT CAST(s_suppkey % 37 AS VARCHAR) FROM supplier""")
 def linked_buildings(spark, d):
-    s = V.table(spark, d, "supplier").where("s_suppkey % 2 = 0")
-    return route.linked_buildings(s.select(F.col("s_nationkey").cast("string").alias("from"), (F.col("s_suppkey") % 25).cast("string").alias("to")))
+    s = V.table(spark, d, "supplier")
+    return route.linked_buildings(s.select(F.col("s_nationkey").cast("string").alias("from"), (F.col("s_suppkey") % 37).cast("string").alias("to")))
 
 
 @query(f"""WITH {V.SUPPLIER_ARCS} SELECT 'node' AS part, 'all' AS kind, count(*) AS n, 0.0::DOUBLE AS metres FROM supplier UNION ALL SELECT 'edge', CASE WHEN w % 2 = 0 THEN 'outdoor' ELSE 'indoor' END, count(*), CAST(sum(w) AS DOUBLE) FROM arcs GROUP BY 2""")
