@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
 from ..operators import graph, journeys, route
+from ..sources import indoor, versions
 from . import views as V
 from .campus import _CAMPUS, _MX, _MY, _campus
 from .catalog import _long, query
@@ -139,3 +142,39 @@ def journeys_floors(spark, d):
     """The floor shown with every segment of every route."""
     site, hops = _solved(spark, d)
     return route.opened_floor(_segments(site, hops), journeys.link_floors(site["links"], site["levels"]))
+
+
+@query(f"""{_SOLVED}, asked AS (SELECT DISTINCT CAST(split_part(target, ':', 2) AS BIGINT) AS n FROM req1) SELECT CAST(w.n AS VARCHAR) AS code, CAST(w.level AS DOUBLE) AS level, CAST(p.i AS INTEGER) AS a, CAST(q.i AS INTEGER) AS b, round(w.m, 1) AS m, 2 AS points
+FROM wk w JOIN asked ON asked.n = w.n JOIN place p ON p.id = w.a JOIN place q ON q.id = w.b""")
+def indoor_files(spark, d):
+    """The floors written as files, one a building, and the corridors of the buildings that requests go to, read back from theirs alone."""
+    site = _site(spark, d)
+    levels = site["levels"].withColumns({"label": F.lit("x"), "tier": F.lit("A"), "area": F.lit(None).cast("double")})
+    walls, rooms = (spark.createDataFrame([], indoor.PARTS[p]) for p in ("walls", "rooms"))
+    verticals = site["verticals"].withColumns({"shaft": F.col("kind"), "rise": F.lit(4.0)})
+    path = f"{graph.shared_folder(spark)}/indoor-{uuid.uuid4().hex}"
+    indoor.write(levels, site["places"].withColumn("kind", F.lit("corridor")), site["walks"], verticals, walls, rooms, path)
+    asked = _requests(spark, d).select(F.split("target", ":")[1].alias("code"))
+    edges = indoor.read_of(spark, path, "edges", asked)
+    return edges.select("code", "level", "a", "b", "m", F.size("path").alias("points"))
+
+
+@query("""WITH v1 AS (SELECT CAST(s_suppkey AS VARCHAR) AS code, s_nationkey AS nation, CAST(NULL AS BIGINT) AS lines FROM supplier),
+n2 AS (SELECT CAST(l_suppkey AS VARCHAR) AS code, count(*) AS lines FROM lineitem GROUP BY 1), v2 AS (SELECT coalesce(v1.code, n2.code) AS code, nation, coalesce(n2.lines, v1.lines) AS lines FROM v1 FULL JOIN n2 USING (code)),
+n3 AS (SELECT CAST(c_custkey AS VARCHAR) AS code, c_nationkey AS nation FROM customer WHERE c_custkey % 3 = 0), v3 AS (SELECT coalesce(v2.code, n3.code) AS code, coalesce(n3.nation, v2.nation) AS nation, lines FROM v2 FULL JOIN n3 USING (code))
+SELECT 2 AS version, * FROM v2 UNION ALL SELECT 3, * FROM v3""")
+def versioned_upsert(spark, d):
+    """Suppliers, then their lines by one writer, then customers by another that began on the same base, was refused and began anew; versions 2 and 3."""
+    path = f"{graph.shared_folder(spark)}/versions-{uuid.uuid4().hex}"
+    key = lambda c: F.col(c).cast("string").alias("code")
+    first = V.table(spark, d, "supplier").select(key("s_suppkey"), F.col("s_nationkey").alias("nation"), F.lit(None).cast("long").alias("lines"))
+    base = versions.commit(first, path, 0)
+    lines = V.table(spark, d, "lineitem").groupBy(key("l_suppkey")).agg(F.count("*").alias("lines"))
+    people = V.table(spark, d, "customer").where("c_custkey % 3 = 0").select(key("c_custkey"), F.col("c_nationkey").alias("nation"))
+    versions.upsert(spark, path, lines, "code", base)
+    try:
+        versions.upsert(spark, path, people, "code", base)
+    except versions.Stale:
+        versions.upsert(spark, path, people, "code")
+    both = [versions.read(spark, path, v).select(F.lit(v).alias("version"), "code", "nation", "lines") for v in (2, 3)]
+    return both[0].unionByName(both[1])
