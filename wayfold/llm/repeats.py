@@ -12,8 +12,10 @@ and all suffixes with the same closing gram lie in one group. A gram is a few pe
 cent of all positions. Grams are counted first: one that stands in one text only
 closes no prefix that repeats, and its suffixes are dropped without a loss. The
 others' windows are sent to their group as words. A gram with over CONTEXTS places
-has its prefixes lengthened to the whole window, by a 128-bit hash of its words, so
-a passage that a third of all documents share is combined before it is shuffled.
+has its prefixes lengthened: first to all the words of a place, then to the whole
+window, both by a 128-bit hash. Places with equal words are one, the first document
+stands for them, and windows are compared between different ones only, so a passage
+that a third of all documents share is combined before it is shuffled.
 
 Texts with equal words are one: all but the one with the smallest doc_id lose all
 their words if they have ``width`` or more, and only that one takes part.
@@ -38,8 +40,8 @@ from pyspark.sql import functions as F
 from . import common
 
 WIDTH, GRAM = 50, 8
-#: Places of a gram whose suffixes share one group; places that a task builds trees of at once.
-CONTEXTS = BATCH = 1500
+#: Places of a gram whose suffixes share one group (some 40 MB of symbols), and places after which a task builds its trees.
+CONTEXTS, BATCH = 8000, 1500
 
 _rng = np.random.default_rng(20240613)
 _BYTE = _rng.integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -149,11 +151,11 @@ def _with_text(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.withColumnRenamed("doc_id", "id").join(rows, F.col("id").eqNullSafe(F.col("doc_id"))).drop("id")
 
 
-PLACES = "gram long, doc_id long, d1 long, d2 long, start long, windows int, words binary, hashes array<struct<h1:long,h2:long>>"
+PLACES = "gram long, doc_id long, d1 long, d2 long, starts array<long>, windows int, words binary, r1 long, r2 long, hashes array<struct<h1:long,h2:long>>"
 
 
 def places(texts: DataFrame, width: int, gram: int) -> DataFrame:
-    """A row for each run of suffixes closed by one place of a repeated gram: their words, or the windows' hashes where the gram has many places."""
+    """A row for each run of suffixes closed by one place of a repeated gram: their words, or the windows' hashes where the gram has many places; these have a row for each text and words, with all starts."""
 
     @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,19 +168,25 @@ def places(texts: DataFrame, width: int, gram: int) -> DataFrame:
                 many = {x["gram"]: x["many"] for x in live}
                 least, at = closing(grams_of(b" ".join(words), gram), width, gram)
                 least = least.view(np.int64)
+                again: dict[tuple[int, int], list[int]] = {}
                 cuts = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1], [True]])) if len(at) else []
                 for first, end in zip(cuts[:-1], cuts[1:], strict=True):
                     g = int(least[first])
                     if g not in many:
                         continue
                     if many[g]:
+                        run = _digest(words[first : end - 1 + width])
+                        if run in again:
+                            again[run].append(int(first))
+                            continue
+                        again[run] = [int(first)]
                         pairs = [dict(zip(("h1", "h2"), _digest(words[i : i + width]), strict=True)) for i in range(first, end)]
-                        out.append((g, doc_id, d1, d2, int(first), int(end - first), None, pairs))
+                        out.append((g, doc_id, d1, d2, again[run], int(end - first), None, *run, pairs))
                     else:
-                        out.append((g, doc_id, d1, d2, int(first), int(end - first), b" ".join(words[first : end - 1 + width]), None))
-                    if len(out) == 1000:
-                        yield _places(out)
-                        out = []
+                        out.append((g, doc_id, d1, d2, [int(first)], int(end - first), b" ".join(words[first : end - 1 + width]), None, None, None))
+                if len(out) >= 1000:
+                    yield _places(out)
+                    out = []
             if out:
                 yield _places(out)
 
@@ -187,7 +195,7 @@ def places(texts: DataFrame, width: int, gram: int) -> DataFrame:
 
 def _places(rows: list[tuple]) -> pa.RecordBatch:
     long = pa.int64()
-    kinds = {"gram": long, "doc_id": long, "d1": long, "d2": long, "start": long, "windows": pa.int32(), "words": pa.binary(), "hashes": pa.list_(pa.struct([("h1", long), ("h2", long)]))}
+    kinds = {"gram": long, "doc_id": long, "d1": long, "d2": long, "starts": pa.list_(long), "windows": pa.int32(), "words": pa.binary(), "r1": long, "r2": long, "hashes": pa.list_(pa.struct([("h1", long), ("h2", long)]))}
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds.values(), strict=True)], list(kinds))
 
 
@@ -205,7 +213,7 @@ def deep_nodes(common_prefix: np.ndarray, depth: int) -> np.ndarray:
     return np.flatnonzero(common_prefix < depth)
 
 
-SPANS = "doc_id long, d1 long, d2 long, start long, end long"
+SPANS = "doc_id long, d1 long, d2 long, starts array<long>, length long"  # at each start so many words
 
 
 def later_windows(group: np.ndarray, doc: np.ndarray, missing: np.ndarray, texts: list[bytes], windows: np.ndarray, width: int) -> list[np.ndarray]:
@@ -246,15 +254,15 @@ def tree_spans(found: DataFrame, width: int, batch: int) -> DataFrame:
         held: list[tuple] = []
 
         def build() -> pa.RecordBatch:
-            gram, doc, d1, d2, start, windows, words = zip(*held, strict=True)
+            gram, doc, d1, d2, starts, windows, words = zip(*held, strict=True)
             missing = np.array([d is None for d in doc])
             group = np.unique(np.array(gram, dtype=np.int64), return_inverse=True)[1]
             ids = np.array([_LAST if d is None else d for d in doc], dtype=np.int64)
             out = []
             for i, later in enumerate(later_windows(group, ids, missing, words, np.array(windows), width)):
-                out.extend((doc[i], d1[i], d2[i], *x) for x in spans_of(later, start[i], width))
+                out.extend((doc[i], d1[i], d2[i], [a], b - a) for a, b in spans_of(later, starts[i][0], width))
             columns = zip(*out, strict=True) if out else [[]] * 5
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "d1", "d2", "start", "end"])
+            return pa.RecordBatch.from_arrays([pa.array(c, pa.list_(pa.int64()) if i == 3 else pa.int64()) for i, c in enumerate(columns)], ["doc_id", "d1", "d2", "starts", "length"])
 
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -265,17 +273,26 @@ def tree_spans(found: DataFrame, width: int, batch: int) -> DataFrame:
         if held:
             yield build()
 
-    cold = found.where("words IS NOT NULL").select("gram", "doc_id", "d1", "d2", "start", "windows", "words")
+    cold = found.where("words IS NOT NULL").select("gram", "doc_id", "d1", "d2", "starts", "windows", "words")
     return cold.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, SPANS)
 
 
+def _later(rows: DataFrame, key: list[str], folder: str, name: str) -> tuple[DataFrame, DataFrame]:
+    """(rows of keys that also stand in a smaller doc_id, the others): the smallest of each key is found by partial aggregation."""
+    sizes = common.stage(rows.groupBy(*key).agg(F.min("doc_id").alias("first"), F.count("*").alias("size")), folder, name)
+    joined = common.stage(common.join_classes(rows, sizes, key, "size", rows.count()), folder, f"{name}-joined")
+    later = "doc_id > first OR doc_id IS NULL AND first IS NOT NULL"
+    return joined.where(later), joined.where(f"NOT coalesce({later}, false)")
+
+
 def hashed_spans(found: DataFrame, width: int, folder: str) -> DataFrame:
-    """Spans of windows whose prefix is the whole window: the smallest doc_id of each is found by partial aggregation."""
-    hot = found.where("hashes IS NOT NULL").select("doc_id", "d1", "d2", "start", F.posexplode("hashes").alias("i", "h"))
-    rows = common.stage(hot.select("h.h1", "h.h2", "doc_id", "d1", "d2", (F.col("start") + F.col("i")).alias("start")), folder, "hashed")
-    sizes = common.stage(rows.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("size")), folder, "sizes")
-    joined = common.join_classes(rows, sizes.where("size > 1"), ["h1", "h2"], "size", rows.count())
-    return joined.where("doc_id > first OR doc_id IS NULL AND first IS NOT NULL").select("doc_id", "d1", "d2", "start", (F.col("start") + width).alias("end"))
+    """Spans of places whose words, else of windows whose words, also stand in an earlier document."""
+    span = lambda rows, shift, n: rows.select("doc_id", "d1", "d2", F.transform("starts", lambda x: x + shift).alias("starts"), n.cast("long").alias("length"))
+    places = found.where("hashes IS NOT NULL").select("doc_id", "d1", "d2", "starts", "windows", "r1", "r2", "hashes")
+    whole, first = _later(places, ["r1", "r2"], folder, "runs")
+    each = first.select("doc_id", "d1", "d2", "starts", F.posexplode("hashes").alias("i", "h"))
+    rows = common.stage(each.select("h.h1", "h.h2", "doc_id", "d1", "d2", "starts", "i"), folder, "hashed")
+    return span(whole, F.lit(0), F.col("windows") - 1 + width).unionByName(span(_later(rows, ["h1", "h2"], folder, "sizes")[0], F.col("i"), F.lit(width)))
 
 
 def merged_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -321,7 +338,7 @@ def dedup(spark: SparkSession, docs: DataFrame, width: int = WIDTH, gram: int =
     common.small_batches(spark)
     folder = common.work_folder(spark, "repeats")
     rows, spans = removals(spark, docs, folder, width, gram, contexts)
-    wanted = common.stage(spans.groupBy("doc_id", "d1", "d2").agg(F.collect_set(F.struct("start", "end")).alias("spans")), folder, "by-text")
+    wanted = common.stage(spans.groupBy("doc_id", "d1", "d2").agg(F.collect_set(F.struct("starts", "length")).alias("spans")), folder, "by-text")
 
     @common.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,7 +347,7 @@ def dedup(spark: SparkSession, docs: DataFrame, width: int = WIDTH, gram: int =
             for d1, d2, spans, text in zip(*(b.column(c).to_pylist() for c in ("d1", "d2", "spans", "text")), strict=True):
                 words = _words(text)
                 if _digest(words) == (d1, d2):
-                    kept = kept_words(words, merged_spans([(x["start"], x["end"]) for x in spans]))
+                    kept = kept_words(words, merged_spans([(a, a + x["length"]) for x in spans for a in x["starts"]]))
                     joined = b" ".join(kept)
                     out.append((d1, d2, len(kept), hashlib.sha256(joined).hexdigest(), joined.decode("utf-8", "replace") if texts else None))
             columns = zip(*out, strict=True) if out else [[]] * 5
