@@ -1,6 +1,7 @@
 import heapq
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from wayfold.functions import scalars as S
@@ -29,7 +30,9 @@ def made(seed, n, m):
     return one + [(b, a, w) for a, b, w in one]
 
 
-def test_shortest_paths_and_shortcuts(spark):
+@pytest.mark.parametrize("small", [200_000, 0])
+def test_shortest_paths_and_shortcuts(spark, monkeypatch, small):
+    monkeypatch.setattr(graph, "SMALL_ARCS", small)
     arcs = made(1, 40, 55)
     frame = spark.createDataFrame(arcs, "a long, b long, w long")
     src = spark.createDataFrame([(0,), (7,), (13,)], "id long")
@@ -39,6 +42,10 @@ def test_shortest_paths_and_shortcuts(spark):
         got.setdefault(r.src, {})[r.id] = r.d
     for s in (0, 7, 13):
         assert got[s] == dijkstra(arcs, s)
+    other = {(r.src, r.id): (r.d, r.m, r.pred) for r in dist.collect()}
+    monkeypatch.setattr(graph, "SMALL_ARCS", 200_000 - small)
+    assert {(r.src, r.id): (r.d, r.m, r.pred) for r in graph.shortest(frame, src).collect()} == other
+    monkeypatch.setattr(graph, "SMALL_ARCS", small)
     near = {(r.src, r.id): r.d for r in graph.shortest(frame, src, radius=40).collect()}
     assert near == {(s, i): d for s in (0, 7, 13) for i, d in dijkstra(arcs, s).items() if d <= 40}
     far = max(got[0], key=got[0].get)

@@ -76,7 +76,7 @@ def test_frontier_and_own_searches_agree(spark, monkeypatch, seed):
     requests = spark.createDataFrame(asked, "req int, source string, target string, loaded array<string>")
     order = lambda df: sorted((r.req, r.hop, r.arc) for r in df.collect())
     own = order(journeys.hops(arcs, requests))
-    monkeypatch.setattr(journeys, "SMALL_ARCS", 0)
+    monkeypatch.setattr(graph, "SMALL_ARCS", 0)
     monkeypatch.setattr(graph, "COMPACT", 2)
     assert order(journeys.hops(arcs, requests)) == own
     weight = {r[0]: r for r in rows}

@@ -6,8 +6,12 @@ executor costs one round.
 
 from __future__ import annotations
 
+import heapq
 import tempfile
+from collections import defaultdict
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -118,15 +122,64 @@ def reindex(rows: DataFrame, order: str, keys: tuple[str, ...] = ()) -> DataFram
 SMALL_FRONTIER, COMPACT = 100_000, 6
 
 
+#: Arcs up to so many are sent to every task (some 40 MB there).
+SMALL_ARCS = 200_000
+
+
+def settled(near: dict, source, radius: float | None = None, target=None) -> list[tuple]:
+    """(id, d, m, pred) of the vertices nearest to a source, in order, up to a radius or to the target. near: for each vertex (b, w, m)."""
+    best, heap, out, done = {source: (0, None, 0)}, [(0, 0, source)], [], set()
+    pushed = 0  # parts equal distances in the heap
+    while heap:
+        d, _, x = heapq.heappop(heap)
+        if x in done:
+            continue
+        done.add(x)
+        _, pred, m = best[x]
+        out.append((x, d, m, pred))
+        if x == target:
+            break
+        for b, w, step in near.get(x, ()):
+            if b in done or radius is not None and d + w > radius:
+                continue
+            old = best.get(b)
+            if old is None or d + w < old[0] or d + w == old[0] and x < old[1]:
+                best[b] = (d + w, x, m + step)
+                pushed += 1
+                heapq.heappush(heap, (d + w, pushed, b))
+    return out
+
+
+def _each_source(steps: DataFrame, sources: DataFrame, radius: float | None, target) -> DataFrame:
+    """Searches that need no shuffle: each task has all arcs, which are few, and takes its own sources."""
+    sent = steps.sparkSession.sparkContext.broadcast(steps.toPandas())
+    vertex, d, m = (steps.schema[c].dataType.simpleString() for c in ("a", "w", "m"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        near = defaultdict(list)
+        for a, *rest in zip(*(sent.value[c].tolist() for c in ("a", "b", "w", "m")), strict=True):
+            near[a].append(rest)
+        for batch in batches:
+            for source in batch["id"].tolist():
+                found = settled(near, source, radius, target)
+                columns = dict(zip(("id", "d", "m", "pred"), zip(*found, strict=True), strict=True))
+                yield pd.DataFrame({"src": pd.Series([source] * len(found), dtype=object), **{k: pd.Series(list(v), dtype=object) for k, v in columns.items()}})
+
+    return sources.select(F.col("id").cast(vertex).alias("id")).where("id IS NOT NULL").distinct().mapInPandas(run, f"src {vertex}, id {vertex}, d {d}, m {m}, pred {vertex}")
+
+
 def shortest(arcs: DataFrame, sources: DataFrame, radius: float | None = None, target: str | int | None = None) -> DataFrame:
     """(src, id, d, m, pred): distances by w from each source; m sums the arcs' m (w where there is none).
 
-    All sources advance in one frontier. Only vertices within the radius are
-    returned. With a target the search of a source ends when no frontier vertex
-    could improve it. Equal distances take the smaller predecessor."""
+    Where the arcs are few every task searches for its own sources; else all
+    sources advance in one frontier. Only vertices within the radius are returned.
+    With a target the search of a source ends when no frontier vertex could improve
+    it. Equal distances take the smaller predecessor."""
     if "m" not in arcs.columns:
         arcs = arcs.withColumn("m", F.col("w"))
     steps = kept(arcs.groupBy("a", "b").agg(F.min(F.struct("w", "m")).alias("x")).select("a", "b", "x.w", "x.m").repartition("a"))
+    if steps.limit(SMALL_ARCS + 1).count() <= SMALL_ARCS:
+        return kept(_each_source(steps, sources, radius, target))
     zero = F.lit(0).cast(steps.schema["w"].dataType)
     none = F.lit(None).cast(steps.schema["a"].dataType)
     frontier = kept(sources.select(F.col("id").alias("src"), "id", zero.alias("d"), zero.cast(steps.schema["m"].dataType).alias("m"), none.alias("pred")))

@@ -31,8 +31,6 @@ from . import graph, route, spatial
 
 #: Cost of a hop straight through a building, times its length, where the request has loaded its floors.
 FALLBACK = 2.5
-#: Arcs up to so many are sent to every task (some 40 MB there).
-SMALL_ARCS = 200_000
 ARC = ["arc", "a", "b", "w", "m", "kind", "link", "building", "vertical", "level", "to_level", "coords"]
 _TYPES = {"link": "string", "building": "string", "vertical": "string", "level": "double", "to_level": "double", "coords": "array<struct<lon:double,lat:double,z:double>>"}
 
@@ -171,7 +169,7 @@ def _own_hops(arcs: DataFrame, requests: DataFrame) -> DataFrame:
 
 def hops(arcs: DataFrame, requests: DataFrame) -> DataFrame:
     """(req, hop, arc, a, b, w, m, ...): the arcs of each request's cheapest way."""
-    few = arcs.limit(SMALL_ARCS + 1).count() <= SMALL_ARCS
+    few = arcs.limit(graph.SMALL_ARCS + 1).count() <= graph.SMALL_ARCS
     found = _own_hops(arcs, requests) if few else _walk_back(search(arcs, requests), requests)
     return found.join(F.broadcast(arcs.drop("fine")) if few else arcs.drop("fine"), "arc")
 
