@@ -76,3 +76,22 @@ def test_nothing(spark):
     none = spark.createDataFrame([], "key string, r int, c int")
     for df in (tiles.label(none, "key"), tiles.fill_holes(none, "key"), tiles.distance(none, "key"), tiles.skeleton(none, "key"), tiles.filled_mass(none, "key", 2)):
         assert df.collect() == []
+
+
+@pytest.mark.parametrize("size", [6, 256])
+def test_outlines_hold_the_cells(spark, size):
+    """Whatever cell: its centre is in as many outer rings as holes, plus one if it is set; rings don't touch themselves."""
+    every = masks() | {"loop": np.array([[1, 1, 1], [1, 0, 1], [1, 1, 0]], dtype=bool), "corner": np.array([[1, 0], [0, 1]], dtype=bool)}
+    rows = tiles.outlines(cells(spark, every), "key", size).collect()
+    for k, m in every.items():
+        labels, n = raster.label(m)
+        mine = [r for r in rows if r.key == k]
+        for i in range(1, n + 1):
+            own = [r for r in mine if r.label == i]
+            assert sum(-r.area if r.hole else r.area for r in own) == (labels == i).sum() and sum(not r.hole for r in own) >= 1
+            inside = sum((-1 if r.hole else 1) * raster.polygon_mask(m.shape, [np.array([(p.x - 7, p.y + 40) for p in r.pts])]).astype(int) for r in own)
+            assert (inside == (labels == i)).all()
+        for r in mine:
+            assert len({(p.x, p.y) for p in r.pts}) == len(r.pts) >= 4
+    assert [(r.hole, r.area) for r in sorted(rows, key=lambda r: r.area) if r.key == "loop"] == [(True, 1.0), (False, 8.0)]
+    assert tiles.outlines(spark.createDataFrame([], "key string, r int, c int"), "key").collect() == []

@@ -236,3 +236,65 @@ def skeleton(cells: DataFrame, key: str, size: int = SIZE, rounds: int = THIN) -
         if after == n:
             return left
         n = after
+
+
+def _loops(start: tuple[int, int, int], ahead: dict[tuple[int, int, int], int]) -> list[list[tuple[int, int]]]:
+    """The corners of a border walked from one side to the next; where it touches itself, the loop since then is cut off as a ring of its own."""
+    out, path, at = [], [], {}
+    x, y, d = start
+    while True:
+        if (x, y) in at:
+            first = at[x, y]
+            loop = path[first:]
+            for p in loop:
+                del at[p]
+            del path[first:]
+            out.append(loop)
+            if not path and (x, y, d) == start:
+                return out
+        at[x, y] = len(path)
+        path.append((x, y))
+        turn = ahead[x, y, d]
+        x, y, d = x + (1, 0, -1, 0)[d], y + (0, 1, 0, -1)[d], turn
+
+
+def _corners(loop: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Without the points between two sides of one direction."""
+    n = len(loop)
+    return [p for i, p in enumerate(loop) if not (loop[i - 1][0] == p[0] == loop[(i + 1) % n][0] or loop[i - 1][1] == p[1] == loop[(i + 1) % n][1])]
+
+
+def outlines(cells: DataFrame, key: str, size: int = SIZE) -> DataFrame:
+    """(key, label, hole, area, pts): the rings about each component, outer ones and holes, as corners (x, y) of cells.
+
+    Sides of cells with nothing beyond them are rows; each is followed by the one that
+    begins where it ends, at a corner where two parts touch by the one of the same
+    cell. Connected sides are a ring, and its cells' component says which outer ring a
+    hole belongs to. Rings that touch themselves are split, so all are valid; the
+    areas of a component's rings, holes subtracted, add up to its cells."""
+    labels = graph.kept(label(cells, key, size=size))
+    beyond = ((-1, 0, 0, 0, 0), (0, 1, 1, 0, 1), (1, 0, 1, 1, 2), (0, -1, 0, 1, 3))  # neighbour, where the side begins, its direction: right, down, left, up
+    side = F.explode(F.array(*(F.struct((F.col("r") + dr).alias("nr"), (F.col("c") + dc).alias("nc"), (F.col("c") + dx).alias("x"), (F.col("r") + dy).alias("y"), F.lit(d).alias("d")) for dr, dc, dx, dy, d in beyond)))
+    taken = labels.select(key, F.col("r").alias("nr"), F.col("c").alias("nc"))
+    sides = labels.select(key, "label", side.alias("s")).select(key, "label", "s.*").join(taken, [key, "nr", "nc"], "left_anti").select(key, "label", "x", "y", "d")
+    sides = graph.kept(sides)
+    step = lambda *by: F.element_at(F.array(*(F.lit(v) for v in by)), F.col("d") + 1)
+    ends = sides.withColumns({"ex": F.col("x") + step(1, 0, -1, 0), "ey": F.col("y") + step(0, 1, 0, -1)})
+    after = sides.select(key, F.col("x").alias("ex"), F.col("y").alias("ey"), F.col("d").alias("turn"))
+    order = F.pmod(F.col("turn") - F.col("d") - 1, F.lit(4))  # about the same cell first
+    linked = graph.kept(ends.join(after, [key, "ex", "ey"]).groupBy(key, "label", "x", "y", "d", "ex", "ey").agg(F.min_by("turn", order).alias("turn")))
+    name = lambda x, y, d: F.struct(F.col(key).alias("k"), F.col(x).alias("x"), F.col(y).alias("y"), F.col(d).alias("d"))
+    arcs = graph.both_ways(linked.select(name("x", "y", "d").alias("a"), name("ex", "ey", "turn").alias("b")))
+    rings = linked.withColumn("id", name("x", "y", "d")).join(graph.components(linked.select(name("x", "y", "d").alias("id")), arcs).withColumnRenamed("label", "ring"), "id")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        ahead = {(x, y, d): t for x, y, d, t in zip(*(pdf[c].tolist() for c in ("x", "y", "d", "turn")), strict=True)}
+        rows = []
+        for loop in _loops(min(ahead), ahead):
+            area = sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(loop, loop[1:] + loop[:1], strict=True)) / 2
+            rows.append((pdf[key].iloc[0], int(pdf["label"].iloc[0]), area < 0, abs(area), [{"x": float(x), "y": float(y)} for x, y in _corners(loop)]))
+        columns = zip(*rows, strict=True)
+        return pd.DataFrame({n: pd.Series(list(v), dtype=object) for n, v in zip((key, "label", "hole", "area", "pts"), columns, strict=True)})
+
+    kind = cells.schema[key].dataType.simpleString()
+    return rings.select(key, "label", "x", "y", "d", "turn", "ring").groupBy(key, "ring").applyInPandas(run, f"{key} {kind}, label long, hole boolean, area double, pts array<struct<x:double,y:double>>")

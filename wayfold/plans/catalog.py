@@ -473,6 +473,16 @@ def label_cells(spark, d):
     return tiles.label(_cells(spark, d), "nation", size=_TILE)
 
 
+@query(f"""WITH RECURSIVE {_CELLS}, {_parts("part", "cells")}, numbered AS (SELECT nation, r, c, dense_rank() OVER (PARTITION BY nation ORDER BY l) AS label FROM part),
+side AS (SELECT n.nation, n.label, count(*) AS sides FROM numbered n CROSS JOIN {_FOUR} ANTI JOIN cells k ON k.nation = n.nation AND k.r = n.r + i AND k.c = n.c + j GROUP BY ALL)
+SELECT nation, label, CAST(count(*) AS DOUBLE) AS area, CAST(sides AS DOUBLE) AS metres FROM numbered JOIN side USING (nation, label) GROUP BY nation, label, sides""")
+def mask_outlines(spark, d):
+    """The area in the rings of each component of a nation's blobs, holes subtracted, and the length of these rings."""
+    rings = tiles.outlines(_cells(spark, d), "nation", _TILE)
+    closed = S.length(F.concat("pts", F.slice("pts", 1, 1)))
+    return rings.groupBy("nation", "label").agg(F.sum(F.when(F.col("hole"), -F.col("area")).otherwise(F.col("area"))).alias("area"), F.sum(closed).alias("metres"))
+
+
 @query(f"""WITH {_CELLS}, beside AS (SELECT DISTINCT nation, r + i AS r, c + j AS c FROM cells, {_FOUR}),
 unset AS (SELECT * FROM beside EXCEPT SELECT nation, r, c FROM cells),
 near AS (SELECT a.nation, a.r, a.c, min((a.r - u.r) ** 2 + (a.c - u.c) ** 2) AS d2 FROM cells a JOIN unset u ON a.nation = u.nation GROUP BY ALL)
