@@ -99,6 +99,50 @@ def polygons_at_points(points: DataFrame, polygons: DataFrame, size: float) -> D
     return joined.where(S.inside(F.struct("x", "y"), F.col("ring"))).drop("cx", "cy")
 
 
+def _meets(x0: Column, y0: Column, x1: Column, y1: Column):
+    """Whether a segment meets the closed cell: their bounds overlap and the corners aren't all strictly on one side of its line."""
+
+    def touches(s: Column) -> Column:
+        a, b = s["a"], s["b"]
+        corners = [(b["x"] - a["x"]) * (y - a["y"]) - (b["y"] - a["y"]) * (x - a["x"]) for x in (x0, x1) for y in (y0, y1)]
+        apart = (F.least(*corners) > 0) | (F.greatest(*corners) < 0)
+        return (F.least(a["x"], b["x"]) <= x1) & (F.greatest(a["x"], b["x"]) >= x0) & (F.least(a["y"], b["y"]) <= y1) & (F.greatest(a["y"], b["y"]) >= y0) & ~apart
+
+    return touches
+
+
+def cover(polygons: DataFrame, size: float, depth: int = 3) -> DataFrame:
+    """(level, cx, cy, full, pid, ring, ...): cells of each polygon, made once for all points that will be asked for.
+
+    Cells that no edge touches are wholly inside (full) or are left out; those that
+    one touches are cut in four, depth times, and only what is a border cell then
+    needs a test of its points. Cells of a level are size / 2^level wide."""
+    from .graph import kept
+
+    span = lambda lo, hi: F.explode(F.sequence(cell(F.col(lo), size), cell(F.col(hi), size)))
+    left = polygons.withColumn("_b", S.bounds("ring")).withColumn("cx", span("_b.x0", "_b.x1")).withColumn("cy", span("_b.y0", "_b.y1")).drop("_b")
+    out = None
+    for level in range(depth + 1):
+        w = size / 2**level
+        x0, y0 = F.col("cx") * F.lit(w), F.col("cy") * F.lit(w)
+        cut = F.exists(S.segments(F.concat("ring", F.slice("ring", 1, 1))), _meets(x0, y0, x0 + w, y0 + w))
+        here = kept(left.withColumn("_cut", cut).withColumn("full", ~F.col("_cut") & S.inside(F.struct((x0 + w / 2).alias("x"), (y0 + w / 2).alias("y")), F.col("ring"))))
+        done = here.where("full" if level < depth else "full OR _cut").drop("_cut").withColumn("level", F.lit(level))
+        out = done if out is None else out.unionByName(done)
+        four = F.explode(F.array(*(F.struct((F.col("cx") * 2 + i).alias("cx"), (F.col("cy") * 2 + j).alias("cy")) for i in (0, 1) for j in (0, 1))))
+        left = here.where("_cut").withColumn("_f", four).withColumns({"cx": F.col("_f.cx"), "cy": F.col("_f.cy")}).drop("_f", "_cut", "full")
+    return out
+
+
+def polygons_by_cover(points: DataFrame, index: DataFrame, size: float, depth: int = 3) -> DataFrame:
+    """The rows of polygons_at_points by a cover of the same size and depth, with tested: whether the point's own test decided."""
+    each = points.withColumn("level", F.explode(F.array(*(F.lit(i) for i in range(depth + 1)))))
+    width = F.lit(float(size)) / F.pow(F.lit(2.0), F.col("level"))
+    at = each.withColumn("cx", F.floor(F.col("x") / width)).withColumn("cy", F.floor(F.col("y") / width))
+    joined = at.join(index, ["level", "cx", "cy"])
+    return joined.where(F.col("full") | S.inside(F.struct("x", "y"), F.col("ring"))).withColumn("tested", ~F.col("full")).drop("level", "cx", "cy", "full")
+
+
 def label_rooms(labels: DataFrame, rooms: DataFrame, size: float) -> DataFrame:
     """(pid, text, conf): of the labels (text, conf, ord, x, y) inside a room the surest, the first of equals."""
     found = polygons_at_points(labels, rooms, size)
@@ -129,6 +173,46 @@ def nearest_pair(outlines: DataFrame) -> DataFrame:
     return both.groupBy("id").agg(F.min_by(F.struct("p", "q", "d"), F.struct("d", "side", "vi", "si")).alias("m")).select("id", "m.p", "m.q", "m.d")
 
 
+def nearest_outlines(left: DataFrame, right: DataFrame, size: float = 100.0) -> DataFrame:
+    """(id, near_id, p, q, d): for each outline of left (id, ring) the nearest one of right and the nearest points, vertices of either against edges of the other.
+
+    Edges meet in grid cells: a left edge looks into its own and the cells about
+    these, so whatever is within a cell's width is found. Outlines whose best
+    distance isn't covered by that look again in cells four times as wide, until
+    none is left. Equal distances take the smaller near_id, then left's vertices."""
+    from .graph import kept
+
+    def edges(df: DataFrame, name: str) -> DataFrame:
+        closed = F.concat("ring", F.slice("ring", 1, 1))
+        return df.select(F.col("id").alias(name), F.posexplode(S.segments(closed)).alias(f"{name}_e", f"{name}_s"))
+
+    def in_cells(df: DataFrame, name: str, width: float, reach: int) -> DataFrame:
+        a, b = F.col(f"{name}_s.a"), F.col(f"{name}_s.b")
+        span = lambda c: F.explode(F.sequence(cell(F.least(a[c], b[c]), width) - reach, cell(F.greatest(a[c], b[c]), width) + reach))
+        return df.withColumn("cx", span("x")).withColumn("cy", span("y"))
+
+    if right.isEmpty():
+        return left.sparkSession.createDataFrame([], f"id {left.schema['id'].dataType.simpleString()}, near_id {right.schema['id'].dataType.simpleString()}, p struct<x:double,y:double>, q struct<x:double,y:double>, d double")
+    todo, other, width, found = kept(edges(left, "l")), kept(edges(right, "r")), float(size), None
+
+    def one(vertex: str, edge: str, end: str, side: int) -> Column:
+        v = F.col(f"{vertex}_s.{end}")
+        q = S.nearest_on_segment(v, F.col(f"{edge}_s.a"), F.col(f"{edge}_s.b"))
+        p_, q_ = (v, q) if side == 0 else (q, v)
+        return F.struct(S.distance(v, q).alias("d"), F.col("r").alias("near_id"), F.lit(side).alias("side"), F.col(f"{vertex}_e").alias("ve"), F.col(f"{edge}_e").alias("ee"), p_.alias("p"), q_.alias("q"))
+
+    while True:
+        pairs = in_cells(todo, "l", width, 1).join(in_cells(other, "r", width, 0), ["cx", "cy"])
+        best = F.array_min(F.array(one("l", "r", "a", 0), one("r", "l", "a", 1)))  # an edge's other end is the next one's first
+        near = pairs.groupBy(F.col("l").alias("id")).agg(F.min(best).alias("m")).where(F.col("m.d") <= width)
+        near = kept(near.select("id", "m.near_id", "m.p", "m.q", "m.d"))
+        found = near if found is None else found.unionByName(near)
+        todo = kept(todo.join(near.select(F.col("id").alias("l")), "l", "left_anti"))
+        if todo.isEmpty():
+            return found
+        width *= 4
+
+
 def enter(paths: DataFrame, depth: float = 12.0, at_start: bool = False) -> DataFrame:
     """Paths (id, path, rings, centroid) made to end, or to start, depth metres inside their building."""
     p = F.get("path", F.lit(0)) if at_start else F.element_at("path", -1)

@@ -270,6 +270,23 @@ def outline_pairs(spark, d):
     return got.select("id", *(F.round(x, 6).alias(n) for x, n in (("d", "d"), ("p.x", "ax"), ("p.y", "ay"), ("q.x", "bx"), ("q.y", "by"))))
 
 
+_QUAD = lambda k, x, y: tuple((f"{x} + {dx} * (30 + {k} % 17) - {dy} * ({k} % 13)", f"{y} + {dy} * (25 + {k} % 19) + {dx} * ({k} % 7)") for dx, dy in ((0, 0), (1, 0), (1, 1), (0, 1)))
+_QUAD_SQL = lambda name, sites: f"{name} AS (SELECT id, i, x1, y1, x2, y2 FROM ({' UNION ALL '.join(f'SELECT id, {i} AS i, {_QUAD("id", "x", "y")[i][0]} AS x1, {_QUAD("id", "x", "y")[i][1]} AS y1, {_QUAD("id", "x", "y")[(i + 1) % 4][0]} AS x2, {_QUAD("id", "x", "y")[(i + 1) % 4][1]} AS y2 FROM {sites}' for i in range(4))}))"
+
+
+@query(f"""WITH {V.SUPPLIER_SITES}, {V.CUSTOMER_SITES}, {_QUAD_SQL("ls", "ss")}, {_QUAD_SQL("rs", "cs")},
+vs AS (SELECT l.id, r.id AS near_id, 0 AS side, l.i AS ve, r.i AS ee, l.x1 AS vx, l.y1 AS vy, r.x1, r.y1, r.x2, r.y2 FROM ls l, rs r UNION ALL SELECT l.id, r.id, 1, r.i, l.i, r.x1, r.y1, l.x1, l.y1, l.x2, l.y2 FROM ls l, rs r),
+n AS (SELECT *, greatest(0, least(1, ((vx - x1) * (x2 - x1) + (vy - y1) * (y2 - y1)) / ((x2 - x1) ** 2 + (y2 - y1) ** 2))) AS t FROM vs), q AS (SELECT *, x1 + t * (x2 - x1) AS qx, y1 + t * (y2 - y1) AS qy FROM n),
+m AS (SELECT id, near_id, side, vx, vy, qx, qy, sqrt((vx - qx) ** 2 + (vy - qy) ** 2) AS d FROM q QUALIFY row_number() OVER (PARTITION BY id ORDER BY sqrt((vx - qx) ** 2 + (vy - qy) ** 2), near_id, side, ve, ee) = 1)
+SELECT id, near_id, round(d, 6) AS d, round(CASE side WHEN 0 THEN vx ELSE qx END, 4) AS px, round(CASE side WHEN 0 THEN vy ELSE qy END, 4) AS py, round(CASE side WHEN 0 THEN qx ELSE vx END, 4) AS qx, round(CASE side WHEN 0 THEN qy ELSE vy END, 4) AS qy FROM m""")
+def nearest_outlines(spark, d):
+    """For a quadrangle at each supplier the nearest one of the customers'."""
+    ring = F.array(*(S.point(F.expr(x), F.expr(y)) for x, y in _QUAD("id", "x", "y")))
+    own, other = (f(spark, d).select("id", ring.alias("ring")) for f in (V.supplier_sites, V.customer_sites))
+    got = spatial.nearest_outlines(own, other, 40.0)
+    return got.select("id", "near_id", *(F.round(x, n).alias(a) for x, n, a in (("d", 6, "d"), ("p.x", 4, "px"), ("p.y", 4, "py"), ("q.x", 4, "qx"), ("q.y", 4, "qy"))))
+
+
 @query(f"""WITH {V.CUSTOMER_SITES}, {V.NATION_RINGS}, x AS (SELECT cs.id, cs.nation, seg.pid, count(*) AS k FROM cs, seg WHERE (seg.y1 > cs.y) <> (seg.y2 > cs.y) AND cs.x < (seg.x2 - seg.x1) * (cs.y - seg.y1) / (seg.y2 - seg.y1) + seg.x1 GROUP BY 1, 2, 3)
 SELECT id, nation AS code, pid FROM x WHERE k % 2 = 1 AND pid <> nation""")
 def other_footprints(spark, d):

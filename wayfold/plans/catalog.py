@@ -159,6 +159,14 @@ def pip_join(spark, d):
     return spatial.polygons_at_points(V.customer_sites(spark, d).select("id", "x", "y"), V.nation_rings(spark, d), 1000.0).select("id", "pid")
 
 
+@query(f"""WITH {V.CUSTOMER_SITES}, {V.NATION_RINGS}, x AS (SELECT cs.id, seg.pid, count(*) AS k FROM cs, seg WHERE (seg.y1 > cs.y) <> (seg.y2 > cs.y) AND cs.x < (seg.x2 - seg.x1) * (cs.y - seg.y1) / (seg.y2 - seg.y1) + seg.x1 GROUP BY 1, 2)
+SELECT id, pid FROM x WHERE k % 2 = 1""")
+def pip_cover(spark, d):
+    """The same by a cover of the polygons, whose inner cells need no test."""
+    points = V.customer_sites(spark, d).select("id", "x", "y")
+    return spatial.polygons_by_cover(points, spatial.cover(V.nation_rings(spark, d), 500.0), 500.0).select("id", "pid")
+
+
 @query(f"""WITH {V.CUSTOMER_SITES}, {V.NATION_RINGS}, t AS (SELECT cs.id, cs.x, cs.y, seg.*, greatest(0, least(1, ((cs.x - x1) * (x2 - x1) + (cs.y - y1) * (y2 - y1)) / ((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1)))) AS u FROM cs JOIN seg ON seg.pid = cs.nation),
 q AS (SELECT id, sqrt((x - x1 - u * (x2 - x1)) ** 2 + (y - y1 - u * (y2 - y1)) ** 2) AS d FROM t)
 SELECT id, round(min(d), 4) AS d FROM q GROUP BY id""")
