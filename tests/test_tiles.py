@@ -41,7 +41,7 @@ def want(every, make):
     return {k: v for k, v in out.items() if v}
 
 
-@pytest.mark.parametrize("size", [5, 16, 256])
+@pytest.mark.parametrize("size", [7, 24])
 def test_equal_to_whole_masks(spark, size):
     every = masks()
     df = cells(spark, every)
@@ -78,7 +78,7 @@ def test_nothing(spark):
         assert df.collect() == []
 
 
-@pytest.mark.parametrize("size", [6, 256])
+@pytest.mark.parametrize("size", [9])
 def test_outlines_hold_the_cells(spark, size):
     """Whatever cell: its centre is in as many outer rings as holes, plus one if it is set; rings don't touch themselves."""
     every = masks() | {"loop": np.array([[1, 1, 1], [1, 0, 1], [1, 1, 0]], dtype=bool), "corner": np.array([[1, 0], [0, 1]], dtype=bool)}
