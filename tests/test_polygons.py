@@ -52,3 +52,17 @@ def test_nearest_outlines_equal_brute_force(spark):
         assert abs(got[i].d - d) < 1e-9 and math.dist(p, tuple(got[i].p)) < 1e-6 and math.dist(q, tuple(got[i].q)) < 1e-6
         assert all(math.hypot(ring[0][0] - o[0][0], ring[0][1] - o[0][1]) - 110 > d or near(ring, o)[0] >= d - 1e-9 for _, o in right)
     assert spatial.nearest_outlines(frame(left), frame([]), 50.0).collect() == []
+
+
+def test_residuals_equal_all_pairs(spark):
+    from wayfold.operators import georef
+
+    rng = random.Random(3)
+    points = [(k, rng.uniform(-100, 100), rng.uniform(-100, 100)) for k in "ab" for _ in range(300)] + [("a", 5000.0, 0.0), ("c", 0.0, 0.0)]
+    border = [(k, rng.uniform(-30, 30), rng.uniform(-30, 30)) for k in "ab" for _ in range(80)]
+    frame = lambda rows: spark.createDataFrame(rows, "code string, x double, y double")
+    got = {r.code: r.residual for r in georef.residual(frame(points), frame(border), ("code",)).collect()}
+    want = {k: [min(math.dist(p[1:], b[1:]) for b in border if b[0] == k) for p in points if p[0] == k] for k in "ab"}
+    assert got.keys() == want.keys() and all(abs(got[k] - sum(v) / len(v)) < 1e-9 for k, v in want.items())
+    every = [min(math.dist(p[1:], b[1:]) for b in border) for p in points]
+    assert abs(georef.residual(frame(points).drop("code"), frame(border).drop("code")).first().residual - sum(every) / len(every)) < 1e-9

@@ -43,17 +43,29 @@ def iou(a: DataFrame, b: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     return out.withColumn("iou", F.when(F.col("any_n") == 0, 0.0).otherwise(F.col("both_n") / F.col("any_n")))
 
 
-def residual(points: DataFrame, boundary: DataFrame, keys: tuple[str, ...] = (), most: int = SAMPLE) -> DataFrame:
-    """(keys, residual): the mean distance of a deterministic sample of points to boundary points, a sampling operator by design."""
+def residual(points: DataFrame, boundary: DataFrame, keys: tuple[str, ...] = (), most: int = SAMPLE, cap: float = 8.0) -> DataFrame:
+    """(keys, residual): the mean distance of a deterministic sample of points to boundary points, a sampling operator by design.
+
+    Points look into the cells about them; those with nothing within the cap look again with one four times as wide."""
+    from .graph import kept
+    from .spatial import nearest_capped
+
     order = (F.xxhash64("x", "y"), "x", "y")
     if keys:
         few = points.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= most).drop("_n")
+        few = few.join(boundary.select(*keys).distinct(), list(keys), "left_semi")
     else:
-        few = points.orderBy(*order).limit(most)
-    b = boundary.select(*keys, F.col("x").alias("bx"), F.col("y").alias("by"))
-    joined = few.join(b, list(keys)) if keys else b.join(F.broadcast(few))  # most points at most
-    near = joined.groupBy(*keys, "x", "y").agg(F.min(F.hypot(F.col("x") - F.col("bx"), F.col("y") - F.col("by"))).alias("d"))
-    return (near.groupBy(*keys) if keys else near.groupBy()).agg(F.avg("d").alias("residual"))
+        few = points.orderBy(*order).limit(0 if boundary.isEmpty() else most)
+    own = lambda df: df.select(*keys, F.struct("x", "y").alias("id"), "x", "y").distinct()
+    left, right, found = kept(own(few)), kept(own(boundary)), None
+    while True:
+        near = kept(nearest_capped(left, right, cap, keys, strict=False))
+        found = near if found is None else found.unionByName(near)
+        left = kept(left.join(near.select(*keys, "id"), [*keys, "id"], "left_anti"))
+        if left.isEmpty():
+            break
+        cap *= 4
+    return (found.groupBy(*keys) if keys else found.groupBy()).agg(F.avg("d").alias("residual"))
 
 
 def margin(candidates: DataFrame, key: str) -> DataFrame:
@@ -182,6 +194,27 @@ def accept(fits: DataFrame, residuals: DataFrame) -> DataFrame:
     return m.join(residuals, "code", "left").withColumn("method", R.georef_method("best", "margin", "residual"))
 
 
+def register(plans: DataFrame, footprints: DataFrame, cell: float, angles: DataFrame, step: float = 0.5) -> DataFrame:
+    """(code, scale, degrees, tx, ty, best, margin, residual, method): the best fit of each plan on its footprint and whether it is taken over.
+
+    plans: code, r, c (cells of the filled plan, their centres half a cell in). The
+    residual is that of the plan's edge cells, placed, to the footprint's rings, a point every step."""
+    from . import graph, tiles
+
+    at = lambda x: ((F.col(x) + 0.5) * cell).alias("y" if x == "r" else "x")
+    fits = graph.kept(fit(plans.select("code", at("c"), at("r")), footprints, cell, angles))
+    w = Window.partitionBy("code").orderBy(F.desc("score"), "degrees")
+    best = graph.kept(fits.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "score"))
+    edge = tiles.edge(plans, "code").select("code", at("c"), at("r")).join(best, "code")
+    placed = S.affine(F.struct("x", "y"), F.col("scale"), F.col("degrees"), F.lit(False), F.col("tx"), F.col("ty"))
+    points = edge.select("code", placed.alias("p")).select("code", "p.x", "p.y")
+    closed = footprints.select("code", F.explode("rings").alias("ring")).select("code", F.explode(S.segments(F.concat("ring", F.slice("ring", 1, 1)))).alias("s"))
+    n = F.greatest(F.lit(1), F.ceil(S.distance(F.col("s.a"), F.col("s.b")) / step).cast("int"))
+    along = closed.withColumn("_n", n).withColumn("_t", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).withColumn("_t", F.col("_t") / F.col("_n"))
+    mix = lambda k: (F.col(f"s.a.{k}") + (F.col(f"s.b.{k}") - F.col(f"s.a.{k}")) * F.col("_t")).alias(k)
+    return best.join(accept(fits, residual(points, along.select("code", mix("x"), mix("y")), ("code",))), "code")
+
+
 def reference_floor(walls: DataFrame, key: str = "code") -> DataFrame:
     """(key, file): the ground floor where its walls reach 70 % of the longest, else the floor with the longest walls."""
     top = Window.partitionBy(key)

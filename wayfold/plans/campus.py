@@ -471,3 +471,26 @@ def plan_walls(spark, d):
     s = V.table(spark, d, "supplier").select(F.col("s_suppkey").alias("file"), F.create_map(F.lit("wall"), F.when(m == 0, F.array(line, line)).otherwise(none), F.lit("unlayered"), F.when(m == 2, none).otherwise(F.array(line))).alias("classes"))
     files = V.table(spark, d, "supplier").where("s_suppkey % 5 <> 0").select(F.col("s_suppkey").alias("file"))
     return maps.wall_lines(maps.present(files, s)).select("file", F.size("walls").alias("n"))
+
+
+# registration -----------------------------------------------------------------------------------------------------
+
+
+@query("""WITH n AS (SELECT c_nationkey AS code, count(*) AS n FROM customer GROUP BY 1) SELECT code, (5 + code * 3 % 40)::DOUBLE AS degrees, 1 + code % 3 * 0.2::DOUBLE AS scale, true AS placed, 'auto' AS method FROM n""")
+def registration(spark, d):
+    """L-shaped plans turned, scaled and moved as footprints: the turn, scale and place that registration finds for each, and whether it takes them over."""
+    n = V.table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("code")).agg(F.count("*").alias("n"))
+    n = graph.kept(n.select("code", (36 + F.col("n") % 5).alias("a"), (12 + F.col("code") % 3).alias("b"), (26 + F.col("n") % 4).alias("e"), (5 + F.col("code") * 3 % 40).cast("double").alias("turn"), (1 + F.col("code") % 3 * 0.2).alias("size"), (F.col("code") * 10).cast("double").alias("tx"), (F.col("code") * -7).cast("double").alias("ty")))
+    grid = n.withColumn("r", F.explode(F.sequence(F.lit(0), F.col("e") - 1))).withColumn("c", F.explode(F.sequence(F.lit(0), F.col("a") - 1)))
+    name = F.col("code").cast("string").alias("code")
+    plans = graph.kept(grid.where("r < b OR c < 18").select(name, "r", "c"))
+    corner = lambda x, y: S.point(S.c(x).cast("double"), S.c(y).cast("double"))
+    outline = F.array(corner(F.lit(0), F.lit(0)), corner("a", F.lit(0)), corner("a", "b"), corner(F.lit(18), "b"), corner(F.lit(18), "e"), corner(F.lit(0), "e"))
+    moved = F.transform(outline, lambda p: S.affine(p, F.col("size"), F.col("turn"), False, F.col("tx"), F.col("ty")))
+    angles = graph.kept(georef.dominant_angle(n.select(name, outline.alias("pts")), "code"))
+    found = georef.register(plans, graph.kept(n.select(name, F.array(moved).alias("rings"))), 1.0, angles).withColumn("code", F.col("code").cast("int")).withColumnsRenamed({"tx": "tx_", "ty": "ty_"}).join(n, "code")
+    off = F.abs(F.pmod(F.col("degrees") - F.col("turn") + 180, F.lit(360.0)) - 180)
+    middle = corner(F.lit(9), F.lit(6))
+    there = lambda size, turn, tx, ty: S.affine(middle, F.col(size), F.col(turn), False, F.col(tx), F.col(ty))
+    placed = S.distance(there("scale", "degrees", "tx_", "ty_"), there("size", "turn", "tx", "ty")) < 1.5
+    return found.select("code", F.when(off < 2, F.col("turn")).otherwise(F.col("degrees")).alias("degrees"), F.when(F.abs(F.col("scale") / F.col("size") - 1) < 0.05, F.col("size")).otherwise(F.col("scale")).alias("scale"), placed.alias("placed"), "method")
