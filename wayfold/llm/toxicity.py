@@ -91,23 +91,33 @@ class Rows:
     names: np.ndarray
     n: int
 
-    def table(self, chosen: np.ndarray) -> np.ndarray:
-        """log(1 + count) of chosen features."""
+    def parts(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """row, code and count a million at a time: what is derived from them stays small on the driver."""
+        for at in range(0, len(self.row), 1 << 20):
+            s = slice(at, at + (1 << 20))
+            yield self.row[s], self.code[s], self.count[s]
+
+    def table(self, chosen: np.ndarray, use: np.ndarray, more: int = 0) -> np.ndarray:
+        """log(1 + count) of chosen features in the rows of use, and room for further columns."""
         place = np.full(len(self.names), -1, dtype=np.int32)
         at = np.searchsorted(self.names, chosen)
         place[at] = np.arange(len(chosen))
-        column = place[self.code]
-        use = column >= 0
-        out = np.zeros((self.n, len(chosen)), dtype=np.float32)
-        out[self.row[use], column[use]] = np.log1p(self.count[use])
+        to = np.cumsum(use) - 1
+        out = np.zeros((int(use.sum()), len(chosen) + more), dtype=np.float32)
+        for row, code, count in self.parts():
+            column = place[code]
+            here = (column >= 0) & use[row]
+            out[to[row[here]], column[here]] = np.log1p(count[here])
         return out
 
 
 def choose(rows: Rows, y: np.ndarray, use: np.ndarray) -> np.ndarray:
     """The features whose presence tells most of y by chi-square, of those in three rows at least."""
-    here = use[rows.row]
-    df = np.bincount(rows.code[here], minlength=len(rows.names)).astype(float)
-    pos = np.bincount(rows.code[here], weights=y[rows.row[here]], minlength=len(rows.names))
+    df, pos = np.zeros(len(rows.names)), np.zeros(len(rows.names))
+    for row, code, _ in rows.parts():
+        here = use[row]
+        df += np.bincount(code[here], minlength=len(rows.names))
+        pos += np.bincount(code[here], weights=y[row[here]], minlength=len(rows.names))
     n, p = use.sum(), y[use].mean()
     expected = df * p
     chi = (pos - expected) ** 2 / np.maximum(expected * (1 - p) * (1 - df / n), 1e-9)
@@ -124,7 +134,9 @@ def fit(rows: Rows, other: np.ndarray, y: np.ndarray, use: np.ndarray) -> Linear
     if len(set(y[use].tolist())) < 2:
         return Linear(none, np.zeros(0), mean, scale, float(y[use].mean()) if use.any() else 0.0)
     chosen = choose(rows, y, use)
-    x = np.hstack([rows.table(chosen)[use], ((other - mean) / scale)[use].astype(np.float32), np.ones((int(use.sum()), 1), dtype=np.float32)])
+    x = rows.table(chosen, use, other.shape[1] + 1)
+    x[:, len(chosen) : -1] = ((other - mean) / scale)[use].astype(np.float32)
+    x[:, -1] = 1
     target, ridge = y[use].astype(np.float32), np.full(x.shape[1], RIDGE)
     ridge[-1] = 1e-6
 
@@ -220,7 +232,7 @@ def train(rows: Rows, other: np.ndarray, labels: np.ndarray, fold: np.ndarray, c
                 held = fold == f
                 if held.any():
                     m = fit(rows, other, y, ~held) if (~held).any() else models[-1]
-                    out[held] = m.predict(rows.table(m.chosen)[held], other[held])
+                    out[held] = m.predict(rows.table(m.chosen, held), other[held])
             other = np.hstack([other, out[:, None]])
     return Chain(categories, models)
 
@@ -274,7 +286,11 @@ def learn(docs: DataFrame, labels: DataFrame, categories: tuple[str, ...] = CATE
     ys = np.array([[r[f"y{i}"] for i in range(len(categories))] for r in got], dtype=np.float64).reshape(len(got), len(categories))
     fold = np.array([xxhash.xxh32_intdigest(str(r.doc_id)) % FOLDS for r in got])
     del got
-    return train(rows, other, ys, fold, categories)
+    common.trim()
+    chain = train(rows, other, ys, fold, categories)
+    del rows
+    common.trim()
+    return chain
 
 
 def score(spark: SparkSession, docs: DataFrame, chain: Chain, threshold: float = 0.5) -> DataFrame:
