@@ -34,3 +34,24 @@ def test_selection_and_split_levels(spark):
     nodes = spark.createDataFrame([("A", 0.0, i) for i in range(4)], "code string, level double, i int")
     edges = spark.createDataFrame([("A", 0.0, 0, 1), ("A", 0.0, 2, 3)], "code string, level double, a int, b int")
     assert [tuple(r) for r in quality.split_levels(nodes, edges).collect()] == [("A", 0.0, 2)]
+
+
+def test_dense_cells_are_cut(spark):
+    """The nearest rows as by brute force, but of a crowd in one cell a row meets only some."""
+    import math
+    import random
+
+    rng = random.Random(5)
+    right = [(i, i % 2, float(rng.randint(0, 60)), float(rng.randint(0, 60))) for i in range(3000)] + [(9000 + i, 1, 70.0 + rng.random() / 100, -150.0) for i in range(500)] + [(8000 + i, 0, -90.25, 40.5) for i in range(300)]
+    left = [(i, i % 2, rng.uniform(-150, 150), rng.uniform(-150, 150)) for i in range(300)] + [(900, 1, 75.0, -150.0), (901, 0, 9e5, -9e5), (902, 0, 9.75, 40.5), (903, 7, 0.0, 0.0)]
+    frame = lambda rows: spark.createDataFrame(rows, "id int, k int, x double, y double")
+    for cap, strict in ((100.0, True), (100.0, False), (7.0, True)):
+        want = {}
+        for i, k, x, y in left:
+            d, n = min((math.hypot(x - a, y - b), j) for j, q, a, b in right if q == k or k == 7)
+            if k != 7 and (d < cap or d == cap and not strict):
+                want[i] = (round(d, 9), n)
+        found = spatial.nearest_capped(frame(left), frame(right), cap, ("k",), strict)
+        assert {r.id: (round(r.d, 9), r.near_id) for r in found.collect()} == want
+    plan = spatial.nearest_capped(frame(left), frame(right), 100.0)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" not in plan

@@ -28,17 +28,54 @@ def spread(df: DataFrame, size: float, x: str = "x", y: str = "y", reach: int =
     return df.withColumn("cx", F.explode(F.transform(F.array(*steps), lambda d: cell(x, size) + d))).withColumn("cy", F.explode(F.transform(F.array(*steps), lambda d: cell(y, size) + d)))
 
 
+#: Right rows that a cell may hold before it is cut in four, and how often at most.
+LEAF, CUTS = 64, 30
+
+
 def nearest_capped(left: DataFrame, right: DataFrame, cap: float, keys: tuple[str, ...] = (), strict: bool = True) -> DataFrame:
     """(id, near_id, d) of the nearest right row under cap (d < cap, or <= when not strict), within equal keys.
 
-    Cells are as wide as the cap, so a row meets the 3 x 3 cells about it only;
-    the minimum is combined before the shuffle, so dense cells don't grow."""
-    a = left.select(*keys, "id", F.col("x").alias("x1"), F.col("y").alias("y1"), cell("x", cap).alias("cx"), cell("y", cap).alias("cy"))
-    b = spread(right.select(*keys, F.col("id").alias("near_id"), F.col("x").alias("x2"), F.col("y").alias("y2")), cap, "x2", "y2")
-    d = F.hypot(F.col("x1") - F.col("x2"), F.col("y1") - F.col("y2"))
-    joined = a.join(b, [*keys, "cx", "cy"]).withColumn("d", d)
-    near = joined.where(F.col("d") < cap if strict else F.col("d") <= cap)
-    return near.groupBy(*keys, "id").agg(F.min(F.struct("d", "near_id")).alias("m")).select(*keys, "id", F.col("m.near_id").alias("near_id"), F.col("m.d").alias("d"))
+    Cells are as wide as the cap, so a row meets the 3 x 3 cells about it only. Cells
+    with more than LEAF right rows are cut in four, round by round; a left row goes
+    on into those parts only that may hold its nearest row, so it meets some cells of
+    LEAF rows, however dense the right side is. Cell joins are never broadcast: the
+    sides are rows times cells, which the planner's sizes don't know."""
+    from .graph import kept
+
+    at = [*keys, "cx", "cy"]
+    who = [*keys, "id", "x1", "y1"]
+    # of right rows at one place the least id decides
+    points = right.select(*keys, F.col("x").alias("x2"), F.col("y").alias("y2"), F.col("id").alias("near_id")).groupBy(*keys, "x2", "y2").agg(F.min("near_id").alias("near_id"))
+    points = kept(points.where(F.col("x2").isNotNull() & F.col("y2").isNotNull()))
+    ask = spread(left.select(*keys, "id", F.col("x").alias("x1"), F.col("y").alias("y1")).distinct(), cap, "x1", "y1").withColumn("bound", F.lit(float(cap)))
+    width, out = float(cap), None
+    for cut in range(CUTS + 1):
+        dealt = points.withColumn("cx", cell("x2", width)).withColumn("cy", cell("y2", width))
+        cells = kept(dealt.groupBy(*at).agg(F.count("*").alias("n")))
+        whole = cut == CUTS or cells.where(F.col("n") > LEAF).isEmpty()
+        if whole and cut == 0:
+            met = ask
+        else:  # the part of a row's way to a cell that is sure, and the part that is needed at least
+            x0, y0 = F.col("cx") * F.lit(width), F.col("cy") * F.lit(width)
+            out_of = lambda v, lo: F.greatest(lo - F.col(v), F.col(v) - lo - width, F.lit(0.0))
+            far_of = lambda v, lo: F.greatest(F.abs(F.col(v) - lo), F.abs(F.col(v) - lo - width))
+            seen = ask.join(cells.hint("merge"), at).withColumn("_least", F.hypot(out_of("x1", x0), out_of("y1", y0)))
+            seen = seen.withColumn("bound", F.least("bound", F.min(F.hypot(far_of("x1", x0), far_of("y1", y0))).over(Window.partitionBy(*who))))
+            slack = F.lit(1e-9) * (F.abs("x1") + F.abs("y1") + F.abs(x0) + F.abs(y0) + width)
+            met = kept(seen.where(F.col("_least") <= F.col("bound") + slack).drop("_least"))
+        done = met if whole else met.where(F.col("n") <= LEAF)
+        d = F.hypot(F.col("x1") - F.col("x2"), F.col("y1") - F.col("y2"))
+        joined = done.drop("n", "bound").join(dealt.hint("merge"), at).withColumn("d", d)
+        near = joined.where(F.col("d") < cap if strict else F.col("d") <= cap).groupBy(*keys, "id").agg(F.min(F.struct("d", "near_id")).alias("m"))
+        out = near if out is None else out.unionByName(near)
+        if whole:
+            break
+        dense = met.where(F.col("n") > LEAF).drop("n")
+        points = kept(dealt.join(cells.where(F.col("n") > LEAF).drop("n").hint("merge"), at, "left_semi").drop("cx", "cy"))
+        four = F.explode(F.array(*(F.struct((F.col("cx") * 2 + i).alias("cx"), (F.col("cy") * 2 + j).alias("cy")) for i in (0, 1) for j in (0, 1))))
+        ask, width = dense.withColumn("_f", four).withColumns({"cx": F.col("_f.cx"), "cy": F.col("_f.cy")}).drop("_f"), width / 2
+    best = out if cut == 0 else out.groupBy(*keys, "id").agg(F.min("m").alias("m"))
+    return best.select(*keys, "id", F.col("m.near_id").alias("near_id"), F.col("m.d").alias("d"))
 
 
 def snap(doors: DataFrame, vertices: DataFrame, nodes: DataFrame, cap: float = 60.0, fallback: float = 40.0) -> DataFrame:
