@@ -66,3 +66,16 @@ def test_residuals_equal_all_pairs(spark):
     assert got.keys() == want.keys() and all(abs(got[k] - sum(v) / len(v)) < 1e-9 for k, v in want.items())
     every = [min(math.dist(p[1:], b[1:]) for b in border) for p in points]
     assert abs(georef.residual(frame(points).drop("code"), frame(border).drop("code")).first().residual - sum(every) / len(every)) < 1e-9
+
+
+def test_crossing_edges_of_outlines_never_meet(spark):
+    """Long edges stand only in the cells that they touch, and each of these once."""
+    shape = "r int, r_e int, r_s struct<a:struct<x:double,y:double>,b:struct<x:double,y:double>>"
+    edges = spark.createDataFrame([(1, 0, ((0.5, 0.5), (99.5, 99.5))), (2, 0, ((3.5, 80.5), (3.5, 0.5))), (3, 0, ((-9.5, 2.5), (9.5, 2.5)))], shape)
+    from pyspark.sql import functions as F
+
+    cells = [tuple(r) for r in spatial._touched(edges, "r", 1.0, F.lit(0.0)).select("r", "cx", "cy").collect()]
+    assert len(cells) == len(set(cells)) and {(1, i, i) for i in range(100)} | {(2, 3, i) for i in range(81)} | {(3, i, 2) for i in range(-10, 10)} <= set(cells)
+    assert len(cells) < 420  # the box of the first alone has 10,000
+    padded = {tuple(r) for r in spatial._touched(edges.where("r = 3"), "r", 1.0, F.lit(1.2)).select("cx", "cy").collect()}
+    assert padded == {(x, y) for x in range(-11, 11) for y in range(1, 4)}

@@ -210,38 +210,58 @@ def nearest_pair(outlines: DataFrame) -> DataFrame:
     return both.groupBy("id").agg(F.min_by(F.struct("p", "q", "d"), F.struct("d", "side", "vi", "si")).alias("m")).select("id", "m.p", "m.q", "m.d")
 
 
+def _touched(df: DataFrame, name: str, width: float, pad: Column) -> DataFrame:
+    """Each edge (<name>_s) in the cells within pad of it, column by column of its cells."""
+    a, b = F.col(f"{name}_s.a"), F.col(f"{name}_s.b")
+    low, high = (lambda c: F.least(a[c], b[c])), (lambda c: F.greatest(a[c], b[c]))
+    pad = pad + F.lit(1e-9) * (F.abs(a["x"]) + F.abs(a["y"]) + F.abs(b["x"]) + F.abs(b["y"]) + width)  # for rounding
+    rows = df.withColumn("_pad", pad).withColumn("cx", F.explode(F.sequence(cell(low("x") - F.col("_pad"), width), cell(high("x") + F.col("_pad"), width))))
+    x0 = F.greatest(F.col("cx") * F.lit(width) - F.col("_pad"), low("x"))
+    x1 = F.least((F.col("cx") + 1) * F.lit(width) + F.col("_pad"), high("x"))
+    slope = (b["y"] - a["y"]) / F.nullif(b["x"] - a["x"], F.lit(0.0))
+    at = lambda x: F.least(F.greatest(a["y"] + slope * (x - a["x"]), low("y")), high("y"))
+    y0, y1 = F.coalesce(F.least(at(x0), at(x1)), low("y")), F.coalesce(F.greatest(at(x0), at(x1)), high("y"))
+    return rows.withColumns({"_y0": F.when(slope.isNull(), low("y")).otherwise(y0), "_y1": F.when(slope.isNull(), high("y")).otherwise(y1)}).withColumn("cy", F.explode(F.sequence(cell(F.col("_y0") - F.col("_pad"), width), cell(F.col("_y1") + F.col("_pad"), width)))).drop("_pad", "_y0", "_y1")
+
+
 def nearest_outlines(left: DataFrame, right: DataFrame, size: float = 100.0) -> DataFrame:
     """(id, near_id, p, q, d): for each outline of left (id, ring) the nearest one of right and the nearest points, vertices of either against edges of the other.
 
-    Edges meet in grid cells: a left edge looks into its own and the cells about
-    these, so whatever is within a cell's width is found. Outlines whose best
-    distance isn't covered by that look again in cells four times as wide, until
-    none is left. Equal distances take the smaller near_id, then left's vertices."""
+    Cells are as wide as size at most, narrower the more outlines of left there are on
+    the ground that right covers. Vertices in one cell bound an outline's distance;
+    then its vertices look for edges, and its edges for vertices, in the cells within
+    that bound, so crossing edges that are near no vertex never meet. Outlines with
+    nothing in a cell's width look again in cells four times as wide, until none is
+    left. Equal distances take the smaller near_id, then left's vertices."""
     from .graph import kept
 
     def edges(df: DataFrame, name: str) -> DataFrame:
         closed = F.concat("ring", F.slice("ring", 1, 1))
         return df.select(F.col("id").alias(name), F.posexplode(S.segments(closed)).alias(f"{name}_e", f"{name}_s"))
 
-    def in_cells(df: DataFrame, name: str, width: float, reach: int) -> DataFrame:
-        a, b = F.col(f"{name}_s.a"), F.col(f"{name}_s.b")
-        span = lambda c: F.explode(F.sequence(cell(F.least(a[c], b[c]), width) - reach, cell(F.greatest(a[c], b[c]), width) + reach))
-        return df.withColumn("cx", span("x")).withColumn("cy", span("y"))
-
     if right.isEmpty():
         return left.sparkSession.createDataFrame([], f"id {left.schema['id'].dataType.simpleString()}, near_id {right.schema['id'].dataType.simpleString()}, p struct<x:double,y:double>, q struct<x:double,y:double>, d double")
-    todo, other, width, found = kept(edges(left, "l")), kept(edges(right, "r")), float(size), None
+    todo, other, found = kept(edges(left, "l")), kept(edges(right, "r")), None
+    vertex_cell = lambda df, name, width: df.withColumn("cx", cell(f"{name}_s.a.x", width)).withColumn("cy", cell(f"{name}_s.a.y", width))
+    ground = vertex_cell(other, "r", float(size)).select("cx", "cy").distinct().count() * float(size) ** 2
+    width = min(float(size), (ground / max(1, todo.count())) ** 0.5)
 
-    def one(vertex: str, edge: str, end: str, side: int) -> Column:
-        v = F.col(f"{vertex}_s.{end}")
+    def one(vertex: str, edge: str, side: int) -> Column:
+        v = F.col(f"{vertex}_s.a")
         q = S.nearest_on_segment(v, F.col(f"{edge}_s.a"), F.col(f"{edge}_s.b"))
         p_, q_ = (v, q) if side == 0 else (q, v)
         return F.struct(S.distance(v, q).alias("d"), F.col("r").alias("near_id"), F.lit(side).alias("side"), F.col(f"{vertex}_e").alias("ve"), F.col(f"{edge}_e").alias("ee"), p_.alias("p"), q_.alias("q"))
 
     while True:
-        pairs = in_cells(todo, "l", width, 1).join(in_cells(other, "r", width, 0), ["cx", "cy"])
-        best = F.array_min(F.array(one("l", "r", "a", 0), one("r", "l", "a", 1)))  # an edge's other end is the next one's first
-        near = pairs.groupBy(F.col("l").alias("id")).agg(F.min(best).alias("m")).where(F.col("m.d") <= width)
+        own, dealt = vertex_cell(todo, "l", width), vertex_cell(other, "r", width)
+        met = own.select("cx", "cy", "l", F.col("l_s.a").alias("v")).join(dealt.select("cx", "cy", F.col("r_s.a").alias("w")).hint("merge"), ["cx", "cy"])
+        bounds = met.groupBy("l").agg((F.min(S.distance("v", "w")) * (1 + 1e-9)).alias("bound"))  # and some rounding
+        ask = kept(todo.join(bounds, "l", "left").withColumn("bound", F.least("bound", F.lit(width))))
+        pad = F.col("bound") + F.lit(1e-9) * (F.abs("l_s.a.x") + F.abs("l_s.a.y") + width)
+        about = lambda c: F.explode(F.sequence(cell(F.col(f"l_s.a.{c}") - pad, width), cell(F.col(f"l_s.a.{c}") + pad, width)))
+        by_vertex = ask.withColumn("cx", about("x")).withColumn("cy", about("y")).join(_touched(other, "r", width, F.lit(0.0)).hint("merge"), ["cx", "cy"]).select("l", "bound", one("l", "r", 0).alias("m"))
+        by_edge = _touched(ask, "l", width, F.col("bound")).join(dealt.hint("merge"), ["cx", "cy"]).select("l", "bound", one("r", "l", 1).alias("m"))
+        near = by_vertex.unionByName(by_edge).where(F.col("m.d") <= F.col("bound")).groupBy(F.col("l").alias("id")).agg(F.min("m").alias("m"))
         near = kept(near.select("id", "m.near_id", "m.p", "m.q", "m.d"))
         found = near if found is None else found.unionByName(near)
         todo = kept(todo.join(near.select(F.col("id").alias("l")), "l", "left_anti"))
