@@ -142,3 +142,20 @@ def test_graph_from_polylines_and_spurs(spark):
     assert v.count() == 3 and e.count() == 4 and graph.largest_component(v, e).count() == 3
     chains = spark.createDataFrame([(1, 0, 1, 5.0), (2, 1, 2, 1.0), (3, 1, 3, 5.0), (4, 2, 4, 1.0)], "id int, a int, b int, length double")
     assert {r.id for r in graph.prune_spurs(chains, 2.0).collect()} == {1, 3}
+
+
+def test_pairs_of_a_large_building_are_dealt(spark, monkeypatch):
+    """The pairs are those of the plain join, and no partition makes most of them."""
+    from pyspark.sql import functions as F
+
+    from wayfold.operators import graph
+
+    rows = [("A" if i < 60 else f"B{i % 7}" if i < 90 else None, i, i // 2, i * 0.001, i * 0.002) for i in range(100)]
+    nodes = spark.createDataFrame(rows, "building string, id int, ord int, lon double, lat double")
+    want = sorted(map(tuple, graph.clique(nodes, k=2.0).collect()))
+    monkeypatch.setattr(graph, "CLIQUE_BLOCK", 10)
+    monkeypatch.setattr(graph, "CLIQUE_PAIRS", 150)
+    dealt = graph.clique(nodes, k=2.0)
+    assert sorted(map(tuple, dealt.collect())) == want and len(want) == sum(1 for x in rows for y in rows if x[0] and x[0] == y[0] and x[2] != y[2])
+    of = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
+    assert len(of) > 8 and max(of) < len(want) / 3

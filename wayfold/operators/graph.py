@@ -233,13 +233,36 @@ def shortcuts(dist: DataFrame, doors: DataFrame, k: int = 4) -> DataFrame:
     return pair.groupBy("lo", "hi").agg(F.min_by(F.struct(F.col("src").alias("a"), F.col("id").alias("b"), "d"), F.struct("from_ord", "rank")).alias("x")).select("x.a", "x.b", "x.d")
 
 
+#: Rows of a building on either side of a block of pairs, and pairs a partition.
+CLIQUE_BLOCK, CLIQUE_PAIRS = 1_000, 4_000_000
+
+
 def clique(nodes: DataFrame, factor: float = 1.25, least: float = 5.0, k: Column | float = 1.0) -> DataFrame:
-    """Arcs (a, b, m, w) between all nodes (building, id, ord, lon, lat) of a building. Doors of one building are few."""
+    """Arcs (a, b, m, w) between all nodes (building, id, ord, lon, lat) of a building.
+
+    Doors of one building are few; a building of more than CLIQUE_BLOCK has its pairs
+    dealt in blocks, over so many partitions that each makes about CLIQUE_PAIRS."""
+    sizes = nodes.where("building IS NOT NULL").groupBy("building").agg(F.count("*").alias("_n"))
+    pairs = sizes.agg(F.sum(F.col("_n") * F.col("_n"))).first()[0] or 0  # one number comes to the driver
     p = nodes.select("building", F.col("id").alias("a"), F.col("ord").alias("oa"), F.struct("lon", "lat").alias("pa"))
     q = nodes.select("building", F.col("id").alias("b"), F.col("ord").alias("ob"), F.struct("lon", "lat").alias("pb"))
     m = F.greatest(F.lit(least), S.metres("pa", "pb") * factor)
-    one = p.join(q, "building").where("oa < ob").select("building", "a", "b", m.alias("m")).withColumn("w", F.col("m") * S.c(k))
-    return both_ways(one)
+    on = ["building"]
+    if pairs > CLIQUE_BLOCK**2:
+        large = F.broadcast(sizes.where(F.col("_n") > CLIQUE_BLOCK).select("building", F.ceil(F.col("_n") / CLIQUE_BLOCK).alias("_g")))  # a thousandth of the rows at most
+        on, parts = ["building", "_i", "_j"], int(-(-pairs // CLIQUE_PAIRS))
+
+        def blocks(df: DataFrame, key: str, own: str, other: str) -> DataFrame:
+            g = F.coalesce("_g", F.lit(1))
+            dealt = df.join(large, "building", "left").withColumn(own, F.pmod(F.xxhash64(key), g)).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), g - 1)))
+            return dealt.drop("_g").repartition(max(parts, 1), *on)
+
+        p, q = blocks(p, "a", "_i", "_j"), blocks(q, "b", "_j", "_i").hint("merge")
+    one = p.join(q, on).where("oa < ob").select("building", "a", "b", m.alias("m")).withColumn("w", F.col("m") * S.c(k))
+    if pairs <= CLIQUE_BLOCK**2:
+        return both_ways(one)
+    ends = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    return one.withColumn("_e", ends).select("building", "_e.a", "_e.b", "m", "w")
 
 
 def anchors(campus: DataFrame, levels: DataFrame, nodes: DataFrame, cap: float = 25.0, least: float = 2.0) -> DataFrame:
