@@ -159,3 +159,27 @@ def test_pairs_of_a_large_building_are_dealt(spark, monkeypatch):
     assert sorted(map(tuple, dealt.collect())) == want and len(want) == sum(1 for x in rows for y in rows if x[0] and x[0] == y[0] and x[2] != y[2])
     of = [r["count"] for r in dealt.groupBy(F.spark_partition_id()).count().collect()]
     assert len(of) > 8 and max(of) < len(want) / 3
+
+
+def test_arcs_are_dealt_by_their_number(spark, monkeypatch):
+    """Partitions grow with the arcs, not the rows of a partition; the distances stay the same."""
+    from pyspark.sql import functions as F
+
+    from wayfold.operators import graph
+
+    arcs = spark.createDataFrame([(i, (i * k + 1) % 300, 1 + (i * k) % 7) for i in range(300) for k in range(1, 6)], "a long, b long, w long")
+    start = spark.createDataFrame([(0,), (7,)], "id long")
+    want = sorted(map(tuple, graph.shortest(arcs, start).collect()))
+    monkeypatch.setattr(graph, "ARCS_A_TASK", 60)
+    monkeypatch.setattr(graph, "SMALL_ARCS", 10)
+    held, sizes = graph.kept, []
+
+    def kept(df):
+        out = held(df)
+        if {"a", "b", "w"} <= set(df.columns):
+            sizes.extend(r["count"] for r in out.groupBy(F.spark_partition_id()).count().collect())
+        return out
+
+    monkeypatch.setattr(graph, "kept", kept)
+    assert sorted(map(tuple, graph.shortest(arcs, start).collect())) == want
+    assert len(sizes) > 15 and max(sizes) < 200
