@@ -118,3 +118,19 @@ def test_floors_of_own_buildings_only(spark):
     assert frames.groupBy("req").agg(F.max("n").alias("n")).where("n > 100").count() == 2
     assert route.frame_steps(frames, route.to_steps(segments, links)).count() == frames.count()
     assert route.frame_at(frames, 1e9).count() == 2
+
+
+@pytest.mark.parametrize("small", [0, 200_000])
+def test_equal_requests_are_one_search(spark, monkeypatch, small):
+    rows, asked = made(3)
+    arcs = graph.kept(spark.createDataFrame(rows, "arc string, a string, b string, w double, m double, kind string, building string, fine boolean"))
+    same = [(100 * k + i, s, t, loaded[::-1] if loaded and k else loaded) for k in range(4) for i, s, t, loaded in asked[:6]]
+    requests = spark.createDataFrame(same, "req int, source string, target string, loaded array<string>")
+    monkeypatch.setattr(graph, "SMALL_ARCS", small)
+    counts = []
+    for f in ("_own_hops", "search"):
+        monkeypatch.setattr(journeys, f, lambda arcs, ways, old=getattr(journeys, f): (counts.append(ways.count()), old(arcs, ways))[1])
+    got = journeys.hops(arcs, requests).collect()
+    assert counts == [6] and got
+    of = lambda k: sorted((r.req - 100 * k, r.hop, r.arc) for r in got if r.req // 100 == k)
+    assert of(0) == of(1) == of(2) == of(3)

@@ -168,10 +168,16 @@ def _own_hops(arcs: DataFrame, requests: DataFrame) -> DataFrame:
 
 
 def hops(arcs: DataFrame, requests: DataFrame) -> DataFrame:
-    """(req, hop, arc, a, b, w, m, ...): the arcs of each request's cheapest way."""
+    """(req, hop, arc, a, b, w, m, ...): the arcs of each request's cheapest way.
+
+    Requests with the same ends that see the same floors are one search, dealt over all cores."""
     few = arcs.limit(graph.SMALL_ARCS + 1).count() <= graph.SMALL_ARCS
-    found = _own_hops(arcs, requests) if few else _walk_back(search(arcs, requests), requests)
-    return found.join(F.broadcast(arcs.drop("fine")) if few else arcs.drop("fine"), "arc")
+    seen = F.sort_array(F.array_distinct(F.coalesce("loaded", F.array().cast("array<string>"))))
+    asked = requests.select("req", "source", "target", seen.alias("loaded")).withColumn("_way", F.to_json(F.struct("source", "target", "loaded")))
+    ways = asked.select(F.col("_way").alias("req"), "source", "target", "loaded").distinct().repartition(2 * requests.sparkSession.sparkContext.defaultParallelism, "req")
+    found = _own_hops(arcs, ways) if few else _walk_back(search(arcs, ways), ways)
+    steps = graph.kept(found).join(F.broadcast(arcs.drop("fine")) if few else arcs.drop("fine"), "arc")
+    return asked.select("req", "_way").join(steps.withColumnRenamed("req", "_way"), "_way").drop("_way")
 
 
 def touched(found: DataFrame, nodes: DataFrame, codes: DataFrame) -> DataFrame:
