@@ -183,3 +183,26 @@ def test_arcs_are_dealt_by_their_number(spark, monkeypatch):
     monkeypatch.setattr(graph, "kept", kept)
     assert sorted(map(tuple, graph.shortest(arcs, start).collect())) == want
     assert len(sizes) > 15 and max(sizes) < 200
+
+
+def test_large_graphs_are_shrunk(spark, monkeypatch):
+    """The labels are those of the rounds, which see roots only; ends that are no vertices tie nothing."""
+    import random
+
+    from wayfold.operators import graph
+
+    rng = random.Random(2)
+    name = lambda i: f"I:{i // 400}:0:{i}"
+    edges = [(name(i), name(i + 1)) for i in range(2000) if i % 40 and i % 400 != 399] + [(name(rng.randrange(1200)), name(rng.randrange(1200))) for _ in range(20)] + [(name(5), "gone"), ("gone", name(1990))]
+    vertices = spark.createDataFrame([(name(i),) for i in range(2050)], "id string")
+    arcs = graph.both_ways(spark.createDataFrame(edges, "a string, b string"))
+    whole, seen = graph._rounds, []
+    want = sorted(map(tuple, whole(vertices, arcs).collect()))
+    monkeypatch.setattr(graph, "SHRINK", 10)
+    monkeypatch.setattr(graph, "EDGES_A_TASK", 300)
+    monkeypatch.setattr(graph, "_rounds", lambda v, e: (seen.append(v.count()), whole(v, e))[1])
+    assert sorted(map(tuple, graph.components(vertices, arcs).collect())) == want
+    assert seen and max(seen) < 300
+    numbers = spark.createDataFrame([(i, i // 2) for i in range(1, 500) if i % 7], "a long, b long")
+    ids, seen[:] = spark.range(510), []
+    assert sorted(map(tuple, graph.components(ids, graph.both_ways(numbers)).collect())) == sorted(map(tuple, whole(ids, graph.both_ways(numbers)).collect()))

@@ -11,7 +11,10 @@ import tempfile
 from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -54,8 +57,74 @@ def from_polylines(ways: DataFrame, factor: Column | None = None) -> tuple[DataF
     return vertices, both_ways(edges)
 
 
+#: Edges beyond which graphs are shrunk before their rounds; edges a task and a chunk of one.
+SHRINK, EDGES_A_TASK, CHUNK = 50_000, 1_000_000, 200_000
+
+
+def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, root) of the ends of edges (a, b): the least end of their component within a chunk of edges."""
+
+    def chunk(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        ends = pa.chunked_array([x for c in ("a", "b") for x in (batch.column(c) for batch in held)]).combine_chunks()
+        ends = (pa.concat_arrays(ends.chunks) if isinstance(ends, pa.ChunkedArray) else ends).dictionary_encode()
+        ids = ends.dictionary
+        order = pc.sort_indices(ids).to_numpy()
+        rank = np.empty(len(ids), dtype=np.int64)
+        rank[order] = np.arange(len(ids))
+        u, v = rank[ends.indices.to_numpy()].reshape(2, -1)
+        parent = np.arange(len(ids))
+        while True:
+            ru, rv = parent[u], parent[v]
+            apart = ru != rv
+            if not apart.any():
+                break
+            np.minimum.at(parent, np.maximum(ru, rv)[apart], np.minimum(ru, rv)[apart])
+            while (parent[parent] != parent).any():
+                parent = parent[parent]
+        ordered = ids.take(pa.array(order))
+        return pa.RecordBatch.from_arrays([ordered, ordered.take(pa.array(parent))], names=["id", "root"])
+
+    held, n = [], 0
+    for batch in batches:
+        held, n = [*held, batch], n + batch.num_rows
+        if n >= CHUNK:
+            yield chunk(held)
+            held, n = [], 0
+    if n:
+        yield chunk(held)
+
+
+def _shrunk(vertices: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
+    """components() of a graph of many edges (a < b): sorted, so that near ones stand together, chunks of edges give
+    each end a root; only vertices with several roots tie these, and the rounds see roots alone."""
+    kind, parts = pairs.schema["a"].dataType.simpleString(), -(-n // EDGES_A_TASK)
+    near = pairs.repartitionByRange(parts, "a", "b").sortWithinPartitions("a", "b").mapInArrow(_roots, f"id {kind}, root {kind}")
+    roots = near.repartition(parts, "id").groupBy("id").agg(F.collect_set("root").alias("roots"))  # at most one a chunk
+    every = vertices.select("id").repartition(parts, "id").distinct().withColumn("known", F.lit(True))
+    state = kept(every.join(roots.hint("merge"), "id", "full").select("id", "known", F.array_min("roots").alias("root"), F.when(F.size("roots") > 1, F.col("roots")).alias("roots")))
+    if not state.where("known IS NULL").isEmpty():  # ends that are no vertices tie nothing
+        ids = every.select("id")
+        inner = pairs.join(ids.select(F.col("id").alias("a")).hint("merge"), "a", "left_semi").join(ids.select(F.col("id").alias("b")).hint("merge"), "b", "left_semi")
+        return components(vertices, both_ways(inner.select("a", "b")))
+    ties = kept(state.where("roots IS NOT NULL").select(F.col("root").alias("a"), F.explode("roots").alias("b")).where("a < b").distinct())
+    if ties.isEmpty():
+        return state.select("id", F.coalesce("root", "id").alias("label"))
+    tied = _rounds(ties.select(F.explode(F.array("a", "b")).alias("id")).distinct(), both_ways(ties)).select(F.col("id").alias("root"), "label")
+    tied = F.broadcast(tied) if tied.limit(SMALL_FRONTIER + 1).count() <= SMALL_FRONTIER else tied.hint("merge")
+    return state.select("id", "root").join(tied, "root", "left").select("id", F.coalesce("label", "root", "id").alias("label"))
+
+
 def components(vertices: DataFrame, arcs: DataFrame) -> DataFrame:
-    """(id, label): the least id of each vertex's component. Arcs go both ways.
+    """(id, label): the least id of each vertex's component. Arcs go both ways. Graphs of many edges are shrunk before their rounds."""
+    pairs = kept(arcs.where("a < b").select("a", "b"))
+    n = pairs.count()
+    if n > SHRINK and pairs.schema["a"].dataType.simpleString() in ("string", "bigint", "int"):
+        return _shrunk(vertices, pairs, n)
+    return _rounds(vertices, both_ways(pairs))
+
+
+def _rounds(vertices: DataFrame, arcs: DataFrame) -> DataFrame:
+    """components() by rounds of joins.
 
     Every vertex has a parent. In a round each looks at its neighbours' grandparents;
     the least one becomes a candidate for itself and for its own parent, so that whole

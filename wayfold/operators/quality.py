@@ -51,7 +51,8 @@ def split_levels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     v = nodes.select(S.indoor_node("code", "level", "i").alias("id"), "code", "level")
     e = edges.select(S.indoor_node("code", "level", "a").alias("a"), S.indoor_node("code", "level", "b").alias("b"))
     labels = graph.components(v.select("id"), graph.both_ways(e))
-    return v.join(labels, "id").groupBy("code", "level").agg(F.countDistinct("label").alias("parts")).where("parts > 1")
+    first = labels.where("id = label").select("id")  # one vertex a component, and edges stay on a level
+    return v.join(first.hint("merge"), "id").groupBy("code", "level").agg(F.countDistinct("id").alias("parts")).where("parts > 1")
 
 
 def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
