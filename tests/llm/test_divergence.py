@@ -1,7 +1,10 @@
 import random
 import re
+import time
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from wayfold.llm import common, divergence, radix
@@ -90,3 +93,93 @@ def test_deep_cuts_end(spark):
     cut = divergence.cut_deeper(pieces, folder, 1)
     assert cut.where("leaves > 1").isEmpty()
     assert divergence.kept_terms(cut, 1).count() == 7
+
+
+class Batches:
+    """Stands for a table: gives the function that counts its batches."""
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):  # noqa: N802
+        return run
+
+
+def test_counting_takes_no_more_than_three_times_plain_counters(spark):
+    rng = random.Random(7)
+    often = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 9))) for _ in range(3000)]
+    text = lambda: " ".join(rng.choices(often, k=240) + ["".join(rng.choices("klmnopqr", k=9)) for _ in range(60)])
+    rows = [(text(), "en", f"s{i % 20:02}") for i in range(4000)]
+    ids = {("en", f"s{i:02}"): i for i in range(20)}
+    batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows[i : i + 500], strict=True)], ["text", "lang", "source"]) for i in range(0, len(rows), 500)]
+
+    def plain():
+        counts, docs = defaultdict(Counter), Counter()
+        for b in batches:
+            for t, _, source in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+                ws = t.encode().translate(divergence._LETTERS).split()
+                counts[source].update(ws)
+                docs.update(set(ws))
+        return counts, docs
+
+    def cpu(run):
+        times = []
+        for _ in range(3):
+            began = time.process_time()
+            out = run()
+            times.append(time.process_time() - began)
+        return min(times), out
+
+    took, out = cpu(lambda: list(divergence.count_tries(Batches(), ids)(iter(batches))))
+    least, (counts, docs) = cpu(plain)
+    whole = radix.Trie()
+    for b in out:
+        for data in b.column(3).to_pylist():
+            whole.merge(data)
+    got = dict(whole.items())
+    assert {t: leaf.pop(divergence.DOCS) for t, leaf in got.items()} == docs
+    assert {(t, f"s{c:02}"): n for t, leaf in got.items() for c, n in leaf.items()} == {(t, s): n for s, x in counts.items() for t, n in x.items()}
+    assert took < 3 * least
+
+
+def test_terms_of_neighbouring_texts_stay_apart():
+    texts = pa.array(["pad", "ab", "", "cd ab", "1", "AB\tcd", "é ab", ""])[1:]
+    terms, place, counter, n = divergence.count_terms(texts, np.array([3, 0, 3, 1, 0, 3, 0]))
+    terms = terms.to_pylist()
+    got = {(terms[p], c): k for p, c, k in zip(place.tolist(), counter.tolist(), n.tolist(), strict=True)}
+    docs = divergence.DOCS
+    assert got == {(b"ab", 3): 3, (b"cd", 3): 1, (b"ab", 0): 1, (b"cd", 0): 1, ("é".encode(), 3): 1, (b"ab", docs): 4, (b"cd", docs): 2, ("é".encode(), docs): 1}
+    assert len(got) == len(n)
+
+
+def test_parts_of_batches_and_joint_prefixes(spark, monkeypatch):
+    for name, x in (("PART", 50), ("TOGETHER", 1)):
+        monkeypatch.setattr(divergence, name, x)
+    rows = made()
+    got = divergence.audit(spark, frame(spark, rows).repartition(3), least=3, top=4)
+    assert sorted(tuple(r) for r in got.collect()) == brute(rows, 3, 4)
+
+
+def test_counters_are_summed_when_many(monkeypatch):
+    monkeypatch.setattr(radix, "SUMMED", 10)
+    rng, trie, whole = random.Random(3), radix.Trie(), Counter()
+    for _ in range(60):
+        terms = [bytes(rng.choices(b"ab", k=rng.randint(1, 7))) for _ in range(8)]
+        counters, n = [rng.randint(0, 2) for _ in terms], [rng.randint(1, 2**40) for _ in terms]
+        trie.insert(terms, np.ones(8, dtype=np.int64), np.array(counters), np.array(n))
+        for t, c, k in zip(terms, counters, n, strict=True):
+            whole[t, c] += k
+    assert trie.held < 3 * len(whole)
+    assert {(t, c): n for t, leaf in trie.items() for c, n in leaf.items()} == dict(whole)
+    leaves = trie.traverse()
+    assert leaves.terms == sorted(leaves.terms) and leaves.shares.tolist() == [radix.shared(a, b) for a, b in zip([b"", *leaves.terms], leaves.terms, strict=False)]
+    assert dict(radix.unpack(radix.pack(leaves)).each()) == dict(leaves.each())
+
+
+def test_a_piece_is_written_again_only_if_cut(spark):
+    folder = common.work_folder(spark, "cuts")
+    rows = [(f"{'z' * 40}{'a' * (i % 7)} other{chr(97 + i % 5)}", "en", "s") for i in range(90)]
+    pieces = common.stage(divergence.count_tries(frame(spark, rows).repartition(6), {("en", "s"): 0}), folder, "pieces")
+    cut = divergence.cut_deeper(pieces, folder, 31)
+    assert divergence.kept_terms(cut, 1).count() == 12
+    assert {r.prefix for r in cut.where("prefix < 'z'").collect()} == {b"oth"}

@@ -1,8 +1,9 @@
 """Divergence of sources: how far the term shares of a language's sources lie apart, and which terms tell a source from its language.
 
 Each task counts the terms of its documents in byte radix tries (radix.Trie), one
-a language, whose leaves have a counter for every source and one for documents. A
-trie that grows large is written out and begun anew. Tries are cut at prefixes,
+a language, whose leaves have a counter for every source and one for documents. Terms
+of a batch are counted on arrays first; those of some batches go into the tries in
+order, each once. A trie that grows large is written out and begun anew. Tries are cut at prefixes,
 shuffled by ranges of prefixes and merged there; a prefix with too many leaves for
 one task is first cut deeper, as often as need be, so a hot prefix falls apart. The merged
 tries are traversed in order of UTF-8, and terms in enough documents kept. A second
@@ -23,19 +24,23 @@ from __future__ import annotations
 
 import gc
 import heapq
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common, radix
 
 LEAST_DOCS, TOP, SMOOTH, WHOLE = 30, 50, 5, 10**9
-#: Terms counted before they go into tries; leaves of a task's tries before they are written out; leaves below one prefix; first length of prefixes.
-COUNTED, HELD, MOST_LEAVES, DEPTH = 600_000, 180_000, 50_000, 3
+#: Counts of batches before they go into tries; leaves of a task's tries before they are written out; leaves below one prefix; first length of prefixes; leaves of neighbouring prefixes that one trie merges.
+COUNTED, HELD, MOST_LEAVES, DEPTH, TOGETHER = 2_000_000, 180_000, 50_000, 3, 5_000
+#: Bytes of texts whose terms are counted at once.
+PART = 4 << 20
 #: Sources on each side of a block of pairs; terms taken at once.
 BLOCK, CHUNK = 512, 256
 DOCS = 2**32 - 1  # the counter of documents; the others are numbers of sources
@@ -43,8 +48,43 @@ DOCS = 2**32 - 1  # the counter of documents; the others are numbers of sources
 _LETTERS = bytes((c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x61 <= c <= 0x7A else 0x20) for c in range(256))
 
 
-def terms(text: str | None) -> list[bytes]:
-    return [] if text is None else text.encode("utf-8", "surrogatepass").translate(_LETTERS).split()
+def count_terms(texts: pa.Array, counters: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Terms of texts without nulls, one counter a text; then rows of (place of the term, counter, count), of which those of DOCS count the texts."""
+    order = np.argsort(counters, kind="stable")
+    texts, counters = texts.take(pa.array(order)).cast(pa.large_binary()), counters[order]
+    ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    ends, data = ends - ends[0], texts.buffers()[2].slice(ends[0], ends[-1] - ends[0]).to_pybytes() if ends[-1] > ends[0] else b""
+    chars = np.frombuffer(data.translate(_LETTERS), np.uint8)
+    letter = chars != 0x20
+    first = letter.copy()
+    first[1:] &= ~letter[:-1]
+    begin = ends[:-1][ends[:-1] < len(chars)]
+    first[begin] = letter[begin]
+    last = letter.copy()
+    last[:-1] &= ~letter[1:] | first[1:]
+    starts = np.flatnonzero(first)
+    offsets = np.concatenate([[0], np.cumsum(np.flatnonzero(last) - starts + 1)]).astype(np.int64)
+    coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(chars[letter])]).dictionary_encode()
+    texts_of = np.repeat(np.arange(len(counters)), np.diff(np.searchsorted(starts, ends)))
+    keys = np.sort(coded.indices.to_numpy().astype(np.int64) * len(counters) + texts_of)
+    term, text = np.divmod(keys, max(len(counters), 1))
+    docs = np.bincount(term[radix.changes(keys)], minlength=len(coded.dictionary))
+    at = radix.changes(term << 32 | counters[text])
+    place = np.concatenate([term[at], np.arange(len(docs))])
+    return coded.dictionary, place, np.concatenate([counters[text[at]], np.full(len(docs), DOCS)]), np.concatenate([np.diff(np.append(at, len(keys))), docs])
+
+
+def insert(trie: radix.Trie, counted: list[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]) -> None:
+    """Puts what count_terms gave into a trie: each term once, in order."""
+    base = np.cumsum([0, *(len(x[0]) for x in counted)])
+    coded = pa.concat_arrays([x[0] for x in counted]).dictionary_encode()
+    order = pc.array_sort_indices(coded.dictionary)
+    rank = np.empty(len(order), dtype=np.int64)
+    rank[order.to_numpy()] = np.arange(len(order))
+    ranks = rank[coded.indices.to_numpy()]
+    keys = np.concatenate([ranks[x[1] + base[i]] << 32 | x[2] for i, x in enumerate(counted)])
+    keys, n = radix.summed(keys, np.concatenate([x[3] for x in counted]))
+    trie.insert(coded.dictionary.take(order).to_numpy(zero_copy_only=False).tolist(), np.bincount(keys >> 32, minlength=len(order)), keys & DOCS, n)
 
 
 def acyclic(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
@@ -63,9 +103,9 @@ def acyclic(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterato
 PIECE = "lang string, prefix binary, leaves long, data binary"
 
 
-def _piece_rows(lang: str, items: Iterator[tuple[bytes, dict[int, int]]], depth: int) -> Iterator[tuple]:
-    for prefix, held in radix.pieces(items, depth):
-        yield lang, prefix, len(held), radix.pack(held)
+def _piece_rows(lang: str, leaves: radix.Leaves, depth: int) -> Iterator[tuple]:
+    for prefix, held in radix.pieces(leaves, depth):
+        yield lang, prefix, len(held.terms), radix.pack(held)
 
 
 def _piece_batches(rows: Iterator[tuple], size: int = 4000) -> Iterator[pa.RecordBatch]:
@@ -88,37 +128,30 @@ def count_tries(docs: DataFrame, ids: dict[tuple[str, str], int]) -> DataFrame:
     """The tasks' tries, cut at prefixes of DEPTH bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_source: dict[tuple[str, int], Counter] = defaultdict(Counter)
-        by_lang: dict[str, Counter] = defaultdict(Counter)
+        counted: dict[str, list] = defaultdict(list)
         tries: dict[str, radix.Trie] = defaultdict(radix.Trie)
+        held = 0
 
         def settle() -> None:
-            leaves: dict[str, dict[bytes, dict[int, int]]] = {}
-            for lang, found in by_lang.items():  # one walk down for each term, for all its sources
-                leaf = tries[lang].leaf
-                mine = leaves[lang] = {term: leaf(term) for term in found}
-                for term, n in found.items():
-                    counts = mine[term]
-                    counts[DOCS] = counts.get(DOCS, 0) + n
-            for (lang, source), found in by_source.items():
-                mine = leaves[lang]
-                for term, n in found.items():
-                    counts = mine[term]
-                    counts[source] = counts.get(source, 0) + n
-            by_source.clear()
-            by_lang.clear()
+            for lang in list(counted):
+                insert(tries[lang], counted.pop(lang))
 
         def write() -> Iterator[pa.RecordBatch]:
-            yield from _piece_batches(row for lang, trie in tries.items() for row in _piece_rows(lang, trie.items(), DEPTH))
+            yield from _piece_batches(row for lang, trie in tries.items() for row in _piece_rows(lang, trie.traverse(), DEPTH))
             tries.clear()
 
         for b in batches:
-            for text, lang, source in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
-                found = terms(text)
-                by_source[lang, ids[lang, source]].update(found)
-                by_lang[lang].update(set(found))
-            if sum(map(len, by_source.values())) > COUNTED:
+            texts, langs, sources = b.column(0).fill_null(""), b.column(1).to_pylist(), b.column(2).to_pylist()
+            parts = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64) // PART
+            rows: dict[tuple[str, int], list[int]] = defaultdict(list)
+            for i, x in enumerate(zip(langs, parts.tolist(), strict=True)):
+                rows[x].append(i)
+            for (lang, _), mine in rows.items():
+                counted[lang].append(count_terms(texts.take(pa.array(mine)), np.array([ids[lang, sources[i]] for i in mine])))
+                held += len(counted[lang][-1][1])
+            if held > COUNTED:
                 settle()
+                held = 0
                 if sum(t.leaves for t in tries.values()) > HELD:
                     yield from write()
         settle()
@@ -130,23 +163,23 @@ def count_tries(docs: DataFrame, ids: dict[tuple[str, str], int]) -> DataFrame:
 
 
 def cut_deeper(pieces: DataFrame, folder: str, most: int) -> DataFrame:
-    """Prefixes whose tries hold more leaves than one task should merge are cut at twice the depth, until none is left.
+    """Prefixes whose tries hold more leaves than one task should merge are cut at twice the depth, until none is left. The others stay as they are and aren't looked at again.
 
     A prefix that is one whole term can't be cut; its pieces hold one leaf each."""
-    depth, i = DEPTH, 0
+    whole, depth, i = [], DEPTH, 0
     while True:
         large = pieces.groupBy("lang", "prefix").agg(F.sum("leaves").alias("n"), F.max("leaves").alias("most")).where((F.col("n") > most) & (F.col("most") > 1)).select("lang", "prefix")
         large = common.stage(large, folder, f"large-{i}")
         if large.isEmpty():
-            return pieces
+            return reduce(DataFrame.unionByName, whole, pieces)
         depth, i = 2 * depth, i + 1
 
         def run(batches: Iterator[pa.RecordBatch], depth: int = depth) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 yield from _piece_batches(row for lang, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) for row in _piece_rows(lang, radix.unpack(data), depth))
 
-        cut = pieces.join(large, ["lang", "prefix"], "left_semi").select("lang", "data").mapInArrow(run, PIECE)
-        pieces = common.stage(pieces.join(large, ["lang", "prefix"], "left_anti").unionByName(cut), folder, f"pieces-{i}")
+        whole.append(common.stage(pieces.join(large, ["lang", "prefix"], "left_anti"), folder, f"whole-{i}"))
+        pieces = common.stage(pieces.join(large, ["lang", "prefix"], "left_semi").select("lang", "data").mapInArrow(run, PIECE), folder, f"pieces-{i}")
 
 
 KEPT = "lang string, term binary, source array<int>, n array<long>"
@@ -159,19 +192,23 @@ def kept_terms(pieces: DataFrame, least: int) -> DataFrame:
         key, trie = None, radix.Trie()
 
         def traverse() -> Iterator[pa.RecordBatch]:
-            found = []
-            for term, leaf in trie.items():
-                if leaf.pop(DOCS, 0) >= least:
-                    found.append((term, list(leaf), list(leaf.values())))
-            if found:
-                term, source, n = zip(*found, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(term), pa.string()), pa.array(term, pa.binary()), pa.array(source, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.int64()))], ["lang", "term", "source", "n"])
+            terms, _, sizes, source, n = trie.traverse()
+            leaf, whole = np.repeat(np.arange(len(terms)), sizes), source == DOCS
+            docs = np.bincount(leaf[whole], n[whole], len(terms))
+            kept = docs >= least
+            if kept.any():
+                rows = kept[leaf] & ~whole
+                ends = pa.array(np.concatenate([[0], np.cumsum(np.bincount(leaf[rows], minlength=len(terms))[kept])]).astype(np.int32))
+                term = [t for t, k in zip(terms, kept.tolist(), strict=True) if k]
+                lists = (pa.ListArray.from_arrays(ends, pa.array(x[rows], t)) for x, t in ((source.astype(np.int32), pa.int32()), (n, pa.int64())))
+                yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(term), pa.string()), pa.array(term, pa.binary()), *lists], ["lang", "term", "source", "n"])
 
         for b in batches:
             for lang, prefix, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
-                if (lang, prefix) != key:
+                if key and (lang != key[0] or (prefix != key[1] and trie.leaves >= TOGETHER)):
                     yield from traverse()
-                    key, trie = (lang, prefix), radix.Trie()
+                    trie = radix.Trie()
+                key = (lang, prefix)
                 trie.merge(data)
         yield from traverse()
 

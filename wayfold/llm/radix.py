@@ -1,32 +1,60 @@
 """Byte radix tries with a leaf of counters, that merge, are cut at prefixes and pass through bytes.
 
-A node is [label, children by first byte, leaf]; a leaf is {counter: count}. Order is that of bytes,
-which for UTF-8 is that of code points.
+A node is [label, children by first byte, number of its leaf]. The counters of all leaves are
+rows of arrays, keyed by leaf and counter; they are summed when they have become many, or are
+read. Order is that of bytes, which for UTF-8 is that of code points.
 """
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import pairwise
+from typing import NamedTuple
 
-_HEAD = struct.Struct("<III")  # bytes shared with the term before, further bytes, counters
+import numpy as np
+
+_HEAD = struct.Struct("<II")  # leaves, counters
 STEM = 4
-_PAIR = struct.Struct("<Iq")
+#: Rows of counters that a trie holds before it sums them.
+SUMMED = 1_000_000
 
 
 def shared(a: bytes, b: bytes) -> int:
     """Length of the longest common prefix."""
     n = min(len(a), len(b))
-    if a[:n] == b[:n]:
-        return n
-    low, high = 0, n
-    while low < high:  # equal up to low, different within high
-        mid = (low + high + 1) // 2
-        if a[:mid] == b[:mid]:
-            low = mid
-        else:
-            high = mid - 1
-    return low
+    differ = int.from_bytes(a[:n]) ^ int.from_bytes(b[:n])
+    return n - (differ.bit_length() + 7 >> 3)
+
+
+def changes(keys: np.ndarray) -> np.ndarray:
+    """Places in a sorted array whose key isn't that of the place before."""
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = keys[1:] != keys[:-1]
+    return np.flatnonzero(new)
+
+
+def summed(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, and the sums of their counts."""
+    order = np.argsort(keys)
+    keys, counts = keys[order], counts[order]
+    at = changes(keys)
+    return keys[at], np.add.reduceat(counts, at) if len(at) else counts
+
+
+class Leaves(NamedTuple):
+    """Terms in order, the bytes each shares with the one before, its number of counters; then the counters of all and their counts."""
+
+    terms: list[bytes]
+    shares: np.ndarray
+    sizes: np.ndarray
+    counters: np.ndarray
+    counts: np.ndarray
+
+    def each(self) -> Iterator[tuple[bytes, dict[int, int]]]:
+        pairs = zip(self.counters.tolist(), self.counts.tolist(), strict=True)
+        for term, size in zip(self.terms, self.sizes.tolist(), strict=True):
+            yield term, dict(next(pairs) for _ in range(size))
 
 
 class Trie:
@@ -35,93 +63,149 @@ class Trie:
     def __init__(self) -> None:
         self.stems: dict[bytes, list] = {}
         self.leaves = 0
+        self.rows: list[tuple[np.ndarray, np.ndarray]] = []
+        self.held, self.most = 0, SUMMED
 
-    def leaf(self, term: bytes) -> dict[int, int]:
-        """The counters of a term, made where there are none: walks down the labels, splitting the one that differs."""
+    def leaf(self, term: bytes, path: list[tuple[bytes, list]]) -> int:
+        """The number of a term's leaf, made where there is none: walks down the labels, splitting the one that differs.
+
+        The walk begins at the lowest node of the path that lies above the term; the path becomes the term's."""
         stem = term[:STEM]
-        node = self.stems.get(stem)
-        if node is None:
-            node = self.stems[stem] = [b"", {}, None]
-        at, end = len(stem), len(term)
+        if path and path[0][0] == stem:
+            while not term.startswith(path[-1][0]):
+                path.pop()
+        else:
+            node = self.stems.get(stem)
+            if node is None:
+                node = self.stems[stem] = [b"", None, None]
+            path[:] = [(stem, node)]
+        above, node = path[-1]
+        at, end = len(above), len(term)
         while at < end:
             children, first = node[1], term[at]
-            child = children.get(first)
+            child = children.get(first) if children else None
             if child is None:
-                found: dict[int, int] = {}
-                children[first] = [term[at:], {}, found]
+                child = [term[at:], None, self.leaves]
+                if children:
+                    children[first] = child
+                else:
+                    node[1] = {first: child}
                 self.leaves += 1
-                return found
+                path.append((term, child))
+                return child[2]
             label = child[0]
             if term.startswith(label, at):
                 at += len(label)
                 node = child
-                continue
-            k = shared(label, term[at : at + len(label)])
-            node = [label[:k], {label[k]: child}, None]
-            child[0] = label[k:]
-            children[first] = node
-            at += k
+            else:
+                k = shared(label, term[at : at + len(label)])
+                node = children[first] = [label[:k], {label[k]: child}, None]
+                child[0] = label[k:]
+                at += k
+            path.append((term[:at], node))
         if node[2] is None:
-            node[2] = {}
+            node[2] = self.leaves
             self.leaves += 1
         return node[2]
 
-    def add(self, term: bytes, counter: int, n: int) -> None:
-        leaf = self.leaf(term)
-        leaf[counter] = leaf.get(counter, 0) + n
+    def insert(self, terms: Iterable[bytes], sizes: np.ndarray, counters: np.ndarray, counts: np.ndarray) -> None:
+        """Adds terms, each with so many of the counters. Terms in order share their walks down."""
+        leaf, path = self.leaf, []
+        numbers = np.array([leaf(term, path) for term in terms], dtype=np.int64)
+        self.rows.append((np.repeat(numbers, sizes) << 32 | counters.astype(np.int64), counts.astype(np.int64)))
+        self.held += len(counts)
+        if self.held > self.most:
+            self._sum()
+            self.most = max(SUMMED, 2 * self.held)
+
+    def _sum(self) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.rows) != 1:
+            keys, counts = ([x[i] for x in self.rows] or [np.zeros(0, dtype=np.int64)] for i in (0, 1))
+            self.rows = [summed(np.concatenate(keys), np.concatenate(counts))]
+            self.held = len(self.rows[0][0])
+        return self.rows[0]
 
-    def items(self) -> Iterator[tuple[bytes, dict[int, int]]]:
-        """Terms and their leaves in the order of bytes."""
+    def add(self, term: bytes, counter: int, n: int) -> None:
+        self.insert([term], np.ones(1, dtype=np.int64), np.array([counter]), np.array([n]))
+
+    def traverse(self) -> Leaves:
+        """Terms and their counters in the order of bytes."""
+        terms: list[bytes] = []
+        numbers: list[int] = []
+        shares: list[int] = []
+        share, term = 0, b""  # with the term before
         for stem in sorted(self.stems):
+            share = min(share, shared(term[:STEM], stem))
             stack = [(stem, self.stems[stem])]
             while stack:
-                prefix, node = stack.pop()
-                prefix += node[0]
+                above, node = stack.pop()
+                if len(above) < share:
+                    share = len(above)
+                below = above + node[0]
                 if node[2] is not None:
-                    yield prefix, node[2]
+                    term = below
+                    terms.append(term)
+                    numbers.append(node[2])
+                    shares.append(share)
+                    share = len(term)
                 children = node[1]
                 if children:
-                    stack.extend((prefix, children[b]) for b in sorted(children, reverse=True))
+                    stack.extend((below, children[b]) for b in sorted(children, reverse=True))
+        rank = np.empty(len(terms), dtype=np.int64)
+        rank[numbers] = np.arange(len(terms))
+        keys, counts = self._sum()
+        keys, counts = summed(rank[keys >> 32] << 32 | keys & 0xFFFFFFFF, counts)
+        return Leaves(terms, np.array(shares, dtype=np.int64), np.bincount(keys >> 32, minlength=len(terms)), keys & 0xFFFFFFFF, counts)
+
+    def items(self) -> Iterator[tuple[bytes, dict[int, int]]]:
+        return self.traverse().each()
 
     def merge(self, data: bytes) -> None:
         """Adds a trie that pack() wrote: the counters of its leaves are summed."""
-        for term, leaf in unpack(data):
-            mine = self.leaf(term)
-            for counter, n in leaf.items():
-                mine[counter] = mine.get(counter, 0) + n
+        terms, _, sizes, counters, counts = unpack(data)
+        self.insert(terms, sizes, counters, counts)
+
+
+def leaves_of(items: Iterable[tuple[bytes, dict[int, int]]]) -> Leaves:
+    """Of terms in order with their counters."""
+    items = list(items)
+    terms = [term for term, _ in items]
+    shares = [shared(a, b) for a, b in pairwise([b"", *terms])]
+    ints = lambda xs: np.array(xs, dtype=np.int64)
+    return Leaves(terms, ints(shares), ints([len(x) for _, x in items]), ints([c for _, x in items for c in x]), ints([n for _, x in items for n in x.values()]))
 
 
-def pack(items: list[tuple[bytes, dict[int, int]]]) -> bytes:
+def pack(leaves: Leaves | list[tuple[bytes, dict[int, int]]]) -> bytes:
     """Leaves in order, each without what it shares with the one before."""
-    out, before = [], b""
-    for term, leaf in items:
-        k = shared(before, term)
-        out.append(_HEAD.pack(k, len(term) - k, len(leaf)))
-        out.append(term[k:])
-        out.extend(_PAIR.pack(c, n) for c, n in leaf.items())
-        before = term
-    return b"".join(out)
-
-
-def unpack(data: bytes) -> Iterator[tuple[bytes, dict[int, int]]]:
-    at, before = 0, b""
-    while at < len(data):
-        k, more, n = _HEAD.unpack_from(data, at)
-        at += _HEAD.size
+    terms, shares, sizes, counters, counts = leaves if isinstance(leaves, Leaves) else leaves_of(leaves)
+    shares = shares.astype("<u4")
+    shares[:1] = 0
+    labels = [term[k:] for term, k in zip(terms, shares.tolist(), strict=True)]
+    lengths = np.array([len(x) for x in labels], dtype="<u4")
+    numbers = (x.tobytes() for x in (shares, lengths, sizes.astype("<u4"), counters.astype("<u4"), counts.astype("<i8")))
+    return b"".join([_HEAD.pack(len(terms), len(counts)), *numbers, *labels])
+
+
+def unpack(data: bytes) -> Leaves:
+    n, m = _HEAD.unpack_from(data)
+    shares, lengths, sizes = np.frombuffer(data, "<u4", 3 * n, _HEAD.size).reshape(3, n)
+    at = _HEAD.size + 12 * n
+    counters, counts = np.frombuffer(data, "<u4", m, at), np.frombuffer(data, "<i8", m, at + 4 * m)
+    at += 12 * m
+    before, terms = b"", []
+    for k, more in zip(shares.tolist(), lengths.tolist(), strict=True):
         before = before[:k] + data[at : at + more]
         at += more
-        yield before, dict(_PAIR.iter_unpack(data[at : at + n * _PAIR.size]))
-        at += n * _PAIR.size
-
-
-def pieces(items: Iterator[tuple[bytes, dict[int, int]]], depth: int) -> Iterator[tuple[bytes, list[tuple[bytes, dict[int, int]]]]]:
-    """Subtrees below prefixes of up to depth bytes, in order; a shorter term is a piece of its own."""
-    prefix, held = None, []
-    for term, leaf in items:
-        if held and term[:depth] != prefix:
-            yield prefix, held
-            held = []
-        prefix = term[:depth]
-        held.append((term, leaf))
-    if held:
-        yield prefix, held
+        terms.append(before)
+    return Leaves(terms, shares, sizes, counters, counts)
+
+
+def pieces(leaves: Leaves | Iterable[tuple[bytes, dict[int, int]]], depth: int) -> Iterator[tuple[bytes, Leaves | list[tuple[bytes, dict[int, int]]]]]:
+    """Subtrees below prefixes of up to depth bytes, in order; a shorter term is a piece of its own. Given leaves, gives leaves; given items, items."""
+    items = None if isinstance(leaves, Leaves) else list(leaves)
+    terms, shares, sizes, counters, counts = leaves if items is None else leaves_of(items)
+    below = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)]).tolist()
+    cuts = np.flatnonzero(shares < depth)
+    for a, b in pairwise([*cuts.tolist(), len(terms)]):
+        mine = slice(below[a], below[b])
+        yield terms[a][:depth], Leaves(terms[a:b], shares[a:b], sizes[a:b], counters[mine], counts[mine]) if items is None else items[a:b]
