@@ -48,13 +48,12 @@ DOCS = 2**32 - 1  # the counter of documents; the others are numbers of sources
 _LETTERS = bytes((c + 32 if 0x41 <= c <= 0x5A else c if c >= 0x80 or 0x61 <= c <= 0x7A else 0x20) for c in range(256))
 
 
-def count_terms(texts: pa.Array, counters: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
-    """Terms of texts without nulls, one counter a text; then rows of (place of the term, counter, count), of which those of DOCS count the texts."""
-    order = np.argsort(counters, kind="stable")
-    texts, counters = texts.take(pa.array(order)).cast(pa.large_binary()), counters[order]
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """Terms of texts without nulls, one after the other; the number in each text."""
+    texts = texts.cast(pa.large_binary())
     ends = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    ends, data = ends - ends[0], texts.buffers()[2].slice(ends[0], ends[-1] - ends[0]).to_pybytes() if ends[-1] > ends[0] else b""
-    chars = np.frombuffer(data.translate(_LETTERS), np.uint8)
+    data = texts.buffers()[2].slice(ends[0], ends[-1] - ends[0]).to_pybytes().translate(_LETTERS) if ends[-1] > ends[0] else b""
+    ends, chars = ends - ends[0], np.frombuffer(data, np.uint8)
     letter = chars != 0x20
     first = letter.copy()
     first[1:] &= ~letter[:-1]
@@ -63,15 +62,28 @@ def count_terms(texts: pa.Array, counters: np.ndarray) -> tuple[pa.Array, np.nda
     last = letter.copy()
     last[:-1] &= ~letter[1:] | first[1:]
     starts = np.flatnonzero(first)
-    offsets = np.concatenate([[0], np.cumsum(np.flatnonzero(last) - starts + 1)]).astype(np.int64)
-    coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(chars[letter])]).dictionary_encode()
-    texts_of = np.repeat(np.arange(len(counters)), np.diff(np.searchsorted(starts, ends)))
-    keys = np.sort(coded.indices.to_numpy().astype(np.int64) * len(counters) + texts_of)
-    term, text = np.divmod(keys, max(len(counters), 1))
-    docs = np.bincount(term[radix.changes(keys)], minlength=len(coded.dictionary))
+    offsets = np.zeros(len(starts) + 1, dtype=np.int64)
+    np.cumsum(np.flatnonzero(last) - starts + 1, out=offsets[1:])
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(chars[letter])]), np.diff(np.searchsorted(starts, ends))
+
+
+def count_terms(texts: pa.Array, counters: np.ndarray) -> tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]:
+    """Terms of texts without nulls, one counter a text; then rows of (place of the term, counter, count), of which those of DOCS count the texts."""
+    order = np.argsort(counters, kind="stable")
+    counters = counters[order]
+    words, sizes = _words(texts.take(pa.array(order)))
+    coded = words.dictionary_encode()
+    del words
+    keys = coded.indices.to_numpy().astype(np.int64)
+    keys *= len(counters)
+    keys += np.repeat(np.arange(len(counters), dtype=np.int32), sizes)
+    keys.sort()
+    new = radix.changes(keys)  # a term in one text
+    n, (term, text) = np.diff(np.append(new, len(keys))), np.divmod(keys[new], max(len(counters), 1))
+    docs = np.bincount(term, minlength=len(coded.dictionary))
     at = radix.changes(term << 32 | counters[text])
     place = np.concatenate([term[at], np.arange(len(docs))])
-    return coded.dictionary, place, np.concatenate([counters[text[at]], np.full(len(docs), DOCS)]), np.concatenate([np.diff(np.append(at, len(keys))), docs])
+    return coded.dictionary, place, np.concatenate([counters[text[at]], np.full(len(docs), DOCS)]), np.concatenate([np.add.reduceat(n, at) if len(at) else n, docs])
 
 
 def insert(trie: radix.Trie, counted: list[tuple[pa.Array, np.ndarray, np.ndarray, np.ndarray]]) -> None:
