@@ -1,11 +1,13 @@
 import heapq
 import random
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from wayfold.functions import scalars as S
 from wayfold.operators import graph, quality, route
+from wayfold.plans import catalog
 
 
 def dijkstra(arcs, src):
@@ -61,6 +63,28 @@ def test_shortest_paths_and_shortcuts(spark, monkeypatch, small):
     assert all(got[a][b] == d for (a, b), d in cut.items()) and len({frozenset(p) for p in cut}) == len(cut)
 
 
+def test_every_door_gets_its_nearest_ones(spark, tmp_path):
+    """Doors on a chain of long links: each has its four nearest ones, however far, as by the SQL."""
+    n, rng = 8, random.Random(6)
+    spark.createDataFrame([(i, i) for i in range(n)], "s_suppkey long, s_nationkey int").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    keys = [(rng.choice([(10, 17), (12, 20), (14, 21)]), i) for i in range(n - 1)]
+    lines = [(i, k, i + k, p) for (pq, i) in keys for k, p in enumerate(pq)]
+    spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_suppkey long, l_partkey long").coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    arcs = [(i, i + 1, 100 + (p * 31 + q * 17) % 900) for (p, q), i in keys]
+    arcs += [(b, a, w) for a, b, w in arcs]
+    assert min(w for *_, w in arcs) > 250
+    found = {}
+    for s in range(n):
+        for d, t in sorted((d, t) for t, d in dijkstra(arcs, s).items() if t != s)[:4]:
+            found.setdefault(frozenset((s, t)), (s, t, d))
+    got = sorted(map(tuple, catalog.queries()["shortcuts_topk"](spark, str(tmp_path)).collect()))
+    assert got == sorted(found.values()) and len(got) > 2 * n
+    con = duckdb.connect()
+    for t in ("supplier", "lineitem"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    assert sorted(con.sql(catalog.oracle_sql()["shortcuts_topk"]).fetchall()) == got
+
+
 def test_components(spark):
     arcs = made(5, 300, 180)
     frame = spark.createDataFrame([(a, b) for a, b, _ in arcs], "a long, b long")
