@@ -109,7 +109,7 @@ def _shrunk(vertices: DataFrame, pairs: DataFrame, n: int) -> DataFrame:
     ties = kept(state.where("roots IS NOT NULL").select(F.col("root").alias("a"), F.explode("roots").alias("b")).where("a < b").distinct())
     if ties.isEmpty():
         return state.select("id", F.coalesce("root", "id").alias("label"))
-    tied = _rounds(ties.select(F.explode(F.array("a", "b")).alias("id")).distinct(), both_ways(ties)).select(F.col("id").alias("root"), "label")
+    tied = _rounds(ties.select(F.explode(F.array("a", "b")).alias("id")).distinct(), _each_way(ties)).select(F.col("id").alias("root"), "label")
     tied = F.broadcast(tied) if tied.limit(SMALL_FRONTIER + 1).count() <= SMALL_FRONTIER else tied.hint("merge")
     return state.select("id", "root").join(tied, "root", "left").select("id", F.coalesce("label", "root", "id").alias("label"))
 
@@ -120,17 +120,23 @@ def components(vertices: DataFrame, arcs: DataFrame) -> DataFrame:
     n = pairs.count()
     if n > SHRINK and pairs.schema["a"].dataType.simpleString() in ("string", "bigint", "int"):
         return _shrunk(vertices, pairs, n)
-    return _rounds(vertices, both_ways(pairs))
+    return _rounds(vertices, _each_way(kept(pairs.distinct()) if n > SHRINK else pairs))
+
+
+def _each_way(pairs: DataFrame) -> DataFrame:
+    """both_ways() of (a, b) in one read; a join over a union of two reads of a checkpoint may fail in the planner."""
+    ends = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    return pairs.select(ends.alias("e")).select("e.a", "e.b")
 
 
 def _rounds(vertices: DataFrame, arcs: DataFrame) -> DataFrame:
-    """components() by rounds of joins.
+    """components() by rounds of joins; each reads the arcs again, so give kept ones.
 
     Every vertex has a parent. In a round each looks at its neighbours' grandparents;
     the least one becomes a candidate for itself and for its own parent, so that whole
     trees are hung under smaller ones, and all move up to their grandparents. Rounds
     grow with the logarithm of a component's size, for chains in any order too."""
-    links = kept(arcs.select("a", "b").distinct())
+    links = arcs.select("a", "b")
     state, before = kept(vertices.select("id", F.col("id").alias("label"), F.col("id").alias("far"))), None
 
     def step(state: DataFrame) -> DataFrame:
